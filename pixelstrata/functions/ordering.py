@@ -112,18 +112,25 @@ def exact_quantiles(
     return out.drop("_all") if ks == ["_all"] else out
 
 
-def bounded_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact interpolated quantiles of groups with a known size bound (one map, one
-    condition table): a single shuffle and a spillable sort, no hash of all values."""
+def add_bounded_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float]) -> DataFrame:
+    """Adds exact interpolated quantiles of the row's group as columns.
+
+    For groups with a known size bound (the pixels of one map, one condition
+    table): one shuffle and a spillable sort, no hash of all values, no join back.
+    """
     ks = _cols(keys)
-    if not ks:
-        df, ks = df.withColumn("_all", F.lit(1)), ["_all"]
-    d = df.where(F.col(value).isNotNull()).select(*ks, F.col(value).cast("double").alias("_v"))
-    part = W.partitionBy(*ks)
-    d = d.withColumn("_k", F.row_number().over(part.orderBy("_v")) - 1).withColumn("_n", F.count(F.lit(1)).over(part))
+    part = W.partitionBy(*ks) if ks else W.partitionBy(F.lit(1))
+    v = F.col(value).cast("double")
+    d = df.withColumn("_k", F.row_number().over(part.orderBy(v.asc_nulls_last())) - 1).withColumn("_n", F.count(v).over(part))
     weight = lambda p: F.greatest(F.lit(0.0), 1 - F.abs(F.lit(float(p)) * (F.col("_n") - 1) - F.col("_k")))
-    out = d.groupBy(*ks).agg(*[F.sum(F.when(weight(p) > 0, F.col("_v") * weight(p))).alias(n) for n, p in probs.items()])
-    return out.drop("_all") if ks == ["_all"] else out
+    return d.select(*df.columns, *[F.sum(F.when(weight(p) > 0, v * weight(p))).over(part).alias(n) for n, p in probs.items()])
+
+
+def bounded_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float]) -> DataFrame:
+    """One row per key with the quantiles of :func:`add_bounded_quantiles`."""
+    ks = _cols(keys)
+    d = add_bounded_quantiles(df.select(*ks, value), ks, value, probs)
+    return d.groupBy(*ks).agg(*[F.max(n).alias(n) for n in probs])
 
 
 def average_rank(df: DataFrame, keys, value: str, name: str) -> DataFrame:

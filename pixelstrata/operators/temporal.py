@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pixelstrata.functions.ordering import bounded_quantiles, exact_quantiles, with_halo
+from pixelstrata.functions.ordering import add_bounded_quantiles, bounded_quantiles, exact_quantiles, with_halo
 from pixelstrata.functions.scalars import clip, corr_agg, dbl, ratio, safe_div
 from pixelstrata.operators.frames import explode_tiles
 from pixelstrata.operators.spatial import gaussian_highpass
@@ -67,7 +67,8 @@ def folder_noise_summary(pixels: DataFrame, ddof: int = 1) -> DataFrame:
     maps = temporal_maps(pixels)
     std, var = F.col(f"std{ddof}"), F.col(f"var{ddof}")
     spread = F.stddev_samp if ddof else F.stddev_pop
-    by_folder = maps.groupBy("folder").agg(
+    maps = add_bounded_quantiles(maps.withColumn("_t", std), "folder", "_t", {"temporal_std_p50": 0.5, "temporal_std_p99": 0.99})
+    by_folder = maps.groupBy("folder", "temporal_std_p50", "temporal_std_p99").agg(
         F.max("n").alias("frame_count"), F.avg("mean").alias("mean_signal"),
         F.coalesce(spread("mean"), F.lit(0.0)).alias("fixed_std"),
         F.avg(std).alias("temporal_std_mean"), F.avg(var).alias("temporal_var_mean"),
@@ -76,13 +77,12 @@ def folder_noise_summary(pixels: DataFrame, ddof: int = 1) -> DataFrame:
         F.avg("mean").alias("frame_mean_mean"), F.coalesce(spread("mean"), F.lit(0.0)).alias("frame_mean_std"),
         F.min("mean").alias("frame_mean_min"), F.max("mean").alias("frame_mean_max"),
     )
-    q = bounded_quantiles(maps.withColumn("_t", std), "folder", "_t", {"temporal_std_p50": 0.5, "temporal_std_p99": 0.99})
     res = exact_quantiles(
         temporal_residual(pixels, demean=False), "folder", "r",
         {"residual_p01": 0.01, "residual_p50": 0.5, "residual_p99": 0.99},
     )
     return (
-        by_folder.join(frames, "folder").join(q, "folder").join(res, "folder")
+        by_folder.join(frames, "folder").join(res, "folder")
         .withColumn("fano_temporal", safe_div("temporal_var_mean", "mean_signal"))
         .withColumn("cv_temporal", safe_div("temporal_std_mean", "mean_signal"))
         .withColumn("fixed_to_temporal", safe_div("fixed_std", "temporal_std_mean"))
@@ -180,19 +180,18 @@ def mean_variance_bins(pixels: DataFrame, tiles: DataFrame, bins: int, min_count
                        lower: float = 0.005, upper: float = 0.995) -> DataFrame:
     """Temporal variance by equal-width bins of the temporal mean."""
     maps = temporal_maps(pixels).join(difference_variance_map(tiles), PIXEL)
-    span = bounded_quantiles(maps, "folder", "mean", {"bin_lo": lower, "bin_hi": upper})
-    binned = maps.join(span, "folder").withColumn(
+    binned = add_bounded_quantiles(maps, "folder", "mean", {"bin_lo": lower, "bin_hi": upper}).withColumn(
         "bin", equal_width_bin(F.col("mean"), F.col("bin_lo"), F.col("bin_hi"), bins)).where(F.col("bin").isNotNull())
-    med = bounded_quantiles(binned, ["folder", "bin"], "var1", {"temporal_var_median": 0.5})
+    binned = add_bounded_quantiles(binned, ["folder", "bin"], "var1", {"temporal_var_median": 0.5})
     total = pixels.groupBy("folder").agg(F.var_samp("dn").alias("global_total_pixel_var"))
     return (
-        binned.groupBy("folder", "bin").agg(
+        binned.groupBy("folder", "bin", "temporal_var_median").agg(
             F.count(F.lit(1)).alias("pixel_count"), F.avg("mean").alias("mean_signal"),
             F.avg("var1").alias("temporal_var_mean"), F.avg(F.sqrt("var1")).alias("temporal_std_mean"),
             F.coalesce(F.stddev_samp("mean"), F.lit(0.0)).alias("spatial_mean_std"),
             F.avg("diff_var").alias("frame_diff_var_mean"),
         ).where(F.col("pixel_count") >= min_count)
-        .join(med, ["folder", "bin"]).join(total, "folder")
+        .join(total, "folder")
         .withColumn("fano_temporal", safe_div("temporal_var_mean", "mean_signal"))
     )
 
@@ -239,19 +238,17 @@ def fixed_pattern_eval(pixels: DataFrame) -> DataFrame:
         "passes_temporal", F.coalesce(change <= 0.1, F.lit(False)))
 
 
-def mad_limits(maps: DataFrame, value: str, k: float, name: str) -> DataFrame:
-    """median + k * max(1.4826 * MAD, 1) of a map, per folder."""
-    med = bounded_quantiles(maps, "folder", value, {"_med": 0.5})
-    dev = maps.join(med, "folder").withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
-    mad = bounded_quantiles(dev, "folder", "_dev", {"_mad": 0.5})
-    return med.join(mad, "folder").select(
-        "folder", (F.col("_med") + k * F.greatest(1.4826 * F.col("_mad"), F.lit(1.0))).alias(name))
+def add_mad_limit(maps: DataFrame, value: str, k: float, name: str) -> DataFrame:
+    """Adds median + k * max(1.4826 * MAD, 1) of a map, per folder."""
+    d = add_bounded_quantiles(maps, "folder", value, {"_med": 0.5}).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
+    d = add_bounded_quantiles(d, "folder", "_dev", {"_mad": 0.5})
+    return d.withColumn(name, F.col("_med") + k * F.greatest(1.4826 * F.col("_mad"), F.lit(1.0))).drop("_med", "_dev", "_mad")
 
 
 def bad_pixel_mask(pixels: DataFrame, range_max: int, k: float) -> DataFrame:
     """Saturated or dead in any frame, or mean/std far above the folder median."""
     maps = temporal_maps(pixels)
-    return maps.join(mad_limits(maps, "mean", k, "_lm"), "folder").join(mad_limits(maps, "std0", k, "_ls"), "folder").select(
+    return add_mad_limit(add_mad_limit(maps, "mean", k, "_lm"), "std0", k, "_ls").select(
         *PIXEL,
         (F.col("hi") >= range_max).alias("saturated"), (F.col("lo") <= 0).alias("dead"),
         (F.col("mean") > F.col("_lm")).alias("hot"), (F.col("std0") > F.col("_ls")).alias("unstable"),
@@ -261,9 +258,9 @@ def bad_pixel_mask(pixels: DataFrame, range_max: int, k: float) -> DataFrame:
 def background_audit(pixels: DataFrame, range_max: int) -> DataFrame:
     """Background folder statistics with hot and unstable pixel shares."""
     maps = temporal_maps(pixels)
-    lim = bounded_quantiles(maps, "folder", "mean", {"hot_threshold": 0.999}).join(
-        bounded_quantiles(maps, "folder", "std1", {"unstable_threshold": 0.999}), "folder")
-    per = maps.join(lim, "folder").groupBy("folder", "hot_threshold", "unstable_threshold").agg(
+    maps = add_bounded_quantiles(maps, "folder", "mean", {"hot_threshold": 0.999})
+    maps = add_bounded_quantiles(maps, "folder", "std1", {"unstable_threshold": 0.999})
+    per = maps.groupBy("folder", "hot_threshold", "unstable_threshold").agg(
         F.avg("mean").alias("mean"), F.stddev_samp("mean").alias("spatial_std"), F.avg("std1").alias("temporal_std"),
         F.avg((F.col("mean") > F.col("hot_threshold")).cast("double")).alias("hot_fraction"),
         F.avg((F.col("std1") > F.col("unstable_threshold")).cast("double")).alias("unstable_fraction"),
@@ -330,8 +327,7 @@ def lag_correlation(resid: DataFrame, lags: list[int]) -> DataFrame:
 def lag_correlation_by_brightness(pixels: DataFrame, resid: DataFrame, lags: list[int], bins: int) -> DataFrame:
     """Lag correlation inside quantile bins of the temporal mean."""
     maps = pixels.groupBy(*PIXEL).agg(F.avg("dn").alias("mean"))
-    q = bounded_quantiles(maps, "folder", "mean", {f"_e{i}": i / bins for i in range(1, bins)})
-    b = maps.join(q, "folder")
+    b = add_bounded_quantiles(maps, "folder", "mean", {f"_e{i}": i / bins for i in range(1, bins)})
     label = sum(((F.col("mean") >= F.col(f"_e{i}")).cast("bigint") for i in range(1, bins)), F.lit(0).cast("bigint"))
     b = b.select(*PIXEL, label.alias("bin"))
     per = lag_pairs(resid, PIXEL, lags, "r").join(b, PIXEL).groupBy(*FRAME, "lag", "bin").agg(corr_agg("a", "b").alias("c"))
