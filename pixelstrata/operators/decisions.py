@@ -68,3 +68,37 @@ def repeated_frame_gate(px: DataFrame, lag: DataFrame, prof: DataFrame, targets:
     return j.select(
         "folder", "temporal_std", "noise_reduction", *[v.alias(k) for k, v in checks.items()], ok.alias("passed"),
         (rank == 1).alias("is_low"), (rank == F.floor((n - 1) / 2) + 1).alias("is_mid"), (rank == n).alias("is_high"))
+
+
+def state_repeatability(values: DataFrame) -> DataFrame:
+    """Rank shift of each folder against all frames, and the worst and median order agreement.
+
+    Input: (folder, subset, v) with one row per folder and named subset.
+    """
+    from pixelstrata.functions.ordering import add_bounded_quantiles, average_rank
+
+    full = values.where(F.col("subset") == "all").select("folder", F.col("v").alias("f"))
+    j = values.where(F.col("subset") != "all").join(full, "folder")
+    j = average_rank(average_rank(j, ["subset"], "v", "ra"), ["subset"], "f", "rf")
+    rho = add_bounded_quantiles(j.groupBy("subset").agg(corr_agg("ra", "rf").alias("rho")), [], "rho", {"median_rho": 0.5})
+    rho = rho.agg(F.max("median_rho").alias("median_rho"), F.min("rho").alias("min_rho")).withColumn("_k", F.lit(1))
+    s = j.groupBy("folder").agg(F.avg(F.abs(F.col("ra") - F.col("rf"))).alias("mean_rank_shift")).withColumn("_k", F.lit(1))
+    return s.join(F.broadcast(rho), "_k").drop("_k")  # one row
+
+
+def primary_checks(cells: DataFrame, primary: str, fixed: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """Evidence row and named checks for a primary strategy over two references.
+
+    Input: (reference, variant, folder, g).
+    """
+    s = cells.groupBy("reference", "variant").agg(F.avg("g").alias("m"), F.min("g").alias("w"), F.sum((F.col("g") > 0).cast("bigint")).alias("p"))
+    mine, other = F.col("variant") == primary, F.col("variant").isin(fixed)
+    a = s.agg(F.min(F.when(mine, F.col("m"))).alias("m"), F.max(F.when(other, F.col("m"))).alias("best_fixed"),
+              F.min(F.when(mine, F.col("w"))).alias("w"), F.min(F.when(mine, F.col("p"))).alias("p")).withColumn("_k", F.lit(1))
+    ref = lambda r: F.max(F.when(F.col("reference") == r, F.col("g")))
+    b = cells.where(mine).groupBy("folder").agg(ref("odd").alias("a"), ref("even").alias("b")).agg(
+        F.avg((F.sign("a") == F.sign("b")).cast("double")).alias("agree")).withColumn("_k", F.lit(1))
+    one = a.join(F.broadcast(b), "_k")
+    return one, {
+        "advantage": F.col("m") > F.col("best_fixed") + 0.05, "positive_folders": F.col("p") >= 8,
+        "worst_folder": F.col("w") >= -0.5, "sign_agreement": F.col("agree") >= 0.9}

@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
 from pixelstrata.plans.registry import ORACLES, QUERIES
-from pixelstrata.plans import queries_temporal, queries_pixels, queries_pairs, queries_spatial  # noqa: F401
+from pixelstrata.plans import queries_temporal, queries_pixels, queries_pairs, queries_spatial, queries_inference  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

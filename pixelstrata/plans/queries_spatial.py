@@ -294,12 +294,12 @@ def _(t: Tables):
     return S.acf_from_power(spectrum(t), ["folder"]).select("folder", "v", "u", rnd("acf", 8).alias("acf"))
 
 
-@query("correlation_length", f"""WITH {ACF_CTE}, r AS (SELECT folder, {RAD} AS radius, avg(acf) AS value FROM acf GROUP BY ALL HAVING {RAD} <= 4),
-    m AS (SELECT folder, min(radius) FILTER (radius >= 1 AND value <= 0.36787944117144233) AS a, min(radius) FILTER (radius >= 1 AND value <= -0.03) AS b FROM r GROUP BY folder)
+@query("correlation_length", f"""WITH {ACF_CTE}, r AS (SELECT folder, {RAD} AS radius, avg(acf) AS value FROM acf WHERE {RAD} <= 4 GROUP BY ALL),
+    m AS (SELECT folder, min(radius) FILTER (radius >= 1 AND value <= 0.36787944117144233) AS a, min(radius) FILTER (radius >= 1 AND value <= -0.017) AS b FROM r GROUP BY folder)
     SELECT folder, coalesce(a, 5) AS length_1e, coalesce(b, 5) AS length_negative, a IS NULL AS length_1e_censored, b IS NULL AS length_negative_censored FROM m""")
 def _(t: Tables):
     r = S.radial_average(S.acf_from_power(spectrum(t), ["folder"]), ["folder"], "acf", 4)
-    return S.correlation_length(r, ["folder"], {"length_1e": 0.36787944117144233, "length_negative": -0.03}, 4)
+    return S.correlation_length(r, ["folder"], {"length_1e": 0.36787944117144233, "length_negative": -0.017}, 4)
 
 
 @query("directional_psd", f"""WITH {PS_CTE},

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pixelstrata.functions.ordering import ordinal_within
 from pixelstrata.operators.frames import explode_tiles
+from pixelstrata.operators.inference import factorial_folders
 from pixelstrata.operators.pairs import odd_even_pairs
 
 SIDE = 8  # an embedding of 64 numbers is one 8 x 8 frame
@@ -138,6 +139,17 @@ class Tables:
             F.col("n").cast("double").alias("stable_ratio"),
         )
 
+    def evals(self) -> DataFrame:
+        """(model, pair_key, folder, psnr_gain, ssim, gradient_ratio, residual_std): two evaluation tables."""
+        avg = lambda c: F.avg(c).alias(c)
+        return self.metrics().groupBy(F.col("structure").alias("model"), "pair_key").agg(
+            avg("psnr_gain"), avg("ssim"), avg("gradient_ratio"), avg("residual_std")
+        ).withColumn("folder", F.col("pair_key") % 25)
+
+    def cells(self) -> DataFrame:
+        """Means of the strategy metrics per (variant, seed, reference, folder)."""
+        return factorial_folders(self.metrics())
+
     def manifest(self) -> DataFrame:
         """(pair_key, scene, grp, sha, path): one row per content."""
         return self.read("documents").select(
@@ -216,6 +228,13 @@ SQL_VIEWS: dict[str, str] = {
           CAST(round(l_extendedprice) AS BIGINT) AS residual_std,
           CAST(round(l_quantity) - 25 AS BIGINT) AS brightness_bias
         FROM lineitem""",
+    "fx_eval": """
+        SELECT structure AS model, pair_key, pair_key % 25 AS folder, avg(psnr_gain) AS psnr_gain, avg(ssim) AS ssim,
+          avg(gradient_ratio) AS gradient_ratio, avg(residual_std) AS residual_std FROM fx_metrics GROUP BY structure, pair_key""",
+    "fx_cells": """
+        SELECT variant, seed, reference, folder, count(*) AS pairs, avg((psnr_gain > 0)::INT) AS positive_pair_fraction, avg(psnr_gain) AS psnr_gain,
+          avg(ssim) AS ssim, avg(gradient_ratio) AS gradient_ratio, avg(residual_std) AS residual_std, avg(brightness_bias) AS brightness_bias
+        FROM fx_metrics GROUP BY ALL""",
     "fx_cond": """
         SELECT c.folder, round(CAST(s AS DOUBLE) / n, 2) AS mean_signal,
           CAST((hi - lo) / 100 AS DOUBLE) AS temporal_std_mean,
