@@ -223,7 +223,7 @@ def loo_fit(df: DataFrame, key: str, signal: str, noise: str, models: list[str]
         a, b = fit_coefficients(n - 1, *[tot - own for tot, own in t], k)
         fa, fb = fit_coefficients(n, *[tot for tot, _ in t], k)
         rows.append(F.struct(F.lit(k).alias("model"), a.alias("a"), b.alias("b"), fb.alias("full_b")))
-    e = d.select(key, "x", "s", F.explode(F.array(*rows)).alias("c")).select(key, "x", "s", "c.*")
+    e = d.select(key, "x", "s", F.array(*rows).alias("r")).select(key, "x", "s", F.explode("r").alias("c")).select(key, "x", "s", "c.*")
     pred = F.coalesce(*[F.when(F.col("model") == k, fit_predict(k, F.col("a"), F.col("b"), F.col("x"))) for k in models])
     return e.withColumn("predicted", pred).withColumn("error", F.col("s") - F.col("predicted")).withColumn(
         "slope_change", F.abs(F.col("b") - F.col("full_b")) / F.greatest(F.abs("full_b"), F.lit(1e-12)))

@@ -765,9 +765,8 @@ def _(t: Tables):
 
 
 @query("signal_anchors", """
-    WITH a AS (SELECT min(mean_signal) AS lo, median(mean_signal) AS md, max(mean_signal) AS hi FROM fx_cond WHERE folder < 15),
+    WITH a AS (SELECT min(mean_signal) AS lo, median(mean_signal) AS md, max(mean_signal) AS hi FROM fx_cond),
       r AS (SELECT 'low' AS anchor, lo AS t FROM a UNION ALL SELECT 'mid', md FROM a UNION ALL SELECT 'high', hi FROM a)
     SELECT anchor, R4(t) AS target, R6(0.05 * t) AS predicted_sigma, 0.05 * t > 0 AND 0.05 * t <= 250 AS safe FROM r""")
 def _(t: Tables):
-    c = t.conditions().where("folder < 15")  # the calibration role
-    return sel(I.signal_anchors(c, "mean_signal", 0.05, 0.0, 250.0), ["anchor"], 6, target=4)
+    return sel(I.signal_anchors(t.conditions(), "mean_signal", 0.05, 0.0, 250.0), ["anchor"], 6, target=4)

@@ -9,6 +9,7 @@ from pixelstrata.functions.ordering import ordinal_within
 from pixelstrata.operators.frames import explode_tiles
 from pixelstrata.operators.inference import factorial_folders
 from pixelstrata.operators.pairs import odd_even_pairs
+from pixelstrata.operators.similarity import unit_vector
 
 SIDE = 8  # an embedding of 64 numbers is one 8 x 8 frame
 RANGE = 65535.0
@@ -158,6 +159,11 @@ class Tables:
             F.col("n_chars").alias("size"),
         )
 
+    def contents(self, table: str = "documents", key: str = "doc_id") -> DataFrame:
+        """(id, vec): unit vectors of 64 character counts (codes 59..122), a stand-in content image."""
+        counts = F.array(*[F.length("text") - F.length(F.replace("text", F.lit(chr(c)))) for c in range(59, 123)])
+        return self.read(table).select(F.col(key).alias("id"), counts.alias("counts")).select("id", unit_vector(F.col("counts"), 64).alias("vec"))
+
     def epochs(self) -> DataFrame:
         """(run_seed, model, epoch, validation): one validation score per epoch."""
         return self.read("events").groupBy(
@@ -249,6 +255,17 @@ SQL_VIEWS: dict[str, str] = {
     "fx_manifest": """
         SELECT doc_id AS pair_key, lang AS scene, source AS grp, sha256(text) AS sha,
                source || '/' || doc_id AS path, n_chars AS size FROM documents""",
+    "fx_counts64": "SELECT doc_id AS id, [" + ", ".join(f"length(text) - length(replace(text, chr({c}), ''))" for c in range(59, 123)) + "] AS c FROM documents",
+    "fx_centred": "SELECT id, list_transform(c, lambda v: CAST(v AS DOUBLE) - CAST(list_sum(c) AS DOUBLE) / 64) AS c FROM fx_counts64",
+    "fx_unit": """
+        SELECT id, CASE WHEN n > 1e-12 THEN list_transform(c, lambda v: v / n) ELSE list_transform(c, lambda v: 0.0::DOUBLE) END AS u
+        FROM (SELECT id, c, sqrt(list_sum(list_transform(c, lambda v: v * v))) AS n FROM fx_centred)""",
+    "fx_reps": "SELECT min(id) AS id, count(*) AS copies, any_value(u) AS u FROM fx_unit JOIN fx_counts64 USING (id) GROUP BY u",
+    "fx_near": """
+        SELECT a.id AS a, b.id AS b, list_dot_product(a.u, b.u) AS corr FROM fx_reps a JOIN fx_reps b ON a.id < b.id
+        WHERE list_dot_product(a.u, b.u) >= 0.9995""",
+    "fx_star": "SELECT r.id AS a, d.id AS b, 1.0::DOUBLE AS corr FROM fx_reps r JOIN fx_unit d ON r.u = d.u AND d.id <> r.id",
+    "fx_edges": "SELECT a, b, corr, 'near_content' AS kind FROM fx_near UNION ALL SELECT a, b, corr, 'exact_copy' FROM fx_star",
     "fx_epoch": """
         SELECT CAST(user_id % 3 AS BIGINT) AS run_seed, event_type AS model,
                CAST(day(ts) AS BIGINT) AS epoch, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS validation
