@@ -86,3 +86,15 @@ def flag_list(*pairs) -> Column:
 def reflect(i, n) -> Column:
     """Index into [0, n) with the edge sample repeated (d c b a | a b c d | d c b a)."""
     return F.when(i < 0, -1 - i).when(i >= n, 2 * n - 1 - i).otherwise(i)
+
+
+def let(value: Column, body) -> Column:
+    """Bind a value once for use inside array lambdas.
+
+    Columns referenced in a lambda are inlined and would be evaluated per element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
+def array_sum(c) -> Column:
+    return F.aggregate(c, F.lit(0.0), lambda s, v: s + v)

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelstrata.functions.ordering import bounded_quantiles  # noqa: F401
-from pixelstrata.functions.scalars import clip, dbl
+from pixelstrata.functions.scalars import array_sum, clip, dbl, let
 
 
 def hex_number(hash_text: Column, start: int, digits: int) -> Column:
@@ -86,9 +85,9 @@ def thumbnail_robust(pixels: DataFrame, keys: list[str], stride: int, lo: float,
     q = F.percentile(value, F.array(F.lit(lo), F.lit(hi)))
     # the whole (small) thumbnail stays one array row from here on
     g = d.groupBy(*keys).agg(q.alias("_q"), F.array_sort(F.collect_list(F.struct("y", "x", dbl(value).alias("v")))).alias("_s"))
-    a, b = F.element_at("_q", 1), F.element_at("_q", 2)
-    g = g.withColumn("_v", F.transform(F.col("_s.v"), lambda v: F.least(F.greatest((v - a) / F.greatest(b - a, F.lit(1e-6)), F.lit(0.0)), F.lit(1.0))))
-    add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
-    g = g.withColumn("_m", add("_v") / F.size("_v")).withColumn("_v", F.transform("_v", lambda v: v - F.col("_m")))
-    g = g.withColumn("_l", F.greatest(F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, v: s + v * v)), F.lit(1e-12)))
-    return g.select(*keys, F.transform("_v", lambda v: v / F.col("_l")).alias("vec"))
+    stretch = lambda v, a, b: F.least(F.greatest((v - a) / F.greatest(b - a, F.lit(1e-6)), F.lit(0.0)), F.lit(1.0))
+    limits = lambda v: F.transform(v, lambda e: stretch(e, F.element_at("_q", 1), F.element_at("_q", 2)))
+    norm = lambda v: F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, e: s + e * e)), F.lit(1e-12))
+    unit = lambda v: let(norm(v), lambda q: F.transform(v, lambda e: e / q))
+    centre = lambda v: let(array_sum(v) / F.size(v), lambda m: let(F.transform(v, lambda e: e - m), unit))
+    return g.select(*keys, let(limits(F.col("_s.v")), centre).alias("vec"))

@@ -12,18 +12,21 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelstrata.functions.scalars import array_sum, let
 from pixelstrata.sources.storage import cut_lineage
 
 
 def unit_vector(values: Column, n: int) -> Column:
     """Mean removed and scaled to length one; a constant vector becomes all zeros."""
-    add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
-    centred = F.transform(values, lambda v: v.cast("double") - add(F.transform(values, lambda q: q.cast("double"))) / n)
-    norm = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(centred, lambda v: F.when(norm > 1e-12, F.try_divide(v, norm)).otherwise(F.lit(0.0)))
+    square = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v)
+    scale = lambda c: let(F.sqrt(square(c)), lambda q: F.transform(c, lambda v: F.when(q > 1e-12, F.try_divide(v, q)).otherwise(F.lit(0.0))))
+    return let(
+        F.transform(values, lambda v: v.cast("double")),
+        lambda d: let(array_sum(d) / n, lambda m: let(F.transform(d, lambda v: v - m), scale)))
 
 
 def dot(a, b) -> Column:
@@ -41,7 +44,6 @@ def representatives(vectors: DataFrame, key: str = "id", vec: str = "vec") -> tu
 def _cells(vectors: DataFrame, key: str, vec: str, n: int, blocks: int, radius: float, home: bool) -> DataFrame:
     """(cell, key, coords): the cell of every block (home) or all cells its ball may touch."""
     import numpy as np
-    import pandas as pd
 
     size = 1 << max(1, math.ceil(math.log2(n)))  # rotation needs a power of two: pad with zeros
     h = np.array([[1.0]])
@@ -108,7 +110,9 @@ def similar_between(left: DataFrame, right: DataFrame, threshold: float, n: int,
 
 def similar_pairs(vectors: DataFrame, threshold: float, n: int, blocks: int = 16) -> DataFrame:
     """Near duplicates: pairs of distinct vectors above the threshold and star edges to exact copies."""
+    vectors = cut_lineage(vectors.select("id", "vec"))  # read six times below
     reps, star = representatives(vectors)
+    reps = cut_lineage(reps)
     near = similar_between(reps, reps, threshold, n, blocks, ordered=True).withColumn("kind", F.lit("near_content"))
     return near.unionByName(star.select("a", "b", F.lit(1.0).alias("corr"), F.lit("exact_copy").alias("kind")))
 
@@ -159,19 +163,20 @@ def medoids(labels: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
 def perceptual_hash(images: DataFrame, keys: list[str], vec: str, side: int) -> DataFrame:
     """64-bit hash: low 8 x 8 cosine coefficients against their median (first row left out of the median)."""
     import numpy as np
-    import pandas as pd
 
     i = np.arange(side)
     basis = np.cos(np.pi * (2 * i[None, :] + 1) * i[:, None] / (2 * side)) * math.sqrt(2 / side)
     basis[0] /= math.sqrt(2)
 
-    @F.pandas_udf("bigint")
-    def code(v: pd.Series) -> pd.Series:
-        a = np.stack(v.to_numpy()).reshape(-1, side, side)
-        c = (basis @ a @ basis.T)[:, :8, :8]
-        med = np.median(c[:, 1:, :].reshape(len(c), -1), axis=1)
-        bits = (c.reshape(len(c), -1) > med[:, None])
-        weights = (np.uint64(1) << np.arange(bits.shape[1], dtype=np.uint64)[::-1])
-        return pd.Series((bits * weights).sum(axis=1, dtype=np.uint64).view(np.int64))
+    types = dict(images.dtypes)
+    weights = np.uint64(1) << np.arange(64, dtype=np.uint64)[::-1]
 
-    return images.select(*keys, code(vec).alias("phash"))
+    def run(batches):
+        for pdf in batches:
+            a = np.stack(pdf[vec].to_numpy()).reshape(-1, side, side)
+            c = (basis @ a @ basis.T)[:, :8, :8]
+            med = np.median(c[:, 1:, :].reshape(len(c), -1), axis=1)
+            bits = c.reshape(len(c), -1) > med[:, None]
+            yield pdf[keys].assign(phash=(bits * weights).sum(axis=1, dtype=np.uint64).view(np.int64))
+
+    return images.select(*keys, vec).mapInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", phash bigint")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pixelstrata.functions.scalars import clip, corr_agg, dbl, ratio
+from pixelstrata.functions.scalars import clip, corr_agg, dbl, let, ratio
 
 
 def row_window(keys: list[str]):
@@ -36,21 +36,21 @@ def convolve_axis(df: DataFrame, keys: list[str], axis: str, value: str, kernel:
     other = "x" if axis == "y" else "y"
     line = df.groupBy(*keys, other).agg(
         F.array_sort(F.collect_list(F.struct(axis, dbl(value).alias("v")))).alias("_l")
-    ).withColumn("_n", F.size("_l")).withColumn("_v", F.col("_l.v"))
+    )
 
-    def tap(i: Column, k: int) -> Column:
-        period = 2 * F.col("_n")
-        j = F.pmod(i + F.lit(k), period)
-        j = F.when(j >= F.col("_n"), period - 1 - j).otherwise(j)
-        return F.element_at("_v", (j + 1).cast("int"))
+    def tap(v: Column, n: Column, i: Column, k: int) -> Column:
+        j = F.pmod(i + F.lit(k), 2 * n)
+        return F.element_at(v, (F.when(j >= n, 2 * n - 1 - j).otherwise(j) + 1).cast("int"))
 
-    def smooth(i: Column) -> Column:
+    def smooth(v: Column, n: Column, i: Column) -> Column:
         total = F.lit(0.0)
         for k, w in kernel:
-            total = total + F.lit(w) * tap(i, k)
+            total = total + F.lit(w) * tap(v, n, i, k)
         return total
 
-    out = line.withColumn("_o", F.transform(F.sequence(F.lit(0), F.col("_n") - 1), smooth))
+    n = F.size("_l")
+    out = line.withColumn("_o", let(
+        F.col("_l.v"), lambda v: F.transform(F.sequence(F.lit(0), n - 1), lambda i: smooth(v, F.size(v), i))))
     ex = out.select(*keys, other, F.posexplode("_o").alias("_p", "_s"), "_l")
     return ex.select(
         *keys,

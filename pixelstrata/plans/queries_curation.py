@@ -16,6 +16,7 @@ from pixelstrata.plans.queries_pairs import grad_sql
 from pixelstrata.plans.queries_temporal import TOP, _corr, sel
 from pixelstrata.plans.registry import query
 from pixelstrata.plans.views import Tables
+from pixelstrata.sources.storage import cut_lineage
 
 S = "string"
 
@@ -103,7 +104,7 @@ def _(t: Tables):
 @query("near_duplicate_summary", "SELECT kind, count(*) AS pairs, R8(quantile_cont(corr, 0.5)) AS p50, R8(quantile_cont(corr, 0.9)) AS p90, R8(max(corr)) AS max FROM fx_edges GROUP BY kind")
 def _(t: Tables):
     from pixelstrata.functions.ordering import exact_quantiles
-    e = edges(t)
+    e = cut_lineage(edges(t))
     g = e.groupBy("kind").agg(F.count(F.lit(1)).alias("pairs"), F.max("corr").alias("max"))
     return sel(g.join(exact_quantiles(e, "kind", "corr", {"p50": 0.5, "p90": 0.9}), "kind"), ["kind"], 8)
 
@@ -127,7 +128,7 @@ def lcorr(a: str, b: str) -> str:
     SELECT e.a, e.b, R6(e.corr) AS full_correlation, R6({lcorr('p.lo', 'q.lo')}) AS low_correlation, R4({lcorr('p.hi', 'q.hi')}) AS high_correlation, R4({lcorr('p.gr', 'q.gr')}) AS gradient_correlation,
       e.corr >= 0.9999 AS high_similarity FROM fx_near e JOIN pu p ON p.id = e.a JOIN pu q ON q.id = e.b""")
 def _(t: Tables):
-    v = t.contents()
+    v = cut_lineage(t.contents())
     reps, _star = M.representatives(v)
     near = M.similar_between(reps, reps, 0.9995, 64, ordered=True)
     return sel(C.pair_similarity_parts(near, v, 0.9999), ["a", "b"], 4, full_correlation=6, low_correlation=6)
@@ -164,7 +165,7 @@ def components_sql(src: str) -> str:
 @query("similarity_clusters", f"""WITH RECURSIVE {components_sql('fx_edges')}
     SELECT id, component, count(*) OVER (PARTITION BY component) AS cluster_size FROM lab""")
 def _(t: Tables):
-    v = t.contents()
+    v = cut_lineage(t.contents())
     return M.cluster_summary(M.connected_components(v, M.similar_pairs(v, 0.9995, 64)))
 
 
@@ -174,8 +175,8 @@ def _(t: Tables):
     SELECT 'lenient' AS profile, count(*) AS clusters, max(n) AS largest, sum((n = 1)::INT)::BIGINT AS singletons, (SELECT count(*) FROM s1) = (SELECT count(*) FROM s2) AS stable FROM s1
     UNION ALL SELECT 'strict', count(*), max(n), sum((n = 1)::INT)::BIGINT, (SELECT count(*) FROM s1) = (SELECT count(*) FROM s2) FROM s2""")
 def _(t: Tables):
-    v = t.contents()
-    e = M.similar_pairs(v, 0.9995, 64)  # the strict profile only filters the lenient edges
+    v = cut_lineage(t.contents())
+    e = cut_lineage(M.similar_pairs(v, 0.9995, 64))  # the strict profile only filters the lenient edges
     return C.cluster_profiles({"lenient": M.connected_components(v, e), "strict": M.connected_components(v, e.where("corr >= 0.9999"))})
 
 
@@ -184,8 +185,8 @@ def _(t: Tables):
     d AS (SELECT id, component, coalesce(round(s, 9), 0) AS s FROM lab LEFT JOIN sc USING (id))
     SELECT component, min({{'s': -s, 'i': id}}).i AS medoid, R8(max(s)) AS score, count(*) AS cluster_size FROM d GROUP BY component""")
 def _(t: Tables):
-    v = t.contents()
-    e = M.similar_pairs(v, 0.9995, 64)
+    v = cut_lineage(t.contents())
+    e = cut_lineage(M.similar_pairs(v, 0.9995, 64))
     return sel(M.medoids(M.connected_components(v, e), e), ["component", "medoid"], 8)
 
 
@@ -235,11 +236,11 @@ def _(t: Tables):
 
 
 HS_CTE = f"""
-    hs AS (SELECT pair_key, group_key, b, CASE WHEN b < 0.7 THEN 'train' WHEN b < 0.7::DOUBLE + 0.15::DOUBLE THEN 'val' ELSE 'test' END AS split FROM (
-      SELECT doc_id AS pair_key, {GK} AS group_key, ('0x' || substr(sha1('7:' || {GK}), 1, 12))::UBIGINT::DOUBLE / 281474976710655 AS b FROM documents))"""
+    hs AS (SELECT pair_key, group_key, bk, CASE WHEN bk < 0.7 THEN 'train' WHEN bk < 0.7::DOUBLE + 0.15::DOUBLE THEN 'val' ELSE 'test' END AS split FROM (
+      SELECT doc_id AS pair_key, {GK} AS group_key, ('0x' || substr(sha1('7:' || {GK}), 1, 12))::UBIGINT::DOUBLE / 281474976710655 AS bk FROM documents))"""
 
 
-@query("hash_split", f"WITH {HS_CTE} SELECT pair_key, group_key, R9(b) AS bucket, split FROM hs")
+@query("hash_split", f"WITH {HS_CTE} SELECT pair_key, group_key, R9(bk) AS bucket, split FROM hs")
 def _(t: Tables):
     return C.hash_split(with_group(t), "group_key", 0.7, 0.15, 7).select("pair_key", "group_key", rnd("bucket", 9).alias("bucket"), "split")
 

@@ -271,15 +271,18 @@ LOO_CTE = NOISE_CTE + ", lo AS (" + " UNION ALL ".join(
     lx AS (SELECT folder, model, s - {PRED} AS err, b, fb, abs(b - fb) / greatest(abs(fb), 1e-12) AS sc FROM lo JOIN fl USING (model))"""
 
 
-@query("loo_fit", f"WITH {LOO_CTE} SELECT model, folder, R3(err) AS error, R4(sc) AS slope_change FROM lx")
+@query("loo_fit", f"WITH {LOO_CTE} SELECT model, folder, R3(err) AS error, R4(least(sc, 1e6)) AS slope_change FROM lx")
 def _(t: Tables):
-    return sel(I.loo_fit(noise(t), "folder", "mean_signal", "temporal_std").select("model", "folder", "error", "slope_change"), ["model", "folder"], 4, error=3)
+    d = I.loo_fit(noise(t), "folder", "mean_signal", "temporal_std")
+    return sel(d.select("model", "folder", "error", F.least("slope_change", F.lit(1e6)).alias("slope_change")), ["model", "folder"], 4, error=3)
 
 
-@query("loo_fit_summary", f"""WITH {LOO_CTE}, g AS (SELECT model, sqrt(avg(err * err)) AS rm, avg(abs(err)) AS ma, avg((sign(b) = sign(fb))::INT) AS sc, max(sc) AS ms FROM lx GROUP BY model)
+@query("loo_fit_summary", f"""WITH {LOO_CTE}, g AS (SELECT model, sqrt(avg(err * err)) AS rm, avg(abs(err)) AS ma, avg((sign(b) = sign(fb))::INT) AS sc, max(least(sc, 1e6)) AS ms FROM lx GROUP BY model)
     SELECT model, R3(rm) AS loo_rmse, R3(ma) AS loo_mae, R6(sc) AS sign_consistency, R4(ms) AS max_slope_change, row_number() OVER (ORDER BY round(rm, 6), model) AS model_rank FROM g""")
 def _(t: Tables):
-    return sel(I.loo_summary(I.loo_fit(noise(t), "folder", "mean_signal", "temporal_std")), ["model"], 3, sign_consistency=6, max_slope_change=4)
+    # a slope of zero has no relative change: very large ratios are reported as 1e6
+    d = I.loo_fit(noise(t), "folder", "mean_signal", "temporal_std").withColumn("slope_change", F.least("slope_change", F.lit(1e6)))
+    return sel(I.loo_summary(d), ["model"], 3, sign_consistency=6, max_slope_change=4)
 
 
 ADJ = "adj AS (SELECT folder, s - (regr_intercept(s, x) OVER () + regr_slope(s, x) OVER () * x) AS a FROM nz)"

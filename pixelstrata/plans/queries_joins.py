@@ -133,7 +133,9 @@ BENCH_CTE = "bc AS (SELECT item_id AS id, [" + ", ".join(f"length(text) - length
 
 @query("cross_compare", f"WITH {BENCH_CTE} SELECT d.id AS candidate, b.id AS reference, R8(list_dot_product(d.u, b.u)) AS correlation FROM fx_unit d JOIN bu b ON list_dot_product(d.u, b.u) >= 0.985")
 def _(t: Tables):
-    e = M.similar_between(t.contents(), t.contents("benchmark", "item_id"), 0.985, 64)
+    from pixelstrata.sources.storage import cut_lineage
+    c, r = cut_lineage(t.contents()), cut_lineage(t.contents("benchmark", "item_id"))
+    e = M.similar_between(c, r, 0.985, 64)
     return e.select(F.col("a").alias("candidate"), F.col("b").alias("reference"), rnd("corr", 8).alias("correlation"))
 
 

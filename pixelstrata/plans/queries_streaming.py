@@ -13,15 +13,15 @@ from pixelstrata.streaming import traces
 def event_stream(t: Tables):
     schema = t.read("events").schema
     s = traces.frame_stream(t.spark, f"{t.dir}/events*.parquet", schema)
-    return s.select("ts", F.col("event_type").alias("folder"), F.round(F.col("value") * 100).cast("bigint").alias("value"), F.col("event_id").alias("idx"))
+    return s.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("folder"), F.round(F.col("value") * 100).cast("bigint").alias("value"), F.col("event_id").alias("idx"))
 
 
 @query("stream_trace_windows", """
     WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type AS folder, count(*) AS frames, avg(round(value * 100)) AS m, stddev_pop(round(value * 100)) AS s, avg((round(value * 100) = 0)::INT) AS z FROM events GROUP BY ALL)
-    SELECT window_start, folder, frames, R4(m) AS mean, R4(s) AS std, R6(z) AS zero_share FROM w WHERE window_start + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'""")
+    SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, folder, frames, R4(m) AS mean, R4(s) AS std, R6(z) AS zero_share FROM w WHERE window_start + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'""")
 def _(t: Tables):
     d = traces.drain(traces.trace_windows(event_stream(t)), "trace-windows")
-    return d.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "folder", "frames", rnd("mean", 4).alias("mean"), rnd("std", 4).alias("std"), rnd("zero_share", 6).alias("zero_share"))
+    return d.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "folder", "frames", rnd("mean", 4).alias("mean"), rnd("std", 4).alias("std"), rnd("zero_share", 6).alias("zero_share"))
 
 
 @query("stream_integrity", """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,6 @@ def read_raw_files(spark: SparkSession, path: str, pattern: str = "*.raw") -> Da
 def decode_raw_frames(frames: DataFrame, keys: list[str], h: int, w: int, roi: tuple[int, int, int, int] | None = None) -> DataFrame:
     """``content`` of little-endian uint16 rows to one tile row; the region is cut while decoding."""
     import numpy as np
-    import pandas as pd
 
     top, left, rh, rw = roi or (0, 0, h, w)
 
@@ -32,7 +32,6 @@ def decode_raw_frames(frames: DataFrame, keys: list[str], h: int, w: int, roi: t
 def encode_raw_frames(tiles: DataFrame) -> DataFrame:
     """Tile rows to raw frame bytes (``content``), the inverse of decoding a whole frame."""
     import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("binary")
     def pack(dn: pd.Series) -> pd.Series:
