@@ -570,7 +570,7 @@ def split_half_reliability(df: DataFrame, group: str, folder: str, a: str, b: st
     pairs = paired(f, folder, unordered=False).select(F.col(f"a.{folder}").alias("heldout"), F.col(f"b.{folder}").alias(folder))
     loo = rank_corr(df.join(pairs, folder), [group, "heldout"], a, b, "r")
     s = loo.groupBy(group).agg(
-        F.sum((F.col("r") > 0).cast("bigint")).alias("loo_positive"), F.count("r").alias("loo_total"), F.min("r").alias("loo_min"), F.max("r").alias("loo_max"))
+        F.sum((F.col("r") > 1e-9).cast("bigint")).alias("loo_positive"), F.count("r").alias("loo_total"), F.min("r").alias("loo_min"), F.max("r").alias("loo_max"))
     return full.drop("n").join(s, group).withColumn("passed", (F.col("rho") >= limit) & (F.col("loo_positive") == F.col("loo_total")))
 
 
@@ -602,11 +602,11 @@ def association_audit(df: DataFrame, group: str, folder: str, x: str, y: str, co
     for c in (x, y, control):
         d = average_rank(d, [group], c, f"_r{c}")
     per = d.groupBy(group).agg(corr_agg(f"_r{x}", f"_r{y}").alias("rho"), partial_from_ranks(f"_r{x}", f"_r{y}", f"_r{control}").alias("partial"))
-    base = per.agg(F.avg("rho").alias("rho"), F.avg("partial").alias("partial_rho"), F.sum((F.col("rho") <= 0).cast("bigint")).alias("nonpositive_groups"))
+    base = per.agg(F.avg("rho").alias("rho"), F.avg("partial").alias("partial_rho"), F.sum((F.col("rho") <= 1e-9).cast("bigint")).alias("nonpositive_groups"))
     f = df.select(folder).distinct()
     pairs = paired(f, folder, unordered=False).select(F.col(f"a.{folder}").alias("heldout"), F.col(f"b.{folder}").alias(folder))
     loo = rank_corr(df.join(pairs, folder), [group, "heldout"], x, y, "r").groupBy("heldout").agg(F.avg("r").alias("r"))
-    l = loo.agg(F.sum((F.col("r") <= 0).cast("bigint")).alias("loo_nonpositive"), F.sum((F.abs("r") >= 0.3).cast("bigint")).alias("loo_medium"),
+    l = loo.agg(F.sum((F.col("r") <= 1e-9).cast("bigint")).alias("loo_nonpositive"), F.sum((F.abs("r") >= 0.3).cast("bigint")).alias("loo_medium"),
                 F.min("r").alias("loo_min"), F.max("r").alias("loo_max"))
     return base.withColumn("_k", F.lit(1)).join(l.withColumn("_k", F.lit(1)), "_k").drop("_k")
 

@@ -618,8 +618,8 @@ HALVES = "hv AS (SELECT variant, folder, avg(residual_std) FILTER (reference = '
     f AS (SELECT variant, {_corr('ra', 'rb')} AS rho FROM (SELECT variant, {avg_rank('a', 'variant')} AS ra, {avg_rank('b', 'variant')} AS rb FROM hv) GROUP BY variant),
     x AS (SELECT h.folder AS heldout, v.* FROM (SELECT DISTINCT folder FROM hv) h JOIN hv v ON v.folder <> h.folder),
     l AS (SELECT variant, heldout, {_corr('ra', 'rb')} AS r FROM (SELECT variant, heldout, {avg_rank('a', 'variant, heldout')} AS ra, {avg_rank('b', 'variant, heldout')} AS rb FROM x) GROUP BY ALL)
-    SELECT variant, R6(any_value(rho)) AS rho, sum((r > 0)::INT)::BIGINT AS loo_positive, count(r) AS loo_total, R6(min(r)) AS loo_min, R6(max(r)) AS loo_max,
-      any_value(rho) >= 0.5 AND sum((r > 0)::INT) = count(r) AS passed FROM l JOIN f USING (variant) GROUP BY variant""")
+    SELECT variant, R6(any_value(rho)) AS rho, sum((r > 1e-9)::INT)::BIGINT AS loo_positive, count(r) AS loo_total, R6(min(r)) AS loo_min, R6(max(r)) AS loo_max,
+      any_value(rho) >= 0.5 AND sum((r > 1e-9)::INT) = count(r) AS passed FROM l JOIN f USING (variant) GROUP BY variant""")
 def _(t: Tables):
     h = lambda r: F.avg(F.when(F.col("reference") == r, F.col("residual_std")))
     hv = t.metrics().groupBy("variant", "folder").agg(h("odd").alias("a"), h("even").alias("b"))
@@ -657,8 +657,8 @@ def _(t: Tables):
 @query("association_audit", f"""WITH {VF}, {RK3},
     x AS (SELECT h.folder AS heldout, v.* FROM (SELECT DISTINCT folder FROM vf) h JOIN vf v ON v.folder <> h.folder),
     l AS (SELECT heldout, avg(r) AS r FROM (SELECT heldout, variant, {_corr('a', 'b')} AS r FROM (SELECT heldout, variant, {avg_rank('residual_std', 'variant, heldout')} AS a, {avg_rank('psnr_gain', 'variant, heldout')} AS b FROM x) GROUP BY ALL) GROUP BY heldout)
-    SELECT (SELECT R6(avg(xy)) FROM pr3) AS rho, (SELECT R6(avg({PARTIAL})) FROM pr3) AS partial_rho, (SELECT sum((xy <= 0)::INT)::BIGINT FROM pr3) AS nonpositive_groups,
-      sum((r <= 0)::INT)::BIGINT AS loo_nonpositive, sum((abs(r) >= 0.3)::INT)::BIGINT AS loo_medium, R6(min(r)) AS loo_min, R6(max(r)) AS loo_max FROM l""")
+    SELECT (SELECT R6(avg(xy)) FROM pr3) AS rho, (SELECT R6(avg({PARTIAL})) FROM pr3) AS partial_rho, (SELECT sum((xy <= 1e-9)::INT)::BIGINT FROM pr3) AS nonpositive_groups,
+      sum((r <= 1e-9)::INT)::BIGINT AS loo_nonpositive, sum((abs(r) >= 0.3)::INT)::BIGINT AS loo_medium, R6(min(r)) AS loo_min, R6(max(r)) AS loo_max FROM l""")
 def _(t: Tables):
     return sel(I.association_audit(vf(t), "variant", "folder", "residual_std", "psnr_gain", "gradient_ratio"), [], 6)
 
