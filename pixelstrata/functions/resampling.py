@@ -19,8 +19,9 @@ def numbered(df: DataFrame, key: str, bound: int = BOUND) -> DataFrame:
     """Adds 1-based ``_i`` and the row count ``_n``; fails when the table is not small."""
     w = W.partitionBy(F.lit(1))
     n = F.count(F.lit(1)).over(w)
-    checked = F.when(n <= bound, n).otherwise(F.raise_error(F.lit(f"more than {bound} rows in a condition-level table")).cast("bigint"))
-    return df.withColumn("_i", F.row_number().over(w.orderBy(key))).withColumn("_n", checked)
+    stop = F.raise_error(F.lit(f"more than {bound} rows in a condition-level table")).cast("bigint")
+    i = F.row_number().over(w.orderBy(key))
+    return df.withColumn("_n", n).withColumn("_i", F.when(F.col("_n") <= bound, i).otherwise(stop).cast("int"))
 
 
 def paired(df: DataFrame, key: str, unordered: bool, bound: int = BOUND) -> DataFrame:

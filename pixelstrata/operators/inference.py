@@ -271,8 +271,8 @@ def ols_one_hot(df: DataFrame, factors: list[str], y: str) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    cells = df.groupBy(*factors).agg(F.count(F.lit(1)).alias("n"), F.sum(dbl(y)).alias("s"), F.sum(dbl(y) * dbl(y)).alias("q"))
-    packed = cells.groupBy().agg(F.collect_list(F.struct(*[F.col(f).cast("string").alias(f) for f in factors], "n", "s", "q")).alias("cells"))
+    cells = df.groupBy(*factors).agg(F.count(F.lit(1)).alias("_n"), F.sum(dbl(y)).alias("_s"), F.sum(dbl(y) * dbl(y)).alias("_q"))
+    packed = cells.groupBy().agg(F.collect_list(F.struct(*[F.col(f).cast("string").alias(f) for f in factors], "_n", "_s", "_q")).alias("cells"))
 
     def solve(batches):
         for pdf in batches:
@@ -283,10 +283,10 @@ def ols_one_hot(df: DataFrame, factors: list[str], y: str) -> DataFrame:
                     for level in sorted(c[f].unique())[1:]:
                         names.append(f"{f}={level}")
                         cols.append((c[f] == level).to_numpy(float))
-                X, n = np.column_stack(cols), c["n"].to_numpy(float)
-                beta = np.linalg.lstsq(X.T @ (X * n[:, None]), X.T @ c["s"].to_numpy(), rcond=None)[0]
-                total = c["q"].sum() - c["s"].sum() ** 2 / n.sum()
-                sse = c["q"].sum() - beta @ (X.T @ c["s"].to_numpy())
+                X, n = np.column_stack(cols), c["_n"].to_numpy(float)
+                beta = np.linalg.lstsq(X.T @ (X * n[:, None]), X.T @ c["_s"].to_numpy(), rcond=None)[0]
+                total = c["_q"].sum() - c["_s"].sum() ** 2 / n.sum()
+                sse = c["_q"].sum() - beta @ (X.T @ c["_s"].to_numpy())
                 yield pd.DataFrame({"term": names, "coefficient": beta, "r2": 1 - sse / total if total > 0 else np.nan})
 
     return packed.mapInPandas(solve, "term string, coefficient double, r2 double")

@@ -29,6 +29,23 @@ def unit_vector(values: Column, n: int) -> Column:
         lambda d: let(array_sum(d) / n, lambda m: let(F.transform(d, lambda v: v - m), scale)))
 
 
+def character_profile(texts: DataFrame, key: str, text: str, first: int = 59, last: int = 122) -> DataFrame:
+    """(id, vec): unit vectors of ASCII character counts over the whole text, one pass per text."""
+    import numpy as np
+
+    n = last - first + 1
+    kind = dict(texts.dtypes)[key]
+
+    def run(batches):
+        for pdf in batches:
+            c = np.stack([np.bincount(np.frombuffer(t.encode(), dtype=np.uint8), minlength=256)[first:last + 1] for t in pdf[text]]) if len(pdf) else np.zeros((0, n))
+            c = c - c.sum(axis=1, keepdims=True) / n
+            norm = np.sqrt((c * c).sum(axis=1, keepdims=True))
+            yield pd.DataFrame({"id": pdf[key].to_numpy(), "vec": list(np.where(norm > 1e-12, c / np.maximum(norm, 1e-12), 0.0))})
+
+    return texts.select(key, text).mapInPandas(run, f"id {kind}, vec array<double>")
+
+
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
@@ -42,7 +59,10 @@ def representatives(vectors: DataFrame, key: str = "id", vec: str = "vec") -> tu
 
 
 def _cells(vectors: DataFrame, key: str, vec: str, n: int, blocks: int, radius: float, home: bool) -> DataFrame:
-    """(cell, key, coords): the cell of every block (home) or all cells its ball may touch."""
+    """(cell, key, c0.., n0..): the cell of every block (home) or all cells its ball may touch.
+
+    c are the block's coordinates, n the norms of all blocks: both bound the distance from below.
+    """
     import numpy as np
 
     size = 1 << max(1, math.ceil(math.log2(n)))  # rotation needs a power of two: pad with zeros
@@ -62,6 +82,7 @@ def _cells(vectors: DataFrame, key: str, vec: str, n: int, blocks: int, radius:
         r = (m @ h).reshape(len(vecs), blocks, per)
         lo, hi = np.floor((r - delta) / width).astype(np.int64), np.floor((r + delta) / width).astype(np.int64)
         mid = np.floor(r / width).astype(np.int64)
+        norms = np.sqrt((r * r).sum(axis=2)).astype(np.float32)
         frames = []
         for combo in [0] if home else range(1 << per):
             pick = ((combo >> np.arange(per)) & 1).astype(bool)
@@ -72,7 +93,7 @@ def _cells(vectors: DataFrame, key: str, vec: str, n: int, blocks: int, radius:
             code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             code += np.arange(blocks, dtype=np.uint64)[None, :] * np.uint64(0x94D049BB133111EB)
             row, blk = np.nonzero(fresh)
-            cols = {f"c{i}": r[row, blk, i] for i in range(per)}
+            cols = {f"c{i}": r[row, blk, i] for i in range(per)} | {f"n{i}": norms[row, i] for i in range(blocks)}
             frames.append(pd.DataFrame({"cell": code[row, blk].view(np.int64), key: ids[row], **cols}))
         return pd.concat(frames, ignore_index=True)
 
@@ -83,8 +104,11 @@ def _cells(vectors: DataFrame, key: str, vec: str, n: int, blocks: int, radius:
             for s in range(0, len(pdf), step):
                 yield expand(ids[s:s + step], list(vecs[s:s + step]))
 
-    coords = ", ".join(f"c{i} double" for i in range(per))
-    return vectors.select(key, vec).mapInPandas(run, f"cell bigint, {key} {kind}, {coords}")
+    coords = ", ".join([f"c{i} double" for i in range(per)] + [f"n{i} float" for i in range(blocks)])
+    # every vector grows to many cell rows: spread small inputs over all tasks first
+    spark = vectors.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return vectors.select(key, vec).repartition(parts, key).mapInPandas(run, f"cell bigint, {key} {kind}, {coords}")
 
 
 def similar_between(left: DataFrame, right: DataFrame, threshold: float, n: int, blocks: int = 16, ordered: bool = False) -> DataFrame:
@@ -95,14 +119,15 @@ def similar_between(left: DataFrame, right: DataFrame, threshold: float, n: int,
     e = math.sqrt(2 * (1 - threshold))
     q = _cells(left, "id", "vec", n, blocks, e, home=False)
     h = _cells(right, "id", "vec", n, blocks, e, home=True)
-    dims = [c for c in q.columns if c.startswith("c") and c[1:].isdigit()]
+    dims = [c for c in q.columns if c[0] in "cn" and c[1:].isdigit()]
     q = q.withColumnsRenamed({"id": "a", **{c: f"q{c}" for c in dims}})
     h = h.withColumnsRenamed({"id": "b", **{c: f"h{c}" for c in dims}})
-    near = sum(((F.col(f"q{c}") - F.col(f"h{c}")) ** 2 for c in dims), F.lit(0.0))
+    gap = lambda k: sum(((F.col(f"q{c}") - F.col(f"h{c}")) * (F.col(f"q{c}") - F.col(f"h{c}")) for c in dims if c[0] == k), F.lit(0.0))
+    near = (gap("c") <= e * e / blocks * (1 + 1e-6) + 1e-12) & (gap("n") <= e * e * (1 + 1e-3) + 1e-5)
     c = q.join(h, "cell")
     if ordered:
         c = c.where(F.col("a") < F.col("b"))
-    c = c.where(near <= e * e / blocks * (1 + 1e-6) + 1e-12).select("a", "b").distinct()
+    c = c.where(near).select("a", "b").distinct()
     va, vb = left.select(F.col("id").alias("a"), F.col("vec").alias("_va")), right.select(F.col("id").alias("b"), F.col("vec").alias("_vb"))
     scored = c.join(va, "a").join(vb, "b").select("a", "b", dot("_va", "_vb").alias("corr"))
     return scored.where(F.col("corr") >= threshold)

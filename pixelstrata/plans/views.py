@@ -9,7 +9,7 @@ from pixelstrata.functions.ordering import ordinal_within
 from pixelstrata.operators.frames import explode_tiles
 from pixelstrata.operators.inference import factorial_folders
 from pixelstrata.operators.pairs import odd_even_pairs
-from pixelstrata.operators.similarity import unit_vector
+from pixelstrata.operators.similarity import character_profile
 
 SIDE = 8  # an embedding of 64 numbers is one 8 x 8 frame
 RANGE = 65535.0
@@ -161,8 +161,7 @@ class Tables:
 
     def contents(self, table: str = "documents", key: str = "doc_id") -> DataFrame:
         """(id, vec): unit vectors of 64 character counts (codes 59..122), a stand-in content image."""
-        counts = F.array(*[F.length("text") - F.length(F.replace("text", F.lit(chr(c)))) for c in range(59, 123)])
-        return self.read(table).select(F.col(key).alias("id"), counts.alias("counts")).select("id", unit_vector(F.col("counts"), 64).alias("vec"))
+        return character_profile(self.read(table), key, "text")
 
     def epochs(self) -> DataFrame:
         """(run_seed, model, epoch, validation): one validation score per epoch."""
