@@ -255,11 +255,11 @@ def _(t: Tables):
 
 
 def split_text(t: Tables) -> str:
-    """A split manifest (lang -> documents) as one text file."""
+    """A split manifest (label quality -> documents) as text files."""
     path = fresh_path(t.spark, "splits-text")
-    key = F.transform(F.array_sort(F.collect_list("doc_id")), lambda v: F.concat(F.lit("  - "), v.cast(S)))
-    g = t.read("labels").groupBy(F.concat(F.lit("q"), F.col("quality").cast(S)).alias("s")).agg(F.concat_ws("\n", F.concat(F.col("s"), F.lit(":  # split")), F.concat_ws("\n", key)).alias("x"))
-    g.groupBy().agg(F.concat_ws("\n", F.array_sort(F.collect_list("x"))).alias("value")).coalesce(1).write.text(path)
+    d = t.read("labels").select(F.concat(F.lit("q"), F.col("quality").cast(S)).alias("split"), F.col("doc_id").alias("pair_key"))
+    d = ordinal_within(d, "split", ["pair_key"], F.floor(F.col("pair_key") / 65536), "ordinal")
+    N.write_split_manifest(d.withColumn("ordinal", F.col("ordinal") - 1), path)
     return path
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pixelstrata.functions.ordering import ordinal_within
+
 PAIR_COLUMNS = ("pair_key", "clean_path", "noisy_path")
 
 
@@ -49,21 +51,36 @@ def metadata_text(c: str = "metadata") -> Column:
 
 
 def load_split_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(split, ordinal, pair_key) from a ``split:`` / ``  - key`` text file.
+    """(split, ordinal, pair_key) from ``split:`` / ``  - key`` text files.
 
-    A manifest is one text file read whole as one row per file (it lists keys, not
-    data), so its line order is kept.
+    Every file is one row until its lines are numbered; a large manifest is a folder
+    of moderate files that each repeat their split header. Keys keep the order of
+    (file name, line).
     """
-    doc = spark.read.text(path, wholetext=True)
-    lines = doc.select(F.posexplode(F.split("value", "\n")).alias("n", "raw"))
+    doc = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    lines = doc.select("file", F.posexplode(F.split("value", "\n")).alias("n", "raw"))
     text = F.rtrim(F.split("raw", "#", 2).getItem(0))
-    lines = lines.select("n", text.alias("t")).where(F.col("t") != "")
+    lines = lines.select("file", "n", text.alias("t")).where(F.col("t") != "")
     head = F.when(~F.col("t").startswith(" ") & F.col("t").endswith(":"), F.trim(F.expr("substring(t, 1, length(t) - 1)")))
-    w = W.partitionBy(F.lit(1)).orderBy("n")
+    w = W.partitionBy("file").orderBy("n")
     d = lines.withColumn("split", F.last(head, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).where(
         F.ltrim("t").startswith("- ") & F.col("split").isNotNull())
-    key = F.trim(F.expr("substring(ltrim(t), 3)"))
-    return d.select("split", (F.row_number().over(W.partitionBy("split").orderBy("n")) - 1).cast("bigint").alias("ordinal"), key.alias("pair_key"))
+    d = d.select("split", "file", "n", F.trim(F.expr("substring(ltrim(t), 3)")).alias("pair_key"))
+    d = ordinal_within(d, "split", ["file", "n"], F.col("file"), "ordinal")
+    return d.select("split", (F.col("ordinal") - 1).alias("ordinal"), "pair_key")
+
+
+def write_split_manifest(splits: DataFrame, path: str, per_block: int = 10_000) -> None:
+    """Write (split, ordinal, pair_key) as manifest text, in blocks that repeat the header.
+
+    No split is ever gathered as a whole; file names follow the order of the keys.
+    """
+    line = F.concat(F.lit("  - "), F.col("pair_key").cast("string"))
+    blocks = splits.groupBy("split", F.floor(F.col("ordinal") / per_block).alias("blk")).agg(
+        F.array_sort(F.collect_list(F.struct("ordinal", line.alias("l")))).alias("_l"))
+    body = F.concat_ws("\n", F.concat("split", F.lit(":")), F.concat_ws("\n", F.col("_l.l")))
+    parts = int(splits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks.repartitionByRange(parts, "split", "blk").sortWithinPartitions("split", "blk").select(body.alias("value")).write.text(path)
 
 
 def resolve_split(pairs: DataFrame, splits: DataFrame, split: str) -> tuple[DataFrame, DataFrame]:
