@@ -247,3 +247,15 @@ def test_bh_adjust(spark):
     p = [0.01, 0.04, 0.03, 0.5]
     q = {r.p: r.q for r in I.bh_adjust(spark.createDataFrame([(x,) for x in p], "p double"), [], "p").collect()}
     assert [q[x] for x in p] == pytest.approx([0.04, 0.04 * 4 / 3, 0.04 * 4 / 3, 0.5])
+
+
+def test_rank_bootstrap_of_a_monotone_relation(spark):
+    df = spark.createDataFrame([(g, i, float(i), float(s * i ** 3)) for g, s in (("p", 1), ("q", 2)) for i in range(8)], "g string, u int, x double, y double")
+    r = I.folder_bootstrap_rho(df, "g", "u", "x", "y", 20, 5).collect()[0]
+    assert r.rounds == 20 and (r.ci_low, r.median, r.ci_high) == pytest.approx((1.0, 1.0, 1.0))
+
+
+def test_equal_hashes_become_star_links(spark):
+    h = spark.createDataFrame([(i, v) for i, v in enumerate([7, 7, 8, 7])], "id long, phash long")
+    got = sorted((r.first_key, r.other_key, r.group_size) for r in C.exact_duplicates(h, "id", "phash").collect())
+    assert got == [(0, 1, 3), (0, 3, 3)]
