@@ -9,13 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Checkpoint folder of the session; a fresh local one only where none is set (tests)."""
+    """Checkpoint folder of the session, from ``spark.checkpoint.dir``.
+
+    Where it is unset, a session on one machine (tests) gets a folder of its own; on a
+    cluster no local folder can stand in, so this raises.
+    """
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     if known:
         return known
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
