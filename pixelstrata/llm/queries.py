@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pixelstrata.llm import language_models, packing, quality, tensor_minhash
+from pixelstrata.llm import chat_windows, embedding_links, html_templates, language_models, packing, projected_search, quality, sentence_pieces, tensor_minhash, warc
 
 ORACLES: dict[str, str] = {}
 
@@ -20,6 +20,40 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars."""
+    return html_templates.extract(_table(spark, sf_dir, "pages"))
+
+
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows; conversation -1 holds control strings."""
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], given.schema)
+    return chat_windows.read_back(chat_windows.windows(given.unionByName(added)))
+
+
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept."""
+    return embedding_links.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+def sentencepiece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32, parity, round_trip."""
+    return sentence_pieces.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return projected_search.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -37,8 +71,14 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier,
+    "op2_html_extraction": html_extraction,
+    "op3_warc_round_trip": warc_round_trip,
+    "op4_chat_formatting": chat_formatting,
+    "op5_embedding_near_dedup": embedding_near_dedup,
     "op6_best_fit_packing": best_fit_packing,
+    "op7_sentencepiece_encoding": sentencepiece_encoding,
     "op8_minhash_near_dedup": minhash_near_dedup,
+    "op9_nearest_neighbours": nearest_neighbours,
     "op10_language_id": language_id,
     "pipeline": corpus_pipeline.run,
 }
