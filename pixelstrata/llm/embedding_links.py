@@ -1,7 +1,8 @@
 """Near-duplicate embeddings with a pivot-permutation index.
 
-A bounded sample of vectors serves as reference points (pivots), about ``PIVOTS`` times the
-square root of the number of vectors. Each vector is described by its nearest pivots in
+Reference points (pivots), about ``PIVOTS`` times the square root of the number of vectors,
+are a bounded sample of vectors that lie apart from each other, filled up with random
+directions where the sample is one dense group. Each vector is described by its nearest pivots in
 order; inverted lists hold, for each pivot, the vectors that have it among their nearest.
 Two vectors of a list that share at least ``SHARED`` of their nearest pivots are candidates,
 and the exact cosine in double precision decides. A pair is counted in the list of the first
@@ -29,7 +30,8 @@ from pixelstrata.operators.similarity import connected_components
 
 PIVOTS = 2.0
 NEAREST = 10
-SHARED = 4
+SHARED = 3
+APART = 0.7  # cosine that two sampled pivots stay below
 BLOCK = 1024
 
 
@@ -70,6 +72,16 @@ def _listed(vectors: DataFrame, pivots: np.ndarray, nearest: int, kind: str) ->
     return vectors.select("row", "embedding").mapInArrow(run, f"row {kind}, pivot int, near array<int>, vector array<double>")
 
 
+def spread_pivots(sample: np.ndarray, wanted: int, seed: int = 3) -> np.ndarray:
+    """Sampled vectors with pairwise cosines below ``APART``, filled up with random directions."""
+    chosen: list[np.ndarray] = []
+    for v in unit(sample):
+        if not chosen or (np.stack(chosen) @ v).max() < APART:
+            chosen.append(v)
+    rest = np.random.default_rng(seed).normal(size=(max(0, wanted - len(chosen)), sample.shape[1]))
+    return np.concatenate([np.stack(chosen), unit(rest)]) if len(rest) else np.stack(chosen)
+
+
 def _forest(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the graph with the edges x[k], y[k]."""
     above: dict[int, int] = {}
@@ -141,7 +153,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, pivots: float = PI
     if total < 2:
         counts = components = None
     else:
-        points = unit(np.stack(sample["embedding"].to_numpy()))
+        points = spread_pivots(np.stack(sample["embedding"].to_numpy()), wanted)
         listed = stored(_listed(good, points, min(nearest, len(points)), "bigint"), "pivot-lists")
         sizes = listed.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))  # one row per pivot
         rows = listed.join(F.broadcast(sizes), "pivot").withColumn("own", F.pmod(F.xxhash64("row", "pivot"), F.col("parts")).cast("int"))

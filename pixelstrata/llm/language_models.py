@@ -112,6 +112,8 @@ def gram_counts(training: DataFrame) -> DataFrame:
                 kind = np.append(kind, -1)[row]
                 for k, lang in enumerate(named):
                     key, n = np.unique(g[kind == k], return_counts=True)
+                    if not len(key):
+                        continue
                     held.setdefault(lang, []).append((key, n))
                     room += len(key)
                 if room > 2_000_000:
