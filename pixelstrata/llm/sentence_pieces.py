@@ -160,7 +160,7 @@ class Processor:
             text = self.normalizer.normalize_str(text)
         if self.model.collapse:
             text = re.sub(" +", " ", text).strip(" ")
-        return (" " if self.model.dummy_prefix and text else "") + text
+        return (" " if self.model.dummy_prefix and text else "") + text.replace(MARK, " ")  # a marker in a text is a blank
 
     def words(self, normal: str) -> list[str]:
         """Cut before each run of blanks; every word keeps its blanks."""
@@ -229,7 +229,7 @@ def encode(documents: DataFrame, path: str, keep_ids: bool = False) -> DataFrame
                 each = [ids[b - n : b] for b, n in zip(ends, sizes)]
                 whole = []
                 for t, i in zip(texts, each):
-                    normal = p.normal(t).replace(MARK, " ")
+                    normal = p.normal(t)
                     whole.append(p.decode(i.tolist()) == (normal[1:] if p.model.dummy_prefix and normal.startswith(" ") else normal))
                 columns = [batch.column(0).slice(part.first, len(texts)), pa.array(sizes, pa.int64()), pa.array([zlib.crc32(i.astype("<u4")) for i in each], pa.int64()), pa.array(parity), pa.array(whole, pa.bool_())]
                 names = ["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"]
