@@ -487,20 +487,28 @@ def factorial_cells(folders: DataFrame) -> DataFrame:
         F.min(g).alias("worst_gain"), *[F.avg(f).alias(f"mean_{f}") for f in FIELDS if f != g])
 
 
+def effect_contrasts() -> dict[str, list[float]]:
+    """Weights of the four variants in each effect: the cells that differ in one factor, their means and their difference."""
+    def minus(a: str, b: str) -> list[float]:
+        return [float(v == a) - float(v == b) for v in VARIANTS]
+
+    simple = {f"{a}_minus_{b}": minus(a, b) for a, b in (("P-H", "P-L"), ("H-H", "H-L"), ("H-L", "P-L"), ("H-H", "P-H"))}
+    strength, structure = [simple["P-H_minus_P-L"], simple["H-H_minus_H-L"]], [simple["H-L_minus_P-L"], simple["H-H_minus_P-H"]]
+    mean = lambda pair: [(x + y) / 2 for x, y in zip(*pair)]
+    return {"strength_main": mean(strength), "structure_main": mean(structure), "interaction": [y - x for x, y in zip(*strength)], **simple}
+
+
 def factorial_effects(folders: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
     """2x2 main effects, interaction and simple effects per (seed, reference, folder)."""
     key = ["seed", "reference", "folder"]
-    wide = folders.groupBy(*key).agg(*[
-        F.max(F.when(F.col("variant") == v, F.col(f))).alias(f"{v}:{f}") for v in VARIANTS for f in fields])
-    def v(name: str, f: str) -> Column:
-        return F.col(f"`{name}:{f}`")
-    effects = {
-        "strength_main": lambda f: 0.5 * ((v("P-H", f) + v("H-H", f)) - (v("P-L", f) + v("H-L", f))),
-        "structure_main": lambda f: 0.5 * ((v("H-L", f) + v("H-H", f)) - (v("P-L", f) + v("P-H", f))),
-        "interaction": lambda f: (v("H-H", f) - v("H-L", f)) - (v("P-H", f) - v("P-L", f)),
-        "P-H_minus_P-L": lambda f: v("P-H", f) - v("P-L", f), "H-H_minus_H-L": lambda f: v("H-H", f) - v("H-L", f),
-        "H-L_minus_P-L": lambda f: v("H-L", f) - v("P-L", f), "H-H_minus_P-H": lambda f: v("H-H", f) - v("P-H", f)}
-    rows = F.array(*[F.struct(F.lit(k).alias("effect"), *[e(f).alias(f) for f in fields]) for k, e in effects.items()])
+    cell = lambda v, f: F.max(F.when(F.col("variant") == v, F.col(f)))
+    wide = folders.groupBy(*key).agg(*[F.array(*[cell(v, f) for v in VARIANTS]).alias(f) for f in fields])
+
+    def contrast(weights: list[float], field: str) -> Column:
+        terms = [F.get(field, F.lit(k)) * w for k, w in enumerate(weights) if w]
+        return sum(terms[1:], terms[0])
+
+    rows = F.array(*[F.struct(F.lit(name).alias("effect"), *[contrast(w, f).alias(f) for f in fields]) for name, w in effect_contrasts().items()])
     return wide.select(*key, F.explode(rows).alias("e")).select(*key, "e.*")
 
 

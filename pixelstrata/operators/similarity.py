@@ -29,16 +29,15 @@ def unit_vector(values: Column, n: int) -> Column:
         lambda d: let(array_sum(d) / n, lambda m: let(F.transform(d, lambda v: v - m), scale)))
 
 
-def character_profile(texts: DataFrame, key: str, text: str, first: int = 59, last: int = 122) -> DataFrame:
-    """(id, vec): unit vectors of ASCII character counts over the whole text, one pass per text."""
+def character_profile(texts: DataFrame, key: str, text: str, n: int = 64) -> DataFrame:
+    """(id, vec): unit vectors of the counts of all characters of the whole text, by code point modulo n."""
     import numpy as np
 
-    n = last - first + 1
     kind = dict(texts.dtypes)[key]
 
     def run(batches):
         for pdf in batches:
-            c = np.stack([np.bincount(np.frombuffer(t.encode(), dtype=np.uint8), minlength=256)[first:last + 1] for t in pdf[text]]) if len(pdf) else np.zeros((0, n))
+            c = np.stack([np.bincount(np.frombuffer((t or "").encode("utf-32-le"), dtype="<u4") % n, minlength=n) for t in pdf[text]]) if len(pdf) else np.zeros((0, n))
             c = c - c.sum(axis=1, keepdims=True) / n
             norm = np.sqrt((c * c).sum(axis=1, keepdims=True))
             yield pd.DataFrame({"id": pdf[key].to_numpy(), "vec": list(np.where(norm > 1e-12, c / np.maximum(norm, 1e-12), 0.0))})
@@ -142,7 +141,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, n: int, blocks: int = 16
     return near.unionByName(star.select("a", "b", F.lit(1.0).alias("corr"), F.lit("exact_copy").alias("kind")))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, key: str = "id", max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
     """(key, component): smallest member of each connected component.
 
     Alternates large-star and small-star steps (each two joins on node ids, no
@@ -151,7 +150,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, key: str = "id", ma
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct()
     e = cut_lineage(e)
     before = None
-    for _ in range(max_rounds):
+    while True:
         # large star: link every larger neighbour of u to the smallest neighbour of u
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -164,8 +163,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, key: str = "id", ma
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError("components did not settle")
     label = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", key)
     return nodes.select(key).join(label, key, "left").select(key, F.coalesce("component", F.col(key)).alias("component"))
 

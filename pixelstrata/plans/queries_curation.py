@@ -8,6 +8,7 @@ from pixelstrata.functions.scalars import corr_agg, rnd, safe_div
 from pixelstrata.operators import curation as C
 from pixelstrata.operators import joins as J
 from pixelstrata.operators import similarity as M
+from pixelstrata.operators import text_similarity as X
 from pixelstrata.operators import temporal as T
 from pixelstrata.operators.decisions import checks_table
 from pixelstrata.operators.pixels import crop_center
@@ -92,8 +93,15 @@ def _(t: Tables):
     return C.exact_duplicates(t.manifest(), "pair_key", "sha")
 
 
-def edges(t: Tables, threshold: float = 0.9995):
-    return M.similar_pairs(t.contents(), threshold, 64)
+NEAR, STRICT = 0.8, 0.9  # shingle similarity of near copies, and of the strict profile
+
+
+def edges(t: Tables, threshold: float = NEAR):
+    return X.similar_texts(t.text_sets(), threshold)
+
+
+def nodes(t: Tables):
+    return t.read("documents").select(F.col("doc_id").alias("id"))
 
 
 @query("near_duplicates", "SELECT a, b, R8(corr) AS corr, kind FROM fx_edges")
@@ -126,12 +134,10 @@ def lcorr(a: str, b: str) -> str:
 
 @query("content_similarity", f"""WITH {PART_CTE}
     SELECT e.a, e.b, R6(e.corr) AS full_correlation, R6({lcorr('p.lo', 'q.lo')}) AS low_correlation, R4({lcorr('p.hi', 'q.hi')}) AS high_correlation, R4({lcorr('p.gr', 'q.gr')}) AS gradient_correlation,
-      e.corr >= 0.9999 AS high_similarity FROM fx_near e JOIN pu p ON p.id = e.a JOIN pu q ON q.id = e.b""")
+      e.corr >= 0.9 AS high_similarity FROM fx_near e JOIN pu p ON p.id = e.a JOIN pu q ON q.id = e.b""")
 def _(t: Tables):
-    v = cut_lineage(t.contents())
-    reps, _star = M.representatives(v)
-    near = M.similar_between(reps, reps, 0.9995, 64, ordered=True)
-    return sel(C.pair_similarity_parts(near, v, 0.9999), ["a", "b"], 4, full_correlation=6, low_correlation=6)
+    reps, _star = X.copies(cut_lineage(t.text_sets()))
+    return sel(C.pair_similarity_parts(X.near_texts(reps, NEAR), t.contents(), STRICT), ["a", "b"], 4, full_correlation=6, low_correlation=6)
 
 
 @query("perceptual_hash")
@@ -158,26 +164,24 @@ def _(t: Tables):
 def components_sql(src: str) -> str:
     return f"""
     sy AS (SELECT a AS u, b AS v FROM {src} UNION SELECT b, a FROM {src}),
-    reach(u, v) AS (SELECT id, id FROM fx_unit UNION SELECT r.u, s.v FROM reach r JOIN sy s ON r.v = s.u),
+    reach(u, v) AS (SELECT id, id FROM fx_shingles UNION SELECT r.u, s.v FROM reach r JOIN sy s ON r.v = s.u),
     lab AS (SELECT u AS id, min(v) AS component FROM reach GROUP BY u)"""
 
 
 @query("similarity_clusters", f"""WITH RECURSIVE {components_sql('fx_edges')}
     SELECT id, component, count(*) OVER (PARTITION BY component) AS cluster_size FROM lab""")
 def _(t: Tables):
-    v = cut_lineage(t.contents())
-    return M.cluster_summary(M.connected_components(v, M.similar_pairs(v, 0.9995, 64)))
+    return M.cluster_summary(M.connected_components(nodes(t), edges(t)))
 
 
-@query("cluster_stability", f"""WITH RECURSIVE st AS (SELECT a, b FROM fx_edges WHERE corr >= 0.9999), {components_sql('fx_edges')},
-    sz AS (SELECT a AS u, b AS v FROM st UNION SELECT b, a FROM st), reach2(u, v) AS (SELECT id, id FROM fx_unit UNION SELECT r.u, s.v FROM reach2 r JOIN sz s ON r.v = s.u), lab2 AS (SELECT u AS id, min(v) AS component FROM reach2 GROUP BY u),
+@query("cluster_stability", f"""WITH RECURSIVE st AS (SELECT a, b FROM fx_edges WHERE corr >= 0.9), {components_sql('fx_edges')},
+    sz AS (SELECT a AS u, b AS v FROM st UNION SELECT b, a FROM st), reach2(u, v) AS (SELECT id, id FROM fx_shingles UNION SELECT r.u, s.v FROM reach2 r JOIN sz s ON r.v = s.u), lab2 AS (SELECT u AS id, min(v) AS component FROM reach2 GROUP BY u),
     s1 AS (SELECT component, count(*) AS n FROM lab GROUP BY component), s2 AS (SELECT component, count(*) AS n FROM lab2 GROUP BY component)
     SELECT 'lenient' AS profile, count(*) AS clusters, max(n) AS largest, sum((n = 1)::INT)::BIGINT AS singletons, (SELECT count(*) FROM s1) = (SELECT count(*) FROM s2) AS stable FROM s1
     UNION ALL SELECT 'strict', count(*), max(n), sum((n = 1)::INT)::BIGINT, (SELECT count(*) FROM s1) = (SELECT count(*) FROM s2) FROM s2""")
 def _(t: Tables):
-    v = cut_lineage(t.contents())
-    e = cut_lineage(M.similar_pairs(v, 0.9995, 64))  # the strict profile only filters the lenient edges
-    return C.cluster_profiles({"lenient": M.connected_components(v, e), "strict": M.connected_components(v, e.where("corr >= 0.9999"))})
+    e = cut_lineage(edges(t))  # the strict profile only filters the lenient edges
+    return C.cluster_profiles({"lenient": M.connected_components(nodes(t), e), "strict": M.connected_components(nodes(t), e.where(F.col("corr") >= STRICT))})
 
 
 @query("medoid", f"""WITH RECURSIVE {components_sql('fx_edges')},
@@ -185,9 +189,8 @@ def _(t: Tables):
     d AS (SELECT id, component, coalesce(round(s, 9), 0) AS s FROM lab LEFT JOIN sc USING (id))
     SELECT component, min({{'s': -s, 'i': id}}).i AS medoid, R8(max(s)) AS score, count(*) AS cluster_size FROM d GROUP BY component""")
 def _(t: Tables):
-    v = cut_lineage(t.contents())
-    e = cut_lineage(M.similar_pairs(v, 0.9995, 64))
-    return sel(M.medoids(M.connected_components(v, e), e), ["component", "medoid"], 8)
+    e = cut_lineage(edges(t))
+    return sel(M.medoids(M.connected_components(nodes(t), e), e), ["component", "medoid"], 8)
 
 
 @query("similarity_matrix", """

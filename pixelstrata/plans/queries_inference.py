@@ -511,11 +511,12 @@ def _(t: Tables):
     return sel(I.factorial_cells(t.cells()), ["variant", "seed", "reference"], 6, mean_residual_std=4)
 
 
+def contrast_sql(weights: list[float], field: str) -> str:
+    return " + ".join(f"{v[0]}{v[2]}_{field} * {w}::DOUBLE" for v, w in zip(I.VARIANTS, weights) if w)
+
+
 EFFECT_CTE = "wd AS (SELECT seed, reference, folder, " + ", ".join(f"max({f}) FILTER (variant = '{v}') AS {v[0]}{v[2]}_{f}" for v in V4 for f in FL) + " FROM fx_cells GROUP BY ALL), ef AS (" + " UNION ALL ".join(
-    f"SELECT '{k}' AS effect, seed, reference, folder, " + ", ".join(e.format(f=f) + f" AS {f}" for f in FL) + " FROM wd" for k, e in {
-        "strength_main": "0.5 * ((PH_{f} + HH_{f}) - (PL_{f} + HL_{f}))", "structure_main": "0.5 * ((HL_{f} + HH_{f}) - (PL_{f} + PH_{f}))",
-        "interaction": "(HH_{f} - HL_{f}) - (PH_{f} - PL_{f})", "P-H_minus_P-L": "PH_{f} - PL_{f}", "H-H_minus_H-L": "HH_{f} - HL_{f}",
-        "H-L_minus_P-L": "HL_{f} - PL_{f}", "H-H_minus_P-H": "HH_{f} - PH_{f}"}.items()) + ")"
+    f"SELECT '{k}' AS effect, seed, reference, folder, " + ", ".join(f"{contrast_sql(w, f)} AS {f}" for f in FL) + " FROM wd" for k, w in I.effect_contrasts().items()) + ")"
 
 
 @query("factorial_effects", f"WITH {EFFECT_CTE} SELECT effect, seed, reference, folder, " + ", ".join(f"R{4 if f == 'residual_std' else 6}({f}) AS {f}" for f in FL) + " FROM ef")

@@ -126,17 +126,17 @@ def _(t: Tables):
     return p.select(F.col("a.folder").alias("folder_a"), F.col("b.folder").alias("folder_b"), rnd(F.abs(F.col("a.mean_signal") - F.col("b.mean_signal")), 2).alias("signal_distance"))
 
 
-BENCH_CTE = "bc AS (SELECT item_id AS id, [" + ", ".join(f"length(text) - length(replace(text, chr({c}), ''))" for c in range(59, 123)) + """] AS c FROM benchmark),
-    bx AS (SELECT id, list_transform(c, lambda v: v::DOUBLE - list_sum(c)::DOUBLE / 64) AS c FROM bc),
-    bu AS (SELECT id, list_transform(c, lambda v: v / sqrt(list_sum(list_transform(c, lambda w: w * w)))) AS u FROM bx)"""
+BENCH_CTE = """bw AS (SELECT item_id AS id, sha256(text) AS sha, list_filter(string_split_regex(text, '[ \\n\\t\\r]+'), lambda v: v <> '') AS w FROM benchmark),
+    bs AS (SELECT id, sha, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM bw)"""
 
 
-@query("cross_compare", f"WITH {BENCH_CTE} SELECT d.id AS candidate, b.id AS reference, R8(list_dot_product(d.u, b.u)) AS correlation FROM fx_unit d JOIN bu b ON list_dot_product(d.u, b.u) >= 0.985")
+@query("cross_compare", f"""WITH {BENCH_CTE}, p AS (SELECT d.id AS candidate, b.id AS reference, count(*) AS n, any_value(d.n) AS nd, any_value(b.n) AS nb, any_value(d.sha = b.sha) AS same
+      FROM (SELECT id, sha, len(s) AS n, unnest(s) AS g FROM fx_shingles) d JOIN (SELECT id, sha, len(s) AS n, unnest(s) AS g FROM bs) b ON d.g = b.g GROUP BY d.id, b.id)
+    SELECT candidate, reference, R8(n::DOUBLE / nb) AS correlation, R8(n::DOUBLE / (nd + nb - n)) AS jaccard, same AS sha256_match FROM p WHERE n::DOUBLE / nb >= 0.8""")
 def _(t: Tables):
-    from pixelstrata.sources.storage import cut_lineage
-    c, r = cut_lineage(t.contents()), cut_lineage(t.contents("benchmark", "item_id"))
-    e = M.similar_between(c, r, 0.985, 64)
-    return e.select(F.col("a").alias("candidate"), F.col("b").alias("reference"), rnd("corr", 8).alias("correlation"))
+    from pixelstrata.operators.text_similarity import contained_texts
+    e = contained_texts(t.text_sets(), t.text_sets("benchmark", "item_id"), 0.8)
+    return e.select("candidate", "reference", rnd("correlation", 8).alias("correlation"), rnd("jaccard", 8).alias("jaccard"), "sha256_match")
 
 
 @query("lagged_frame_join", "SELECT a.folder, a.frame, l.lag::BIGINT AS lag, count(*) AS pixels, sum((a.dn - b.dn) * (a.dn - b.dn))::BIGINT AS squared FROM fx_frames a CROSS JOIN (VALUES (1), (4)) l(lag) JOIN fx_frames b ON a.folder = b.folder AND a.y = b.y AND a.x = b.x AND b.frame = a.frame + l.lag GROUP BY ALL")
@@ -292,11 +292,16 @@ def _(t: Tables):
     return explode_tiles(d.withColumn("top", F.lit(0))).select("folder", "frame", "y", "x", "dn")
 
 
-LOG_SQL = """
-    lg AS (SELECT folder, event_id, regexp_extract(line, '^(\\S+?\\.tiff?)\\s', 1) AS filename, regexp_extract(line, 'Exposure.*?delay:([-+0-9.]+)ms', 1)::DOUBLE AS exposure_delay_ms,
-        regexp_extract(line, 'ms, width:([-+0-9.]+)ms', 1)::DOUBLE AS exposure_width_ms, regexp_extract(line, 'Sync\\.A.*?delay:([-+0-9.]+)ns', 1)::DOUBLE AS sync_a_delay_ns,
-        regexp_extract(line, 'Sync\\.A.*?width:([-+0-9.]+)us', 1)::DOUBLE AS sync_a_width_us, regexp_extract(line, 'Sync\\.B.*?delay:([-+0-9.]+)ns', 1)::DOUBLE AS sync_b_delay_ns,
-        regexp_extract(line, 'Sync\\.B.*?width:([-+0-9.]+)us', 1)::DOUBLE AS sync_b_width_us, regexp_extract(line, 'gain.*?([-+0-9.]+)$', 1)::DOUBLE AS gain FROM fx_log WHERE line LIKE '%Exposure%')"""
+def setting_sql(section: int, token: str) -> str:
+    """Number of a ``setting:number unit`` token in one section of the split line."""
+    name, unit = token.split()
+    return f"regexp_extract(p[{section}], '{name}:([-+]?[0-9]*\\.?[0-9]+){unit}', 1)::DOUBLE"
+
+
+LOG_SQL = f"""
+    lp AS (SELECT folder, event_id, string_split_regex(line, '\\s+(Exposure|Sync\\.A|Sync\\.B|gain)\\s') AS p FROM fx_log),
+    lg AS (SELECT folder, event_id, trim(p[1]) AS filename, {setting_sql(2, 'delay ms')} AS exposure_delay_ms, {setting_sql(2, 'width ms')} AS exposure_width_ms, {setting_sql(3, 'delay ns')} AS sync_a_delay_ns,
+        {setting_sql(3, 'width us')} AS sync_a_width_us, {setting_sql(4, 'delay ns')} AS sync_b_delay_ns, {setting_sql(4, 'width us')} AS sync_b_width_us, trim(p[5])::DOUBLE AS gain FROM lp WHERE len(p) = 5)"""
 
 
 @query("src_acquisition_log", f"WITH {LOG_SQL} SELECT * FROM lg")

@@ -10,6 +10,7 @@ from pixelstrata.operators.frames import explode_tiles
 from pixelstrata.operators.inference import factorial_folders
 from pixelstrata.operators.pairs import odd_even_pairs
 from pixelstrata.operators.similarity import character_profile
+from pixelstrata.operators.text_similarity import text_sets
 
 SIDE = 8  # an embedding of 64 numbers is one 8 x 8 frame
 RANGE = 65535.0
@@ -160,9 +161,13 @@ class Tables:
         )
 
     def contents(self, table: str = "documents", key: str = "doc_id") -> DataFrame:
-        """(id, vec): unit vectors of 64 character counts (codes 59..122), a stand-in content image."""
+        """(id, vec): unit vectors of 64 character counts (all code points modulo 64), a stand-in content image."""
         return character_profile(self.read(table), key, "text")
 
+    def text_sets(self, table: str = "documents", key: str = "doc_id") -> DataFrame:
+        """(id, sha, shingles, bands): what identifies a whole text and what finds its near copies."""
+        return text_sets(self.read(table), key, "text")
+
     def epochs(self) -> DataFrame:
         """(run_seed, model, epoch, validation): one validation score per epoch."""
         return self.read("events").groupBy(
@@ -254,16 +259,26 @@ SQL_VIEWS: dict[str, str] = {
     "fx_manifest": """
         SELECT doc_id AS pair_key, lang AS scene, source AS grp, sha256(text) AS sha,
                source || '/' || doc_id AS path, n_chars AS size FROM documents""",
-    "fx_counts64": "SELECT doc_id AS id, [" + ", ".join(f"length(text) - length(replace(text, chr({c}), ''))" for c in range(59, 123)) + "] AS c FROM documents",
+    "fx_counts64": """
+        SELECT doc_id AS id, list_transform(range(64), lambda k: coalesce(m[k], 0)) AS c FROM (SELECT doc_id, map_from_entries(list((k, n))) AS m FROM (
+            SELECT doc_id, (unicode(c) % 64)::BIGINT AS k, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) GROUP BY ALL) GROUP BY doc_id)""",
     "fx_centred": "SELECT id, list_transform(c, lambda v: CAST(v AS DOUBLE) - CAST(list_sum(c) AS DOUBLE) / 64) AS c FROM fx_counts64",
     "fx_unit": """
         SELECT id, CASE WHEN n > 1e-12 THEN list_transform(c, lambda v: v / n) ELSE list_transform(c, lambda v: 0.0::DOUBLE) END AS u
         FROM (SELECT id, c, sqrt(list_sum(list_transform(c, lambda v: v * v))) AS n FROM fx_centred)""",
-    "fx_reps": "SELECT min(id) AS id, count(*) AS copies, any_value(u) AS u FROM fx_unit JOIN fx_counts64 USING (id) GROUP BY u",
+    "fx_shingles": """
+        SELECT id, sha, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+        FROM (SELECT doc_id AS id, sha256(text) AS sha, list_filter(string_split_regex(text, '[ \n\t\r]+'), lambda v: v <> '') AS w FROM (SELECT doc_id, text || substr(doc_id::VARCHAR, 1, 0) AS text FROM documents))""",
+    "fx_reps": "SELECT sha, min(id) AS id, count(*) AS copies FROM fx_shingles GROUP BY sha",
+    "fx_grams": "SELECT r.id, len(s) AS n, unnest(list_transform(s, lambda v: hash(v))) AS g FROM fx_reps r JOIN fx_shingles q ON q.id = r.id",
+    "fx_met": "SELECT list_sort(list(id)) AS ids FROM fx_grams GROUP BY g HAVING count(*) > 1",
     "fx_near": """
-        SELECT a.id AS a, b.id AS b, list_dot_product(a.u, b.u) AS corr FROM fx_reps a JOIN fx_reps b ON a.id < b.id
-        WHERE list_dot_product(a.u, b.u) >= 0.9995""",
-    "fx_star": "SELECT r.id AS a, d.id AS b, 1.0::DOUBLE AS corr FROM fx_reps r JOIN fx_unit d ON r.u = d.u AND d.id <> r.id",
+        SELECT a, b, n::DOUBLE / (na + nb - n) AS corr FROM (
+            SELECT p.a, p.b, count(*) AS n, any_value(len(x.s)) AS na, any_value(len(y.s)) AS nb
+            FROM (SELECT a, unnest(list_filter(ids, lambda v: v > a)) AS b FROM (SELECT ids, unnest(ids) AS a FROM fx_met)) p
+            JOIN fx_shingles x ON x.id = p.a JOIN fx_shingles y ON y.id = p.b GROUP BY p.a, p.b)
+        WHERE n::DOUBLE / (na + nb - n) >= 0.8""",
+    "fx_star": "SELECT r.id AS a, d.id AS b, 1.0::DOUBLE AS corr FROM fx_reps r JOIN fx_shingles d ON r.sha = d.sha AND d.id <> r.id",
     "fx_edges": "SELECT a, b, corr, 'near_content' AS kind FROM fx_near UNION ALL SELECT a, b, corr, 'exact_copy' FROM fx_star",
     "fx_epoch": """
         SELECT CAST(user_id % 3 AS BIGINT) AS run_seed, event_type AS model,
