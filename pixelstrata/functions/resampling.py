@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BOUND = 20_000  # condition-level tables: folders, sources, strategies
-
 
 def hash_index(parts: list[Column], n: Column) -> Column:
     """Reproducible pseudo-random index in [0, n): first 8 hex digits of md5 over ':'-joined parts."""
@@ -15,21 +13,21 @@ def hash_index(parts: list[Column], n: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % n
 
 
-def numbered(df: DataFrame, key: str, bound: int = BOUND) -> DataFrame:
-    """Adds 1-based ``_i`` and the row count ``_n``; fails when the table is not small."""
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """Adds 1-based ``_i`` in key order and the row count ``_n``.
+
+    Meant for tables with a row per condition (folder, source, strategy), not per frame.
+    """
     w = W.partitionBy(F.lit(1))
-    n = F.count(F.lit(1)).over(w)
-    stop = F.raise_error(F.lit(f"more than {bound} rows in a condition-level table")).cast("bigint")
-    i = F.row_number().over(w.orderBy(key))
-    return df.withColumn("_n", n).withColumn("_i", F.when(F.col("_n") <= bound, i).otherwise(stop).cast("int"))
+    return df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_i", F.row_number().over(w.orderBy(key)))
 
 
-def paired(df: DataFrame, key: str, unordered: bool, bound: int = BOUND) -> DataFrame:
-    """Rows (a, b) of a bounded table: a before b, or every a with every other b.
+def paired(df: DataFrame, key: str, unordered: bool) -> DataFrame:
+    """Rows (a, b): a before b, or every a with every other b; the pairs are the result.
 
     Partners are found by an equi-join on the row number, never by a cross join.
     """
-    d = numbered(df, key, bound)
+    d = numbered(df, key)
     row = F.struct(*df.columns)
     last = F.col("_i") - 1 if unordered else F.col("_n")
     right = d.where(F.col("_i") > 1) if unordered else d

@@ -30,30 +30,28 @@ def map_alignment(maps: DataFrame, dark: DataFrame, n: int) -> DataFrame:
     return out.withColumn("best", F.row_number().over(w) == 1)
 
 
-def index_gaps(observed: DataFrame, first: int | None = None, last: int | None = None, show: int = 12) -> DataFrame:
-    """Missing indices per folder in an expected (or the observed) range, and unexpected ones.
+def index_gaps(observed: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Gaps (gap_first, gap_last) of each folder in an expected (or the observed) range, with its counts on every row.
 
-    Gaps come from neighbouring observed numbers inside chunks of the range, so a
-    long folder is never expanded or sorted as a whole.
+    A folder without a gap gives one row with null gap. Neighbours are found inside chunks of
+    the range and between chunks, so a long folder is never expanded or sorted as a whole.
     """
-    from pixelstrata.functions.ordering import first_n
-
     chunk = 4096
     d = observed.select("folder", "idx").distinct()
     span = d.groupBy("folder").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.count(F.lit(1)).alias("present"))
     span = span.withColumn("lo", F.lit(first) if first is not None else F.col("lo")).withColumn("hi", F.lit(last) if last is not None else F.col("hi"))
-    blocks = span.select("folder", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / chunk), F.floor(F.col("hi") / chunk))).alias("blk"))
-    expected = blocks.select("folder", F.explode(F.sequence(
-        F.greatest(F.col("lo"), F.col("blk") * chunk), F.least(F.col("hi"), F.col("blk") * chunk + chunk - 1))).alias("idx"))
-    missing = expected.join(d, ["folder", "idx"], "left_anti")
-    outside = d.join(span, "folder").where((F.col("idx") < F.col("lo")) | (F.col("idx") > F.col("hi")))
-    m = missing.groupBy("folder").agg(F.count(F.lit(1)).alias("missing"))
-    u = outside.groupBy("folder").agg(F.count(F.lit(1)).alias("unexpected"))
-    head = first_n(missing, "folder", ["idx"], show).groupBy("folder").agg(
-        F.concat_ws(" ", F.transform(F.array_sort(F.collect_list("idx")), lambda v: v.cast("string"))).alias("first_missing"))
+    within = d.join(span, "folder").withColumn("_in", F.col("idx").between(F.col("lo"), F.col("hi")))
+    unexpected = within.where(~F.col("_in")).groupBy("folder").agg(F.count(F.lit(1)).alias("unexpected"))
+    ends = span.select("folder", F.explode(F.array(F.col("lo") - 1, F.col("hi") + 1)).alias("idx"))
+    marks = within.where("_in").select("folder", "idx").unionByName(ends).withColumn("_c", F.floor(F.col("idx") / chunk))
+    later = marks.groupBy("folder", "_c").agg(F.min("idx").alias("_m")).withColumn("_later", F.lead("_m").over(W.partitionBy("folder").orderBy("_c"))).drop("_m")
+    following = F.lead("idx").over(W.partitionBy("folder", "_c").orderBy("idx"))
+    gaps = marks.withColumn("_n", following).join(later, ["folder", "_c"]).withColumn("_n", F.coalesce("_n", "_later")).where(F.col("_n") > F.col("idx") + 1)
+    gaps = gaps.select("folder", (F.col("idx") + 1).alias("gap_first"), (F.col("_n") - 1).alias("gap_last"))
+    missing = gaps.groupBy("folder").agg(F.sum(F.col("gap_last") - F.col("gap_first") + 1).alias("missing"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
-    return span.join(m, "folder", "left").join(u, "folder", "left").join(head, "folder", "left").select(
-        "folder", "lo", "hi", "present", zero("missing"), zero("unexpected"), F.coalesce("first_missing", F.lit("")).alias("first_missing"))
+    return span.join(missing, "folder", "left").join(unexpected, "folder", "left").join(gaps, "folder", "left").select(
+        "folder", "lo", "hi", "present", zero("missing"), zero("unexpected"), "gap_first", "gap_last")
 
 
 def folder_integrity(frames: DataFrame, limits: dict[str, float], expected: int | None = None) -> DataFrame:

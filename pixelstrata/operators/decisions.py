@@ -87,18 +87,19 @@ def state_repeatability(values: DataFrame) -> DataFrame:
 
 
 def primary_checks(cells: DataFrame, primary: str, fixed: list[str]) -> tuple[DataFrame, dict[str, Column]]:
-    """Evidence row and named checks for a primary strategy over two references.
+    """Evidence row and named checks for a primary strategy, each taken inside every reference and required of all.
 
     Input: (reference, variant, folder, g).
     """
     s = cells.groupBy("reference", "variant").agg(F.avg("g").alias("m"), F.min("g").alias("w"), F.sum((F.col("g") > 0).cast("bigint")).alias("p"))
     mine, other = F.col("variant") == primary, F.col("variant").isin(fixed)
-    a = s.agg(F.min(F.when(mine, F.col("m"))).alias("m"), F.max(F.when(other, F.col("m"))).alias("best_fixed"),
-              F.min(F.when(mine, F.col("w"))).alias("w"), F.min(F.when(mine, F.col("p"))).alias("p")).withColumn("_k", F.lit(1))
+    per = s.groupBy("reference").agg(F.max(F.when(mine, F.col("m"))).alias("m"), F.max(F.when(other, F.col("m"))).alias("best_fixed"),
+                                     F.max(F.when(mine, F.col("w"))).alias("w"), F.max(F.when(mine, F.col("p"))).alias("p"))
+    a = per.agg(F.min(F.col("m") - F.col("best_fixed")).alias("margin"), F.min("w").alias("w"), F.min("p").alias("p")).withColumn("_k", F.lit(1))
     ref = lambda r: F.max(F.when(F.col("reference") == r, F.col("g")))
     b = cells.where(mine).groupBy("folder").agg(ref("odd").alias("a"), ref("even").alias("b")).agg(
         F.avg((F.sign("a") == F.sign("b")).cast("double")).alias("agree")).withColumn("_k", F.lit(1))
     one = a.join(F.broadcast(b), "_k")
     return one, {
-        "advantage": F.col("m") > F.col("best_fixed") + 0.05, "positive_folders": F.col("p") >= 8,
+        "advantage": F.col("margin") > 0.05, "positive_folders": F.col("p") >= 8,
         "worst_folder": F.col("w") >= -0.5, "sign_agreement": F.col("agree") >= 0.9}

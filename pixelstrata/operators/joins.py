@@ -64,15 +64,14 @@ def pair_metadata_merge(pairs: DataFrame, meta: DataFrame, fields: list[str], cl
     return j.select(*out)
 
 
-def pair_by_tail_index(a: DataFrame, b: DataFrame, cap: int | None = None) -> DataFrame:
-    """Match two folders on the trailing index (first path per index); ``cap`` keeps the lowest indices."""
+def pair_by_tail_index(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Match two folders on the trailing index (first path per index)."""
     first = lambda d, n: d.groupBy("idx").agg(F.min("path").alias(n))
-    j = first(a, "clean_path").join(first(b, "noisy_path"), "idx")
-    return j if cap is None else j.orderBy("idx").limit(cap)
+    return first(a, "clean_path").join(first(b, "noisy_path"), "idx")
 
 
-def exposure_pair_candidates(files: DataFrame, minimum: int, show: int = 12) -> DataFrame:
-    """For every shorter / longer exposure pair: shared indices, the first few, recommended or not.
+def exposure_pair_candidates(files: DataFrame, minimum: int) -> DataFrame:
+    """For every shorter / longer exposure pair: one row per shared index, with counts and whether the pair is recommended.
 
     Input: (exposure, sort_key, idx). Rows meet on the index, so the work is the
     number of files times the (few) exposures.
@@ -83,12 +82,9 @@ def exposure_pair_candidates(files: DataFrame, minimum: int, show: int = 12) ->
     common = d.select(F.col("exposure").alias("noisy_exposure"), F.col("sort_key").alias("_ka"), "idx").join(b, "idx").where(F.col("_ka") < F.col("_kb"))
     key = ["noisy_exposure", "clean_exposure"]
     count = common.groupBy(*key).agg(F.count(F.lit(1)).alias("common"))
-    w = W.partitionBy(*key).orderBy("idx")
-    head = common.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= show).groupBy(*key).agg(
-        F.concat_ws(" ", F.transform(F.array_sort(F.collect_list("idx")), lambda v: v.cast("string"))).alias("first_common"))
     size = lambda c: n.select(F.col("exposure").alias(f"{c}_exposure"), F.col("n").alias(f"{c}_count"))
-    return count.join(head, key).join(F.broadcast(size("noisy")), "noisy_exposure").join(F.broadcast(size("clean")), "clean_exposure").withColumn(
-        "recommended", F.when(F.col("common") >= minimum, "yes").otherwise("no"))
+    pairs = count.join(size("noisy"), "noisy_exposure").join(size("clean"), "clean_exposure").withColumn("recommended", F.when(F.col("common") >= minimum, "yes").otherwise("no"))
+    return common.select(*key, "idx").join(pairs, key)
 
 
 def condition_assemble(parts: list[DataFrame], key: str, how: str = "full_outer") -> DataFrame:
@@ -139,9 +135,10 @@ def cross_split_edges(edges: DataFrame, splits: DataFrame) -> DataFrame:
     return edges.join(s("a"), "a").join(s("b"), "b").where(F.col("split_a") != F.col("split_b"))
 
 
-def round_robin_assign(items: DataFrame, position: str, conditions: DataFrame, slot: str, n: int) -> DataFrame:
-    """Item i gets condition slot i mod n (both numbered from 0)."""
-    return items.withColumn(slot, F.col(position) % n).join(conditions, slot)
+def round_robin_assign(items: DataFrame, position: str, conditions: DataFrame, slot: str) -> DataFrame:
+    """Item i gets condition slot i mod n of the n conditions (both numbered from 0)."""
+    n = conditions.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(1))  # one row
+    return items.withColumn("_k", F.lit(1)).join(F.broadcast(n), "_k").withColumn(slot, F.col(position) % F.col("_n")).drop("_k", "_n").join(conditions, slot)
 
 
 def nearest_quantile_pick(items: DataFrame, key: str, value: str, tie: str, quantiles: list[float]) -> DataFrame:

@@ -5,20 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelstrata.operators.temporal import bias_corrected_shape
+
 
 def residual_moments(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Sample std and population excess kurtosis of residual rows (keys, r)."""
-    return df.groupBy(*keys).agg(F.stddev_samp("r").alias("s"), F.kurtosis("r").alias("k"))
+    """Sample std and bias-corrected excess kurtosis of residual rows (keys, r)."""
+    g = df.groupBy(*keys).agg(F.stddev_samp("r").alias("s"), F.kurtosis("r").alias("_p"), F.count("r").alias("_n"))
+    _, k = bias_corrected_shape(F.col("_n"), F.lit(0.0), F.col("_p"))
+    return g.select(*keys, "s", F.when(F.col("_n") > 3, k).alias("k"))
+
+
+def frame_centred(df: DataFrame, frame: list[str], value: str = "r") -> DataFrame:
+    """Residuals minus the mean of their frame, so drift between frames counts neither as strength nor as tail."""
+    m = df.groupBy(*frame).agg(F.avg(value).alias("_frame"))
+    return df.join(m, frame).withColumn(value, F.col(value) - F.col("_frame")).drop("_frame")
 
 
 def mismatch_metrics(real: DataFrame, synthetic: DataFrame) -> DataFrame:
-    """|log std ratio| and kurtosis difference per (folder, variant, half); one row per condition, variant and half."""
-    a = residual_moments(real, ["folder", "half"])
+    """|log std ratio| and kurtosis difference per (folder, variant, half); one row per condition, variant and half.
+
+    ``real``: (folder, frame, half, r) temporal residuals, centred here per frame.
+    """
+    a = residual_moments(frame_centred(real, ["folder", "frame", "half"]), ["folder", "half"])
     b = residual_moments(synthetic, ["variant", "half"]).withColumnsRenamed({"s": "_s", "k": "_k"})
     floor = F.lit(1e-12)
     return a.join(b, "half").select(
         "folder", "variant", "half", F.abs(F.log(F.greatest("s", floor) / F.greatest("_s", floor))).alias("strength"),
-        F.abs(F.col("k") - F.col("_k")).alias("tail"))
+        F.abs(F.col("k") - F.col("_k")).alias("tail"), F.col("s").alias("real_std"), F.col("_s").alias("synthetic_std"), F.col("k").alias("real_kurtosis"), F.col("_k").alias("synthetic_kurtosis"))
 
 
 def mismatch_aggregate(metrics: DataFrame, keys: list[str], fields: tuple[str, ...] = ("strength", "tail")) -> DataFrame:

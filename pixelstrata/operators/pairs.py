@@ -29,14 +29,12 @@ def odd_even_pairs(pixels: DataFrame) -> DataFrame:
     return noisy.join(clean, ["folder", "y", "x"]).select(key.alias("pair_key"), "folder", "frame", "y", "x", "clean", "noisy")
 
 
-def surrogate_pairs(pixels: DataFrame, reference_share: float = 0.5, stride: int = 1, per_folder: int | None = None) -> DataFrame:
+def surrogate_pairs(pixels: DataFrame, reference_share: float = 0.5, stride: int = 1) -> DataFrame:
     """Mean of the leading frames as clean, strided later frames as noisy."""
     n = pixels.groupBy("folder").agg(F.floor(F.max("frame") * reference_share).alias("_ref"))
     p = pixels.join(n, "folder")
     clean = p.where(F.col("frame") <= F.col("_ref")).groupBy("folder", "y", "x").agg(F.avg("dn").alias("clean"))
     held = p.where((F.col("frame") > F.col("_ref")) & ((F.col("frame") - F.col("_ref") - 1) % stride == 0))
-    if per_folder is not None:
-        held = held.where(F.col("frame") <= F.col("_ref") + per_folder * stride)
     key = F.concat(F.lit("folder_"), F.col("folder").cast("string"), F.lit("_frame_"), F.col("frame").cast("string"))
     return held.join(clean, ["folder", "y", "x"]).select(
         key.alias("pair_key"), "folder", "frame", "y", "x", F.rint("clean").cast("bigint").alias("clean"),

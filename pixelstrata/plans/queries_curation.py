@@ -22,24 +22,23 @@ from pixelstrata.sources.storage import cut_lineage
 S = "string"
 
 
-@query("index_gaps", """
-    WITH s AS (SELECT folder, min(idx) AS lo, max(idx) AS hi, count(*) AS present FROM fx_index GROUP BY folder),
-      m AS (SELECT s.folder, g.range AS idx FROM s, range(2000) g WHERE g.range BETWEEN lo AND hi EXCEPT SELECT folder, idx FROM fx_index),
-      c AS (SELECT folder, count(*) AS missing, array_to_string(list_slice(list(idx ORDER BY idx), 1, 12), ' ') AS f FROM m GROUP BY folder)
-    SELECT folder, lo, hi, present, coalesce(missing, 0) AS missing, CAST(0 AS BIGINT) AS unexpected, coalesce(f, '') AS first_missing FROM s LEFT JOIN c USING (folder)""")
+def gap_sql(span: str) -> str:
+    return f"""WITH s AS ({span}), i AS (SELECT f.folder, idx, lo, hi FROM fx_index f JOIN s ON s.folder = f.folder),
+      m AS (SELECT folder, idx FROM i WHERE idx BETWEEN lo AND hi UNION ALL SELECT folder, lo - 1 FROM s UNION ALL SELECT folder, hi + 1 FROM s),
+      g AS (SELECT folder, idx + 1 AS gap_first, lead(idx) OVER (PARTITION BY folder ORDER BY idx) - 1 AS gap_last FROM m QUALIFY gap_last >= gap_first)
+    SELECT s.folder, lo, hi, present, coalesce((SELECT sum(gap_last - gap_first + 1) FROM g WHERE g.folder = s.folder), 0)::BIGINT AS missing,
+      (SELECT count(*) FROM i WHERE i.folder = s.folder AND (idx < lo OR idx > hi)) AS unexpected, gap_first, gap_last FROM s LEFT JOIN g ON g.folder = s.folder"""
+
+
+@query("index_gaps", gap_sql("SELECT folder, min(idx) AS lo, max(idx) AS hi, count(*) AS present FROM fx_index GROUP BY folder"))
 def _(t: Tables):
     return C.index_gaps(t.indices())
 
 
-@query("index_gaps_expected", """
-    WITH s AS (SELECT folder, CAST(100 AS BIGINT) AS lo, CAST(1899 AS BIGINT) AS hi, count(*) AS present FROM fx_index GROUP BY folder),
-      m AS (SELECT s.folder, g.range AS idx FROM s, range(2000) g WHERE g.range BETWEEN lo AND hi EXCEPT SELECT folder, idx FROM fx_index),
-      c AS (SELECT folder, count(*) AS missing, array_to_string(list_slice(list(idx ORDER BY idx), 1, 12), ' ') AS f FROM m GROUP BY folder),
-      u AS (SELECT folder, count(*) AS unexpected FROM fx_index WHERE idx < 100 OR idx > 1899 GROUP BY folder)
-    SELECT folder, lo, hi, present, coalesce(missing, 0) AS missing, coalesce(unexpected, 0) AS unexpected, coalesce(f, '') AS first_missing FROM s LEFT JOIN c USING (folder) LEFT JOIN u USING (folder)""")
+@query("index_gaps_expected", gap_sql("SELECT folder, 100::BIGINT AS lo, 1899::BIGINT AS hi, count(*) AS present FROM fx_index GROUP BY folder"))
 def _(t: Tables):
     d = C.index_gaps(t.indices(), 100, 1899)
-    return d.select("folder", F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"), "present", "missing", "unexpected", "first_missing")
+    return d.withColumn("lo", F.col("lo").cast("bigint")).withColumn("hi", F.col("hi").cast("bigint"))
 
 
 @query("folder_inventory", """

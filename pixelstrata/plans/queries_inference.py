@@ -488,7 +488,7 @@ def _(t: Tables):
 
 @query("go_no_go", f"""WITH {FG}, {AGREE},
     s AS (SELECT reference, variant, avg(g) AS m, min(g) AS w, sum((g > 0)::INT) AS p FROM fg GROUP BY ALL),
-    c AS (SELECT (SELECT min(m) FROM s WHERE variant = 'H-L') > (SELECT max(m) FROM s WHERE variant IN ('P-L', 'P-H')) + 0.05 AS advantage, (SELECT min(p) FROM s WHERE variant = 'H-L') >= 8 AS positive_folders,
+    c AS (SELECT (SELECT min(d) FROM (SELECT max(m) FILTER (variant = 'H-L') - max(m) FILTER (variant IN ('P-L', 'P-H')) AS d FROM s GROUP BY reference)) > 0.05 AS advantage, (SELECT min(p) FROM s WHERE variant = 'H-L') >= 8 AS positive_folders,
       (SELECT min(w) FROM s WHERE variant = 'H-L') >= -0.5 AS worst_folder, (SELECT avg((sign(a) = sign(b))::INT) FROM ag WHERE variant = 'H-L') >= 0.9 AS sign_agreement)
     SELECT CASE WHEN advantage AND positive_folders AND worst_folder AND sign_agreement THEN 'GO' WHEN advantage AND sign_agreement THEN 'PARTIAL' ELSE 'NO_GO' END AS status,
       array_to_string(list_filter([CASE WHEN NOT advantage THEN 'advantage' END, CASE WHEN NOT positive_folders THEN 'positive_folders' END, CASE WHEN NOT sign_agreement THEN 'sign_agreement' END,
@@ -574,25 +574,26 @@ def _(t: Tables):
 
 MM_CTE = """
     mh AS (SELECT folder, frame % 2 AS half, y, x, avg(dn) AS m FROM fx_frames GROUP BY ALL),
-    rr AS (SELECT f.folder, CASE WHEN frame % 2 = 1 THEN 'A' ELSE 'B' END AS half, (dn - m) / 65535 AS r FROM fx_frames f JOIN mh ON f.folder = mh.folder AND f.frame % 2 = mh.half AND f.y = mh.y AND f.x = mh.x),
+    rf AS (SELECT f.folder, f.frame, CASE WHEN frame % 2 = 1 THEN 'A' ELSE 'B' END AS half, (dn - m) / 65535 AS r FROM fx_frames f JOIN mh ON f.folder = mh.folder AND f.frame % 2 = mh.half AND f.y = mh.y AND f.x = mh.x),
+    rr AS (SELECT folder, half, r - avg(r) OVER (PARTITION BY folder, frame) AS r FROM rf),
     r1 AS (SELECT folder, half, avg(r) AS m, stddev_pop(r) AS sp, stddev_samp(r) AS s FROM rr GROUP BY ALL),
-    rs AS (SELECT folder, half, any_value(s) AS s, avg(pow((r - m) / sp, 4)) - 3 AS k FROM rr JOIN r1 USING (folder, half) GROUP BY ALL),
+    rs AS (SELECT folder, half, any_value(s) AS s, (count(*) - 1) / ((count(*) - 2) * (count(*) - 3)::DOUBLE) * ((count(*) + 1) * (avg(pow((r - m) / sp, 4)) - 3) + 6) AS k FROM rr JOIN r1 USING (folder, half) GROUP BY ALL),
     sv AS (SELECT variant, CASE WHEN reference = 'odd' THEN 'A' ELSE 'B' END AS half, residual_std / 1e6 AS r FROM fx_metrics),
     s1 AS (SELECT variant, half, avg(r) AS m, stddev_pop(r) AS sp, stddev_samp(r) AS s FROM sv GROUP BY ALL),
-    ss AS (SELECT variant, half, any_value(s) AS s, avg(pow((r - m) / sp, 4)) - 3 AS k FROM sv JOIN s1 USING (variant, half) GROUP BY ALL),
-    mm AS (SELECT folder, variant, half, abs(ln(greatest(rs.s, 1e-12) / greatest(ss.s, 1e-12))) AS strength, abs(rs.k - ss.k) AS tail FROM rs JOIN ss USING (half))"""
+    ss AS (SELECT variant, half, any_value(s) AS s, (count(*) - 1) / ((count(*) - 2) * (count(*) - 3)::DOUBLE) * ((count(*) + 1) * (avg(pow((r - m) / sp, 4)) - 3) + 6) AS k FROM sv JOIN s1 USING (variant, half) GROUP BY ALL),
+    mm AS (SELECT folder, variant, half, abs(ln(greatest(rs.s, 1e-12) / greatest(ss.s, 1e-12))) AS strength, abs(rs.k - ss.k) AS tail, rs.s AS real_std, ss.s AS synthetic_std, rs.k AS real_kurtosis, ss.k AS synthetic_kurtosis FROM rs JOIN ss USING (half))"""
 
 
 def mismatch(t: Tables):
     from pixelstrata.operators.mismatch import mismatch_metrics
     px = t.pixels_anywhere().withColumn("half", F.when(F.col("frame") % 2 == 1, "A").otherwise("B"))
     m = px.groupBy("folder", "half", "y", "x").agg(F.avg("dn").alias("_m"))
-    real = px.join(m, ["folder", "half", "y", "x"]).select("folder", "half", ((F.col("dn") - F.col("_m")) / 65535).alias("r"))
+    real = px.join(m, ["folder", "half", "y", "x"]).select("folder", "frame", "half", ((F.col("dn") - F.col("_m")) / 65535).alias("r"))
     synth = t.metrics().select("variant", F.when(F.col("reference") == "odd", "A").otherwise("B").alias("half"), (F.col("residual_std") / 1e6).alias("r"))
     return mismatch_metrics(real, synth)
 
 
-@query("mismatch_metrics", f"WITH {MM_CTE} SELECT folder, variant, half, R6(strength) AS strength, R6(tail) AS tail FROM mm")
+@query("mismatch_metrics", f"WITH {MM_CTE} SELECT folder, variant, half, R6(strength) AS strength, R6(tail) AS tail, R6(real_std) AS real_std, R6(synthetic_std) AS synthetic_std, R6(real_kurtosis) AS real_kurtosis, R6(synthetic_kurtosis) AS synthetic_kurtosis FROM mm")
 def _(t: Tables):
     return sel(mismatch(t), ["folder", "variant", "half"], 6)
 

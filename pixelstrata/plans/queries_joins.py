@@ -85,8 +85,8 @@ def _(t: Tables):
 @query("exposure_pair_candidates", f"""WITH {EXPO}, d AS (SELECT DISTINCT exposure, CASE WHEN exposure LIKE '%ms' THEN replace(exposure, 'ms', '')::DOUBLE ELSE replace(exposure, 's', '')::DOUBLE * 1000 END AS k, idx FROM ex),
       n AS (SELECT exposure, count(*) AS n FROM d GROUP BY exposure),
       c AS (SELECT a.exposure AS noisy_exposure, b.exposure AS clean_exposure, a.idx FROM d a JOIN d b ON a.idx = b.idx AND a.k < b.k)
-    SELECT noisy_exposure, clean_exposure, count(*) AS common, array_to_string(list_slice(list(idx ORDER BY idx), 1, 12), ' ') AS first_common, any_value(x.n) AS noisy_count, any_value(y.n) AS clean_count,
-      CASE WHEN count(*) >= 50 THEN 'yes' ELSE 'no' END AS recommended FROM c JOIN n x ON x.exposure = noisy_exposure JOIN n y ON y.exposure = clean_exposure GROUP BY noisy_exposure, clean_exposure""")
+    SELECT noisy_exposure, clean_exposure, idx, common, noisy_count, clean_count, recommended FROM c JOIN (SELECT noisy_exposure, clean_exposure, count(*) AS common, any_value(x.n) AS noisy_count, any_value(y.n) AS clean_count,
+      CASE WHEN count(*) >= 50 THEN 'yes' ELSE 'no' END AS recommended FROM c JOIN n x ON x.exposure = noisy_exposure JOIN n y ON y.exposure = clean_exposure GROUP BY noisy_exposure, clean_exposure) USING (noisy_exposure, clean_exposure)""")
 def _(t: Tables):
     e = exposures(t).withColumn("sort_key", N.exposure_sort_key(F.col("exposure"), "dark"))
     return J.exposure_pair_candidates(e, 50)
@@ -99,15 +99,15 @@ def _(t: Tables):
 
 
 PARTS = """
-    ca AS (SELECT (c_custkey % 40)::BIGINT AS folder, count(*) AS customers FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1),
+    ca AS (SELECT (c_custkey % 40)::BIGINT AS folder, count(*) AS customers FROM customer GROUP BY 1),
     cb AS (SELECT (s_suppkey % 60)::BIGINT AS folder, count(*) AS suppliers FROM supplier GROUP BY 1),
-    cc AS (SELECT (p_partkey % 50)::BIGINT AS folder, count(*) AS parts FROM part WHERE p_size > 25 GROUP BY 1)"""
+    cc AS (SELECT (p_partkey % 50)::BIGINT AS folder, count(*) AS parts FROM part GROUP BY 1)"""
 
 
 def parts(t: Tables):
     g = lambda d, k, m, n: d.groupBy((F.col(k) % m).cast("bigint").alias("folder")).agg(F.count(F.lit(1)).alias(n))
-    return [g(t.read("customer").where("c_mktsegment <> 'BUILDING'"), "c_custkey", 40, "customers"), g(t.read("supplier"), "s_suppkey", 60, "suppliers"),
-            g(t.read("part").where("p_size > 25"), "p_partkey", 50, "parts")]
+    return [g(t.read("customer"), "c_custkey", 40, "customers"), g(t.read("supplier"), "s_suppkey", 60, "suppliers"),
+            g(t.read("part"), "p_partkey", 50, "parts")]
 
 
 @query("condition_assemble", f"WITH {PARTS} SELECT coalesce(ca.folder, cb.folder, cc.folder) AS folder, customers, suppliers, parts FROM ca FULL JOIN cb ON ca.folder = cb.folder FULL JOIN cc ON coalesce(ca.folder, cb.folder) = cc.folder")
@@ -191,13 +191,13 @@ def _(t: Tables):
 
 @query("round_robin_assign", """
     WITH i AS (SELECT doc_id AS pair_key, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS position FROM documents), c AS (SELECT folder, row_number() OVER (ORDER BY mean_signal, folder) - 1 AS slot FROM fx_cond)
-    SELECT pair_key, position, folder AS condition_folder FROM i JOIN c ON position % 25 = slot""")
+    SELECT pair_key, position, folder AS condition_folder FROM i JOIN c ON position % (SELECT count(*) FROM c) = slot""")
 def _(t: Tables):
     i = ordinal_within(t.read("documents").select(F.col("doc_id").alias("pair_key"), "n_chars", F.lit(0).alias("g")), "g", ["n_chars", "pair_key"], F.floor(F.col("n_chars") / 16), "p")
     i = i.select("pair_key", (F.col("p") - 1).alias("position"))
     from pyspark.sql import Window as W
     c = t.conditions().select(F.col("folder").alias("condition_folder"), (F.row_number().over(W.partitionBy(F.lit(1)).orderBy("mean_signal", "folder")) - 1).cast("bigint").alias("slot"))
-    return J.round_robin_assign(i, "position", c, "slot", 25).select("pair_key", "position", "condition_folder")
+    return J.round_robin_assign(i, "position", c, "slot").select("pair_key", "position", "condition_folder")
 
 
 PICKS = [0.1, 0.25, 0.5, 0.5, 0.9]
@@ -271,14 +271,15 @@ def _(t: Tables):
     return N.load_split_manifest(t.spark, split_text(t))
 
 
-@query("split_resolve", f"WITH {SPLIT_SQL} SELECT pair_key, ordinal, '/data/clean/' || pair_key || '.tif' AS clean_path FROM sp WHERE split = 'q1'")
+@query("split_resolve", f"WITH {SPLIT_SQL} SELECT pair_key, ordinal, CASE WHEN doc_id IS NOT NULL THEN '/data/clean/' || pair_key || '.tif' END AS clean_path, doc_id IS NOT NULL AS known FROM sp LEFT JOIN documents ON doc_id::VARCHAR = pair_key WHERE split = 'q1'")
 def _(t: Tables):
-    found, _unknown = N.resolve_split(N.load_pair_manifest(t.spark, pair_csv(t), "/data"), N.load_split_manifest(t.spark, split_text(t)), "q1")
-    return found.select("pair_key", "ordinal", "clean_path")
+    found, unknown = N.resolve_split(N.load_pair_manifest(t.spark, pair_csv(t), "/data"), N.load_split_manifest(t.spark, split_text(t)), "q1")
+    found = found.select("pair_key", "ordinal", "clean_path", F.lit(True).alias("known"))
+    return found.unionByName(unknown.select("pair_key", "ordinal", F.lit(None).cast(S).alias("clean_path"), F.lit(False).alias("known")))
 
 
 @query("src_frame_listing", """
-    WITH n AS (SELECT regexp_extract(path, '^[^/]*') AS folder, path, nullif(regexp_extract(regexp_replace(regexp_replace(regexp_extract(path, '[^/]*/?$'), '/$', ''), '\\.[A-Za-z]+$', ''), '(\\d{1,18})$', 1), '')::BIGINT AS k FROM fx_paths)
+    WITH n AS (SELECT regexp_extract(path, '^[^/]*') AS folder, path, nullif(regexp_extract(regexp_replace(regexp_replace(regexp_extract(path, '[^/]*/?$'), '/$', ''), '\\.[A-Za-z]+$', ''), '(\\d+)$', 1), '')::BIGINT AS k FROM fx_paths)
     SELECT folder, k AS frame_index, min(path) AS path, count(*) AS copies FROM n WHERE k IS NOT NULL GROUP BY folder, k""")
 def _(t: Tables):
     return L.frame_listing(t.paths(), F.regexp_extract("path", "^[^/]*", 0), L.number_in(F.col("path"), "trailing"))
@@ -377,7 +378,7 @@ def _(t: Tables):
     base = fresh_path(t.spark, "metrics")
     m = t.metrics().select("variant", "seed", "folder", "psnr_gain")
     for v in ("P-L", "P-H", "H-L", "H-H"):
-        m.where(F.col("variant") == v).coalesce(1).write.option("header", True).csv(f"{base}/{v}_seed1/real_eval")
+        m.where(F.col("variant") == v).write.option("header", True).csv(f"{base}/{v}_seed1/real_eval")
     d = N.read_metric_glob(t.spark, f"{base}/*_seed*/real_eval/*.csv", "variant string, seed bigint, folder bigint, psnr_gain bigint", expected=4)
     return d.groupBy("variant").agg(F.count(F.lit(1)).alias("rows"), F.sum("psnr_gain").alias("total"), F.min("complete").alias("complete"))
 

@@ -86,7 +86,7 @@ def write_split_manifest(splits: DataFrame, path: str, per_block: int = 10_000)
 def resolve_split(pairs: DataFrame, splits: DataFrame, split: str) -> tuple[DataFrame, DataFrame]:
     """(pairs of the split with their ordinal, keys the manifest does not know)."""
     wanted = splits.where(F.col("split") == split)
-    return wanted.join(pairs, "pair_key"), wanted.join(pairs, "pair_key", "left_anti").select("pair_key")
+    return wanted.join(pairs, "pair_key"), wanted.join(pairs, "pair_key", "left_anti")
 
 
 EXPOSURE = r"^([0-9]+(?:\.[0-9]+)?)(ms|s)$"
@@ -154,11 +154,14 @@ def metadata_index(rows: DataFrame, name_cols: list[str], order: list[str]) -> D
 
 
 def read_metric_glob(spark: SparkSession, pattern: str, schema: str, expected: int | None = None) -> DataFrame:
-    """Union of metric CSVs with their file name; ``complete`` tells whether all expected files came."""
+    """Union of metric CSVs with their file name; ``complete`` tells whether all expected runs (folders) came.
+
+    A run may be written as any number of part files.
+    """
     d = spark.read.option("header", True).schema(schema).csv(pattern).withColumn("source_file", F.input_file_name())
     if expected is None:
         return d
-    n = d.agg(F.count_distinct("source_file").alias("_n")).withColumn("_k", F.lit(1))
+    n = d.agg(F.count_distinct(F.regexp_replace("source_file", r"/[^/]*$", "")).alias("_n")).withColumn("_k", F.lit(1))
     return d.withColumn("_k", F.lit(1)).join(F.broadcast(n), "_k").withColumn("complete", F.col("_n") == expected).drop("_k", "_n")
 
 

@@ -218,8 +218,12 @@ def test_perceptual_hash_ignores_scale(spark):
 
 def test_index_gaps(spark):
     df = spark.createDataFrame([(1, i) for i in (3, 4, 7, 5000, 5002)], "folder long, idx long")
-    r = C.index_gaps(df).collect()[0]
-    assert (r.missing, r.first_missing.split()[:3]) == (5002 - 3 + 1 - 5, ["5", "6", "8"])
+    r = C.index_gaps(df).orderBy("gap_first").collect()
+    assert [(x.gap_first, x.gap_last) for x in r] == [(5, 6), (8, 4999), (5001, 5001)] and {x.missing for x in r} == {5002 - 3 + 1 - 5}
+    r = C.index_gaps(df, 0, 4).collect()
+    assert [(x.gap_first, x.gap_last, x.missing, x.unexpected) for x in r] == [(0, 2, 3, 3)]
+    whole = C.index_gaps(spark.range(10_000).selectExpr("1 AS folder", "id AS idx")).collect()
+    assert [(x.gap_first, x.missing) for x in whole] == [(None, 0)]
 
 
 def test_lofo_folds_are_isolated(spark):

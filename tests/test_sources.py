@@ -63,8 +63,16 @@ def test_exposure_lines(spark):
 
 def test_log_lines(spark):
     good = "12-Camera1.tif Exposure delay:0ms, width:500ms Sync.A delay:-3ns, width:4us Sync.B delay:0ns, width:4us gain 80"
-    d = listings.acquisition_log(spark.createDataFrame([(good,), ("broken",)], "line string"), []).collect()
-    assert len(d) == 1 and (d[0].exposure_width_ms, d[0].sync_a_delay_ns, d[0].gain) == (500.0, -3.0, 80.0)
+    swapped = "x.tif Sync.A delay:0ns, width:4us Exposure delay:0ms, width:1ms Sync.B delay:0ns, width:4us gain 1"
+    rows = [(good,), ("broken",), (swapped,), (good.replace("12-Camera1", "my own frame 7"),), (good.replace("width:500ms ", " "),), (None,)]
+    d = listings.acquisition_log(spark.createDataFrame(rows, "line string"), []).orderBy("filename").collect()
+    assert [r.filename for r in d] == ["12-Camera1.tif", "my own frame 7.tif"]  # blanks belong to the name
+    assert all((r.exposure_width_ms, r.sync_a_delay_ns, r.gain) == (500.0, -3.0, 80.0) for r in d)
+
+
+def test_long_numbers_are_not_cut(spark):
+    df = spark.createDataFrame([("a/img_12.tif",), ("a/img_1234567890123456789012.tif",), ("a/none.tif",)], "path string")
+    assert [r[0] for r in df.select(listings.number_in(F.col("path"), "trailing")).collect()] == [12, None, None]
 
 
 def test_strict_json(spark):
