@@ -58,57 +58,43 @@ def with_halo(df: DataFrame, index: str, chunk: int, before: int = 0, after: int
     return df.withColumn("_chunk", F.explode(homes)).withColumn("_core", F.col("_chunk") == home)
 
 
-def exact_quantiles(
-    df: DataFrame, keys, value: str, probs: dict[str, float], bins: int = 2048
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float], accuracy: int = 10_000) -> DataFrame:
     """Exact linear-interpolated quantiles per key without one task per key.
 
-    Value counts are pre-aggregated, a histogram locates the bin of each wanted
-    rank, and only the values of those bins are ordered.
+    A sketch of bounded size brackets each wanted rank by two values, whatever the values'
+    distribution. Rows below the bracket are only counted; the few inside it (about
+    ``8 / accuracy`` of a key's rows) are counted by value and ordered.
     """
     ks = _cols(keys)
     if not ks:
         df, ks = df.withColumn("_all", F.lit(1)), ["_all"]
-    vc = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*ks, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    span = vc.groupBy(*ks).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    located = vc.join(span, ks).withColumn(
-        "_bin",
-        F.when(F.col("_hi") > F.col("_lo"),
-               F.floor((F.col("_v") - F.col("_lo")) * F.try_divide(F.lit(float(bins)), F.col("_hi") - F.col("_lo"))))
-        .otherwise(F.lit(0)).cast("bigint"),
-    )
-    hist = located.groupBy(*ks, "_bin", "_n").agg(F.sum("_c").alias("_bc"))
-    run = F.sum("_bc").over(W.partitionBy(*ks).orderBy("_bin").rowsBetween(W.unboundedPreceding, 0))
-    hist = hist.withColumn("_end", run).withColumn("_begin", F.col("_end") - F.col("_bc"))
-    want = F.array(*[F.struct(F.lit(n).alias("q"), F.lit(float(p)).alias("p")) for n, p in probs.items()])
-    targets = (
-        hist.withColumn("_w", F.explode(want))
-        .withColumn("_pos", F.col("_w.p") * (F.col("_n") - 1))
-        .withColumn("_k", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
-        .where((F.col("_k") >= F.col("_begin")) & (F.col("_k") < F.col("_end")))
-        .select(*ks, "_bin", "_begin", F.col("_w.q").alias("_q"), "_pos", "_k")
-    )
-    wanted_bins = targets.select(*ks, "_bin", "_begin").distinct()
-    inside = F.sum("_c").over(W.partitionBy(*ks, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
-    ordered = (
-        located.join(wanted_bins, [*ks, "_bin"])
-        .withColumn("_stop", F.col("_begin") + inside)
-        .withColumn("_from", F.col("_stop") - F.col("_c"))
-        .select(*ks, "_bin", "_v", "_from", "_stop")
-    )
-    weight = F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(F.col("_pos") - F.col("_k")))
-    picked = (
-        targets.join(ordered, [*ks, "_bin"])
-        .where((F.col("_k") >= F.col("_from")) & (F.col("_k") < F.col("_stop")))
-        .withColumn("_part", F.col("_v") * weight)
-    )
-    out = picked.groupBy(*ks).agg(
-        *[F.sum(F.when(F.col("_q") == n, F.col("_part"))).alias(n) for n in probs]
-    )
+    names, e = list(probs), 4.0 / accuracy
+    d = df.where(F.col(value).isNotNull()).select(*ks, F.col(value).cast("double").alias("_v"))
+    marks = [x for n in names for x in (max(0.0, probs[n] - e), min(1.0, probs[n] + e))]
+    sketch = d.groupBy(*ks).agg(
+        F.percentile_approx("_v", F.array(*map(F.lit, marks)), accuracy).alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    low = [F.col("_lo") if marks[2 * i] == 0.0 else F.get("_m", F.lit(2 * i)) for i in range(len(names))]
+    high = [F.col("_hi") if marks[2 * i + 1] == 1.0 else F.get("_m", F.lit(2 * i + 1)) for i in range(len(names))]
+    sketch = sketch.select(*ks, "_n", *[c.alias(f"_l{i}") for i, c in enumerate(low)], *[c.alias(f"_h{i}") for i, c in enumerate(high)])
+    # one value further on each side, so both neighbours of a rank are in the bracket of a small key too
+    wider = d.join(sketch, ks).groupBy(*ks, *[c for c in sketch.columns if c not in ks]).agg(
+        *[F.max(F.when(F.col("_v") < F.col(f"_l{i}"), F.col("_v"))).alias(f"_w{i}") for i in range(len(names))],
+        *[F.min(F.when(F.col("_v") > F.col(f"_h{i}"), F.col("_v"))).alias(f"_x{i}") for i in range(len(names))])
+    wider = wider.select(*ks, "_n", *[F.coalesce(f"_w{i}", f"_l{i}").alias(f"_l{i}") for i in range(len(names))], *[F.coalesce(f"_x{i}", f"_h{i}").alias(f"_h{i}") for i in range(len(names))])
+    rows = d.join(wider, ks)
+    below = rows.groupBy(*ks).agg(F.first("_n").alias("_n"), *[F.sum((F.col("_v") < F.col(f"_l{i}")).cast("bigint")).alias(f"_b{i}") for i in range(len(names))])
+    hit = F.array_compact(F.array(*[F.when(F.col("_v").between(F.col(f"_l{i}"), F.col(f"_h{i}")), F.lit(i)) for i in range(len(names))]))
+    inside = rows.select(*ks, "_v", F.explode(hit).alias("_q")).groupBy(*ks, "_q", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    run = F.sum("_c").over(W.partitionBy(*ks, "_q").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    start = F.element_at(F.array(*[F.col(f"_b{i}") for i in range(len(names))]), F.col("_q") + 1)
+    placed = inside.withColumn("_run", run).join(below, ks).withColumn("_stop", start + F.col("_run")).withColumn("_from", F.col("_stop") - F.col("_c"))
+    share = F.element_at(F.array(*[F.lit(float(probs[n])) for n in names]), F.col("_q") + 1)
+    placed = placed.withColumn("_pos", share * (F.col("_n") - 1))
+    k0, k1 = F.floor("_pos"), F.ceil("_pos")
+    has = lambda k: (k >= F.col("_from")) & (k < F.col("_stop"))
+    weight = F.when(has(k0), 1 - (F.col("_pos") - k0)).otherwise(0.0) + F.when(has(k1) & (k1 > k0), 1 - (k1 - F.col("_pos"))).otherwise(0.0)
+    placed = placed.withColumn("_w", weight).where("_w > 0")
+    out = placed.groupBy(*ks).agg(*[F.sum(F.when(F.col("_q") == i, F.col("_v") * F.col("_w"))).alias(n) for i, n in enumerate(names)])
     return out.drop("_all") if ks == ["_all"] else out
 
 

@@ -40,7 +40,7 @@ def test_halo_windows_equal_plain_windows(spark):
 def test_exact_quantiles(spark, bins):
     pdf, df = hot(spark)
     probs = {"a": 0.0, "b": 0.013, "c": 0.5, "d": 0.977, "e": 1.0}
-    for r in exact_quantiles(df, "k", "v", probs, bins=bins).collect():
+    for r in exact_quantiles(df, "k", "v", probs, accuracy=bins).collect():
         v = pdf.loc[pdf.k == r["k"], "v"]
         for name, p in probs.items():
             assert r[name] == pytest.approx(np.quantile(v, p), abs=1e-9)
@@ -48,6 +48,14 @@ def test_exact_quantiles(spark, bins):
     assert whole == pytest.approx(np.median(pdf.v))
 
 
+def test_exact_quantiles_with_an_outlier_and_a_hot_key(spark):
+    df = spark.range(1_000_000).selectExpr("CASE WHEN id % 10 = 0 THEN 'b' ELSE 'a' END AS k", "CASE WHEN id = 1 THEN 1e9 ELSE pmod(hash(id), 100003) / 7.0D END AS v")
+    p = df.toPandas()
+    for r in exact_quantiles(df, "k", "v", {"q1": 0.01, "m": 0.5, "q99": 0.999, "top": 1.0}).collect():
+        want = np.quantile(p[p.k == r.k].v, [0.01, 0.5, 0.999, 1.0])
+        assert np.allclose([r.q1, r.m, r.q99, r.top], want, rtol=1e-12)
+
+
 def test_bounded_quantiles(spark):
     pdf, df = hot(spark, 500)
     for r in bounded_quantiles(df, "k", "v", {"m": 0.5, "q": 0.9}).collect():
@@ -76,13 +84,11 @@ def test_scalars(spark):
     assert one.select(rnd(F.lit(0.03125), 4)).collect()[0][0] == 0.0313
 
 
-def test_paired_and_bound(spark):
+def test_paired(spark):
     df = spark.createDataFrame([(i,) for i in range(6)], "k int")
     assert paired(df, "k", unordered=True).count() == 15
     assert paired(df, "k", unordered=False).count() == 30
     assert all(r.a.k < r.b.k for r in paired(df, "k", unordered=True).collect())
-    with pytest.raises(Exception, match="more than 3 rows"):
-        paired(df, "k", unordered=True, bound=3).count()
 
 
 def test_bootstrap_is_reproducible_and_centred(spark):

@@ -263,3 +263,65 @@ def test_equal_hashes_become_star_links(spark):
     h = spark.createDataFrame([(i, v) for i, v in enumerate([7, 7, 8, 7])], "id long, phash long")
     got = sorted((r.first_key, r.other_key, r.group_size) for r in C.exact_duplicates(h, "id", "phash").collect())
     assert got == [(0, 1, 3), (0, 3, 3)]
+
+
+def text_rows(rows):
+    return [(i, t) for i, t in enumerate(rows)]
+
+
+def test_similar_texts_match_all_pairs(spark):
+    """Near pairs of a dense group and around the threshold, against every pair; copies as a star."""
+    from pixelstrata.operators import text_similarity as X
+
+    r = np.random.default_rng(8)
+    rows = []
+    for g in range(6):
+        base = [f"w{x}" for x in r.integers(0, 10**6, 90)]
+        for k in range(25):
+            words = list(base)
+            for at in r.choice(90, k // 3, replace=False):
+                words[at] = f"x{r.integers(10**6)}"
+            rows.append(" ".join(words))
+    rows += [rows[0]] * 60 + ["one", "two words", "", " \n", "one  \n two", "digits 1 2 3", "digits 1 2 4"]
+    df = spark.createDataFrame([*text_rows(rows), (999, None)], "id long, t string")
+    got = X.similar_texts(X.text_sets(df, "id", "t"), 0.8).collect()
+    sets = {}
+    for i, t in text_rows(rows):
+        w = t.split()
+        s = {tuple(w[k:k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+        sets.setdefault(t, (i, s))
+    own = sorted(sets.values(), key=lambda x: x[0])
+    want = {(a, b): len(s & u) / len(s | u) for k, (a, s) in enumerate(own) for b, u in own[k + 1:] if s and u and len(s & u) >= 0.8 * len(s | u)}
+    assert {(x.a, x.b): x.corr for x in got if x.kind == "near_content"} == want
+    first = {i for i, _ in own}
+    copies = [(i, t) for i, t in text_rows(rows) if i not in first]
+    assert {(x.a, x.b) for x in got if x.kind == "exact_copy"} == {(sets[t][0], i) for i, t in copies} | {(sets[""][0], 999)}
+
+
+def test_contained_texts(spark):
+    from pixelstrata.operators import text_similarity as X
+
+    ref = "the quick brown fox jumps over the lazy dog again and again"
+    docs = spark.createDataFrame([(1, f"before {ref} after " + "filler " * 50), (2, "nothing like it at all here"), (3, ref), (4, None)], "id long, t string")
+    refs = spark.createDataFrame([(7, ref), (8, "")], "id long, t string")
+    got = {(r.candidate, r.reference): (r.correlation, r.sha256_match) for r in X.contained_texts(X.text_sets(docs, "id", "t"), X.text_sets(refs, "id", "t"), 0.8).collect()}
+    assert got == {(1, 7): (1.0, False), (3, 7): (1.0, True)}
+
+
+def test_twenty_five_thousand_conditions(spark):
+    from pixelstrata.functions.resampling import numbered
+    from pixelstrata.operators import joins as J
+
+    c = spark.range(25_000).select(F.col("id").alias("folder"), F.col("id").alias("slot"))
+    assert numbered(c, "folder").agg(F.max("_i"), F.max("_n")).collect()[0][:] == (25_000, 25_000)
+    items = spark.range(60_000).select(F.col("id").alias("p"))
+    got = J.round_robin_assign(items, "p", c, "slot")
+    assert got.count() == 60_000 and got.where("folder <> p % 25000").count() == 0
+
+
+def test_decisions_compare_inside_each_reference(spark):
+    from pixelstrata.operators.decisions import primary_checks, verdict
+
+    rows = [(ref, v, f, g) for ref, mine, fixed in (("odd", 1.0, 0.5), ("even", 3.0, 2.5)) for v, g in (("H-L", mine), ("P-L", fixed)) for f in range(10)]
+    one, checks = primary_checks(spark.createDataFrame(rows, "reference string, variant string, folder long, g double"), "H-L", ["P-L", "P-H"])
+    assert verdict(one, checks, ["advantage", "sign_agreement"]).collect()[0].status == "GO"
