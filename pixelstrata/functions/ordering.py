@@ -63,7 +63,8 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float], ac
 
     A sketch of bounded size brackets each wanted rank by two values, whatever the values'
     distribution. Rows below the bracket are only counted; the few inside it (about
-    ``8 / accuracy`` of a key's rows) are counted by value and ordered.
+    ``8 / accuracy`` of a key's rows, or all of a key of at most ``4 * accuracy``) are
+    counted by value and ordered. Two passes, and no row is shuffled before it is counted.
     """
     ks = _cols(keys)
     if not ks:
@@ -71,25 +72,19 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float], ac
     names, e = list(probs), 4.0 / accuracy
     d = df.where(F.col(value).isNotNull()).select(*ks, F.col(value).cast("double").alias("_v"))
     marks = [x for n in names for x in (max(0.0, probs[n] - e), min(1.0, probs[n] + e))]
-    sketch = d.groupBy(*ks).agg(
-        F.percentile_approx("_v", F.array(*map(F.lit, marks)), accuracy).alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    low = [F.col("_lo") if marks[2 * i] == 0.0 else F.get("_m", F.lit(2 * i)) for i in range(len(names))]
-    high = [F.col("_hi") if marks[2 * i + 1] == 1.0 else F.get("_m", F.lit(2 * i + 1)) for i in range(len(names))]
-    sketch = sketch.select(*ks, "_n", *[c.alias(f"_l{i}") for i, c in enumerate(low)], *[c.alias(f"_h{i}") for i, c in enumerate(high)])
-    # one value further on each side, so both neighbours of a rank are in the bracket of a small key too
-    wider = d.join(sketch, ks).groupBy(*ks, *[c for c in sketch.columns if c not in ks]).agg(
-        *[F.max(F.when(F.col("_v") < F.col(f"_l{i}"), F.col("_v"))).alias(f"_w{i}") for i in range(len(names))],
-        *[F.min(F.when(F.col("_v") > F.col(f"_h{i}"), F.col("_v"))).alias(f"_x{i}") for i in range(len(names))])
-    wider = wider.select(*ks, "_n", *[F.coalesce(f"_w{i}", f"_l{i}").alias(f"_l{i}") for i in range(len(names))], *[F.coalesce(f"_x{i}", f"_h{i}").alias(f"_h{i}") for i in range(len(names))])
-    rows = d.join(wider, ks)
-    below = rows.groupBy(*ks).agg(F.first("_n").alias("_n"), *[F.sum((F.col("_v") < F.col(f"_l{i}")).cast("bigint")).alias(f"_b{i}") for i in range(len(names))])
-    hit = F.array_compact(F.array(*[F.when(F.col("_v").between(F.col(f"_l{i}"), F.col(f"_h{i}")), F.lit(i)) for i in range(len(names))]))
-    inside = rows.select(*ks, "_v", F.explode(hit).alias("_q")).groupBy(*ks, "_q", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    run = F.sum("_c").over(W.partitionBy(*ks, "_q").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
-    start = F.element_at(F.array(*[F.col(f"_b{i}") for i in range(len(names))]), F.col("_q") + 1)
-    placed = inside.withColumn("_run", run).join(below, ks).withColumn("_stop", start + F.col("_run")).withColumn("_from", F.col("_stop") - F.col("_c"))
+    sketch = d.groupBy(*ks).agg(F.percentile_approx("_v", F.array(*map(F.lit, marks)), accuracy).alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    small = F.col("_n") <= 4 * accuracy
+    edge = lambda k, at, end: F.when(small | F.lit(at == end), F.col("_lo" if end == 0 else "_hi")).otherwise(F.get("_m", F.lit(k)))
+    sides = [(edge(2 * i, marks[2 * i], 0), edge(2 * i + 1, marks[2 * i + 1], 1)) for i in range(len(names))]
+    sketch = sketch.select(*ks, "_n", *[c.alias(f"_{s}{i}") for i, pair in enumerate(sides) for s, c in zip("lh", pair)])
+    # per wanted quantile: the value inside the bracket, null below it, no entry above it
+    v = F.col("_v")
+    entry = lambda i: F.when(v <= F.col(f"_h{i}"), F.struct(F.lit(i).alias("q"), F.when(v >= F.col(f"_l{i}"), v).alias("v")))
+    rows = d.join(sketch, ks).select(*ks, "_n", F.explode(F.array_compact(F.array(*[entry(i) for i in range(len(names))]))).alias("_e"))
+    counts = rows.groupBy(*ks, F.col("_e.q").alias("_q"), F.col("_e.v").alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    run = F.sum("_c").over(W.partitionBy(*ks, "_q").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
     share = F.element_at(F.array(*[F.lit(float(probs[n])) for n in names]), F.col("_q") + 1)
-    placed = placed.withColumn("_pos", share * (F.col("_n") - 1))
+    placed = counts.withColumn("_stop", run).withColumn("_from", F.col("_stop") - F.col("_c")).withColumn("_pos", share * (F.col("_n") - 1))
     k0, k1 = F.floor("_pos"), F.ceil("_pos")
     has = lambda k: (k >= F.col("_from")) & (k < F.col("_stop"))
     weight = F.when(has(k0), 1 - (F.col("_pos") - k0)).otherwise(0.0) + F.when(has(k1) & (k1 > k0), 1 - (k1 - F.col("_pos"))).otherwise(0.0)
