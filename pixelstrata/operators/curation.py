@@ -263,8 +263,11 @@ def route_gates(integrity: DataFrame, stability: DataFrame, references: DataFram
         "overall", F.when(F.col("integrity") == "PASS", "WARN").otherwise("FAIL"))
 
 
-def pair_similarity_parts(pairs: DataFrame, vectors: DataFrame, high: float) -> DataFrame:
-    """Full, low-, high-frequency and gradient correlation of given (a, b, corr) pairs of 8 x 8 contents."""
+def pair_similarity_parts(pairs: DataFrame, vectors: DataFrame, high: float, high_ssim: float) -> DataFrame:
+    """Full, centre, low-, high-frequency and gradient correlation and centre SSIM of given (a, b, corr) pairs of 8 x 8 contents.
+
+    A pair is highly similar when its full similarity, its centre correlation or its centre SSIM is high.
+    """
     from pixelstrata.functions.scalars import corr_from_moments
     from pixelstrata.operators.similarity import dot
 
@@ -281,18 +284,26 @@ def pair_similarity_parts(pairs: DataFrame, vectors: DataFrame, high: float) ->
         return F.transform(idx, lambda i: right(i) + down(i))
 
     p = vectors.select("id", "vec", low(F.col("vec")).alias("lo"), gradient(F.col("vec")).alias("gr"))
-    p = p.withColumn("hi", F.zip_with("vec", "lo", lambda a, b: a - b))
-    side = lambda s: p.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("lo", "hi", "gr")])
+    centre = F.array(*[F.lit(8 * r + c + 1) for r in range(2, 6) for c in range(2, 6)])
+    p = p.withColumn("hi", F.zip_with("vec", "lo", lambda a, b: a - b)).withColumn("roi", F.transform(centre, lambda i: F.element_at("vec", i)))
+    side = lambda s: p.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("lo", "hi", "gr", "roi")])
     j = pairs.join(side("a"), "a").join(side("b"), "b")
 
-    def corr(c: str):
+    def moments(c: str, n: int):
         a, b = F.col(f"a_{c}"), F.col(f"b_{c}")
-        mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / 64
-        var = lambda v: F.greatest(dot(v, v) / 64 - mean(v) * mean(v), F.lit(0.0))
-        return corr_from_moments(dot(a, b) / 64 - mean(a) * mean(b), var(a), var(b))
-
-    return j.select("a", "b", F.col("corr").alias("full_correlation"), corr("lo").alias("low_correlation"), corr("hi").alias("high_correlation"),
-                    corr("gr").alias("gradient_correlation"), (F.col("corr") >= high).alias("high_similarity"))
+        mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n
+        var = lambda v: F.greatest(dot(v, v) / n - mean(v) * mean(v), F.lit(0.0))
+        return mean(a), mean(b), dot(a, b) / n - mean(a) * mean(b), var(a), var(b)
+
+    def corr(c: str, n: int = 64):
+        return corr_from_moments(*moments(c, n)[2:])
+
+    ma, mb, cov, va, vb = moments("roi", 16)
+    c1, c2 = 0.01**2, 0.03**2  # stabilisers for contents of unit range
+    ssim = (2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
+    d = j.select("a", "b", F.col("corr").alias("full_correlation"), corr("roi", 16).alias("center_correlation"), ssim.alias("center_ssim"), corr("lo").alias("low_correlation"), corr("hi").alias("high_correlation"),
+                 corr("gr").alias("gradient_correlation"))
+    return d.withColumn("high_similarity", (F.col("full_correlation") >= high) | (F.coalesce("center_correlation", F.lit(0.0)) >= high) | (F.col("center_ssim") >= high_ssim))
 
 
 def source_independence(edges: DataFrame, members: DataFrame) -> DataFrame:

@@ -119,34 +119,42 @@ def _(t: Tables):
 # low part: mean of 2 x 2 blocks of the 8 x 8 content; high part: the rest; gradient: forward differences
 LOW = "list_transform(range(64), lambda i: (u[(i // 16) * 16 + ((i % 8) // 2) * 2 + 1] + u[(i // 16) * 16 + ((i % 8) // 2) * 2 + 2] + u[(i // 16) * 16 + ((i % 8) // 2) * 2 + 9] + u[(i // 16) * 16 + ((i % 8) // 2) * 2 + 10]) / 4)"
 GRAD = "list_transform(range(64), lambda i: CASE WHEN i % 8 = 7 THEN 0 ELSE abs(u[i + 2] - u[i + 1]) END + CASE WHEN i >= 56 THEN 0 ELSE abs(u[i + 9] - u[i + 1]) END)"
+ROI = "[" + ", ".join(f"u[{8 * r + c + 1}]" for r in range(2, 6) for c in range(2, 6)) + "]"
 PART_CTE = f"""
-    pt AS (SELECT id, u, {LOW} AS lo, {GRAD} AS gr FROM fx_unit), pu AS (SELECT id, u, lo, list_transform(range(1, 65), lambda i: u[i] - lo[i]) AS hi, gr FROM pt)"""
+    pt AS (SELECT id, u, {LOW} AS lo, {GRAD} AS gr, {ROI} AS ro FROM fx_unit), pu AS (SELECT id, u, lo, list_transform(range(1, 65), lambda i: u[i] - lo[i]) AS hi, gr, ro FROM pt)"""
 
 
-def lcorr(a: str, b: str) -> str:
-    """Pearson of two 64-lists."""
-    m = lambda v: f"(list_sum({v}) / 64)"
-    cov = f"(list_dot_product({a}, {b}) / 64 - {m(a)} * {m(b)})"
-    var = lambda v: f"greatest(list_dot_product({v}, {v}) / 64 - {m(v)} * {m(v)}, 0)"
+def lcorr(a: str, b: str, n: int = 64) -> str:
+    """Pearson of two lists of n."""
+    m = lambda v: f"(list_sum({v}) / {n})"
+    cov = f"(list_dot_product({a}, {b}) / {n} - {m(a)} * {m(b)})"
+    var = lambda v: f"greatest(list_dot_product({v}, {v}) / {n} - {m(v)} * {m(v)}, 0)"
     return f"CASE WHEN sqrt({var(a)}) * sqrt({var(b)}) > 1e-12 THEN {cov} / (sqrt({var(a)}) * sqrt({var(b)})) END"
 
 
+def lssim(a: str, b: str, n: int) -> str:
+    m = lambda v: f"(list_sum({v}) / {n})"
+    cov = f"(list_dot_product({a}, {b}) / {n} - {m(a)} * {m(b)})"
+    var = lambda v: f"greatest(list_dot_product({v}, {v}) / {n} - {m(v)} * {m(v)}, 0)"
+    return f"((2 * {m(a)} * {m(b)} + 0.0001) * (2 * {cov} + 0.0009) / (({m(a)} * {m(a)} + {m(b)} * {m(b)} + 0.0001) * ({var(a)} + {var(b)} + 0.0009)))"
+
+
 @query("content_similarity", f"""WITH {PART_CTE}
-    SELECT e.a, e.b, R6(e.corr) AS full_correlation, R6({lcorr('p.lo', 'q.lo')}) AS low_correlation, R4({lcorr('p.hi', 'q.hi')}) AS high_correlation, R4({lcorr('p.gr', 'q.gr')}) AS gradient_correlation,
-      e.corr >= 0.9 AS high_similarity FROM fx_near e JOIN pu p ON p.id = e.a JOIN pu q ON q.id = e.b""")
+    SELECT e.a, e.b, R6(e.corr) AS full_correlation, R4({lcorr('p.ro', 'q.ro', 16)}) AS center_correlation, R4({lssim('p.ro', 'q.ro', 16)}) AS center_ssim, R6({lcorr('p.lo', 'q.lo')}) AS low_correlation, R4({lcorr('p.hi', 'q.hi')}) AS high_correlation, R4({lcorr('p.gr', 'q.gr')}) AS gradient_correlation,
+      (e.corr >= 0.9 OR coalesce({lcorr('p.ro', 'q.ro', 16)}, 0) >= 0.9 OR {lssim('p.ro', 'q.ro', 16)} >= 0.95) AS high_similarity FROM fx_near e JOIN pu p ON p.id = e.a JOIN pu q ON q.id = e.b""")
 def _(t: Tables):
     reps, _star = X.copies(cut_lineage(t.text_sets()))
-    return sel(C.pair_similarity_parts(X.near_texts(reps, NEAR), t.contents(), STRICT), ["a", "b"], 4, full_correlation=6, low_correlation=6)
+    return sel(C.pair_similarity_parts(X.near_texts(reps, NEAR), t.contents(), STRICT, 0.95), ["a", "b"], 4, full_correlation=6, low_correlation=6)
 
 
 @query("perceptual_hash")
 def _(t: Tables):
-    return M.perceptual_hash(t.contents(), ["id"], "vec", 8)
+    return M.perceptual_hash(t.contents(n=1024), ["id"], "vec", 32)
 
 
 @query("perceptual_hash_matches")
 def _(t: Tables):
-    h = M.perceptual_hash(t.contents(), ["id"], "vec", 8)
+    h = M.perceptual_hash(t.contents(n=1024), ["id"], "vec", 32)
     return C.exact_duplicates(h, "id", "phash")
 
 

@@ -160,9 +160,9 @@ class Tables:
             F.col("n_chars").alias("size"),
         )
 
-    def contents(self, table: str = "documents", key: str = "doc_id") -> DataFrame:
-        """(id, vec): unit vectors of 64 character counts (all code points modulo 64), a stand-in content image."""
-        return character_profile(self.read(table), key, "text")
+    def contents(self, table: str = "documents", key: str = "doc_id", n: int = 64) -> DataFrame:
+        """(id, vec): unit vectors of n character counts (all code points modulo n), a stand-in content image."""
+        return character_profile(self.read(table), key, "text", n)
 
     def text_sets(self, table: str = "documents", key: str = "doc_id") -> DataFrame:
         """(id, sha, shingles, bands): what identifies a whole text and what finds its near copies."""
