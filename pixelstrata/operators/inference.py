@@ -401,26 +401,36 @@ def smoothing_risk(df: DataFrame, key: str, gradient: str, gain: str, order: lis
         F.col(f"_w.{gradient}").alias("worst_gradient"), *[F.col(f"_w.{o}").alias(f"worst_{o}") for o in order])
 
 
-def lofo_select(folders: DataFrame, metric: str, high: str, low: str, quantiles: list[float]) -> DataFrame:
-    """Per held-out condition: best threshold on the others, then its outcome on the held-out one.
+def lofo_select(folders: DataFrame, metric: str, high: str, low: str, quantiles: list[float], ramps: list[tuple[float, float]]) -> DataFrame:
+    """Per held-out condition and kind of rule: the best rule on the other conditions, then its outcome on the held-out one.
 
+    A rule gives the weight of the high source by the metric. Hard rules switch at a quantile of the
+    training conditions, linear ones ramp between two quantiles, constant ones always take one source.
     ``folders``: one row per condition (folder, metric, gain of each source).
     """
     pairs = paired(folders.select("folder", dbl(metric).alias("m"), dbl(high).alias("h"), dbl(low).alias("l")), "folder", unordered=False)
     tr = pairs.select(F.col("a.folder").alias("heldout"), F.col("a").alias("own"), F.col("b").alias("t"))
-    thr = tr.groupBy("heldout").agg(F.percentile("t.m", F.array(*[F.lit(float(q)) for q in quantiles])).alias("_q"))
-    names = [f"q{int(round(q * 100)):02d}" for q in quantiles]
-    thr = thr.select("heldout", F.explode(F.array(*[F.struct(F.lit(nm).alias("candidate"), F.element_at("_q", i + 1).alias("threshold"))
-                                                     for i, nm in enumerate(names)])).alias("c")).select("heldout", "c.*")
-    scored = tr.join(thr, "heldout").withColumn("g", F.when(F.col("t.m") >= F.col("threshold"), F.col("t.h")).otherwise(F.col("t.l")))
-    s = scored.groupBy("heldout", "candidate", "threshold").agg(
+    levels = sorted({*quantiles, *(q for pair in ramps for q in pair)})
+    q = tr.groupBy("heldout").agg(F.percentile("t.m", F.array(*[F.lit(float(x)) for x in levels])).alias("_q"))
+    at = lambda x: F.element_at("_q", levels.index(x) + 1)
+    name = lambda x: f"q{int(round(x * 100)):02d}"
+    rule = lambda n, kind, lo, hi, w: F.struct(F.lit(n).alias("candidate"), F.lit(kind).alias("kind"), lo.alias("low"), hi.alias("high"), F.lit(w).cast("double").alias("fixed"))
+    none = F.lit(None).cast("double")
+    rules = [rule(f"hard_{name(x)}", "hard", at(x), at(x), None) for x in quantiles] + [rule(f"linear_{name(x)}_{name(y)}", "linear", at(x), at(y), None) for x, y in ramps]
+    rules += [rule("always_high", "constant", none, none, 1.0), rule("always_low", "constant", none, none, 0.0)]
+    cand = q.select("heldout", F.explode(F.array(*rules)).alias("c")).select("heldout", "c.*")
+
+    def weight(m: Column) -> Column:
+        ramp = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (m - F.col("low")) / (F.col("high") - F.col("low"))))
+        return F.coalesce("fixed", F.when(F.col("high") > F.col("low"), ramp).otherwise((m >= F.col("low")).cast("double")))
+
+    gain = lambda c: weight(F.col(f"{c}.m")) * F.col(f"{c}.h") + (1 - weight(F.col(f"{c}.m"))) * F.col(f"{c}.l")
+    key = ["heldout", "candidate", "kind", "low", "high", "fixed"]
+    s = tr.join(cand, "heldout").withColumn("g", gain("t")).groupBy(*key).agg(
         F.avg("g").alias("train_gain"), F.sum((F.col("g") < 0).cast("bigint")).alias("negative_folders"), F.first("own").alias("own"))
-    w = W.partitionBy("heldout").orderBy(F.round("train_gain", 9).desc(), "negative_folders", "candidate")
+    w = W.partitionBy("heldout", "kind").orderBy(F.round("train_gain", 9).desc(), "negative_folders", "candidate")
     best = s.withColumn("_k", F.row_number().over(w)).where("_k = 1")
-    up = F.col("own.m") >= F.col("threshold")
-    return best.select(
-        "heldout", "candidate", "threshold", "train_gain", "negative_folders", F.when(up, "high").otherwise("low").alias("source"),
-        F.when(up, F.col("own.h")).otherwise(F.col("own.l")).alias("heldout_gain"))
+    return best.select("heldout", "candidate", "kind", "low", "high", "train_gain", "negative_folders", weight(F.col("own.m")).alias("high_weight"), gain("own").alias("heldout_gain"))
 
 
 def leave_one_out_moments(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -419,19 +419,25 @@ def _(t: Tables):
     return sel(I.leave_one_out_moments(t.metrics(), "folder", "psnr_gain"), ["heldout"], 6)
 
 
-@query("lofo_select", """
+RULES = {f"hard_q{int(q * 100)}": (q, q) for q in QS} | {"linear_q00_q100": (0.0, 1.0), "linear_q25_q75": (0.25, 0.75)}
+RULE_SQL = " UNION ALL ".join(
+    [f"SELECT heldout, '{n}' AS candidate, '{n.split('_')[0]}' AS kind, quantile_cont(m, {lo}) AS low, quantile_cont(m, {hi}) AS high, NULL::DOUBLE AS fixed FROM tr GROUP BY heldout" for n, (lo, hi) in RULES.items()]
+    + [f"SELECT heldout, 'always_{n}', 'constant', NULL, NULL, {w}::DOUBLE FROM tr GROUP BY heldout" for n, w in (("high", 1), ("low", 0))])
+WEIGHT_SQL = "coalesce(fixed, CASE WHEN high > low THEN greatest(0, least(1, (m - low) / (high - low))) ELSE (m >= low)::INT END)"
+
+
+@query("lofo_select", f"""
     WITH f AS (SELECT e.folder, any_value(mean_signal) AS m, avg(psnr_gain) FILTER (model = 'H') AS h, avg(psnr_gain) FILTER (model = 'P') AS l FROM fx_eval e JOIN fx_cond c ON e.folder = c.folder GROUP BY e.folder),
-      th AS (SELECT a.folder AS heldout, quantile_cont(b.m, [0.25, 0.5, 0.75]) AS q FROM f a JOIN f b ON a.folder <> b.folder GROUP BY a.folder),
-      cd AS (SELECT heldout, unnest(['q25', 'q50', 'q75']) AS candidate, unnest(q) AS threshold FROM th),
-      sc AS (SELECT heldout, candidate, threshold, avg(CASE WHEN b.m >= threshold THEN b.h ELSE b.l END) AS tg, sum((CASE WHEN b.m >= threshold THEN b.h ELSE b.l END < 0)::INT)::BIGINT AS nf
-        FROM cd JOIN f b ON b.folder <> heldout GROUP BY ALL),
-      bs AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY heldout ORDER BY round(tg, 9) DESC, nf, candidate) = 1)
-    SELECT heldout, candidate, R4(threshold) AS threshold, R6(tg) AS train_gain, nf AS negative_folders, CASE WHEN m >= threshold THEN 'high' ELSE 'low' END AS source,
-      R6(CASE WHEN m >= threshold THEN h ELSE l END) AS heldout_gain FROM bs JOIN f ON f.folder = heldout""")
+      tr AS (SELECT a.folder AS heldout, b.m, b.h, b.l FROM f a JOIN f b ON a.folder <> b.folder), cd AS ({RULE_SQL}),
+      sg AS (SELECT cd.*, {WEIGHT_SQL} * h + (1 - {WEIGHT_SQL}) * l AS g FROM cd JOIN tr USING (heldout)),
+      sc AS (SELECT heldout, candidate, kind, low, high, fixed, avg(g) AS tg, sum((g < 0)::INT)::BIGINT AS nf FROM sg GROUP BY ALL),
+      bs AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY heldout, kind ORDER BY round(tg, 9) DESC, nf, candidate) = 1)
+    SELECT heldout, candidate, kind, R4(low) AS low, R4(high) AS high, R6(tg) AS train_gain, nf AS negative_folders, R6({WEIGHT_SQL}::DOUBLE) AS high_weight,
+      R6({WEIGHT_SQL} * h + (1 - {WEIGHT_SQL}) * l) AS heldout_gain FROM bs JOIN f ON f.folder = heldout""")
 def _(t: Tables):
     g = lambda m: F.avg(F.when(F.col("model") == m, F.col("psnr_gain")))
     f = t.evals().groupBy("folder").agg(g("H").alias("h"), g("P").alias("l")).join(t.conditions().select("folder", "mean_signal"), "folder")
-    return sel(I.lofo_select(f, "mean_signal", "h", "l", QS), ["heldout", "candidate"], 6, threshold=4)
+    return sel(I.lofo_select(f, "mean_signal", "h", "l", QS, [(0.0, 1.0), (0.25, 0.75)]), ["heldout", "candidate", "kind"], 6, low=4, high=4)
 
 
 ROUNDS, SEED = 200, 20260716

@@ -325,3 +325,21 @@ def test_decisions_compare_inside_each_reference(spark):
     rows = [(ref, v, f, g) for ref, mine, fixed in (("odd", 1.0, 0.5), ("even", 3.0, 2.5)) for v, g in (("H-L", mine), ("P-L", fixed)) for f in range(10)]
     one, checks = primary_checks(spark.createDataFrame(rows, "reference string, variant string, folder long, g double"), "H-L", ["P-L", "P-H"])
     assert verdict(one, checks, ["advantage", "sign_agreement"]).collect()[0].status == "GO"
+
+
+def test_lofo_select_kinds_of_rules(spark):
+    """Against the definition: quantiles of the training conditions, gains blended by the weight."""
+    r = np.random.default_rng(5)
+    f = pd.DataFrame({"folder": range(7), "m": r.normal(size=7), "h": r.normal(size=7), "l": r.normal(size=7)})
+    got = I.lofo_select(spark.createDataFrame(f), "m", "h", "l", [0.25, 0.5], [(0.0, 1.0)]).toPandas()
+    assert sorted(got.groupby("heldout").kind.apply(sorted).map(tuple)) == [("constant", "hard", "linear")] * 7
+    for x in got.itertuples():
+        t, own = f[f.folder != x.heldout], f[f.folder == x.heldout].iloc[0]
+        weights = {
+            "hard_q25": lambda m: (m >= np.quantile(t.m, 0.25)) * 1.0, "hard_q50": lambda m: (m >= np.quantile(t.m, 0.5)) * 1.0,
+            "linear_q00_q100": lambda m: np.clip((m - t.m.min()) / (t.m.max() - t.m.min()), 0, 1), "always_high": lambda m: m * 0 + 1, "always_low": lambda m: m * 0}
+        gains = {k: (w(t.m) * t.h + (1 - w(t.m)) * t.l).mean() for k, w in weights.items()}
+        rivals = [k for k in weights if k.split("_")[0] == x.kind or x.kind == "constant" and k.startswith("always")]
+        assert x.candidate == max(rivals, key=gains.get) and x.train_gain == pytest.approx(gains[x.candidate])
+        w = weights[x.candidate](own.m)
+        assert (x.high_weight, x.heldout_gain) == (pytest.approx(w), pytest.approx(w * own.h + (1 - w) * own.l))
