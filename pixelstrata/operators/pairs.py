@@ -337,23 +337,39 @@ def decoupling_checks(summary: DataFrame, variants: list[str], std_limit: float,
 
 
 def pair_moment_gate(df: DataFrame, keys: list[str], sigma: str, range_max: int, limits: dict[str, float]) -> DataFrame:
-    """Residual moments, clipping, mean z-score and the reasons a pair fails."""
+    """Residual moments, added clipping, mean z-score and the reasons a pair fails.
+
+    Zeros and full-scale pixels count as far as the clean image does not have them already. Round-trip
+    errors are those of rounding the noisy values to integers. Without a z limit the brightness shift decides.
+    """
     r = F.col("noisy") - F.col("clean")
+    rounded = F.least(F.greatest(F.rint("noisy"), F.lit(0)), F.lit(range_max))
+    added = lambda noisy, clean: F.greatest(F.avg(noisy.cast("double")) - F.avg(clean.cast("double")), F.lit(0.0))
     hard = F.least(F.greatest(F.col("noisy"), F.lit(0)), F.lit(range_max))
     g = df.groupBy(*keys, sigma).agg(
         F.count(F.lit(1)).alias("pixels"), F.avg(r).alias("residual_mean"), F.stddev_pop(r).alias("residual_std"),
         F.skewness(r).alias("skewness"), F.kurtosis(r).alias("excess_kurtosis"),
         F.avg((F.col("noisy") <= 0).cast("double")).alias("zero_ratio"), F.avg((F.col("noisy") >= range_max).cast("double")).alias("one_ratio"),
+        added(F.col("noisy") <= 0, F.col("clean") <= 0).alias("added_zero_ratio"), added(F.col("noisy") >= range_max, F.col("clean") >= range_max).alias("added_one_ratio"),
+        F.max(F.abs(rounded - hard)).cast("double").alias("noisy_round_trip"), F.max(F.abs((rounded - F.col("clean")) - (hard - F.col("clean")))).cast("double").alias("residual_round_trip"),
         (F.avg(hard) - F.avg("clean")).alias("brightness_shift"))
     g = g.withColumn("std_relative_error", safe_div(F.abs(F.col("residual_std") - F.col(sigma)), F.col(sigma))).withColumn(
         "z_mean", safe_div(F.col("residual_mean") * F.sqrt(dbl("pixels")), F.col(sigma))).withColumn(
         "clipping_contribution", F.col("brightness_shift") - F.col("residual_mean"))
+    finite = F.lit(True)
+    for c in ("residual_mean", "residual_std", "skewness", "excess_kurtosis", "brightness_shift", "std_relative_error", "z_mean"):
+        finite = finite & F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    by_z = "z_mean" in limits
     reasons = flag_list(
+        ("NONFINITE", ~finite),
         ("SIGMA_ERROR", F.col("std_relative_error") >= limits["std_relative_error"]),
-        ("RESIDUAL_MEAN_Z", F.abs("z_mean") > limits["z_mean"]),
-        ("RESIDUAL_MEAN_SAFETY", F.abs("residual_mean") >= limits["residual_mean"]),
-        ("ZERO_CLIPPING", F.col("zero_ratio") >= limits["zero_ratio"]),
-        ("ONE_CLIPPING", F.col("one_ratio") >= limits["one_ratio"]))
+        ("RESIDUAL_MEAN_Z", F.abs("z_mean") > limits["z_mean"] if by_z else F.lit(False)),
+        ("RESIDUAL_MEAN_SAFETY", F.abs("residual_mean") >= limits["residual_mean"] if by_z else F.lit(False)),
+        ("BRIGHTNESS", F.lit(False) if by_z else F.abs("brightness_shift") >= limits["brightness_shift"]),
+        ("ZERO_CLIPPING", F.col("added_zero_ratio") >= limits["zero_ratio"]),
+        ("ONE_CLIPPING", F.col("added_one_ratio") >= limits["one_ratio"]),
+        ("NOISY_ROUND_TRIP", F.col("noisy_round_trip") > limits.get("round_trip", 0.5)),
+        ("RESIDUAL_ROUND_TRIP", F.col("residual_round_trip") > limits.get("round_trip", 0.5)))
     return g.withColumn("fail_reasons", reasons).withColumn("passed", F.col("fail_reasons") == "")
 
 

@@ -535,8 +535,11 @@ def prefix_references(pixels: DataFrame, ranges: dict[str, tuple[float, float]])
         F.count(F.lit(1)).alias("frames"), F.avg("dn").alias("mean"))
 
 
-def registration_shift(tiles: DataFrame, group: int, upsample: int = 10) -> DataFrame:
-    """Sub-pixel shift of frame-group means against their common mean (phase correlation)."""
+def registration_shift(tiles: DataFrame, group: int, upsample: int = 10, sigma: float = 1.0) -> DataFrame:
+    """Sub-pixel shift of frame-group means against their common mean (phase correlation).
+
+    Frequencies weigh as a Gaussian smoothing of both images leaves them, so pixel noise does not decide the peak.
+    """
     import numpy as np
     import pandas as pd
 
@@ -553,6 +556,7 @@ def registration_shift(tiles: DataFrame, group: int, upsample: int = 10) -> Data
         b = pdf.m.to_numpy().reshape(h, w)
         cross = np.fft.fft2(a) * np.conj(np.fft.fft2(b))
         cross /= np.maximum(np.abs(cross), 1e-12)
+        cross *= np.exp(-4 * (np.pi * sigma) ** 2 * (np.fft.fftfreq(h)[:, None] ** 2 + np.fft.fftfreq(w)[None] ** 2))
         peak = np.unravel_index(np.argmax(np.abs(np.fft.ifft2(cross))), (h, w))
         whole = [p - n if p > n // 2 else p for p, n in zip(peak, (h, w))]
         # local DFT around the whole-pixel peak at 1/upsample steps

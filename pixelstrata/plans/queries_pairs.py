@@ -262,17 +262,18 @@ def _(t: Tables):
 @query("pair_moment_gate", f"""WITH {TARGET_STD_CTE},
     b AS (SELECT pair_key, (target * 2) AS target, clean, noisy, (noisy - clean)::DOUBLE AS r FROM fx_pairs JOIN ts USING (folder)),
     g AS (SELECT pair_key, target, count(*) AS n, avg(r) AS m, stddev_pop(r) AS s, avg((noisy <= 0)::INT) AS z, avg((noisy >= 65535)::INT) AS o,
+        greatest(avg((noisy <= 0)::INT) - avg((clean <= 0)::INT), 0) AS az, greatest(avg((noisy >= 65535)::INT) - avg((clean >= 65535)::INT), 0) AS ao,
         avg(least(greatest(noisy, 0), 65535)) - avg(clean) AS bs FROM b GROUP BY ALL),
     k AS (SELECT pair_key, avg(pow((r - m) / s, 3)) AS sk, avg(pow((r - m) / s, 4)) - 3 AS ku FROM b JOIN g USING (pair_key) GROUP BY pair_key),
     f AS (SELECT *, abs(s - g.target) / g.target AS se, m * sqrt(n) / g.target AS zm FROM g JOIN k USING (pair_key)),
-    h AS (SELECT *, array_to_string(list_filter([CASE WHEN o >= 0.01 THEN 'ONE_CLIPPING' END, CASE WHEN abs(m) >= 1000 THEN 'RESIDUAL_MEAN_SAFETY' END,
-      CASE WHEN abs(zm) > 2 THEN 'RESIDUAL_MEAN_Z' END, CASE WHEN se >= 0.1 THEN 'SIGMA_ERROR' END, CASE WHEN z >= 0.01 THEN 'ZERO_CLIPPING' END], lambda v: v IS NOT NULL), ';') AS fail_reasons FROM f)
+    h AS (SELECT *, array_to_string(list_filter([CASE WHEN sk IS NULL OR ku IS NULL OR isnan(sk) OR isnan(ku) OR isinf(sk) OR isinf(ku) THEN 'NONFINITE' END, CASE WHEN ao >= 0.01 THEN 'ONE_CLIPPING' END, CASE WHEN abs(m) >= 1000 THEN 'RESIDUAL_MEAN_SAFETY' END,
+      CASE WHEN abs(zm) > 2 THEN 'RESIDUAL_MEAN_Z' END, CASE WHEN se >= 0.1 THEN 'SIGMA_ERROR' END, CASE WHEN az >= 0.01 THEN 'ZERO_CLIPPING' END], lambda v: v IS NOT NULL), ';') AS fail_reasons FROM f)
     SELECT pair_key, R4(target) AS target, n AS pixels, R4(m) AS residual_mean, R4(s) AS residual_std, R6(sk) AS skewness, R6(ku) AS excess_kurtosis, R6(z) AS zero_ratio,
-      R6(o) AS one_ratio, R4(bs) AS brightness_shift, R6(se) AS std_relative_error, R6(zm) AS z_mean, R4(bs - m) AS clipping_contribution, fail_reasons, fail_reasons = '' AS passed FROM h""")
+      R6(o) AS one_ratio, R6(az) AS added_zero_ratio, R6(ao) AS added_one_ratio, 0::DOUBLE AS noisy_round_trip, 0::DOUBLE AS residual_round_trip, R4(bs) AS brightness_shift, R6(se) AS std_relative_error, R6(zm) AS z_mean, R4(bs - m) AS clipping_contribution, fail_reasons, fail_reasons = '' AS passed FROM h""")
 def _(t: Tables):
     d = with_target(t).withColumn("target", F.col("target") * 2)
     g = P.pair_moment_gate(d, K, "target", TOP, dict(std_relative_error=0.1, z_mean=2.0, residual_mean=1000.0, zero_ratio=0.01, one_ratio=0.01))
-    return sel(g, K, 4, skewness=6, excess_kurtosis=6, zero_ratio=6, one_ratio=6, std_relative_error=6, z_mean=6)
+    return sel(g, K, 4, skewness=6, excess_kurtosis=6, zero_ratio=6, one_ratio=6, added_zero_ratio=6, added_one_ratio=6, std_relative_error=6, z_mean=6)
 
 
 SHIFT_CTE = "fs AS (SELECT strategy, folder, frame, avg(noisy) AS i, avg(value) AS o, avg(value) - avg(noisy) AS d FROM fx_pred GROUP BY ALL)"

@@ -111,8 +111,13 @@ def test_registration_finds_a_known_shift(spark):
     base = r.normal(size=(16, 16))
     frames = np.stack([np.roll(base, s, axis=(0, 1)) for s in ((0, 0), (0, 0), (0, 0), (2, 0))]) * 100 + 1000
     t = tile_pixels(pixels(spark, frames), ["folder", "frame"], 16)
-    s = T.registration_shift(t, 1).collect()[0]
+    s = T.registration_shift(t, 1, sigma=0.0).collect()[0]
     assert s.groups == 4 and s.shift_max == pytest.approx(2.0, abs=0.1)
+    y, x = np.mgrid[0:32, 0:32]
+    spot = sum(np.exp(-((y - cy) ** 2 + (x - cx) ** 2) / 8) for cy, cx in ((8, 9), (20, 14), (15, 25))) * 1000
+    noisy = np.stack([np.roll(spot, s, axis=(0, 1)) + r.normal(size=(32, 32)) * 40 for s in ((0, 0), (0, 0), (0, 0), (6, 0))]) + 1000
+    s = T.registration_shift(tile_pixels(pixels(spark, noisy), ["folder", "frame"], 32), 1).collect()[0]
+    assert s.shift_max == pytest.approx(6.0, abs=0.3)  # noise in every pixel does not move the peak
 
 
 def test_tiles_round_trip(spark, stack):
@@ -240,11 +245,17 @@ def test_greedy_pick_skips_used(spark):
 
 
 def test_mask_and_gate_reasons(spark):
-    rows = [("p", 0, 0, 0, 100, 50.0), ("p", 0, 1, 200, 0, 50.0), ("p", 1, 0, 300, 65535, 50.0)]
+    rows = [("p", 0, 0, 10, 100, 50.0), ("p", 0, 1, 200, 0, 50.0), ("p", 1, 0, 300, 65535, 50.0)]
     df = spark.createDataFrame(rows, "pair_key string, y int, x int, clean long, noisy long, target double")
     lim = dict(std_relative_error=0.1, z_mean=2.0, residual_mean=10.0, zero_ratio=0.1, one_ratio=0.1)
     g = P.pair_moment_gate(df, ["pair_key"], "target", 65535, lim).collect()[0]
     assert g.fail_reasons == "ONE_CLIPPING;RESIDUAL_MEAN_SAFETY;RESIDUAL_MEAN_Z;SIGMA_ERROR;ZERO_CLIPPING" and not g.passed
+    # zeros that the clean image has already are not added ones; without a z limit the brightness shift decides
+    dark = spark.createDataFrame([("d", y, x, 0, 0, 1.0) for y in range(4) for x in range(4)], df.schema)
+    g = P.pair_moment_gate(dark, ["pair_key"], "target", 65535, lim).collect()[0]
+    assert (g.zero_ratio, g.added_zero_ratio) == (1.0, 0.0) and "ZERO_CLIPPING" not in g.fail_reasons and "NONFINITE" in g.fail_reasons
+    bright = {k: v for k, v in lim.items() if k not in ("z_mean", "residual_mean")} | {"brightness_shift": 3.0}
+    assert "BRIGHTNESS" in P.pair_moment_gate(df, ["pair_key"], "target", 65535, bright).collect()[0].fail_reasons
 
 
 def test_bh_adjust(spark):
