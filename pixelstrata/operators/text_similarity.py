@@ -13,20 +13,27 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelstrata.functions import byte_spans
 from pixelstrata.sources.storage import cut_lineage
 
 ROWS, BANDS = 4, 24
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few partitions dealt over all tasks, before work that is heavy per row."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < 2 * tasks else df
+
+
 def text_sets(texts: DataFrame, key: str, text: str, width: int = 3, bands: int = BANDS, seed: int = 1) -> DataFrame:
     """(id, sha, shingles, bands): distinct word shingles of each whole text and its minhash bands.
 
-    Words lie between blanks, tabs and line ends. A shorter text is one shingle; a null or
-    empty one has none and no bands.
+    Words lie between blanks and the control characters from tab to carriage return. A text of
+    fewer words is one shingle; a null or empty one has none and no bands.
     """
     import numpy as np
 
@@ -34,37 +41,29 @@ def text_sets(texts: DataFrame, key: str, text: str, width: int = 3, bands: int
     rng = np.random.default_rng(seed)
     odd, turn = rng.integers(0, 1 << 63, bands * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, bands * ROWS, dtype=np.uint64)
 
-    def mixed(x):
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        return x ^ (x >> np.uint64(29))
-
-    def shingles(t: str):
-        words = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        words = np.array([w for w in words if w], dtype=object)
-        if not len(words):
-            return np.zeros(0, np.uint64)
-        h = mixed(pd.util.hash_array(words, categorize=True))
-        n = max(1, len(h) - width + 1)
-        out = np.full(n, min(len(h), width), np.uint64)
-        for k in range(min(width, len(h))):
-            out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[k:k + n])
-        return np.unique(out)
-
-    def sketch(s):
-        low = np.array([((s ^ t) * o).min() for o, t in zip(odd, turn)]).reshape(bands, ROWS)
-        key = np.arange(bands, dtype=np.uint64)
-        for k in range(ROWS):
-            key = mixed(key + low[:, k])
-        return key.view(np.int64)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            own = [t or "" for t in pdf[text]]
-            sets = [shingles(t) for t in own]
-            yield pd.DataFrame({"id": pdf[key], "sha": [hashlib.sha256(t.encode()).hexdigest() for t in own], "shingles": [s.view(np.int64) for s in sets],
-                                "bands": [sketch(s) if len(s) else np.zeros(0, np.int64) for s in sets]})
-
-    return texts.select(key, text).mapInPandas(run, f"id {kind}, sha string, shingles array<bigint>, bands array<bigint>")
+    def lists(sizes, flat):
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.view(np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_spans.slices(batch.column(1)):
+                hashes, _, _, counts = byte_spans.words(part, lower=False)
+                made, sizes = byte_spans.shingles(hashes, counts, width)
+                sets = [np.unique(made[b - n:b]) for b, n in zip(np.cumsum(sizes), sizes)]
+                n = np.array([len(x) for x in sets], np.int64)
+                full = np.flatnonzero(n)
+                flat = np.concatenate([sets[r] for r in full]) if len(full) else np.zeros(0, np.uint64)
+                signature = np.zeros((len(full), bands), np.uint64)
+                for k in range(bands if len(full) else 0):
+                    low = np.full(len(full), k, np.uint64)
+                    for j in range(k * ROWS, (k + 1) * ROWS):
+                        low = byte_spans.mix(low + np.minimum.reduceat((flat ^ turn[j]) * odd[j], np.cumsum(n[full]) - n[full]))
+                    signature[:, k] = low
+                sha = [hashlib.sha256(part.raw[a:b].tobytes()).hexdigest() for a, b in zip(part.starts, part.ends)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(part.first, len(sets)), pa.array(sha), lists(n, flat), lists((n > 0) * bands, signature.reshape(-1))], names=["id", "sha", "shingles", "bands"])
+
+    return spread(texts.select(key, text)).mapInArrow(run, f"id {kind}, sha string, shingles array<bigint>, bands array<bigint>")
 
 
 def copies(sets: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -126,7 +126,7 @@ def _(t: Tables):
     return p.select(F.col("a.folder").alias("folder_a"), F.col("b.folder").alias("folder_b"), rnd(F.abs(F.col("a.mean_signal") - F.col("b.mean_signal")), 2).alias("signal_distance"))
 
 
-BENCH_CTE = """bw AS (SELECT item_id AS id, sha256(text) AS sha, list_filter(string_split_regex(text, '[ \\n\\t\\r]+'), lambda v: v <> '') AS w FROM benchmark),
+BENCH_CTE = """bw AS (SELECT item_id AS id, sha256(text) AS sha, list_filter(string_split_regex(text, '[ \\t-\\r]+'), lambda v: v <> '') AS w FROM benchmark),
     bs AS (SELECT id, sha, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM bw)"""
 
 

@@ -268,7 +268,7 @@ SQL_VIEWS: dict[str, str] = {
         FROM (SELECT id, c, sqrt(list_sum(list_transform(c, lambda v: v * v))) AS n FROM fx_centred)""",
     "fx_shingles": """
         SELECT id, sha, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
-        FROM (SELECT doc_id AS id, sha256(text) AS sha, list_filter(string_split_regex(text, '[ \n\t\r]+'), lambda v: v <> '') AS w FROM (SELECT doc_id, text || substr(doc_id::VARCHAR, 1, 0) AS text FROM documents))""",
+        FROM (SELECT doc_id AS id, sha256(text) AS sha, list_filter(string_split_regex(text, '[ \t-\r]+'), lambda v: v <> '') AS w FROM (SELECT doc_id, text || substr(doc_id::VARCHAR, 1, 0) AS text FROM documents))""",
     "fx_reps": "SELECT sha, min(id) AS id, count(*) AS copies FROM fx_shingles GROUP BY sha",
     "fx_grams": "SELECT r.id, len(s) AS n, unnest(list_transform(s, lambda v: hash(v))) AS g FROM fx_reps r JOIN fx_shingles q ON q.id = r.id",
     "fx_met": "SELECT list_sort(list(id)) AS ids FROM fx_grams GROUP BY g HAVING count(*) > 1",
