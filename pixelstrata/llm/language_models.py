@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pixelstrata.llm.byte_spans import slices
+from pixelstrata.functions.byte_spans import slices
 from pixelstrata.llm.tables import id_remainder, stored
 
 ORDER = 4

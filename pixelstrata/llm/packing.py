@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pixelstrata.llm.byte_spans import slices
+from pixelstrata.functions.byte_spans import slices
 from pixelstrata.llm.tables import stored
 
 CAPACITY = 1024

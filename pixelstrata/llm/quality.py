@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pixelstrata.llm import byte_spans as B
+from pixelstrata.functions import byte_spans as B
 from pixelstrata.llm.tables import id_remainder, stored
 
 NAMES = (

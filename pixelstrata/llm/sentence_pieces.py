@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pixelstrata.llm.byte_spans import slices
+from pixelstrata.functions.byte_spans import slices
 
 MARK = "▁"
 CACHED_WORDS = 300_000

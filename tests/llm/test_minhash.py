@@ -8,7 +8,8 @@ from hypothesis import given, settings, strategies as st
 import numpy as np
 import pyarrow as pa
 
-from pixelstrata.llm import byte_spans as B, tensor_minhash as T
+from pixelstrata.functions import byte_spans as B
+from pixelstrata.llm import tensor_minhash as T
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
