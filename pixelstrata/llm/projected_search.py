@@ -6,7 +6,9 @@ are 2-stable: the squared projected distance of a pair is its squared distance t
 chi-square variable. Rows are cut into blocks; a task builds a kd-tree over the projections
 of one block and, for each query of one query block, verifies the leaves in the order of
 their projected distance. It stops when the chi-square test says that a row nearer than the
-k-th found so far would have been met with probability ``confidence``.
+k-th found so far would have been met with probability ``confidence``; leaves that can hold
+an equal product are opened too. Equal vectors are searched as one and expanded to their
+rows with the smallest ids afterwards. Equal scores go to the smaller id, in every cut.
 
 Defined results: vectors that are null, zero, of another length than the most frequent one or
 hold null or non-finite components take no part, nor do null ids. With fewer candidates than
@@ -30,6 +32,8 @@ LEAF = 128
 BLOCK = 16_384
 QUERY_BLOCK = 2_048
 SPARE = 8  # kept beyond k until scores are computed in a fixed order of addition
+ROUNDING = 1e-12  # squared projected distance that rounding can make of none
+SALTS = 32  # parts of a group of equal vectors
 
 
 def chi_square_quantile(p: float, degrees: int) -> float:
@@ -64,8 +68,21 @@ def kd_leaves(points: np.ndarray, leaf: int = LEAF) -> list[np.ndarray]:
     return out
 
 
-def search_block(ids, rows, query_ids, queries, top: float, k: int, confidence: float, projected: int = PROJECTED, seed: int = 5):
-    """For each query the numbers and products of its best rows of one block; ``top``: largest norm of all rows."""
+def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
+    """embedding, ids, counts: each vector once, with the k + 1 smallest ids of its rows and how many rows (k at most) each has."""
+    found = rows.groupBy("embedding", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"))
+    found = found.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
+    for by in (["embedding", "salt"], ["embedding"]):
+        found = found.withColumn("at", F.row_number().over(Window.partitionBy(by).orderBy("vec_id"))).where(F.col("at") <= k + 1).drop("at")
+    members = F.array_sort(F.collect_list(F.struct("vec_id", "n")))
+    return found.groupBy("embedding").agg(members.alias("m")).select("embedding", F.col("m.vec_id").alias("ids"), F.col("m.n").alias("counts"))
+
+
+def search_block(first, second, rows, query_ids, queries, top: float, k: int, confidence: float, projected: int = PROJECTED, seed: int = 5):
+    """For each query the numbers and products of its best rows of one block; ``top``: largest norm of all rows.
+
+    ``first`` and ``second`` are the two smallest ids of each row, equal if it has one.
+    """
     d = rows.shape[1]
     plane = np.random.default_rng(seed).normal(size=(d + 1, projected))
     lift = np.sqrt(np.maximum(0, 1 - (rows**2).sum(1) / top**2))
@@ -79,6 +96,9 @@ def search_block(ids, rows, query_ids, queries, top: float, k: int, confidence:
     gap = (gap**2).sum(2)  # projected distance to each leaf's box
     order = np.argsort(gap, axis=1, kind="stable")
     n, keep = len(queries), min(k + SPARE, len(rows))
+    wanted, slack = min(k, keep), 4 * (d + 2) * np.finfo(float).eps * top
+    place = np.unique(np.concatenate([first, second]), return_inverse=True)[1]
+    place = np.stack([place[: len(rows)], place[len(rows) :]])
     best = np.full((n, keep), -np.inf)
     who = np.full((n, keep), -1, np.int64)
     bound = chi_square_quantile(confidence, projected)
@@ -88,17 +108,25 @@ def search_block(ids, rows, query_ids, queries, top: float, k: int, confidence:
         for j in np.unique(turn):
             mine = active[(turn == j).any(1)]
             products = direction[mine] @ rows[leaves[j]].T
-            products[query_ids[mine][:, None] == ids[leaves[j]][None]] = -np.inf  # a query is no candidate of its own
+            own = (query_ids[mine][:, None] == first[leaves[j]][None]) & (query_ids[mine][:, None] == second[leaves[j]][None])
+            products[own] = -np.inf  # a query is no candidate of its own
             value = np.concatenate([best[mine], products], 1)
             name = np.concatenate([who[mine], np.broadcast_to(leaves[j], products.shape)], 1)
             pick = np.argpartition(-value, keep - 1, axis=1)[:, :keep]
+            least = np.partition(value, value.shape[1] - wanted, axis=1)[:, value.shape[1] - wanted]
+            close = (value >= least[:, None] - slack) & np.isfinite(value)
+            for c in np.flatnonzero(close.sum(1) > keep):  # more equals than room: by score and id
+                among = np.flatnonzero(close[c])
+                x = name[c, among]
+                tie = np.where(first[x] == query_ids[mine[c]], place[1, x], place[0, x])
+                pick[c] = among[np.lexsort((tie, -(rows[x] * queries[mine[c]]).sum(1)))[:keep]]
             best[mine], who[mine] = np.take_along_axis(value, pick, 1), np.take_along_axis(name, pick, 1)
         at += step
         step *= 2
         if at < len(leaves) and k <= keep:
             worst = np.partition(best[active], keep - k, axis=1)[:, keep - k]
-            distance = np.where(np.isfinite(worst), 2 - 2 * worst / top, np.inf)
-            active = active[gap[active, order[active, at]] < bound * distance]
+            distance = np.where(np.isfinite(worst), np.maximum(0, 2 - 2 * worst / top), np.inf)
+            active = active[gap[active, order[active, at]] <= bound * distance + ROUNDING]
     return who, best
 
 
@@ -108,27 +136,31 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, confidence: flo
     ``queries(vec_id, embedding)`` may be of any size; both sides meet block by block.
     """
     kind = dict(vectors.dtypes)["vec_id"]
-    rows = stored(usable(vectors.select("vec_id", "embedding").where("vec_id is not null")), "search-rows")
+    rows = stored(distinct_vectors(usable(vectors.select("vec_id", "embedding").where("vec_id is not null")), k), "search-rows")
     asked = stored(usable(queries.select("vec_id", "embedding").where("vec_id is not null")), "search-queries")
     facts = rows.select(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)).alias("m"), F.max(F.size("embedding")).alias("d")).first()
     width = facts["d"] or 0
     asked = asked.where(F.size("embedding") == width)
     top = math.sqrt(facts["m"] or 1.0)
     row_blocks, query_blocks = max(1, math.ceil(facts["n"] / block)), max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    left = rows.withColumn("r", F.pmod(F.xxhash64("vec_id"), F.lit(row_blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    left = rows.withColumn("r", F.pmod(F.xxhash64("embedding"), F.lit(row_blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     right = asked.withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks))).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
-    left = left.select("vec_id", "embedding", F.col("r").cast("int").alias("r"), F.col("q").cast("int").alias("q"))
+    left = left.select("ids", "counts", "embedding", F.col("r").cast("int").alias("r"), F.col("q").cast("int").alias("q"))
     right = right.select("vec_id", "embedding", F.col("r").cast("int").alias("r"), F.col("q").cast("int").alias("q"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(a) and len(b):
             v, w = np.stack(a["embedding"].to_numpy()), np.stack(b["embedding"].to_numpy())
-            ids, query_ids = a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
-            who, best = search_block(ids, v, query_ids, w, top, k, confidence)
+            members, counts, query_ids = a["ids"].to_numpy(), a["counts"].to_numpy(), b["vec_id"].to_numpy()
+            first, second = np.array([m[0] for m in members]), np.array([m[min(1, len(m) - 1)] for m in members])
+            who, best = search_block(first, second, v, query_ids, w, top, k, confidence)
             q, c = np.nonzero((who >= 0) & np.isfinite(best))
             x = who[q, c]
-            out = {"query_id": query_ids[q], "vec_id": ids[x], "score": (v[x] * w[q]).sum(1)}
+            hits = pd.DataFrame({"q": q, "query_id": query_ids[q], "vec_id": [np.repeat(members[i], counts[i]) for i in x], "score": (v[x] * w[q]).sum(1)})
+            hits = hits.explode("vec_id").astype({"vec_id": first.dtype})
+            hits = hits[hits["vec_id"] != hits["query_id"]].sort_values(["q", "score", "vec_id"], ascending=[True, False, True])
+            out = hits.groupby("q").head(k)[["query_id", "vec_id", "score"]]
         return pd.DataFrame(out)
 
     found = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInPandas(run, f"query_id {kind}, vec_id {kind}, score double")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pixelstrata.llm import embedding_links as E, projected_search as S
 
@@ -91,6 +92,33 @@ def test_search_odd_rows_and_ties(spark):
     assert S.nearest(df.limit(0), df, k=3).count() == 0 and S.nearest(df, df.limit(0), k=3).count() == 0
 
 
+@pytest.mark.parametrize("block", [100, 10_000])
+def test_search_many_equal_rows(spark, block):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(900, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[300:500] = 2 * v[300]  # copies of the longest vector
+    v = v.astype(np.float32)
+    ids = rng.permutation(900)
+    df = table(spark, [(int(i), x.tolist(), None) for i, x in zip(ids, v)] + [(int(ids[300]), v[300].tolist(), None)] * 3)
+    asked = [int(i) for i in ids[[300, 499, 0, 1]]]
+    got = {}
+    for r in S.nearest(df, df.where(F.col("vec_id").isin(asked)).dropDuplicates(["vec_id"]), k=20, block=block).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    extra = np.concatenate([v, v[[300] * 3]])
+    want = true_nearest(np.concatenate([ids, [ids[300]] * 3]), extra, asked, 20)
+    assert all(got[q] == [i for _, i in want[q]] for q in asked[:2])
+    assert all(len(g) == 20 for g in got.values())
+
+
+def test_search_ties_of_different_rows(spark):
+    rng = np.random.default_rng(7)
+    v = np.concatenate([np.full((600, 1), 0.5), rng.uniform(-0.5, 0.5, size=(600, 3))], 1)
+    df = table(spark, [(int(i), x.tolist(), None) for i, x in zip(rng.permutation(600), v)])
+    out = S.nearest(df, table(spark, [(-1, [1.0, 0.0, 0.0, 0.0], None)]), k=20, confidence=1 - 1e-9)
+    assert [r.vec_id for r in out.orderBy("rank").collect()] == list(range(20))
+
+
 def test_chi_square():
     assert S.chi_square_quantile(0.95, 2) == pytest.approx(5.991, abs=1e-3) and S.chi_square_quantile(0.95, 10) == pytest.approx(18.307, abs=1e-3)
     leaves = S.kd_leaves(np.random.default_rng(0).normal(size=(1000, 4)), 50)
