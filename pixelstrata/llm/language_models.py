@@ -2,13 +2,14 @@
 
 Texts become symbols: letters in lower case, every run of other characters one blank. A gram
 of four symbols packs into 64 bits, so a partition counts grams by sorting integers and Spark
-adds up the counts of all training rows. The driver builds one interpolated Kneser-Ney model
-per language from at most ``CAPACITY`` grams; each order is one sorted array of hashed keys
-with a log-probability column per language. Scoring looks grams up in these arrays, backs
-off where a gram is unknown, and takes the lowest cross-entropy per symbol.
+adds up the counts of all training rows. One interpolated Kneser-Ney model per language is
+made from all grams. Scoring looks grams up, backs off where a gram is unknown, and takes the
+lowest cross-entropy per symbol.
 
-``CAPACITY`` bounds the model that every task holds, not the rows that are read: when the
-training rows have more distinct grams, a language keeps those with the highest counts.
+Up to ``CAPACITY`` grams the models are sorted arrays of hashed keys that every task holds,
+with a log-probability column per language. Beyond, the same models are tables keyed by gram
+and the grams of each different text are joined to them. No gram is dropped either way; the
+two agree up to rounding.
 
 Rejection: per language and power of two of the length, quantiles of the cross-entropy of the
 training rows; a text far above them is written in none of the learned languages.
@@ -33,7 +34,7 @@ from pixelstrata.functions.byte_spans import slices
 from pixelstrata.llm.tables import id_remainder, stored
 
 ORDER = 4
-CAPACITY = 1_000_000
+CAPACITY = 1_000_000  # grams up to which the models are sent to every task
 LENGTH_CAP = 200  # symbols that count as evidence in the score
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = []
@@ -170,7 +171,10 @@ class HashArray:
 
 
 def _discount(n: np.ndarray) -> float:
-    one, two = float((n == 1).sum()), float((n == 2).sum())
+    return _discount_of(float((n == 1).sum()), float((n == 2).sum()))
+
+
+def _discount_of(one: float, two: float) -> float:
     return min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.05
 
 
@@ -254,25 +258,115 @@ class Models:
         return -total / np.maximum(n, 1)[:, None], letters
 
 
-def fit(training: DataFrame, capacity: int = CAPACITY) -> Models:
-    """Models from all rows of ``training(lang, text)``, both not null."""
+def _lower(gram: str, order: int) -> F.Column:
+    """The last order - 1 symbols of a gram."""
+    return F.col(gram).bitwiseAND(F.lit((1 << (16 * (order - 1))) - 1).cast("bigint"))
+
+
+@dataclass
+class ModelTable:
+    """The models as tables: for each order the direct part of each gram and the weight behind each context, by language."""
+
+    langs: list[str]
+    grams: dict[int, DataFrame]
+    contexts: dict[int, DataFrame]
+    floor: float
+    probability: tuple = ()  # no task holds arrays
+
+    @classmethod
+    def of(cls, counts: DataFrame, langs: list[str]) -> ModelTable:
+        """From all rows of ``counts(lang, gram, n)``."""
+
+        def by_language(value: str, absent: float) -> F.Column:
+            return F.array(*[F.coalesce(F.max(F.when(F.col("lang") == k, F.col(value))), F.lit(absent)) for k in langs])
+
+        vocabulary = counts.select(_lower("gram", 2)).distinct().count() + 1
+        level, direct, behind = counts, {}, {}
+        for order in range(ORDER, 0, -1):
+            ones, twos = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+            facts = level.groupBy("lang").agg(ones.alias("one"), twos.alias("two")).collect()
+            discount = F.coalesce(*[F.when(F.col("lang") == r["lang"], _discount_of(r["one"], r["two"])) for r in facts])
+            rows = level.withColumn("context", F.shiftrightunsigned("gram", 16)).withColumn("d", discount)
+            context = stored(rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.max("d") * F.count(F.lit(1)) / F.sum("n")).alias("gamma")), "lang-contexts")
+            behind[order] = stored(context.groupBy("context").agg(by_language("gamma", 1.0).alias("gamma")), "lang-behind")
+            parts = rows.join(context, ["lang", "context"]).withColumn("p", (F.col("n") - F.col("d")) / F.col("total"))
+            direct[order] = stored(parts.groupBy("gram").agg(by_language("p", 0.0).alias("direct")), "lang-direct")
+            if order > 1:
+                level = stored(level.groupBy("lang", _lower("gram", order).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "lang-lower")
+        return cls(langs, direct, behind, 1 / vocabulary)
+
+    def logs(self, asked: DataFrame) -> DataFrame:
+        """gram, logs: log-probability of the last symbol of each gram of ``asked(gram)`` under each language."""
+        wanted = {ORDER: stored(asked.select("gram").distinct(), "lang-asked")}
+        for order in range(ORDER, 1, -1):
+            wanted[order - 1] = wanted[order].select(_lower("gram", order).alias("gram")).distinct()
+
+        def all_of(x: float) -> F.Column:
+            return F.array(*[F.lit(x) for _ in self.langs])
+
+        lower = None
+        for order in range(1, ORDER + 1):
+            rows = wanted[order].withColumn("context", F.shiftrightunsigned("gram", 16)).withColumn("shorter", _lower("gram", order))
+            rows = rows.join(self.grams[order], "gram", "left").join(self.contexts[order], "context", "left")
+            rows = rows.join(lower, "shorter") if order > 1 else rows.withColumn("lower", all_of(self.floor))
+            backed = F.zip_with(F.coalesce("gamma", all_of(1.0)), "lower", lambda a, b: a * b)
+            p = rows.select("gram", F.zip_with(F.coalesce("direct", all_of(0.0)), backed, lambda a, b: a + b).alias("lower"))
+            lower = p.withColumnRenamed("gram", "shorter")
+        return p.select("gram", F.transform("lower", lambda x: F.log(x)).alias("logs"))
+
+    def entropies(self, texts: DataFrame) -> DataFrame:
+        """_key, _e (by language), _letters of each row of ``texts(_key, text)`` that has symbols; keys are different."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first, part in _texts(batch, 1):
+                    s, row = symbols(part)
+                    g, real = grams(s), row >= 0
+                    g, row = g[real], row[real]
+                    order = np.lexsort((g, row))
+                    g, row = g[order], row[order]
+                    at = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (row[1:] != row[:-1])])) if len(g) else np.zeros(0, np.int64)
+                    n = np.diff(np.append(at, len(g)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + row[at].astype(np.int64))), pa.array(g[at].view(np.int64)), pa.array(n.astype(np.int64))], names=["_key", "gram", "n"])
+
+        rows = stored(texts.select("_key", "text").mapInArrow(run, "_key binary, gram bigint, n bigint"), "lang-text-grams")
+        total = F.array(*[F.sum(F.col("n") * F.col("logs")[k]) for k in range(len(self.langs))])
+        letters = F.sum(F.when(_lower("gram", 2) != 32, F.col("n")).otherwise(0))
+        sums = rows.join(self.logs(rows), "gram").groupBy("_key").agg(total.alias("t"), F.sum("n").alias("n"), letters.alias("_letters"))
+        return sums.select("_key", F.transform("t", lambda x: -x / F.col("n")).alias("_e"), "_letters")
+
+
+def fit(training: DataFrame, capacity: int = CAPACITY) -> Models | ModelTable:
+    """Models from all rows of ``training(lang, text)``, both not null; a table beyond ``capacity`` grams."""
     counts = stored(gram_counts(training), "lang-grams")
     kinds = counts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
-    share = capacity // max(1, len(kinds))
-    least = dict.fromkeys((r["lang"] for r in kinds), 1)
-    if any(r["n"] > share for r in kinds):
-        tail = counts.groupBy("lang", F.least("n", F.lit(4096)).alias("n")).agg(F.count(F.lit(1)).alias("grams")).toPandas()
-        for lang, g in tail.groupby("lang"):
-            g = g.sort_values("n", ascending=False)
-            fits = g[g["grams"].cumsum() <= share]
-            least[lang] = int(fits["n"].min()) if len(fits) else 4096
-    bound = F.coalesce(*[F.when(F.col("lang") == k, v) for k, v in least.items()]) if least else F.lit(1)
-    table = counts.where(F.col("n") >= bound).toPandas()  # at most ``capacity`` rows
+    if sum(r["n"] for r in kinds) > capacity:
+        return ModelTable.of(counts, sorted(r["lang"] for r in kinds))
+    table = counts.toPandas()
     return Models({lang: (np.sort(g["gram"].to_numpy().view(np.uint64)), g["n"].to_numpy()[np.argsort(g["gram"].to_numpy().view(np.uint64))]) for lang, g in table.groupby("lang")})
 
 
-def _scored(documents: DataFrame, models: Models) -> DataFrame:
+def _scored_by_table(documents: DataFrame, models: ModelTable) -> DataFrame:
+    """As ``_scored``; each different text is scored once."""
+    rows = documents.withColumn("_key", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    texts = rows.where("text is not null").groupBy("_key").agg(F.first("text").alias("text"))
+    lowest, some = F.array_min("_e"), F.coalesce("_letters", F.lit(0)) > 0
+    odds = F.transform("_e", lambda x: F.exp(-(x - F.array_min("_e")) * F.least("_letters", F.lit(LENGTH_CAP))))
+    score = 1 / F.aggregate(odds, F.lit(0.0), lambda a, b: a + b)
+    lang = F.element_at(F.array(*[F.lit(k) for k in models.langs]), F.array_position("_e", lowest).cast("int"))
+    return rows.join(models.entropies(texts), "_key", "left").select(
+        *documents.columns,
+        F.when(some, lang).otherwise("und").alias("_lang"),
+        F.coalesce(lowest, F.lit(0.0)).alias("_entropy"),
+        F.coalesce("_letters", F.lit(0).cast("bigint")).alias("_letters"),
+        F.when(some, score).otherwise(0.0).alias("_score"),
+    )
+
+
+def _scored(documents: DataFrame, models: Models | ModelTable) -> DataFrame:
     """The columns of ``documents`` and _lang, _entropy, _letters, _score."""
+    if isinstance(models, ModelTable):
+        return _scored_by_table(documents, models)
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(models)
     columns, text = documents.columns, documents.columns.index("text")

@@ -117,3 +117,27 @@ def test_capacity_bounds_the_model(spark):
     df = spark.createDataFrame([("a", "abcdefgh" * 3 + "xyz"), ("b", "hgfedcba" * 3)], "lang string, text string")
     small = L.fit(df, capacity=20)
     assert sum(len(x.hashes) for x in small.probability[L.ORDER :]) <= 20 and small.langs == ["a", "b"]
+
+
+def test_beyond_capacity_no_gram_is_dropped(spark):
+    more = [("cjk", "".join(chr(0x4E00 + (7 * k * k + 3 * k) % 900) for k in range(60)))]
+    train = spark.createDataFrame([("a", "abcdefgh abd rare " * 3 + "xyz"), ("b", "hgfedcba, once only"), *more], "lang string, text string")
+    texts = ["abcdefgh xyz", "hgfedcba", "once", "zzz", more[0][1][:9], "12 !", "", None, "abcdefgh xyz", "\u4e00 ab \ud7ff"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    small, whole = L.fit(train, capacity=20), L.fit(train)
+    assert len(whole.probability[L.ORDER].hashes) > 20
+    out = [sorted(L._scored(docs, m).collect()) for m in (small, whole)]
+    assert len(out[0]) == len(texts)
+    for a, b in zip(*out):
+        assert (a.doc_id, a._lang, a._letters) == (b.doc_id, b._lang, b._letters)
+        assert a._entropy == pytest.approx(b._entropy, rel=1e-5) and a._score == pytest.approx(b._score, rel=1e-4)
+
+
+def test_language_by_table_on_whole_tables(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {r.doc_id: r for r in L.languages(docs).collect()}
+    fit = L.fit
+    monkeypatch.setattr(L, "fit", lambda training: fit(training, capacity=1000))
+    got = L.languages(docs).collect()
+    assert len(got) == docs.count() and all((r.lang_pred, r.rejected) == (want[r.doc_id].lang_pred, want[r.doc_id].rejected) for r in got)
+    assert all(r.score == pytest.approx(want[r.doc_id].score, abs=1e-3) for r in got)
