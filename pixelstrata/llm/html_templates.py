@@ -7,7 +7,8 @@ to page (menus, adverts, forms, comments) is recognised by its tag, role or clas
 left of the article (or of the body, where a page marks none) becomes blocks of text.
 
 Copies of one page count once, so an article that a host publishes many times is not taken
-for template. Elements inside ``<article>`` or ``<main>`` are never counted as template.
+for template. Inside ``<article>`` or ``<main>`` only containers with less than half of its text
+can be template, counted over different articles; paragraphs, headings and the article stay.
 
 Defined results: null html counts as empty and gives an empty text; a null or relative url
 belongs to the host ''. Repeated rows give equal rows; an empty table gives an empty result;
@@ -49,6 +50,8 @@ CLOSES = {
 }
 HOLDS = frozenset("ul ol dl table select article section div body html main td th blockquote".split())
 ARTICLE = frozenset(("article", "main"))
+BOXES = frozenset("address aside details div dl fieldset figure footer form header menu nav ol section table ul".split())
+INSIDE = 0x2545F4914F6CDD1D  # sets the hashes of boxes in articles apart from those outside
 FURNITURE_TAGS = frozenset("nav footer aside form head script style noscript template iframe svg canvas button select textarea object video audio dialog menu".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 FURNITURE_WORDS = frozenset(
@@ -164,6 +167,23 @@ class Page:
                 parts[current].append(value)
         return out
 
+    def boxes(self) -> dict[int, int]:
+        """Containers inside an article that hold less than half of its text, and that article."""
+        root, size, node = [0] * len(self.tags), [0] * len(self.tags), 0
+        for kind, value in self.events:
+            if kind == 1:
+                node = value
+            elif kind == 2:
+                node = self.parents[value]
+            elif kind == 0:
+                size[node] += len("".join(value.split()))
+        for k in range(len(self.tags) - 1, 0, -1):
+            size[self.parents[k]] += size[k]
+        for k in range(1, len(self.tags)):
+            root[k] = k if self.tags[k] in ARTICLE else root[self.parents[k]]
+        holds = self.above([t in ARTICLE for t in self.tags])
+        return {k: root[k] for k in range(1, len(self.tags)) if root[k] and self.tags[k] in BOXES and not holds[k] and 2 * size[k] < size[root[k]]}
+
     def furniture(self) -> list[bool]:
         """Elements whose tag, role, class, id or style says that they are no article text."""
         content = self.inside(ARTICLE)
@@ -219,13 +239,14 @@ class Page:
         return out
 
 
-def template_candidates(page: Page) -> list[int]:
-    """Hashes of block elements of the body that neither are nor hold nor lie in the article."""
+def template_candidates(page: Page) -> list[tuple[int, int | None]]:
+    """Hashes of block elements of the body that neither are nor hold nor lie in the article, and of boxes in it with the hash of their article."""
     content = page.inside(ARTICLE)
     holds = page.above([t in ARTICLE for t in page.tags])
     outside = page.inside(frozenset(("head",)))
     hashes = page.subtree_hashes()
-    return list({hashes[k] for k in range(1, len(page.tags)) if page.tags[k] in BLOCK and page.tags[k] not in ("html", "body") and not (content[k] or holds[k] or outside[k])})
+    inner = {(hashes[k] ^ INSIDE, hashes[root]) for k, root in page.boxes().items()}
+    return list(inner | {(hashes[k], None) for k in range(1, len(page.tags)) if page.tags[k] in BLOCK and page.tags[k] not in ("html", "body") and not (content[k] or holds[k] or outside[k])})
 
 
 def main_text(source: str, template: frozenset[int]) -> str:
@@ -235,9 +256,9 @@ def main_text(source: str, template: frozenset[int]) -> str:
     page = Page(source)
     dropped = page.furniture()
     if template:
-        content = page.inside(ARTICLE)
+        content, boxes = page.inside(ARTICLE), page.boxes()
         for k, h in enumerate(page.subtree_hashes()):
-            if h in template and not content[k]:
+            if h in template and not content[k] or k in boxes and h ^ INSIDE in template:
                 dropped[k] = True
     for only in (frozenset(("article",)), frozenset(("main",)), None):
         if only is None or any(t in only for t in page.tags):
@@ -260,8 +281,8 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
             for r, source in enumerate(batch.column(1).to_pylist()):
                 own = template_candidates(Page(source or ""))
                 digest = int.from_bytes(hashlib.blake2b((source or "").encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-                for h in [0, *own]:  # 0 counts the pages of the host
-                    at.append(r), found.append(h), digests.append(digest)
+                for h, article in [(0, None), *own]:  # 0 counts the pages of the host
+                    at.append(r), found.append(h), digests.append(digest if article is None else article)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.int64()), pa.array(digests, pa.int64())], names=["host", "hash", "page"])
 
     seen = pages.select(host_of("url").alias("host"), "html").mapInArrow(run, "host string, hash bigint, page bigint")

@@ -53,6 +53,16 @@ def test_articles_are_never_template(spark):
     assert {r.text for r in H.extract(pages_of(spark, rows)).collect()} == {f"Licence\n\nOwn {k}" for k in range(30)}
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_boxes_inside_articles(spark, tag):
+    """Boxes that recur in different articles go; copies of an article with other surroundings keep theirs."""
+    source = lambda k, own: f"<body><p>{k}</p><{tag}><div><h1>{own}</h1><p>Words of {own} that are long enough</p></div><div>Share <b>this</b></div><ul><li>Menu</ul><p>Licence</{tag}>"
+    rows = [(k, "https://a.example/", source(k, f"title {k}")) for k in range(20)] + [(100 + k, "https://b.example/", source(k, "one")) for k in range(20)]
+    out = {r.page_id: r.text for r in H.extract(pages_of(spark, rows)).collect()}
+    assert all(out[k] == f"title {k}\n\nWords of title {k} that are long enough\n\nLicence" for k in range(20))
+    assert all(out[100 + k] == "one\n\nWords of one that are long enough\n\nShare this\n\nMenu\n\nLicence" for k in range(20))
+
+
 def test_joined_templates_equal_sent_ones(spark, monkeypatch):
     rows = [(k, "https://a.example/", f"<body><div><p>Same</div><p>Own {k}") for k in range(12)]
     want = sorted(map(tuple, H.extract(pages_of(spark, rows)).collect()))
