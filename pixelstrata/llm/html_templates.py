@@ -22,15 +22,14 @@ import html
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pixelstrata.llm.tables import stored
 
 MIN_PAGES = 8  # a template occurs on at least so many different pages of its host
-MIN_SHARE = 0.05  # and on this share of them
-SMALL = 100_000  # hosts and hashes up to which the template table is sent to every task
+SMALL = 100_000  # hashes up to which the template table is sent to every task
+SALTS = 16  # parts of the pages of a template in a join
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>|<[!?][^>]*>",
@@ -272,47 +271,61 @@ def host_of(url: str) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, hashes: subtrees that recur on many different pages of the host."""
+def _page_key(html: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(html), F.lit("")))
+
+
+def subtrees(pages: DataFrame) -> DataFrame:
+    """host, page, hash, unit: candidates of each page with the page, or the article around them, that counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, found, digests = [], [], []
-            for r, source in enumerate(batch.column(1).to_pylist()):
-                own = template_candidates(Page(source or ""))
-                digest = int.from_bytes(hashlib.blake2b((source or "").encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-                for h, article in [(0, None), *own]:  # 0 counts the pages of the host
-                    at.append(r), found.append(h), digests.append(digest if article is None else article)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.int64()), pa.array(digests, pa.int64())], names=["host", "hash", "page"])
-
-    seen = pages.select(host_of("url").alias("host"), "html").mapInArrow(run, "host string, hash bigint, page bigint")
-    counts = stored(seen.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")), "html-subtrees")
-    total = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    many = counts.where((F.col("hash") != 0) & (F.col("n") >= min_pages)).join(total, "host").where(F.col("n") >= min_share * F.col("pages"))
-    # at most (elements of a page) / min_share hashes for each host
-    return many.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
-
-
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+            at, found, units = [], [], []
+            keys = batch.column(1).to_pylist()
+            for r, source in enumerate(batch.column(2).to_pylist()):
+                for h, article in template_candidates(Page(source or "")):
+                    at.append(r), found.append(h), units.append(keys[r] if article is None else article)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(found, pa.int64()), pa.array(units, pa.int64())], names=["host", "page", "hash", "unit"])
+
+    return pages.select(host_of("url").alias("host"), _page_key("html"), "html").mapInArrow(run, "host string, page bigint, hash bigint, unit bigint")
+
+
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """host, hash: subtrees that recur on ``min_pages`` different pages of the host, however many it has."""
+    counts = subtrees(pages).select("host", "hash", "unit").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n") >= min_pages).select("host", "hash")
+
+
+def _page_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
+    """host, page, hashes: the templates that occur on each page."""
+    every = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = subtrees(pages).select("host", "page", "hash").withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int"))
+    return own.join(every, ["host", "hash", "salt"]).groupBy("host", "page").agg(F.collect_set("hash").alias("hashes"))
+
+
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages(page_id, url, html)``."""
-    templates = stored(site_templates(pages, min_pages, min_share), "html-templates")
-    if (templates.select(F.sum(F.size("hashes"))).first()[0] or 0) <= SMALL:
-        templates = F.broadcast(templates)
+    templates = stored(site_templates(pages, min_pages), "html-templates")
     kind = dict(pages.dtypes)["page_id"]
-    joined = pages.select("page_id", "url", "html", host_of("url").alias("host")).join(templates, "host", "left").select("page_id", "url", "html", "hashes")
+    keyed = pages.select("page_id", "url", "html", host_of("url").alias("host"))
+    by_host: dict[str, set[int]] = {}
+    if templates.count() <= SMALL:
+        for r in templates.collect():
+            by_host.setdefault(r["host"], set()).add(r["hash"])
+        joined = keyed.withColumn("hashes", F.lit(None).cast("array<bigint>"))
+    else:
+        found = stored(_page_templates(pages, templates), "html-page-templates")
+        joined = keyed.withColumn("page", _page_key("html")).join(found, ["host", "page"], "left").select(*keyed.columns, "hashes")
+    shared = pages.sparkSession.sparkContext.broadcast({k: frozenset(v) for k, v in by_host.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, frozenset[int]] = {}
+        known, none = shared.value, frozenset()
         for batch in batches:
             texts = []
-            for source, hashes in zip(batch.column(2).to_pylist(), batch.column(3)):
-                own = np.asarray(hashes.values) if hashes.is_valid else np.zeros(0, np.int64)
-                key = own.tobytes()
-                if key not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[key] = frozenset(own.tolist())
-                texts.append(main_text(source or "", known[key]))
+            for source, host, hashes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
+                own = frozenset(hashes.as_py()) if hashes.is_valid else known.get(host, none)
+                texts.append(main_text(source or "", own))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")

@@ -63,6 +63,15 @@ def test_boxes_inside_articles(spark, tag):
     assert all(out[100 + k] == "one\n\nWords of one that are long enough\n\nShare this\n\nMenu\n\nLicence" for k in range(20))
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_templates_do_not_depend_on_the_size_of_the_host(spark, small, monkeypatch):
+    if not small:
+        monkeypatch.setattr(H, "SMALL", -1)
+    rows = [(k, "https://a.example/", f"<body>{'<div><p>Section box</div>' * (k < 8)}<p>Own {k}") for k in range(400)]
+    out = {r.page_id: r.text for r in H.extract(pages_of(spark, rows)).collect()}
+    assert out == {k: f"Own {k}" for k in range(400)}
+
+
 def test_joined_templates_equal_sent_ones(spark, monkeypatch):
     rows = [(k, "https://a.example/", f"<body><div><p>Same</div><p>Own {k}") for k in range(12)]
     want = sorted(map(tuple, H.extract(pages_of(spark, rows)).collect()))
