@@ -6,8 +6,9 @@ Of records with equal payloads of at least ``REVISIT_BYTES`` bytes the one with
 id is a response, the others revisit it.
 
 Reading: files are cut into byte ranges. A task looks for the gzip magic in its range, takes
-a place for a record only if it inflates to a WARC header, and owns the records that start
-inside its range; the last may end beyond it.
+a place for a record only if it inflates to a WARC header of any length, and owns the records
+that start inside its range; the last may end beyond it. The round trip fails if it reads
+another number of records than were written.
 
 Defined results: null html counts as empty; a null url gives a record without target. A null
 id never is the response of others. Rows that repeat id and payload of a response are
@@ -35,7 +36,7 @@ SMALL = 100_000  # repeated payloads up to which their table is sent to every ta
 LEVEL = 4
 MAGIC = b"\x1f\x8b\x08"
 STEP = 1 << 16
-HEADER_BYTES = 1 << 16
+OPENING = b"WARC/1."
 # Media types and the profile of the WARC 1.1 specification.
 RESPONSE_TYPE = "application/http;msgtype=response"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -97,13 +98,12 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return stored(todo.mapInArrow(run, "path string, size bigint, records bigint"), "warc-files")
 
 
-def _header(data: bytes) -> bool:
-    """Whether a gzip member that opens with a whole WARC header starts with these bytes."""
+def _opens(data: bytes) -> bool:
+    """Whether a gzip member that opens like a WARC record starts with these bytes."""
     try:
-        text = zlib.decompressobj(31).decompress(data, HEADER_BYTES)
+        return zlib.decompressobj(31).decompress(data, len(OPENING)) == OPENING
     except zlib.error:
         return False
-    return text.startswith(b"WARC/1.") and b"\r\n\r\n" in text
 
 
 def members(read, size: int, start: int, end: int) -> Iterator[bytes]:
@@ -123,8 +123,8 @@ def members(read, size: int, start: int, end: int) -> Iterator[bytes]:
         at = base + found
         if at >= end:
             return
-        probe = held[found : found + HEADER_BYTES] if len(held) - found >= HEADER_BYTES or base + len(held) >= size else read(at, HEADER_BYTES)
-        if not _header(probe):
+        probe = held[found : found + STEP] if len(held) - found >= STEP or base + len(held) >= size else read(at, STEP)
+        if not _opens(probe):
             at += 1
             continue
         inflate, parts, place = zlib.decompressobj(31), [], at
@@ -137,7 +137,11 @@ def members(read, size: int, start: int, end: int) -> Iterator[bytes]:
             data = read(place, STEP)
         if not inflate.eof:
             return  # the file was cut off inside this record
-        yield b"".join(parts)
+        content = b"".join(parts)
+        if b"\r\n\r\n" not in content:
+            at += 1
+            continue
+        yield content
         at = place - len(inflate.unused_data)
 
 
@@ -196,5 +200,10 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame
 def round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url, read back from archives of all pages."""
     kind = dict(pages.dtypes)["page_id"]
-    read = read_archives(write_archives(pages, fresh_path(pages.sparkSession, "warc")))
-    return read.select(F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "url")
+    files = write_archives(pages, fresh_path(pages.sparkSession, "warc"))
+    read = read_archives(files).select(F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "url")
+    read = stored(read, "warc-read")
+    written, found = files.agg(F.sum("records")).first()[0] or 0, read.count()
+    if found != written:
+        raise ValueError(f"{found} records read of {written} written")
+    return read

@@ -125,6 +125,20 @@ def test_warc_round_trip(spark, small, monkeypatch):
     assert W.round_trip(pages_of(spark, rows).limit(0)).count() == 0
 
 
+def test_headers_of_any_length(spark):
+    rng = random.Random(5)
+    letters = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(40_000))
+    rows = [(1, "https://a.example/" + "x" * 200_000, "one"), (2, "https://a.example/" + letters, "two"), (3, "u", "three")]
+    assert sorted(map(tuple, W.round_trip(pages_of(spark, rows).coalesce(1)).collect()), key=str) == reference(rows)
+
+
+def test_lost_records_are_an_error(spark, monkeypatch):
+    read = W.read_archives
+    monkeypatch.setattr(W, "read_archives", lambda files: read(files).where("record_id <> '2'"))
+    with pytest.raises(ValueError, match="1 records read of 2 written"):
+        W.round_trip(pages_of(spark, [(1, "u", "one"), (2, "u", "two")]))
+
+
 def test_ranges_of_any_size_give_every_record_once(tmp_path):
     """Records with the gzip magic inside their bytes, at every range size."""
     rng = random.Random(4)
