@@ -98,18 +98,18 @@ def condition_assemble(parts: list[DataFrame], key: str, how: str = "full_outer"
 def grid_completeness(rows: DataFrame, factors: list[str]) -> DataFrame:
     """Expected factor grid against actual cells: missing and extra counts.
 
-    Levels per factor are few; their combinations come from exploded level arrays.
+    The grid is never made: its size is the product of the levels, and every cell without a
+    null lies in it. Cells with a null are extra.
     """
-    levels = rows.agg(*[F.collect_set(f).alias(f) for f in factors])
-    grid = levels
-    for f in factors:
-        grid = grid.withColumn(f, F.explode(f))
     actual = rows.select(*factors).distinct()
-    total = grid.agg(F.count(F.lit(1)).alias("expected")).withColumn("_k", F.lit(1))
-    missing = grid.join(actual, factors, "left_anti").agg(F.count(F.lit(1)).alias("missing")).withColumn("_k", F.lit(1))
-    extra = actual.join(grid, factors, "left_anti").agg(F.count(F.lit(1)).alias("extra")).withColumn("_k", F.lit(1))
-    seen = actual.agg(F.count(F.lit(1)).alias("actual")).withColumn("_k", F.lit(1))
-    return total.join(seen, "_k").join(missing, "_k").join(extra, "_k").drop("_k")
+    whole = F.count_if(F.forall(F.array(*[F.col(f).isNotNull() for f in factors]), lambda x: x))
+    sizes = rows.agg(*[F.count_distinct(f).alias(f"_n{k}") for k, f in enumerate(factors)])
+    cells = actual.agg(F.count(F.lit(1)).alias("actual"), whole.alias("_whole"))
+    expected = F.lit(1).cast("bigint")
+    for k in range(len(factors)):
+        expected = expected * F.col(f"_n{k}")
+    both = sizes.select(expected.alias("expected"), F.lit(1).alias("_k")).join(cells.withColumn("_k", F.lit(1)), "_k")
+    return both.select("expected", "actual", (F.col("expected") - F.col("_whole")).alias("missing"), (F.col("actual") - F.col("_whole")).alias("extra"))
 
 
 def snapshot_drift(frozen: DataFrame, now: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -354,3 +354,12 @@ def test_lofo_select_kinds_of_rules(spark):
         assert x.candidate == max(rivals, key=gains.get) and x.train_gain == pytest.approx(gains[x.candidate])
         w = weights[x.candidate](own.m)
         assert (x.high_weight, x.heldout_gain) == (pytest.approx(w), pytest.approx(w * own.h + (1 - w) * own.l))
+
+
+def test_grid_is_counted_without_being_made(spark):
+    from pixelstrata.operators import joins
+
+    n = 2000
+    df = spark.createDataFrame([(k, k, k, str(k)) for k in range(n)] + [(0, 0, 0, "0"), (0, 0, None, "0")], "a int, b int, c int, d string")
+    assert tuple(joins.grid_completeness(df, ["a", "b", "c", "d"]).first()) == (n**4, n + 1, n**4 - n, 1)
+    assert tuple(joins.grid_completeness(df.limit(0), ["a", "b"]).first()) == (0, 0, 0, 0)
