@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from pixelstrata.llm import chat_windows, embedding_links, html_templates, language_models, packing, projected_search, quality, sentence_pieces, tensor_minhash, warc
+from pixelstrata.llm import chat_windows, embedding_links, fill_middle, html_templates, language_models, packing, projected_search, quality, sentence_pieces, tensor_minhash, warc
 
 ORACLES: dict[str, str] = {}
 
@@ -69,6 +69,12 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_models.languages(_table(spark, sf_dir, "documents"))
 
 
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256."""
+    made = fill_middle.transform(_table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_quality_classifier": quality_classifier,
     "op2_html_extraction": html_extraction,
@@ -80,7 +86,17 @@ QUERIES = {
     "op8_minhash_near_dedup": minhash_near_dedup,
     "op9_nearest_neighbours": nearest_neighbours,
     "op10_language_id": language_id,
+    "op12_fill_in_middle": fill_in_middle,
     "pipeline": corpus_pipeline.run,
 }
+ORACLES["op12_fill_in_middle"] = """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+    k AS (SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+    c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+    p AS (SELECT *, array_to_string(u[1:a], '') AS head, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS tail FROM c)
+    SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(head)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || middle ELSE '<S>' || tail || '<P>' || head || '<M>' || middle END) AS output_sha256,
+        sha256(text) AS restored_sha256 FROM p"""
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
