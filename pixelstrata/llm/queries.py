@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from pixelstrata.llm import chat_windows, embedding_links, fill_middle, html_templates, language_models, packing, projected_search, quality, sentence_pieces, tensor_minhash, warc
+from pixelstrata.llm import chat_windows, embedding_links, fill_middle, html_templates, language_models, packing, phrase_index, projected_search, quality, sentence_pieces, tensor_minhash, warc
 
 ORACLES: dict[str, str] = {}
 
@@ -75,6 +75,13 @@ def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
 
 
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    found = phrase_index.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    n_hit = phrase_index.hit_words()
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 QUERIES = {
     "op1_quality_classifier": quality_classifier,
     "op2_html_extraction": html_extraction,
@@ -87,6 +94,7 @@ QUERIES = {
     "op9_nearest_neighbours": nearest_neighbours,
     "op10_language_id": language_id,
     "op12_fill_in_middle": fill_in_middle,
+    "op13_benchmark_decontamination": benchmark_decontamination,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES["op12_fill_in_middle"] = """
@@ -98,5 +106,18 @@ ORACLES["op12_fill_in_middle"] = """
     SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(head)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
         sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || middle ELSE '<S>' || tail || '<P>' || head || '<M>' || middle END) AS output_sha256,
         sha256(text) AS restored_sha256 FROM p"""
+ORACLES["op13_benchmark_decontamination"] = r"""
+    WITH low AS (SELECT 0 AS kind, doc_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+        UNION ALL SELECT 1, item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+    split AS (SELECT kind, id, coalesce(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM low),
+    item AS (SELECT id, w, least(len(w), 10) AS n FROM split WHERE kind = 1 AND len(w) > 0),
+    phrase AS (SELECT DISTINCT id AS item_id, n, array_to_string(w[k:k + n - 1], ' ') AS p FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM item)),
+    place AS (SELECT id AS doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM split WHERE kind = 0),
+    win AS (SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS p FROM place, (SELECT DISTINCT n FROM item) WHERE k + n - 1 <= len(w)),
+    found AS (SELECT doc_id, k, n, item_id FROM win JOIN phrase USING (n, p)),
+    hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS j FROM found) GROUP BY doc_id),
+    named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+    SELECT id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM split LEFT JOIN hit ON hit.doc_id = id LEFT JOIN named ON named.doc_id = id WHERE kind = 0"""
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
