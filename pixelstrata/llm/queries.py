@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from pixelstrata.llm import chat_windows, embedding_links, fill_middle, html_templates, language_models, packing, phrase_index, projected_search, quality, sentence_pieces, tensor_minhash, warc
+from pixelstrata.llm import chat_windows, embedding_links, fill_middle, html_templates, language_models, packing, phrase_index, projected_search, quality, sentence_pieces, spelling_variants, tensor_minhash, warc
 
 ORACLES: dict[str, str] = {}
 
@@ -69,6 +69,11 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_models.languages(_table(spark, sf_dir, "documents"))
 
 
+def spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, form, root, n, n_near, form_n."""
+    return spelling_variants.variants(_table(spark, sf_dir, "documents"))
+
+
 def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256."""
     made = fill_middle.transform(_table(spark, sf_dir, "documents"))
@@ -93,6 +98,7 @@ QUERIES = {
     "op8_minhash_near_dedup": minhash_near_dedup,
     "op9_nearest_neighbours": nearest_neighbours,
     "op10_language_id": language_id,
+    "op11_spelling_variants": spelling_groups,
     "op12_fill_in_middle": fill_in_middle,
     "op13_benchmark_decontamination": benchmark_decontamination,
     "pipeline": corpus_pipeline.run,
