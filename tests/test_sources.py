@@ -88,25 +88,52 @@ def test_csv_union_column_order(spark):
     assert sinks.csv_union([a, b], ["k"]).columns == ["k", "x", "z"]
 
 
-def test_late_rows_are_dropped(spark, tmp_path):
-    schema = "ts timestamp, folder string, value bigint"
-    path = str(tmp_path / "in")
-    mk = lambda rows: spark.createDataFrame(rows, "t string, folder string, value bigint").select(F.to_timestamp("t").alias("ts"), "folder", "value").coalesce(1)
-    mk([("2024-01-01 00:10:00", "a", 1), ("2024-01-01 05:00:00", "a", 3)]).write.mode("append").parquet(path)
+def arrive(spark, path, rows):
+    """One more file of (time, folder, number) rows; later files are later batches."""
     import time
+
     time.sleep(1.1)  # the file source orders by modification time
-    mk([("2024-01-01 06:00:00", "a", 4)]).write.mode("append").parquet(path)  # a batch later the watermark filters late rows
-    time.sleep(1.1)
-    mk([("2024-01-01 00:20:00", "a", 100), ("2024-01-01 09:00:00", "a", 5)]).write.mode("append").parquet(path)
-    s = traces.frame_stream(spark, path, spark.createDataFrame([], schema).schema, per_trigger=1)
-    got = {(str(r.window_start), r.frames, r.mean) for r in traces.drain(traces.trace_windows(s), "late").collect()}
-    assert ("2024-01-01 00:00:00", 1, 1.0) in got and all(m != 100 for _, _, m in got)
-
-
-def test_stream_integrity_drops_duplicates(spark, tmp_path):
-    path = str(tmp_path / "in")
-    rows = [("2024-01-01 00:00:00", "a", i) for i in (1, 2, 2, 5)]
-    spark.createDataFrame(rows, "t string, folder string, idx bigint").select(F.to_timestamp("t").alias("ts"), "folder", "idx").write.parquet(path)
-    s = traces.frame_stream(spark, path, spark.read.parquet(path).schema)
-    r = traces.drain_latest(traces.integrity(s), "dup").collect()[0]
-    assert (r.frames, r.gaps) == (3, 2)
+    d = spark.createDataFrame(rows, "t string, folder string, value bigint").select(F.to_timestamp("t").alias("ts"), "folder", "value", F.col("value").alias("idx"))
+    d.coalesce(1).write.mode("append").parquet(path)
+
+
+def watched(spark, path):
+    return traces.frame_stream(spark, path, spark.createDataFrame([], "ts timestamp, folder string, value bigint, idx bigint").schema, per_trigger=1)
+
+
+def test_open_and_late_windows_over_a_restart(spark, tmp_path):
+    path, place = str(tmp_path / "in"), str(tmp_path / "query")
+    arrive(spark, path, [("2024-01-01 00:10:00", "a", 1), ("2024-01-01 05:00:00", "a", 3), (None, "a", 9), ("2024-01-01 05:00:00", None, 9)])
+    arrive(spark, path, [("2024-01-01 06:00:00", "a", 4), ("2024-01-01 05:10:00", "a", 0)])
+    now = lambda log: {(str(r.window_start), r.folder): (r.frames, r.mean, round(r.std, 6), r.zero_share, r.open) for r in traces.latest_windows(log).collect()}
+    got = now(traces.drain(traces.trace_windows(watched(spark, path)), "late", place))
+    assert got == {("2024-01-01 00:00:00", "a"): (1, 1.0, 0.0, 0.0, False), ("2024-01-01 05:00:00", "a"): (2, 1.5, 1.5, 0.5, True), ("2024-01-01 06:00:00", "a"): (1, 4.0, 0.0, 0.0, True)}
+    arrive(spark, path, [("2024-01-01 00:20:00", "a", 100), ("2024-01-01 06:59:00", "a", 6), ("2024-01-01 09:00:00", "b", 5)])
+    got = now(traces.drain(traces.trace_windows(watched(spark, path)), "late", place))
+    assert got[("2024-01-01 06:00:00", "a")] == (2, 5.0, 1.0, 0.0, False) and got[("2024-01-01 00:00:00", "a")][:2] == (1, 1.0)
+    assert got[("2024-01-01 05:00:00", "a")] == (2, 1.5, 1.5, 0.5, False) and got[("2024-01-01 09:00:00", "b")][4] is True
+
+
+def test_stream_integrity_knows_late_duplicates_over_a_restart(spark, tmp_path):
+    path, place = str(tmp_path / "in"), str(tmp_path / "query")
+    arrive(spark, path, [("2024-01-01 00:00:00", "a", i) for i in (1, 2, 2, 5, 5000, -3)] + [("2024-01-01 00:00:00", "b", None)])
+    now = lambda log: {(r.folder, r.bucket): (r.frames, r.first_idx, r.last_idx, r.gaps, r.duplicates, r.open) for r in traces.latest_ranges(log).collect()}
+    got = now(traces.drain(traces.integrity(watched(spark, path)), "dup", place))
+    assert got == {("a", 0): (3, 1, 5, 2, 1, True), ("a", 1): (1, 5000, 5000, 0, 0, True), ("a", -1): (1, -3, -3, 0, 0, True)}
+    arrive(spark, path, [("2024-01-01 09:00:00", "a", 2), ("2024-01-01 09:00:00", "a", 3)])  # nine hours after the watermark has passed the first
+    got = now(traces.drain(traces.integrity(watched(spark, path)), "dup", place))
+    assert got == {("a", 0): (4, 1, 5, 1, 2, True), ("a", 1): (1, 5000, 5000, 0, 0, False), ("a", -1): (1, -3, -3, 0, 0, False)}
+
+
+def test_intervals_of_seen_numbers():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        starts = ends = np.zeros(0, np.int64)
+        seen, repeats, given = set(), 0, 0
+        for _ in range(6):
+            v = rng.integers(0, 60, rng.integers(1, 20))
+            starts, ends, again = traces.add_intervals(starts, ends, v)
+            seen |= set(v.tolist())
+            repeats, given = repeats + again, given + len(v)
+        assert [x for a, b in zip(starts, ends) for x in range(a, b + 1)] == sorted(seen)
+        assert (starts[1:] > ends[:-1] + 1).all() and repeats == given - len(seen)
