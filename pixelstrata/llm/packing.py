@@ -23,6 +23,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -40,6 +41,10 @@ RANKED_TOGETHER = 50_000
 # Fixed value: the word pattern of byte-level tokenizers of this family.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+LONG_RUN = 100_000
+# The white space of that pattern. The byte-pair encoder's matcher gives up on longer runs.
+_BLANKS = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_RUN},}}")
+
 
 class Encoder:
     """Ids of whole texts under a byte-level tokenizer file.
@@ -83,9 +88,22 @@ class Encoder:
 
     def ids(self, text: str, latin: bool) -> np.ndarray:
         if latin and self.fast is not None:
-            return self.fast.encode_to_numpy(text, disallowed_special=())
+            if len(text) < LONG_RUN:
+                return self.fast.encode_to_numpy(text, disallowed_special=())
+            return np.concatenate(list(self._parts(text)))
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def _parts(self, text: str) -> Iterator[np.ndarray]:
+        """Ids of a text part by part. A long run of white space is one word up to its last blank, which may belong to the next word."""
+        at = 0
+        for run in _BLANKS.finditer(text):
+            a, b = run.span()
+            b -= b < len(text)
+            yield self.fast.encode_to_numpy(text[at:a], disallowed_special=())
+            yield np.array(self.fast._encode_single_piece(text[a:b]), np.uint32)
+            at = b
+        yield self.fast.encode_to_numpy(text[at:], disallowed_special=())
+
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n ids."""

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
@@ -126,3 +127,17 @@ def test_stages_keep_columns_and_take_odd_rows(spark, sf, k):
     else:
         assert out.where("doc_id < 0 or doc_id is null").count() == 4
     assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+@pytest.mark.parametrize("blank", [" ", "\t", "\n", "\r\n", "\xa0", " \t"])
+def test_long_runs_of_blanks_give_the_library_s_ids(blank):
+    encoder = P.Encoder.of(PATH)
+    run = blank * (1_100_000 // len(blank))
+    for text in (run, "a" + run + "b c", run + "don't", "x  y" + run, "a" + run + " b" + run + "!"):
+        assert np.array_equal(encoder.ids(text, True), encoder.ids(text, False))
+
+
+def test_twenty_million_blanks(spark):
+    rows = [(1, " " * 20_000_000 + "a"), (2, "b")]
+    got = P.pieces(spark.createDataFrame(rows, "doc_id long, text string"), PATH)
+    assert {r.doc_id: r.n for r in got.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == {1: 20_000_001, 2: 2}
