@@ -16,7 +16,7 @@ from pixelstrata.plans.registry import query
 from pixelstrata.plans.views import Tables
 from pixelstrata.sources import listings as L
 from pixelstrata.sources import manifests as N
-from pixelstrata.sources import raw_frames, sinks
+from pixelstrata.sources import raw_stacks, sinks
 from pixelstrata.sources.storage import fresh_path
 
 S = "string"
@@ -285,12 +285,20 @@ def _(t: Tables):
     return L.frame_listing(t.paths(), F.regexp_extract("path", "^[^/]*", 0), L.number_in(F.col("path"), "trailing"))
 
 
+FRAMES_PER_STACK = 64
+
+
 @query("src_frames_raw", "SELECT folder, frame, y - 2 AS y, x AS x, dn FROM fx_frames WHERE y >= 2 AND x < 6")
 def _(t: Tables):
     from pixelstrata.operators.frames import explode_tiles
-    enc = raw_frames.encode_raw_frames(t.tiles())
-    d = raw_frames.decode_raw_frames(enc, ["folder", "frame"], 8, 8, roi=(2, 0, 6, 6))
-    return explode_tiles(d.withColumn("top", F.lit(0))).select("folder", "frame", "y", "x", "dn")
+    tiles, stack = t.tiles(), F.floor((F.col("frame") - 1) / FRAMES_PER_STACK)
+    base = fresh_path(t.spark, "raw-stacks")
+    name = F.concat(F.col("folder").cast("string"), F.lit("/"), (stack * FRAMES_PER_STACK + 1).cast("string"), F.lit(raw_stacks.SUFFIX))
+    raw_stacks.write_stacks(tiles.select(name.alias("path"), "frame", "dn"), base)
+    d = raw_stacks.read_stacks(t.spark, base, 8, 8, roi=(2, 0, 6, 6))
+    part = lambda k: F.regexp_extract("path", r"([0-9]+)/([0-9]+)\.raw$", k).cast("bigint")
+    d = d.withColumn("folder", part(1)).withColumn("frame", part(2) + F.col("frame")).drop("path").withColumn("top", F.col("top") - 2)
+    return explode_tiles(d).select("folder", "frame", "y", "x", "dn")
 
 
 def setting_sql(section: int, token: str) -> str:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelstrata.operators.frames import explode_tiles
-from pixelstrata.sources import listings, manifests, raw_frames, sinks
+from pixelstrata.sources import listings, manifests, raw_frames, raw_stacks, sinks
 from pixelstrata.streaming import traces
 
 
@@ -25,6 +25,58 @@ def test_raw_frames_from_disk(spark, tmp_path):
         raw_frames.decode_raw_frames(d, ["folder"], 6, 6).collect()
 
 
+def test_stacks_read_only_the_region(spark, tmp_path, monkeypatch):
+    a = np.random.default_rng(1).integers(0, 65536, (7, 40, 30)).astype("<u2")
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "one.raw").write_bytes(b"HEAD" + a.tobytes())
+    base = {"path": str(tmp_path), "height": "40", "width": "30", "header": "4", "roi": "5,2,30,9", "frames": "1:6"}
+    read, at = [], raw_stacks.StackReader._at
+    monkeypatch.setattr(raw_stacks.StackReader, "_at", staticmethod(lambda f, o, n: read.append(n) or at(f, o, n)))
+    for gap, size in (("0", 5 * 30 * 9 * 2), ("4096", 5 * 30 * 30 * 2)):
+        for partition in ("1000000", "100"):
+            read.clear()
+            r = raw_stacks.StackReader({**base, "gap_bytes": gap, "partition_bytes": partition})
+            parts = r.partitions()
+            tiles = [row for p in parts for b in r.read(p) for row in b.to_pylist()]
+            assert sum(read) == size and (len(parts) > 20) == (partition == "100")
+            got = np.zeros((7, 40, 30), np.int64)
+            for t in tiles:
+                got[t["frame"], t["top"] : t["top"] + t["h"], t["left"] : t["left"] + t["w"]] = np.reshape(t["dn"], (t["h"], t["w"]))
+            want = np.zeros_like(got)
+            want[1:6, 5:35, 2:11] = a[1:6, 5:35, 2:11]
+            assert (got == want).all()
+
+
+def test_stack_beyond_two_gigabytes(spark, tmp_path):
+    side, n = 512, 4200  # 2.2 GB, a sparse file
+    with open(tmp_path / "big.raw", "wb") as f:
+        f.truncate(2 * side * side * n)
+        f.seek(2 * side * (side * 4100 + 100))
+        f.write(np.arange(side, dtype="<u2").tobytes())
+    d = raw_stacks.read_stacks(spark, str(tmp_path), side, side, roi=(99, 10, 3, 4), frames=(4090, 4105))
+    rows = {r.frame: r.dn for r in d.collect()}
+    assert sorted(rows) == list(range(4090, 4105)) and rows[4100] == [0] * 4 + [10, 11, 12, 13] + [0] * 4 and sum(rows[4099]) == 0
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        few = raw_stacks.read_stacks(spark, str(tmp_path), side, side, roi=(99, 10, 3, 4)).where("frame > 4098 and frame <= 4101 and frame in (7, 4100, 4101)")
+        assert sorted(r.frame for r in few.collect()) == [4100, 4101] and few.rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_stack_round_trip_and_damaged_files(spark, tmp_path):
+    rows = [(f"{k % 3}/s.raw", k, [k, 2, 3, 65535]) for k in range(20)]
+    raw_stacks.write_stacks(spark.createDataFrame(rows, "path string, frame bigint, dn array<bigint>"), str(tmp_path / "out"))
+    got = sorted((r.path[-7:], r.frame, r.dn) for r in raw_stacks.read_stacks(spark, str(tmp_path / "out"), 2, 2).collect())
+    assert got == sorted((p, k // 3, dn) for p, k, dn in rows) and not list((tmp_path / "out").glob(".tmp*"))
+    assert raw_stacks.read_stacks(spark, str(tmp_path / "out"), 2, 2, frames=(50, 60)).count() == 0
+    (tmp_path / "out" / "bad.raw").write_bytes(b"12345")
+    with pytest.raises(Exception, match="no whole number"):
+        raw_stacks.read_stacks(spark, str(tmp_path / "out"), 2, 2).collect()
+    with pytest.raises(ValueError, match="does not lie"):
+        raw_stacks.StackReader({"path": "x", "height": "4", "width": "4", "roi": "0,0,5,1"})
+
+
 def test_listing_rejects_duplicates_and_other_suffixes(spark, tmp_path):
     for n in ("1-a.tif", "1-b.tif", "2.tif", "10.TIFF", "x.tif", "3.txt"):
         (tmp_path / n).write_text("x")
