@@ -1,82 +1,166 @@
-"""Spectra and correlation functions of residual frames.
-
-One Fourier transform needs one whole frame, so frames are packed to arrays and
-transformed in small blocks of frames (bounded memory per task); everything
-before and after (residuals, averaging, radial and band reductions) is native.
+"""Spectra and correlation functions of residual frames, by a row-column transform.
+
+No row holds a whole image. Bands of rows are transformed along x and cut into blocks of
+columns; a transposing shuffle brings the bands of a block together; blocks are transformed
+along y, and their powers are added over the images of a task before anything moves again.
+Real images give half a spectrum (columns 0 to w // 2); the other half is its mirror image.
+Block sizes follow from the frame's shape, so a task holds about ``GROUP_VALUES`` complex
+numbers of a block and one band of a frame, whatever the frame's size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pixelstrata.functions.scalars import corr_agg, dbl, ratio, safe_div
+from pixelstrata.operators.tiles import FAN_IN, PLACE, Shape, frame_shape, typed
+
+GROUP_VALUES = 1 << 20
+IMAGES = 8  # images whose powers are added in one call, at least
+
+
+def power_blocks(tiles: DataFrame, keys: list[str], value: str = "r", hann: bool = False, pad: int = 1, shape: Shape | None = None, index: str = "frame") -> DataFrame:
+    """(keys, c0, c, n, h, w, total): powers summed over n images, in blocks of columns [c0, c0 + c) of the half spectrum.
+
+    ``tiles`` are (keys, index, top, left, h, w, value) rows; ``pad`` = 2 appends as many zeros
+    to each axis, for lags that do not wrap. All frames of a call have one shape.
+    """
+    shape = shape or frame_shape(tiles, index)
+    height, width = shape.height, shape.width
+    half = pad * width // 2 + 1
+    columns = max(1, min(half, GROUP_VALUES // (IMAGES * pad * height)))
+    together = max(IMAGES, GROUP_VALUES // (pad * height * columns))
+    in_band = max(1, GROUP_VALUES // (shape.band * width))
+    window = (np.hanning(height), np.hanning(width))
+    kept = typed(tiles, keys)
+
+    def along_x(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["left", "_i"])
+        top, h = int(rows["top"].iloc[0]), int(rows["h"].iloc[0])
+        strips = []
+        for _, g in rows.groupby("left", sort=True):
+            strips.append(np.stack([np.asarray(v, np.float64).reshape(h, int(g["w"].iloc[0])) for v in g[value]]))
+        if sum(s.shape[2] for s in strips) != width or len({len(s) for s in strips}) != 1:
+            raise ValueError(f"tiles at row {top} do not make whole rows of {width} pixels")
+        band = np.concatenate(strips, axis=2)
+        if hann:
+            band = band * window[0][top : top + h, None] * window[1]
+        f = np.fft.rfft(band, n=pad * width, axis=2)
+        images = rows["_i"].iloc[: len(band)].to_numpy()
+        starts = list(range(0, half, columns))
+        out = {c: np.repeat(rows[c].iloc[0], len(band) * len(starts)) for c in keys}
+        blocks = [np.ascontiguousarray(f[k, :, a : a + columns]).view(np.float64).ravel() for a in starts for k in range(len(band))]
+        return pd.DataFrame({**out, "_i": np.tile(images, len(starts)), "top": top, "h": h, "c0": np.repeat(starts, len(band)), "v": blocks})
+
+    def along_y(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["top", "_i"])
+        c0 = int(rows["c0"].iloc[0])
+        c = min(columns, half - c0)
+        bands = [np.stack([np.asarray(v).view(np.complex128).reshape(-1, c) for v in g["v"]]) for _, g in rows.groupby("top", sort=True)]
+        if sum(b.shape[1] for b in bands) != height or len({len(b) for b in bands}) != 1:
+            raise ValueError(f"bands do not make whole frames of {height} rows")
+        f = np.fft.fft(np.concatenate(bands, axis=1), n=pad * height, axis=1)
+        norm = (window[0] ** 2).sum() * (window[1] ** 2).sum() if hann else 1.0
+        total = (f.real**2 + f.imag**2).sum(0) / norm
+        out = {k: [rows[k].iloc[0]] for k in keys}
+        return pd.DataFrame({**out, "_b": [int(rows["_b"].iloc[0])], "c0": [c0], "c": [c], "n": [len(f)], "total": [total.ravel()]})
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.asarray(t) for t in rows["total"]], axis=0)
+        head = {k: [rows[k].iloc[0]] for k in [*keys, "_b", "c0", "c"]}
+        return pd.DataFrame({**head, "n": [int(rows["n"].sum())], "total": [total]})
+
+    rows = tiles.select(*keys, F.col(index).cast("bigint").alias("_i"), *PLACE, value)
+    lines = rows.groupBy(*keys, F.floor(F.col("_i") / in_band).alias("_g"), "top").applyInPandas(along_x, f"{kept}, _i bigint, top int, h int, c0 int, v array<double>")
+    schema = f"{kept}, _b bigint, c0 int, c int, n bigint, total array<double>"
+    blocks = lines.withColumn("_b", F.floor(F.col("_i") / together)).groupBy(*keys, "_b", "c0").applyInPandas(along_y, schema)
+    groups = shape.last // together + 1
+    while groups > 1:
+        groups = -(-groups // FAN_IN)
+        blocks = blocks.withColumn("_b", F.floor(F.col("_b") / FAN_IN)).groupBy(*keys, "_b", "c0").applyInPandas(add, schema)
+    return blocks.select(*keys, "c0", "c", "n", F.lit(pad * height).alias("h"), F.lit(pad * width).alias("w"), "total")
+
+
+def _shifted(at: Column, size: Column) -> Column:
+    """Place of a frequency once zero stands in the middle."""
+    return F.pmod(at + F.floor(size / 2), size).cast("bigint")
+
+
+def power_spectrum(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, h, w, v, u, power): mean power of the blocks' images, both halves, zero frequency in the middle."""
+    e = blocks.select(*keys, "h", "w", "c0", "c", F.posexplode(F.transform("total", lambda t: t / F.col("n"))).alias("_p", "power"))
+    v, u = F.floor(F.col("_p") / F.col("c")), F.col("c0") + F.col("_p") % F.col("c")
+    two = (u > 0) & (2 * u != F.col("w"))
+    mirror = F.struct(F.pmod(F.col("h") - v, F.col("h")).alias("v"), (F.col("w") - u).alias("u"))
+    own = F.struct(v.alias("v"), u.cast("int").alias("u"))
+    e = e.withColumn("_k", F.explode(F.when(two, F.array(own, mirror)).otherwise(F.array(own))))
+    return e.select(*keys, "h", "w", _shifted(F.col("_k.v"), F.col("h")).alias("v"), _shifted(F.col("_k.u"), F.col("w")).alias("u"), "power")
+
+
+def autocovariance(blocks: DataFrame, keys: list[str], max_lag: int) -> DataFrame:
+    """Non-circular covariance for lags up to max_lag, divided by the number of valid products, and its ACF.
+
+    ``blocks`` come from ``power_blocks(..., pad=2)``; each gives its share of the few lags at once.
+    """
+    lags = np.arange(-max_lag, max_lag + 1)
+
+    def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for c0, c, h, w, total in zip(rows["c0"], rows["c"], rows["h"], rows["w"], rows["total"]):
+                u = np.arange(c0, c0 + c)
+                weight = np.where((u == 0) | (2 * u == w), 1.0, 2.0)
+                ey = np.exp(2j * np.pi * np.outer(lags, np.arange(h)) / h)
+                ex = np.exp(2j * np.pi * np.outer(u, lags) / w)
+                out.append(((ey @ (np.asarray(total).reshape(h, c) * weight) @ ex).real / (h * w)).ravel())
+            yield rows[[*keys, "n", "h", "w"]].assign(lags=out)
+
+    s = blocks.mapInPandas(shares, typed(blocks, [*keys, "n", "h", "w"]) + ", lags array<double>")
+    e = s.select(*keys, "n", "h", "w", F.posexplode("lags").alias("_p", "_t")).groupBy(*keys, "_p").agg(
+        F.sum("_t").alias("_t"), F.max("n").alias("n"), F.max("h").alias("h"), F.max("w").alias("w"))
+    side = 2 * max_lag + 1
+    dy = (F.floor(F.col("_p") / side) - max_lag).cast("bigint")
+    dx = (F.col("_p") % side - max_lag).cast("bigint")
+    valid = F.col("n") * (F.col("h") / 2 - F.abs(dy)) * (F.col("w") / 2 - F.abs(dx))
+    c = e.select(*keys, dy.alias("dy"), dx.alias("dx"), (F.col("_t") / valid).alias("covariance"))
+    zero = F.max(F.when((F.col("dy") == 0) & (F.col("dx") == 0), F.col("covariance"))).over(W.partitionBy(*keys))
+    return c.withColumn("acf", ratio(F.col("covariance"), zero))
 
 
-def pack(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """One row per image: h, w and the row-major value array."""
-    g = df.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("y", "x", dbl(value).alias("v")))).alias("_s"),
-        (F.max("y") + 1).cast("int").alias("h"), (F.max("x") + 1).cast("int").alias("w"))
-    return g.select(*keys, "h", "w", F.col("_s.v").alias("img"))
-
-
-def _transform(images: DataFrame, keys: list[str], block: Column, kind: str, max_lag: int = 0) -> DataFrame:
-    """Sum |FFT|^2 (or lag products) over the images of every (keys, block) group."""
-    import numpy as np
-    import pandas as pd
-
-    types = dict(images.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", n bigint, h int, w int, total array<double>"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(pdf.h.iloc[0]), int(pdf.w.iloc[0])
-        total = None
-        for img in pdf.img:
-            a = np.asarray(img, dtype=np.float64).reshape(h, w)
-            if kind == "hann":
-                win = np.hanning(h)[:, None] * np.hanning(w)[None, :]
-                p = np.abs(np.fft.fftshift(np.fft.fft2(a * win))) ** 2 / (win * win).sum()
-            elif kind == "lags":
-                f = np.fft.rfft2(a, s=(2 * h, 2 * w))
-                c = np.fft.irfft2(f.real ** 2 + f.imag ** 2, s=(2 * h, 2 * w))
-                k = np.arange(-max_lag, max_lag + 1)
-                p = c[np.ix_(k % (2 * h), k % (2 * w))]
-            else:
-                p = np.abs(np.fft.fftshift(np.fft.fft2(a))) ** 2
-            total = p if total is None else total + p
-        out = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**out, "n": [len(pdf)], "h": [h], "w": [w], "total": [total.ravel()]})
-
-    return images.withColumn("_b", block).groupBy(*keys, "_b").applyInPandas(run, schema)
-
-
-def frame_block(size: int = 8) -> Column:
-    return F.floor(F.col("frame") / size)
-
-
-def _unpack(t: DataFrame, keys: list[str], width: Column) -> DataFrame:
-    e = t.select(*keys, "n", "h", "w", F.posexplode("total").alias("_p", "_t"))
-    g = e.groupBy(*keys, "_p", "h", "w").agg((F.sum("_t")).alias("_t"), F.sum("n").alias("n"))
-    return g.select(*keys, "h", "w", "n", F.floor(F.col("_p") / width).cast("bigint").alias("v"), (F.col("_p") % width).cast("bigint").alias("u"), "_t")
+def acf_from_power(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, h, w, v, u, acf): inverse transform of the mean power over its value at lag zero; null where that is below 1e-12.
 
+    The way back is the same: along y inside a block, a transposing shuffle to bands of rows, along x.
+    """
+    kept = typed(blocks, keys)
 
-def power_spectrum(resid: DataFrame, keys: list[str], image: list[str], value: str, block: Column, hann: bool = False) -> DataFrame:
-    """Mean 2-D power spectrum over the images of each key, zero frequency in the middle."""
-    t = _transform(pack(resid, [*keys, *image], value), keys, block, "hann" if hann else "plain")
-    return _unpack(t, keys, F.col("w")).select(*keys, "h", "w", "v", "u", (F.col("_t") / F.col("n")).alias("power"))
+    def along_y(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for r in rows.itertuples(index=False):
+                f = np.fft.ifft(np.asarray(r.total).reshape(r.h, r.c) / r.n, axis=0)
+                step = max(1, GROUP_VALUES // r.w)
+                starts = list(range(0, r.h, step))
+                values = [np.ascontiguousarray(f[a : a + step]).view(np.float64).ravel() for a in starts]
+                yield pd.DataFrame({**{k: [getattr(r, k)] * len(starts) for k in keys}, "h": r.h, "w": r.w, "c0": r.c0, "c": r.c, "top": starts, "v": values})
 
+    def along_x(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("c0")
+        f = np.concatenate([np.asarray(v).view(np.complex128).reshape(-1, int(c)) for v, c in zip(rows["v"], rows["c"])], axis=1)
+        a = np.fft.irfft(f, n=int(rows["w"].iloc[0]), axis=1)
+        return pd.DataFrame({k: [rows[k].iloc[0]] for k in [*keys, "h", "w", "top"]} | {"acf": [a.ravel()]})
 
-def autocovariance(resid: DataFrame, keys: list[str], image: list[str], value: str, block: Column, max_lag: int) -> DataFrame:
-    """Non-circular covariance for lags up to max_lag, divided by the number of valid products, and its ACF."""
-    t = _transform(pack(resid, [*keys, *image], value), keys, block, "lags", max_lag)
-    c = _unpack(t, keys, F.lit(2 * max_lag + 1))
-    dy, dx = F.col("v") - max_lag, F.col("u") - max_lag
-    valid = F.col("n") * (F.col("h") - F.abs(dy)) * (F.col("w") - F.abs(dx))
-    c = c.select(*keys, dy.alias("dy"), dx.alias("dx"), (F.col("_t") / valid).alias("covariance"))
-    zero = F.max(F.when((F.col("dy") == 0) & (F.col("dx") == 0), F.col("covariance"))).over(W.partitionBy(*keys))
-    return c.withColumn("acf", ratio(F.col("covariance"), zero))
+    bands = blocks.mapInPandas(along_y, f"{kept}, h int, w int, c0 int, c int, top int, v array<double>")
+    back = bands.groupBy(*keys, "top").applyInPandas(along_x, f"{kept}, h int, w int, top int, acf array<double>")
+    zero = F.max(F.when(F.col("top") == 0, F.get("acf", F.lit(0)))).over(W.partitionBy(*keys))
+    e = back.withColumn("_z", zero).select(*keys, "h", "w", "top", "_z", F.posexplode("acf").alias("_p", "_a"))
+    v, u = F.col("top") + F.floor(F.col("_p") / F.col("w")), F.col("_p") % F.col("w")
+    return e.select(*keys, "h", "w", _shifted(v, F.col("h")).alias("v"), _shifted(u, F.col("w")).alias("u"), F.when(F.abs("_z") >= 1e-12, F.col("_a") / F.col("_z")).alias("acf"))
 
 
 def autocovariance_summary(acf: DataFrame, keys: list[str], max_lag: int) -> DataFrame:
@@ -123,28 +207,6 @@ def band_fractions(field: DataFrame, keys: list[str], edges: tuple[float, float,
     return g.select(*keys, *[safe_div(F.col(k), F.col("_t")).alias(f"{k}_fraction") for k in part])
 
 
-def acf_from_power(field: DataFrame, keys: list[str]) -> DataFrame:
-    """Normalised circular autocorrelation: inverse transform of the mean power spectrum."""
-    import numpy as np
-    import pandas as pd
-
-    img = pack(field.withColumnsRenamed({"v": "y", "u": "x"}), keys, "power")
-    types = dict(img.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", h int, w int, acf array<double>"
-
-    def inverse(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(pdf.h.iloc[0]), int(pdf.w.iloc[0])
-        p = np.asarray(pdf.img.iloc[0]).reshape(h, w)
-        a = np.fft.fftshift(np.fft.ifft2(np.fft.ifftshift(p)).real)
-        c = a[h // 2, w // 2]
-        out = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**out, "h": [h], "w": [w], "acf": [a.ravel() / c if abs(c) >= 1e-12 else np.full(a.size, None)]})
-
-    a = img.groupBy(*keys).applyInPandas(inverse, schema)
-    e = a.select(*keys, "h", "w", F.posexplode("acf").alias("_p", "acf"))
-    return e.select(*keys, "h", "w", F.floor(F.col("_p") / F.col("w")).cast("bigint").alias("v"), (F.col("_p") % F.col("w")).cast("bigint").alias("u"), "acf")
-
-
 def correlation_length(radial: DataFrame, keys: list[str], thresholds: dict[str, float], max_radius: int) -> DataFrame:
     """First radius >= 1 at or below each threshold; max_radius + 1 with a flag when never reached."""
     g = radial.groupBy(*keys).agg(*[

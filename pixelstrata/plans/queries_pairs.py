@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pixelstrata.functions.scalars import rnd
 from pixelstrata.operators import pairs as P
 from pixelstrata.operators import spectral as S
+from pixelstrata.operators.frames import tile_pixels
+from pixelstrata.operators.tiles import PLACE, frame_shape
 from pixelstrata.plans.queries_pixels import TARGET_STD_CTE, VALID_CTE, masked, with_target
 from pixelstrata.plans.queries_temporal import TOP, _corr, raw_out, sel
 from pixelstrata.plans.registry import query
@@ -336,7 +338,8 @@ def _(t: Tables):
 def _(t: Tables):
     c, n = F.col("clean"), F.col("noisy")
     d = t.pairs().select("pair_key", "y", "x", (n - c).alias("a"), (F.floor((3 * n + c) / 4) - c).alias("b"))
-    # pairs are independent images: group a few by hash so one task call handles a small block
-    blk = F.pmod(F.xxhash64("pair_key"), F.lit(64))
-    sp = lambda v: S.power_spectrum(d, ["pair_key"], [], v, blk)
+    tiles = tile_pixels(d.withColumn("v", F.struct("a", "b")), ["pair_key"], 512, "v").withColumn("frame", F.lit(0))
+    tiles = tiles.select("pair_key", "frame", *[F.col(c).cast("int").alias(c) for c in PLACE], F.col("v.a").cast("array<double>").alias("a"), F.col("v.b").cast("array<double>").alias("b"))
+    shape = frame_shape(t.tiles(), None)
+    sp = lambda v: S.power_spectrum(S.power_blocks(tiles, K, v, shape=shape), K)
     return sel(S.psd_l1(sp("a"), sp("b"), K), K, 8)

@@ -9,6 +9,7 @@ from pixelstrata.operators import spatial as A
 from pixelstrata.operators import spectral as S
 from pixelstrata.operators.frames import explode_tiles
 from pixelstrata.operators.temporal import frame_subsets, temporal_maps, temporal_residual
+from pixelstrata.operators.tiles import frame_shape, tile_residual
 from pixelstrata.plans.queries_pairs import SOBEL, grad_sql
 from pixelstrata.plans.queries_temporal import HP_CTE, SUBSET_CTE, _corr, raw_out, sel
 from pixelstrata.plans.registry import query
@@ -50,8 +51,13 @@ COV_SQL = """
     acf AS (SELECT folder, dy, dx, cov, cov / max(cov) FILTER (dy = 0 AND dx = 0) OVER (PARTITION BY folder) AS acf FROM c)"""
 
 
+def power_blocks(t: Tables, demean: bool = True, **given):
+    tiles = t.tiles()
+    return S.power_blocks(tile_residual(tiles, demean), ["folder"], shape=frame_shape(tiles), **given)
+
+
 def acov(t: Tables, lag: int):
-    return S.autocovariance(temporal_residual(t.pixels()), ["folder"], ["frame"], "r", S.frame_block(), lag)
+    return S.autocovariance(power_blocks(t, pad=2), ["folder"], lag)
 
 
 @query("autocovariance_2d", COV_SQL.format(l=2, n=5) + "SELECT folder, dy, dx, R2(cov) AS covariance, R6(acf) AS acf FROM acf")
@@ -245,7 +251,7 @@ EDGES = (0.126, 0.26, 0.4)
 
 
 def spectrum(t: Tables):
-    return S.power_spectrum(temporal_residual(t.pixels()), ["folder"], ["frame"], "r", S.frame_block())
+    return S.power_spectrum(power_blocks(t), ["folder"])
 
 
 @query("power_spectrum", f"WITH {PS_CTE} SELECT folder, v, u, R3(p / 1e6) AS power_m FROM ps")
@@ -260,7 +266,7 @@ HANN = "(0.5 - 0.5 * cos(2 * pi() * y / 7)) * (0.5 - 0.5 * cos(2 * pi() * x / 7)
     nw AS (SELECT sum(pow({HANN}, 2)) AS norm FROM (SELECT a.range AS y, b.range AS x FROM range(8) a, range(8) b))
     SELECT folder, v, u, R3(p / norm / 1e4) AS nps_e4 FROM ps, nw""")
 def _(t: Tables):
-    p = S.power_spectrum(temporal_residual(t.pixels()), ["folder"], ["frame"], "r", S.frame_block(), hann=True)
+    p = S.power_spectrum(power_blocks(t, hann=True), ["folder"])
     return p.select("folder", "v", "u", rnd(F.col("power") / 1e4, 3).alias("nps_e4"))
 
 
@@ -278,8 +284,7 @@ BANDS_SQL = (f"R8(sum(CASE WHEN f = 0 THEN p ELSE 0 END) / sum(p)) AS dc_fractio
 
 @query("band_fractions", f"WITH {DFT.format(name='ps', k='folder', r='r', src='fx_resid')}, b AS (SELECT folder, p, {FREQ} AS f FROM ps) SELECT folder, {BANDS_SQL} FROM b GROUP BY folder")
 def _(t: Tables):
-    r = temporal_residual(t.pixels(), demean=False)
-    p = S.power_spectrum(r, ["folder"], ["frame"], "r", S.frame_block())
+    p = S.power_spectrum(power_blocks(t, demean=False), ["folder"])
     return sel(S.band_fractions(p, ["folder"], EDGES), ["folder"], 8)
 
 
@@ -291,14 +296,14 @@ ACF_CTE = PS_CTE + """,
 
 @query("acf_from_psd", f"WITH {ACF_CTE} SELECT folder, v, u, R8(acf) AS acf FROM acf")
 def _(t: Tables):
-    return S.acf_from_power(spectrum(t), ["folder"]).select("folder", "v", "u", rnd("acf", 8).alias("acf"))
+    return S.acf_from_power(power_blocks(t), ["folder"]).select("folder", "v", "u", rnd("acf", 8).alias("acf"))
 
 
 @query("correlation_length", f"""WITH {ACF_CTE}, r AS (SELECT folder, {RAD} AS radius, avg(acf) AS value FROM acf WHERE {RAD} <= 4 GROUP BY ALL),
     m AS (SELECT folder, min(radius) FILTER (radius >= 1 AND value <= 0.36787944117144233) AS a, min(radius) FILTER (radius >= 1 AND value <= -0.017) AS b FROM r GROUP BY folder)
     SELECT folder, coalesce(a, 5) AS length_1e, coalesce(b, 5) AS length_negative, a IS NULL AS length_1e_censored, b IS NULL AS length_negative_censored FROM m""")
 def _(t: Tables):
-    r = S.radial_average(S.acf_from_power(spectrum(t), ["folder"]), ["folder"], "acf", 4)
+    r = S.radial_average(S.acf_from_power(power_blocks(t), ["folder"]), ["folder"], "acf", 4)
     return S.correlation_length(r, ["folder"], {"length_1e": 0.36787944117144233, "length_negative": -0.017}, 4)
 
 
@@ -326,8 +331,9 @@ def _(t: Tables):
     SELECT folder, c.subset, R6(c.c) AS spectrum_correlation, R8(b.l - f.l) AS low_fraction_difference, R8(b.m - f.m) AS mid_fraction_difference, R8(b.h - f.h) AS high_fraction_difference
     FROM c JOIN b USING (folder, subset) JOIN (SELECT * FROM b WHERE subset = 'all') f USING (folder)""")
 def _(t: Tables):
-    r = frame_subsets(temporal_residual(t.pixels()), ["all", "odd", "even", "first_half", "second_half"], block=8)
-    p = S.power_spectrum(r, ["folder", "subset"], ["frame"], "r", S.frame_block())
+    tiles = t.tiles()
+    r = frame_subsets(tile_residual(tiles), ["all", "odd", "even", "first_half", "second_half"], block=8)
+    p = S.power_spectrum(S.power_blocks(r, ["folder", "subset"], shape=frame_shape(tiles)), ["folder", "subset"])
     return sel(S.spectrum_repeatability(p, ["folder"], EDGES), ["folder", "subset"], 8, spectrum_correlation=6)
 
 

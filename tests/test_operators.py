@@ -14,6 +14,7 @@ from pixelstrata.operators import pairs as P
 from pixelstrata.operators import similarity as M
 from pixelstrata.operators import spectral as S
 from pixelstrata.operators import temporal as T
+from pixelstrata.operators import tiles as L
 from pixelstrata.operators.frames import explode_tiles, tile_pixels
 from pixelstrata.operators.spatial import gaussian_highpass, sobel
 
@@ -24,6 +25,13 @@ def pixels(spark, stack, folder=1):
     return spark.createDataFrame(pd.DataFrame({"folder": folder, "frame": f.ravel(), "y": y.ravel(), "x": x.ravel(), "dn": stack.ravel()}))
 
 
+def tiles_of(spark, stack, side):
+    """(folder, frame, place, dn) rows of a stack in tiles of ``side`` pixels."""
+    n, h, w = stack.shape
+    rows = [(1, f + 1, t, c, *stack[f, t : t + side, c : c + side].shape, stack[f, t : t + side, c : c + side].ravel().tolist()) for f in range(n) for t in range(0, h, side) for c in range(0, w, side)]
+    return spark.createDataFrame(rows, "folder int, frame long, top int, left int, h int, w int, dn array<double>")
+
+
 def out_rows(spark, raw, out):
     a = pixels(spark, raw).withColumnRenamed("dn", "raw")
     b = pixels(spark, out).withColumnRenamed("dn", "value")
@@ -64,16 +72,57 @@ def test_spectra(spark):
     board = np.indices((8, 8)).sum(0) % 2 * 2.0 - 1
     signs = np.array([1.0, -1, 1, -1])[:, None, None]
     for s, band, share in ((flat, "dc_fraction", 0.999), (board[None] * signs, "high_fraction", 0.99)):
-        r = T.temporal_residual(pixels(spark, s), demean=False)
-        p = S.power_spectrum(r, ["folder"], ["frame"], "r", S.frame_block())
+        p = S.power_spectrum(S.power_blocks(L.tile_residual(tiles_of(spark, s, 5), demean=False), ["folder"]), ["folder"])
         assert S.band_fractions(p, ["folder"], (0.126, 0.26, 0.4)).collect()[0][band] > share
 
 
-def test_power_spectrum_equals_numpy(spark, stack):
-    r = stack - stack.mean(0)
-    got = S.power_spectrum(T.temporal_residual(pixels(spark, stack), demean=False), ["folder"], ["frame"], "r", S.frame_block(5)).toPandas()
-    want = np.fft.fftshift((np.abs(np.fft.fft2(r)) ** 2).mean(0))
-    assert np.allclose(got.sort_values(["v", "u"]).power.to_numpy().reshape(8, 6), want)
+@pytest.mark.parametrize("side,block", [(3, 40), (8, 1 << 20)])
+def test_spectra_equal_numpy_whatever_the_tiles(spark, stack, monkeypatch, side, block):
+    monkeypatch.setattr(S, "GROUP_VALUES", block)
+    monkeypatch.setattr(S, "IMAGES", 2)
+    monkeypatch.setattr(S, "FAN_IN", 2)
+    grid = lambda d, c: d.toPandas().sort_values([x for x in ("v", "u", "dy", "dx") if x in d.columns])[c].to_numpy()
+    for odd in (stack, stack[:, :7, :5]):
+        tiles, r = tiles_of(spark, odd, side), odd - odd.mean(0)
+        h, w = r.shape[1:]
+        blocks = S.power_blocks(L.tile_residual(tiles, demean=False), ["folder"])
+        power = (np.abs(np.fft.fft2(r)) ** 2).mean(0)
+        assert np.allclose(grid(S.power_spectrum(blocks, ["folder"]), "power").reshape(h, w), np.fft.fftshift(power))
+        acf = np.fft.fftshift(np.fft.ifft2(power).real)
+        assert np.allclose(grid(S.acf_from_power(blocks, ["folder"]), "acf").reshape(h, w), acf / acf[h // 2, w // 2])
+        d = r - r.mean((1, 2), keepdims=True)
+        win = np.hanning(h)[:, None] * np.hanning(w)
+        got = S.power_spectrum(S.power_blocks(L.tile_residual(tiles), ["folder"], hann=True), ["folder"])
+        assert np.allclose(grid(got, "power").reshape(h, w), np.fft.fftshift((np.abs(np.fft.fft2(d * win)) ** 2).mean(0)) / (win * win).sum())
+        cov = grid(S.autocovariance(S.power_blocks(L.tile_residual(tiles), ["folder"], pad=2), ["folder"], 2), "covariance").reshape(5, 5)
+        for y in range(-2, 3):
+            for x in range(-2, 3):
+                a = d[:, max(0, y) : h + min(0, y), max(0, x) : w + min(0, x)]
+                b = d[:, max(0, -y) : h + min(0, -y), max(0, -x) : w + min(0, -x)]
+                assert cov[y + 2, x + 2] == pytest.approx((a * b).mean())
+
+
+def test_incomplete_frames_are_refused(spark, stack):
+    tiles = tiles_of(spark, stack, 3).where("not (frame = 4 and top = 3 and left = 3)")
+    with pytest.raises(Exception, match="whole rows"):
+        S.power_blocks(tiles.withColumn("r", F.col("dn").cast("array<double>")), ["folder"]).collect()
+
+
+def test_spectrum_of_a_wide_frame_in_small_groups(spark):
+    img = np.random.default_rng(8).normal(size=(1, 512, 512))
+    rows = [(1, 1, t, c, 128, 128, img[0, t : t + 128, c : c + 128].ravel().tolist()) for t in range(0, 512, 128) for c in range(0, 512, 128)]
+    tiles = spark.createDataFrame(rows, "folder int, frame long, top int, left int, h int, w int, r array<double>")
+    got = S.power_spectrum(S.power_blocks(tiles, ["folder"]), ["folder"]).toPandas().sort_values(["v", "u"]).power.to_numpy().reshape(512, 512)
+    assert np.allclose(got, np.fft.fftshift(np.abs(np.fft.fft2(img[0])) ** 2))
+
+
+def test_moments_merge_over_partitions(spark, stack):
+    tiles = tiles_of(spark, stack, 5).repartition(40)
+    got = L.tile_moments(tiles, ["folder"]).collect()
+    for r in got:
+        part = stack[:, r.top : r.top + r.h, r.left : r.left + r.w].reshape(len(stack), -1)
+        assert r.n == len(stack) and np.allclose(r["mean"], part.mean(0)) and np.allclose(r.m2, part.var(0) * len(stack))
+    assert sum(len(r.m2) for r in got) == stack[0].size
 
 
 def test_gaussian_highpass_reflects_edges(spark):
