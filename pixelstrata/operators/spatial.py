@@ -155,19 +155,6 @@ def lag1_correlation(df: DataFrame, keys: list[str], value: str, group: list[str
     )
 
 
-def neighbor_products(df: DataFrame, keys: list[str], value: str, max_lag: int) -> DataFrame:
-    """One row per pixel and offset (dy, dx), 0 <= dy <= max_lag: value and shifted value."""
-    offsets = F.array(*[
-        F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
-        for dy in range(0, max_lag + 1) for dx in range(-max_lag, max_lag + 1)
-    ])
-    left = df.select(*keys, "y", "x", dbl(value).alias("a")).withColumn("_o", F.explode(offsets)).select(
-        *keys, (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x"),
-        F.col("_o.dy").cast("bigint").alias("dy"), F.col("_o.dx").cast("bigint").alias("dx"), "a",
-    )
-    return left.join(df.select(*keys, "y", "x", dbl(value).alias("b")), [*keys, "y", "x"])
-
-
 def block_mean(df: DataFrame, keys: list[str], value: str, factor: int) -> DataFrame:
     """Average over factor x factor blocks."""
     return df.groupBy(

@@ -15,6 +15,7 @@ from pixelstrata.functions.ordering import add_bounded_quantiles, bounded_quanti
 from pixelstrata.functions.scalars import clip, corr_agg, dbl, ratio, safe_div
 from pixelstrata.operators.frames import explode_tiles
 from pixelstrata.operators.spatial import gaussian_highpass
+from pixelstrata.operators.tiles import PAIR_SUMS, corr_of_sums, crop_summaries, lagged_tiles, pair_sums, pair_sums_by_label, tile_moments
 
 PIXEL = ["folder", "y", "x"]
 FRAME = ["folder", "frame"]
@@ -101,31 +102,11 @@ def temporal_quantile_summary(pixels: DataFrame, range_max: int) -> DataFrame:
     return q.withColumn("iqr", F.col("p75") - F.col("p25")).join(share, "folder")
 
 
-def robustness_grid(pixels: DataFrame, h: int, w: int, crops: list[int], counts: list[int | None]) -> DataFrame:
-    """Noise summary for every centred crop and leading frame count (None = all)."""
-    cells = []
-    for c in crops:
-        size = min(c, h, w)
-        for n in counts:
-            cells.append(F.struct(
-                F.lit(c).cast("bigint").alias("crop"), F.lit(n or 0).cast("bigint").alias("frames"),
-                F.lit((h - size) // 2).alias("top"), F.lit((w - size) // 2).alias("left"), F.lit(size).alias("size"),
-            ))
-    g = pixels.withColumn("_g", F.explode(F.array(*cells))).where(
-        (F.col("y") >= F.col("_g.top")) & (F.col("y") < F.col("_g.top") + F.col("_g.size"))
-        & (F.col("x") >= F.col("_g.left")) & (F.col("x") < F.col("_g.left") + F.col("_g.size"))
-        & ((F.col("_g.frames") == 0) | (F.col("frame") <= F.col("_g.frames")))
-    ).select("folder", "_g.crop", "_g.frames", "frame", "y", "x", "dn")
-    cell = ["folder", "crop", "frames"]
-    maps = g.groupBy(*cell, "y", "x").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("dn").alias("mean"), F.stddev_samp("dn").alias("std"), F.var_samp("dn").alias("var")
-    ).groupBy(*cell).agg(
-        F.max("n").alias("frame_count"), F.avg("mean").alias("mean_signal"),
-        F.stddev_samp("mean").alias("fixed_std"), F.avg("std").alias("temporal_std_mean"), F.avg("var").alias("temporal_var_mean"),
-    )
-    frames = g.groupBy(*cell, "frame").agg(F.avg("dn").alias("m")).groupBy(*cell).agg(F.stddev_samp("m").alias("frame_mean_std"))
-    return maps.join(frames, cell).withColumn("fano_temporal", safe_div("temporal_var_mean", "mean_signal")).withColumn(
-        "fixed_to_temporal", safe_div("fixed_std", "temporal_std_mean"))
+def robustness_grid(tiles: DataFrame, h: int, w: int, crops: list[int], counts: list[int | None]) -> DataFrame:
+    """Noise summary for every centred crop and leading frame count (None = all), from one scan of the tiles."""
+    size = {c: min(c, h, w) for c in crops}
+    g = crop_summaries(tiles, {c: ((h - n) // 2, (w - n) // 2, n) for c, n in size.items()}, counts)
+    return g.withColumn("fano_temporal", safe_div("temporal_var_mean", "mean_signal")).withColumn("fixed_to_temporal", safe_div("fixed_std", "temporal_std_mean"))
 
 
 def robustness_delta(grid: DataFrame, reference: tuple[int, int], metrics: list[str]) -> DataFrame:
@@ -318,19 +299,20 @@ def profile_adjacent_corr(resid: DataFrame) -> DataFrame:
 
 
 def lag_correlation(resid: DataFrame, lags: list[int]) -> DataFrame:
-    """Mean and largest absolute residual correlation between frames f and f + lag."""
-    per = lag_pairs(resid, PIXEL, lags, "r").groupBy(*FRAME, "lag").agg(corr_agg("a", "b").alias("c"))
+    """Mean and largest absolute correlation between residual tiles of frames f and f + lag."""
+    per = lagged_tiles(resid, ["folder"], "r", lags, pair_sums, PAIR_SUMS).groupBy(*FRAME, "lag").agg(corr_of_sums().alias("c"))
     return per.groupBy("folder", "lag").agg(
         F.count("c").alias("pairs"), F.avg("c").alias("correlation_mean"), F.max(F.abs("c")).alias("correlation_max_abs"))
 
 
-def lag_correlation_by_brightness(pixels: DataFrame, resid: DataFrame, lags: list[int], bins: int) -> DataFrame:
+def lag_correlation_by_brightness(tiles: DataFrame, resid: DataFrame, lags: list[int], bins: int) -> DataFrame:
     """Lag correlation inside quantile bins of the temporal mean."""
-    maps = pixels.groupBy(*PIXEL).agg(F.avg("dn").alias("mean"))
-    b = add_bounded_quantiles(maps, "folder", "mean", {f"_e{i}": i / bins for i in range(1, bins)})
-    label = sum(((F.col("mean") >= F.col(f"_e{i}")).cast("bigint") for i in range(1, bins)), F.lit(0).cast("bigint"))
-    b = b.select(*PIXEL, label.alias("bin"))
-    per = lag_pairs(resid, PIXEL, lags, "r").join(b, PIXEL).groupBy(*FRAME, "lag", "bin").agg(corr_agg("a", "b").alias("c"))
+    maps = tile_moments(tiles, ["folder"])
+    edges = exact_quantiles(maps.select("folder", F.explode("mean").alias("mean")), "folder", "mean", {f"_e{i}": i / bins for i in range(1, bins)})
+    label = F.transform("mean", lambda m: sum(((m >= F.col(f"_e{i}")).cast("bigint") for i in range(1, bins)), F.lit(0).cast("bigint")))
+    labels = maps.join(edges, "folder").select("folder", "top", "left", label.alias("_label"))
+    per = lagged_tiles(resid.join(labels, ["folder", "top", "left"]), ["folder"], "r", lags, pair_sums_by_label, f"bin bigint, {PAIR_SUMS}", "_label")
+    per = per.groupBy(*FRAME, "lag", "bin").agg(corr_of_sums().alias("c"))
     return per.groupBy("folder", "lag", "bin").agg(F.avg("c").alias("correlation_mean"), F.max(F.abs("c")).alias("correlation_max_abs"))
 
 
@@ -343,14 +325,20 @@ def bias_corrected_shape(n: Column, skew: Column, kurt: Column) -> tuple[Column,
     )
 
 
-def lag_difference_moments(pixels: DataFrame, lags: list[int]) -> DataFrame:
-    """Moments of frame f + lag minus frame f."""
-    d = lag_pairs(pixels, PIXEL, lags, "dn").withColumn("d", F.col("b") - F.col("a"))
-    g = d.groupBy("folder", "lag").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"),
-        F.skewness("d").alias("_s"), F.kurtosis("d").alias("_k"))
+def lag_difference_moments(tiles: DataFrame, lags: list[int]) -> DataFrame:
+    """Moments of frame f + lag minus frame f, from power sums of whole tiles."""
+    def powers(a, b) -> list[dict[str, float]]:
+        d = b - a
+        return [{"n": len(d), **{f"s{k}": float((d**k).sum()) for k in range(1, 5)}}]
+
+    per = lagged_tiles(tiles, ["folder"], "dn", lags, powers, "n bigint, s1 double, s2 double, s3 double, s4 double")
+    g = per.groupBy("folder", "lag").agg(F.sum("n").alias("n"), *[(F.sum(f"s{k}") / F.sum("n")).alias(f"_{k}") for k in range(1, 5)])
+    m, m2, m3, m4 = (F.col(f"_{k}") for k in range(1, 5))
+    var = m2 - m * m
+    g = g.withColumn("std", F.sqrt(F.greatest(var, F.lit(0.0))))
+    g = g.withColumn("_s", ratio(m3 - 3 * m * m2 + 2 * m * m * m, F.pow("std", 3))).withColumn("_k", ratio(m4 - 4 * m * m3 + 6 * m * m * m2 - 3 * F.pow(m, 4), F.pow("std", 4)) - 3)
     s, k = bias_corrected_shape(F.col("n"), F.col("_s"), F.col("_k"))
-    return g.where(F.col("n") > 3).select("folder", "lag", "n", "mean", "std", s.alias("skewness"), k.alias("excess_kurtosis"))
+    return g.where(F.col("n") > 3).select("folder", "lag", "n", m.alias("mean"), "std", s.alias("skewness"), k.alias("excess_kurtosis"))
 
 
 def frame_trace(stats: DataFrame, window: int, chunk: int = 65536) -> DataFrame:

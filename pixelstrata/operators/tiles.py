@@ -14,9 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelstrata.sources.storage import cut_lineage
+
 PLACE = ["top", "left", "h", "w"]
 FAN_IN = 16  # partial maps merged by one call
 HELD_BYTES = 64 << 20  # partial maps that a task holds before it hands them on
@@ -111,7 +113,12 @@ def tile_moments(tiles: DataFrame, keys: list[str], value: str = "dn") -> DataFr
             yield out(types)
 
     parts = tiles.select(*by, value).mapInArrow(partial, schema).withColumn("_part", F.spark_partition_id())
-    tasks = tiles.rdd.getNumPartitions()
+    return _merge_tree(parts, by, typed(tiles, by), tiles.rdd.getNumPartitions())
+
+
+def _merge_tree(parts: DataFrame, by: list[str], head: str, tasks: int) -> DataFrame:
+    """Moments merged over the tasks that made them (``_part``), ``FAN_IN`` neighbours at a time."""
+    schema = head + ", _part int, n bigint, mean array<double>, m2 array<double>"
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         n, mean, m2 = _merge_rows(rows)
@@ -121,7 +128,7 @@ def tile_moments(tiles: DataFrame, keys: list[str], value: str = "dn") -> DataFr
     while True:
         tasks = -(-tasks // FAN_IN)
         parts = parts.withColumn("_part", F.floor(F.col("_part") / FAN_IN).cast("int") if tasks > 1 else F.lit(0))
-        parts = parts.groupBy(*by, "_part").applyInPandas(merge, schema.replace(", n bigint", ", _part int, n bigint"))
+        parts = parts.groupBy(*by, "_part").applyInPandas(merge, schema)
         if tasks == 1:
             return parts.drop("_part")
 
@@ -176,6 +183,111 @@ def tile_residual(tiles: DataFrame, demean: bool = True, keys: tuple[str, ...] =
     return shifted.select(*keep, "r", "_shift").mapInArrow(run, typed(r, [*keep, "r"]))
 
 
+def over_pixels(parts: list[tuple[int, float, float]]) -> tuple[int, float, float]:
+    """Count, mean and sum of squared deviations of groups of pixels together."""
+    total = (0, 0.0, 0.0)
+    for part in parts:
+        if part[0]:
+            total = merged(*total, *part) if total[0] else part
+    return total
+
+
+def _of(values: np.ndarray) -> tuple[int, float, float]:
+    mean = float(values.mean()) if values.size else 0.0
+    return values.size, mean, float(((values - mean) ** 2).sum())
+
+
+def crop_summaries(tiles: DataFrame, crops: dict[int, tuple[int, int, int]], counts: list[int | None]) -> DataFrame:
+    """Noise summary of every crop {name: (top, left, size)} and leading frame count (None = all) from one scan.
+
+    Frames fall into ranges between the counts. A scan gives moments of each tile and range and,
+    of each tile row, one sum for each crop; ranges are then merged from the first on, so the
+    frames of a longer count are never visited again, and a crop is a slice of a merged tile.
+    """
+    ends = sorted(c for c in counts if c)
+    rng = sum(((F.col("frame") > c).cast("int") for c in ends), F.lit(0))
+    by = ["folder", "_range", *PLACE]
+    given = tiles.withColumn("_range", rng.cast("int"))
+    boxes = list(crops.items())
+    head = typed(given, by)
+
+    def inside(top, left, h, w, box):
+        t, l, size = box
+        a, b, c, d = max(top, t), min(top + h, t + size), max(left, l), min(left + w, l + size)
+        return (slice(a - top, b - top), slice(c - left, d - left)) if a < b and c < d else None
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = None
+        held: dict[tuple, list] = {}
+
+        def out(keys: list[tuple], moments: list, frames: list, sums: list) -> pa.RecordBatch:
+            columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate(kinds)]
+            columns += [pa.array([m[0] for m in moments], pa.int64()), *(pa.array([m[i] for m in moments], pa.list_(pa.float64())) for i in (1, 2))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(frames, pa.int64()), pa.array(sums, pa.list_(pa.float64()))], names=[*by, "n", "mean", "m2", "frame", "sums"])
+
+        for batch in batches:
+            kinds = [batch.column(c).type for c in by]
+            values, past = flat(batch.column("dn")), np.cumsum(np.asarray(batch.column("dn").value_lengths()))
+            keys, frames, sums = list(zip(*(batch.column(c).to_pylist() for c in by))), batch.column("frame").to_pylist(), []
+            for row, key in enumerate(keys):
+                x = values[(past[row - 1] if row else 0) : past[row]]
+                part = held.setdefault(key, [0, np.zeros(len(x)), np.zeros(len(x))])
+                part[0] += 1
+                d = x - part[1]
+                part[1] += d / part[0]
+                part[2] += d * (x - part[1])
+                tile = x.reshape(key[4], key[5])
+                cuts = [inside(*key[2:], box) for _, box in boxes]
+                sums.append([v for cut in cuts for v in ((tile[cut].sum(), tile[cut].size) if cut else (0.0, 0.0))])
+            yield out(keys, [[0, None, None]] * len(keys), frames, sums)
+            if sum(16 * len(v[1]) for v in held.values()) > HELD_BYTES:
+                yield out(list(held), list(held.values()), [None] * len(held), [None] * len(held))
+                held.clear()
+        if held:
+            yield out(list(held), list(held.values()), [None] * len(held), [None] * len(held))
+
+    scanned = cut_lineage(given.select(*by, "frame", "dn").mapInArrow(scan, head + ", n bigint, mean array<double>, m2 array<double>, frame bigint, sums array<double>").withColumn("_part", F.spark_partition_id()))
+    maps, tasks = scanned.where("frame is null").drop("frame", "sums"), scanned.rdd.getNumPartitions()
+    maps = _merge_tree(maps, by, head, tasks)
+
+    def prefixes(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_range")
+        top, left, h, w = (int(rows[c].iloc[0]) for c in PLACE)
+        total, out = None, []
+        parts = {int(r): (int(n), np.asarray(m), np.asarray(q)) for r, n, m, q in zip(rows["_range"], rows["n"], rows["mean"], rows["m2"])}
+        for k in range(len(ends) + 1):
+            if k in parts:
+                total = parts[k] if total is None else merged(*total, *parts[k])
+            if total is None or not (k < len(ends) or None in counts):
+                continue
+            n, mean, m2 = (total[0], total[1].reshape(h, w), total[2].reshape(h, w))
+            var = m2 / (n - 1) if n > 1 else np.full_like(m2, np.nan)
+            for name, box in boxes:
+                if cut := inside(top, left, h, w, box):
+                    pixels, level, spread = _of(mean[cut])
+                    out.append((name, ends[k] if k < len(ends) else 0, n, pixels, level, spread, float(np.sqrt(var[cut]).sum()), float(var[cut].sum())))
+        names = ["crop", "frames", "frame_count", "pixels", "level", "spread", "std_sum", "var_sum"]
+        return pd.DataFrame(out, columns=names).assign(folder=rows["folder"].iloc[0])[["folder", *names]]
+
+    cell = ["folder", "crop", "frames"]
+    kind = dict(tiles.dtypes)["folder"]
+    parts = maps.groupBy("folder", *PLACE).applyInPandas(prefixes, f"folder {kind}, crop bigint, frames bigint, frame_count bigint, pixels bigint, level double, spread double, std_sum double, var_sum double")
+    pixels, number = F.sum("pixels"), lambda c: F.when(F.isnan(c), None).otherwise(c)
+    whole = parts.groupBy(*cell).agg(
+        F.max("frame_count").alias("frame_count"), pixels.alias("_n"), (F.sum(F.col("level") * F.col("pixels")) / pixels).alias("mean_signal"),
+        number(F.sum("std_sum") / pixels).alias("temporal_std_mean"), number(F.sum("var_sum") / pixels).alias("temporal_var_mean"))
+    fixed = parts.join(whole.select(*cell, "_n", "mean_signal"), cell).groupBy(*cell, "_n").agg(
+        F.sum(F.col("spread") + F.col("pixels") * F.pow(F.col("level") - F.col("mean_signal"), 2)).alias("_s"))
+    fixed = fixed.select(*cell, F.when(F.col("_n") > 1, F.sqrt(F.col("_s") / (F.col("_n") - 1))).alias("fixed_std"))
+    at = F.array(*[F.struct(F.lit(name).cast("bigint").alias("crop"), F.get("_s", F.lit(2 * i)).alias("s"), F.get("_s", F.lit(2 * i + 1)).alias("n")) for i, (name, _) in enumerate(boxes)])
+    frames = scanned.where("frame is not null").select("folder", "frame", F.col("sums").alias("_s")).select("folder", "frame", F.explode(at).alias("_c"))
+    frames = frames.groupBy("folder", "frame", "_c.crop").agg((F.sum("_c.s") / F.nullif(F.sum("_c.n"), F.lit(0.0))).alias("m"))
+    some = {c or 0: (F.col("frame") <= c if c else F.lit(True)) for c in counts}
+    spread = frames.groupBy("folder", "crop").agg(*[F.stddev_samp(F.when(t, F.col("m"))).alias(f"_{c}") for c, t in some.items()])
+    spread = spread.select("folder", "crop", F.explode(F.array(*[F.struct(F.lit(c).cast("bigint").alias("frames"), F.col(f"_{c}").alias("frame_mean_std")) for c in some])).alias("_f")).select("folder", "crop", "_f.*")
+    return whole.drop("_n").join(fixed, cell).join(spread, cell)
+
+
 # -- halo exchange ------------------------------------------------------------------------
 
 def _index(start: int, stop: int, size: int, border: str) -> np.ndarray:
@@ -191,7 +303,8 @@ def stencil(tiles: DataFrame, keys: list[str], value: str, margin: int, shape: S
     """(keys, place, names): ``fn`` on every tile widened by ``margin`` on each side.
 
     ``fn`` takes the widened array and returns arrays of the tile's own size. Outside the frame
-    stands what ``border`` says: the edge sample ("edge"), its mirror image ("reflect") or NaN.
+    stands what ``border`` says: the edge sample ("edge"), its mirror image ("reflect") or NaN;
+    a NaN that ``fn`` returns is null in the result.
     Every tile sends each tile that needs it the part it needs; tiles form a grid whose step is
     the height and width of the first tile, and may be smaller at the lower and right border.
     """
@@ -318,29 +431,45 @@ def lag_products(tiles: DataFrame, keys: list[str], value: str, reach: int, shap
 
 # -- lags in time -------------------------------------------------------------------------
 
-def lagged_tiles(tiles: DataFrame, keys: list[str], value: str, lags: list[int], chunk: int = 64) -> Callable[[Callable[[int, int, int, np.ndarray, np.ndarray], dict[str, float]], str], DataFrame]:
-    """Pairs of tiles of frames f and f + lag at one place, in chunks of frames that carry the frames they reach into.
+def lagged_tiles(tiles: DataFrame, keys: list[str], value: str, lags: list[int], fn: Callable[..., list[dict[str, float]]], schema: str, label: str | None = None, chunk: int = 64) -> DataFrame:
+    """(keys, frame, lag, ...): ``fn(a, b)`` on the tiles of frames f and f + lag at one place, a row for each dictionary.
 
-    Returns a function that takes ``fn(frame, lag, place, a, b) -> numbers`` and their schema.
+    Frames travel in chunks that carry the frames they reach into, so a tile is copied
+    1 + lag / ``chunk`` times and no pixel is joined. With ``label``, an array that belongs to
+    the place, ``fn`` takes it third.
     """
     reach = max(lags)
     home = F.floor(F.col("frame") / chunk)
     ahead = F.sequence(F.lit(0), F.lit(-(-reach // chunk)))
     homes = F.filter(F.transform(ahead, lambda k: home - k), lambda c: (F.col("frame") < (c + 1) * chunk + reach))
-    rows = tiles.select(*keys, "frame", "top", "left", value).withColumn("_chunk", F.explode(homes))
-
-    def apply(fn, schema: str) -> DataFrame:
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            chunk_no = int(pdf["_chunk"].iloc[0])
-            at = {int(f): np.asarray(v, np.float64) for f, v in zip(pdf["frame"], pdf[value])}
-            out = [
-                {"frame": f, "lag": lag, **fn(a, at[f + lag])}
-                for f, a in at.items() if f // chunk == chunk_no for lag in lags if f + lag in at
-            ]
-            head = {c: pdf[c].iloc[0] for c in keys}
-            names = [p.split()[0] for p in schema.split(", ")]
-            return pd.DataFrame(out, columns=["frame", "lag", *names]).assign(**head)[[*keys, "frame", "lag", *names]]
-
-        return rows.groupBy(*keys, "top", "left", "_chunk").applyInPandas(run, typed(tiles, keys) + f", frame bigint, lag bigint, {schema}")
-
-    return apply
+    more = [label] if label else []
+    rows = tiles.select(*keys, "frame", "top", "left", value, *more).withColumn("_chunk", F.explode(homes))
+    names = [p.split()[0] for p in schema.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        here = int(pdf["_chunk"].iloc[0])
+        at = {int(f): np.asarray(v, np.float64) for f, v in zip(pdf["frame"], pdf[value])}
+        extra = [np.asarray(pdf[label].iloc[0])] if label else []
+        out = [{"frame": f, "lag": lag, **numbers} for f, a in at.items() if f // chunk == here for lag in lags if f + lag in at for numbers in fn(a, at[f + lag], *extra)]
+        return pd.DataFrame(out, columns=["frame", "lag", *names]).assign(**{c: pdf[c].iloc[0] for c in keys})[[*keys, "frame", "lag", *names]]
+
+    return rows.groupBy(*keys, "top", "left", "_chunk").applyInPandas(run, typed(tiles, keys) + f", frame bigint, lag bigint, {schema}")
+
+
+PAIR_SUMS = "n bigint, sa double, sb double, saa double, sbb double, sab double"
+
+
+def pair_sums(a: np.ndarray, b: np.ndarray) -> list[dict[str, float]]:
+    """Sums from which a correlation over any number of tiles follows."""
+    return [{"n": len(a), "sa": a.sum(), "sb": b.sum(), "saa": a @ a, "sbb": b @ b, "sab": a @ b}]
+
+
+def pair_sums_by_label(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> list[dict[str, float]]:
+    return [{"bin": int(k), **pair_sums(a[label == k], b[label == k])[0]} for k in np.unique(label)]
+
+
+def corr_of_sums() -> Column:
+    """Correlation from summed ``pair_sums``; null for fewer than two values or no spread."""
+    n, sa, sb, saa, sbb, sab = (F.sum(c).cast("double") for c in ("n", "sa", "sb", "saa", "sbb", "sab"))
+    va, vb = n * saa - sa * sa, n * sbb - sb * sb
+    return F.when((n > 1) & (va > 0) & (vb > 0), (n * sab - sa * sb) / F.sqrt(va * vb))

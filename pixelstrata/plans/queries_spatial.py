@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pixelstrata.functions.scalars import big, corr_agg, dbl, rnd, safe_div
 from pixelstrata.operators import spatial as A
 from pixelstrata.operators import spectral as S
+from pixelstrata.operators import tiles as L
 from pixelstrata.operators.frames import explode_tiles
 from pixelstrata.operators.temporal import frame_subsets, temporal_maps, temporal_residual
 from pixelstrata.operators.tiles import frame_shape, tile_residual
@@ -39,9 +41,9 @@ def _(t: Tables):
     FROM fx_resid0 a CROSS JOIN (SELECT u.range AS dy, v.range - 2 AS dx FROM range(3) u, range(5) v) o
     JOIN fx_resid0 b ON a.folder = b.folder AND a.frame = b.frame AND b.y = a.y + o.dy AND b.x = a.x + o.dx GROUP BY ALL""")
 def _(t: Tables):
-    p = A.neighbor_products(temporal_residual(t.pixels()), FR, "r", 2)
-    return sel(p.groupBy("folder", "dy", "dx").agg(F.count(F.lit(1)).alias("products"), F.avg(F.col("a") * F.col("b")).alias("covariance")),
-               ["folder", "dy", "dx"], 2)
+    tiles = t.tiles()
+    p = L.lag_products(tile_residual(tiles), ["folder"], "r", 2, frame_shape(tiles))
+    return sel(p.select("folder", "dy", "dx", F.col("n").alias("products"), (F.col("total") / F.col("n")).alias("covariance")), ["folder", "dy", "dx"], 2)
 
 
 COV_SQL = """
@@ -83,8 +85,9 @@ def _(t: Tables):
     b2 AS (SELECT folder, y, i AS x, sum(w * v) AS low FROM b1 JOIN refl ON x = j GROUP BY ALL)
     SELECT folder, y, x, R4(mean - low) AS highpass FROM fx_maps JOIN b2 USING (folder, y, x)""")
 def _(t: Tables):
-    m = temporal_maps(t.pixels_anywhere()).select("folder", "y", "x", "mean")
-    return sel(A.gaussian_highpass(m, ["folder"], "mean", 1.0).select("folder", "y", "x", F.col("hp").alias("highpass")), ["folder", "y", "x"])
+    tiles, kernel = t.tiles(), A.gaussian_kernel(1.0)
+    hp = L.stencil(L.tile_moments(tiles, ["folder"]), ["folder"], "mean", max(k for k, _ in kernel), frame_shape(tiles), L.blur(kernel), ["hp"], "reflect")
+    return sel(explode_tiles(hp, value="hp").select("folder", "y", "x", F.col("hp").alias("highpass")), ["folder", "y", "x"])
 
 
 @query("box_filter", """
@@ -92,7 +95,11 @@ def _(t: Tables):
       JOIN fx_frames b ON a.folder = b.folder AND a.frame = b.frame AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL)
     SELECT folder, frame, y, x, R4(m) AS local_mean, R3(s) AS local_std FROM b WHERE n = 9""")
 def _(t: Tables):
-    return sel(A.box_filter(t.pixels(), FR, "dn", 1), ["folder", "frame", "y", "x"], 4, local_std=3)
+    tiles = t.tiles()
+    b = L.stencil(tiles, FR, "dn", 1, frame_shape(tiles), L.box(1), ["local_mean", "local_std"], "nan")
+    both = F.zip_with("local_mean", "local_std", lambda m, s: F.struct(m.alias("local_mean"), s.alias("local_std")))
+    b = explode_tiles(b.withColumn("b", both).drop("local_mean", "local_std"), value="b").where("b.local_mean is not null")
+    return sel(b.select(*FR, "y", "x", "b.*"), ["folder", "frame", "y", "x"], 4, local_std=3)
 
 
 LAP_CTE = """
@@ -109,8 +116,11 @@ def _(t: Tables):
     SELECT folder, frame, R4(avg(g)) AS gradient_mean, R1(avg(g * g)) AS gradient_energy FROM (SELECT folder, frame, {grad_sql('dn')} AS g FROM fx_frames
       WINDOW r AS (PARTITION BY folder, frame, y ORDER BY x), c AS (PARTITION BY folder, frame, x ORDER BY y)) GROUP BY folder, frame""")
 def _(t: Tables):
-    g = A.central_gradient(t.pixels(), FR, "dn").groupBy(*FR).agg(F.avg("grad").alias("gradient_mean"), F.avg(F.col("grad") * F.col("grad")).alias("gradient_energy"))
-    return sel(g, FR, 4, gradient_energy=1)
+    tiles = t.tiles()
+    sums = lambda w: {"n": np.array([w[1:-1, 1:-1].size]), "s": (g := L.central(w)["grad"]).sum(keepdims=True), "ss": (g * g).sum(keepdims=True)}
+    g = L.stencil(tiles, FR, "dn", 1, frame_shape(tiles), sums, ["n", "s", "ss"], "nan")
+    total = lambda c: F.sum(F.get(c, F.lit(0)))
+    return sel(g.groupBy(*FR).agg((total("s") / total("n")).alias("gradient_mean"), (total("ss") / total("n")).alias("gradient_energy")), FR, 4, gradient_energy=1)
 
 
 FWD_CTE = """

@@ -10,6 +10,7 @@ from pixelstrata.operators.pairs import (
     image_quality, intensity_residual_bins, ssim_global_agg, surrogate_pairs,
 )
 from pixelstrata.operators.spatial import central_gradient
+from pixelstrata.operators.tiles import tile_residual
 from pixelstrata.plans.registry import query
 from pixelstrata.plans.views import RANGE, Tables
 
@@ -113,7 +114,7 @@ GRID_CTE = """
 
 
 def grid(t: Tables):
-    return T.robustness_grid(t.pixels_anywhere(), 8, 8, CROPS, COUNTS)
+    return T.robustness_grid(t.tiles(), 8, 8, CROPS, COUNTS)
 
 
 @query("robustness_grid", f"""WITH {GRID_CTE}
@@ -353,7 +354,7 @@ LAGS = [1, 8, 32]
     SELECT folder, CAST(lag AS BIGINT) AS lag, count(c) AS pairs, R6(avg(c)) AS correlation_mean, R6(max(abs(c))) AS correlation_max_abs
     FROM p GROUP BY ALL""")
 def _(t: Tables):
-    return sel(T.lag_correlation(T.temporal_residual(t.pixels()), LAGS), ["folder", "lag"], 6)
+    return sel(T.lag_correlation(tile_residual(t.tiles()), LAGS), ["folder", "lag"], 6)
 
 
 @query("lag_correlation_by_brightness", f"""
@@ -364,8 +365,8 @@ def _(t: Tables):
         JOIN b k ON k.folder = a.folder AND k.y = a.y AND k.x = a.x GROUP BY ALL)
     SELECT folder, CAST(lag AS BIGINT) AS lag, bin, R6(avg(c)) AS correlation_mean, R6(max(abs(c))) AS correlation_max_abs FROM p GROUP BY ALL""")
 def _(t: Tables):
-    px = t.pixels()
-    return sel(T.lag_correlation_by_brightness(px, T.temporal_residual(px), [1, 8], 4), ["folder", "lag", "bin"], 6)
+    tiles = t.tiles()
+    return sel(T.lag_correlation_by_brightness(tiles, tile_residual(tiles), [1, 8], 4), ["folder", "lag", "bin"], 6)
 
 
 @query("lag_difference_moments", """
@@ -378,7 +379,7 @@ def _(t: Tables):
       R6(sk * sqrt(n * (n - 1)) / (n - 2)) AS skewness, R6(((n - 1) / ((n - 2) * (n - 3))) * ((n + 1) * ku + 6)) AS excess_kurtosis
     FROM c WHERE n > 3""")
 def _(t: Tables):
-    return sel(T.lag_difference_moments(t.pixels(), LAGS), ["folder", "lag"], skewness=6, excess_kurtosis=6)
+    return sel(T.lag_difference_moments(t.tiles(), LAGS), ["folder", "lag"], skewness=6, excess_kurtosis=6)
 
 
 SUBSETS = ["all", "odd", "even", "first_half", "second_half", "middle_half", "block_a", "block_b", "hashed_half"]

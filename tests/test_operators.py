@@ -125,6 +125,57 @@ def test_moments_merge_over_partitions(spark, stack):
     assert sum(len(r.m2) for r in got) == stack[0].size
 
 
+def image_of(df, name, h, w):
+    out = np.full((h, w), np.nan)
+    for r in df.collect():
+        out[r.top : r.top + r.h, r.left : r.left + r.w] = np.array(r[name], float).reshape(r.h, r.w)
+    return out
+
+
+@pytest.mark.parametrize("side,shape", [(3, (11, 8)), (4, (12, 8)), (16, (11, 8)), (2, (5, 7))])
+def test_stencils_over_tile_borders_equal_the_whole_frame(spark, side, shape):
+    h, w = shape
+    img = np.random.default_rng(6).normal(size=(1, h, w))
+    tiles, at = tiles_of(spark, img, side), L.Shape(h, w, min(side, h), 1)
+    keys, a = ["folder", "frame"], img[0]
+    g = L.stencil(tiles, keys, "dn", 1, at, L.central, ["gy", "gx", "grad"], "nan")
+    gy, gx = np.gradient(a)
+    assert np.allclose(image_of(g, "gy", h, w), gy) and np.allclose(image_of(g, "gx", h, w), gx)
+    b = image_of(L.stencil(tiles, keys, "dn", 2, at, L.box(2), ["local_mean", "local_std"], "nan"), "local_std", h, w)
+    for y in range(h):
+        for x in range(w):
+            inner = 2 <= y < h - 2 and 2 <= x < w - 2
+            assert b[y, x] == pytest.approx(a[y - 2 : y + 3, x - 2 : x + 3].std()) if inner else np.isnan(b[y, x])
+    k = np.exp(-0.5 * (np.arange(-8, 9) / 2.0) ** 2)
+    k /= k.sum()
+    wide = np.take(np.take(a, [_r(i, h) for i in range(-8, h + 8)], 0), [_r(i, w) for i in range(-8, w + 8)], 1)
+    low = np.array([[(wide[y : y + 17, x : x + 17] * np.outer(k, k)).sum() for x in range(w)] for y in range(h)])
+    got = L.stencil(tiles, keys, "dn", 8, at, L.blur(list(zip(range(-8, 9), k))), ["low", "hp"], "reflect")
+    assert np.allclose(image_of(got, "hp", h, w), a - low)
+    p = {(r.dy, r.dx): (r.n, r.total) for r in L.lag_products(tiles, ["folder"], "dn", 1, at).collect()}
+    assert p[(1, -1)] == (pytest.approx((h - 1) * (w - 1)), pytest.approx((a[:-1, 1:] * a[1:, :-1]).sum())) and len(p) == 6
+
+
+def test_lags_reach_over_chunks_of_frames(spark, stack):
+    r = stack - stack.mean(0)
+    d = L.lagged_tiles(tiles_of(spark, r, 5), ["folder"], "dn", [1, 7], L.pair_sums, L.PAIR_SUMS, chunk=3).groupBy("frame", "lag").agg(L.corr_of_sums().alias("c")).collect()
+    got = {(x.frame, x.lag): x.c for x in d}
+    assert set(got) == {(f, lag) for lag in (1, 7) for f in range(1, 13 - lag)}
+    for (f, lag), c in got.items():
+        assert c == pytest.approx(np.corrcoef(r[f - 1].ravel(), r[f - 1 + lag].ravel())[0, 1])
+
+
+def test_crops_and_counts_from_one_scan(spark, stack):
+    g = T.robustness_grid(tiles_of(spark, stack, 3).repartition(20), 8, 6, [4, 99], [5, None, 50]).collect()
+    assert {(r.crop, r.frames) for r in g} == {(c, n) for c in (4, 99) for n in (5, 0, 50)}
+    for r in g:
+        part = stack[: r.frames or None]
+        part = part[:, 2:6, 1:5] if r.crop == 4 else part[:, 1:7] if r.crop == 6 else part[:, 1:7, 0:6]
+        m, v = part.mean(0), part.var(0, ddof=1)
+        want = (len(part), m.mean(), m.std(ddof=1), np.sqrt(v).mean(), v.mean(), part.mean((1, 2)).std(ddof=1))
+        assert (r.frame_count, r.mean_signal, r.fixed_std, r.temporal_std_mean, r.temporal_var_mean, r.frame_mean_std) == pytest.approx(want)
+
+
 def test_gaussian_highpass_reflects_edges(spark):
     img = np.random.default_rng(2).normal(size=(1, 5, 7))
     got = gaussian_highpass(pixels(spark, img), ["folder", "frame"], "dn", 2.0).toPandas().sort_values(["y", "x"]).hp.to_numpy().reshape(5, 7)
