@@ -42,19 +42,21 @@ def typed(df: DataFrame, names: list[str]) -> str:
 
 @dataclass
 class Shape:
-    """Largest extent of the frames, of a tile's height, and the largest frame number."""
+    """Largest extent of the frames, height of a tile, and frame number; ``whole``: every frame is one tile."""
 
     height: int
     width: int
     band: int
     last: int
+    whole: bool = False
 
 
 def frame_shape(tiles: DataFrame, index: str | None = "frame") -> Shape:
     """One row of numbers over the place columns; the pixels are not read."""
     last = F.max(index) if index else F.lit(0)
-    r = tiles.agg(F.max(F.col("top") + F.col("h")).alias("a"), F.max(F.col("left") + F.col("w")).alias("b"), F.max("h").alias("c"), last.alias("d")).first()
-    return Shape(*(int(x or 0) for x in r))
+    r = tiles.agg(F.max(F.col("top") + F.col("h")).alias("a"), F.max(F.col("left") + F.col("w")).alias("b"), F.max("h").alias("c"), last.alias("d"), F.min(F.col("h") * F.col("w")).alias("e")).first()
+    a, b, c, d, e = (int(x or 0) for x in r)
+    return Shape(a, b, c, d, e == a * b)
 
 
 def merged(n1, mean1, m1, n2, mean2, m2):
@@ -155,18 +157,23 @@ def map_arrays(df: DataFrame, keep: list[str], inputs: list[str], name: str, fn:
     return df.select(*keep, *(c for c in inputs if c not in keep)).mapInArrow(run, typed(df, keep) + f", `{name}` array<double>")
 
 
-def tile_residual(tiles: DataFrame, demean: bool = True, keys: tuple[str, ...] = ("folder",), value: str = "dn") -> DataFrame:
+def tile_residual(tiles: DataFrame, demean: bool = True, keys: tuple[str, ...] = ("folder",), value: str = "dn", shape: Shape | None = None) -> DataFrame:
     """(keys, frame, place, r): value minus the temporal mean map and, optionally, minus the frame's mean of that.
 
     A frame's mean residual is its own mean minus the map's, so it comes from one number of
-    each tile; arrays are subtracted once.
+    each tile; where a ``shape`` says that a tile is a whole frame, the tile itself has it.
     """
+    def level_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        r = (a - b).reshape(-1, shape.height * shape.width)
+        return (r - r.mean(1, keepdims=True)).ravel()
+
     ks = list(keys)
     maps = tile_moments(tiles, ks, value).select(*ks, "top", "left", F.col("mean").alias("_mean"))
     joined = tiles.join(maps, [*ks, "top", "left"])
     keep = [*ks, "frame", *PLACE]
-    r = map_arrays(joined, keep, [value, "_mean"], "r", np.subtract)
-    if not demean:
+    alone = demean and shape is not None and shape.whole
+    r = map_arrays(joined, keep, [value, "_mean"], "r", level_rows if alone else np.subtract)
+    if alone or not demean:
         return r
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     frames = tiles.groupBy(*ks, "frame").agg(F.sum(total(F.col(value).cast("array<double>"))).alias("_s"), F.sum(F.size(value)).alias("_n"))

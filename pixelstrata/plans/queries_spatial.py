@@ -42,7 +42,8 @@ def _(t: Tables):
     JOIN fx_resid0 b ON a.folder = b.folder AND a.frame = b.frame AND b.y = a.y + o.dy AND b.x = a.x + o.dx GROUP BY ALL""")
 def _(t: Tables):
     tiles = t.tiles()
-    p = L.lag_products(tile_residual(tiles), ["folder"], "r", 2, frame_shape(tiles))
+    shape = frame_shape(tiles)
+    p = L.lag_products(tile_residual(tiles, shape=shape), ["folder"], "r", 2, shape)
     return sel(p.select("folder", "dy", "dx", F.col("n").alias("products"), (F.col("total") / F.col("n")).alias("covariance")), ["folder", "dy", "dx"], 2)
 
 
@@ -55,7 +56,8 @@ COV_SQL = """
 
 def power_blocks(t: Tables, demean: bool = True, **given):
     tiles = t.tiles()
-    return S.power_blocks(tile_residual(tiles, demean), ["folder"], shape=frame_shape(tiles), **given)
+    shape = frame_shape(tiles)
+    return S.power_blocks(tile_residual(tiles, demean, shape=shape), ["folder"], shape=shape, **given)
 
 
 def acov(t: Tables, lag: int):
@@ -342,8 +344,9 @@ def _(t: Tables):
     FROM c JOIN b USING (folder, subset) JOIN (SELECT * FROM b WHERE subset = 'all') f USING (folder)""")
 def _(t: Tables):
     tiles = t.tiles()
-    r = frame_subsets(tile_residual(tiles), ["all", "odd", "even", "first_half", "second_half"], block=8)
-    p = S.power_spectrum(S.power_blocks(r, ["folder", "subset"], shape=frame_shape(tiles)), ["folder", "subset"])
+    shape = frame_shape(tiles)
+    r = frame_subsets(tile_residual(tiles, shape=shape), ["all", "odd", "even", "first_half", "second_half"], block=8)
+    p = S.power_spectrum(S.power_blocks(r, ["folder", "subset"], shape=shape), ["folder", "subset"])
     return sel(S.spectrum_repeatability(p, ["folder"], EDGES), ["folder", "subset"], 8, spectrum_correlation=6)
 
 

@@ -10,7 +10,7 @@ from pixelstrata.operators.pairs import (
     image_quality, intensity_residual_bins, ssim_global_agg, surrogate_pairs,
 )
 from pixelstrata.operators.spatial import central_gradient
-from pixelstrata.operators.tiles import tile_residual
+from pixelstrata.operators.tiles import frame_shape, tile_residual
 from pixelstrata.plans.registry import query
 from pixelstrata.plans.views import RANGE, Tables
 
@@ -354,7 +354,7 @@ LAGS = [1, 8, 32]
     SELECT folder, CAST(lag AS BIGINT) AS lag, count(c) AS pairs, R6(avg(c)) AS correlation_mean, R6(max(abs(c))) AS correlation_max_abs
     FROM p GROUP BY ALL""")
 def _(t: Tables):
-    return sel(T.lag_correlation(tile_residual(t.tiles()), LAGS), ["folder", "lag"], 6)
+    return sel(T.lag_correlation(tile_residual(tiles := t.tiles(), shape=frame_shape(tiles)), LAGS), ["folder", "lag"], 6)
 
 
 @query("lag_correlation_by_brightness", f"""
@@ -366,7 +366,7 @@ def _(t: Tables):
     SELECT folder, CAST(lag AS BIGINT) AS lag, bin, R6(avg(c)) AS correlation_mean, R6(max(abs(c))) AS correlation_max_abs FROM p GROUP BY ALL""")
 def _(t: Tables):
     tiles = t.tiles()
-    return sel(T.lag_correlation_by_brightness(tiles, tile_residual(tiles), [1, 8], 4), ["folder", "lag", "bin"], 6)
+    return sel(T.lag_correlation_by_brightness(tiles, tile_residual(tiles, shape=frame_shape(tiles)), [1, 8], 4), ["folder", "lag", "bin"], 6)
 
 
 @query("lag_difference_moments", """
