@@ -2,25 +2,34 @@
 
 Exact copies share the SHA-256 of the text and are folded to one representative first, so a
 large group of copies costs one row and gives star edges. Near pairs have a Jaccard
-similarity of their word shingle sets at or above a threshold. Candidates share a band of
-minhashes; their number follows the number of similar pairs, not of all pairs. The full sets
-decide. A pair at the threshold is missed with probability (1 - t^rows)^bands (below 1e-5
-for the defaults at 0.8), a more similar one far less often.
+similarity of their word shingle sets at or above a threshold and are found without loss:
+under one order of all shingles, rare ones first, two sets that are similar enough share a
+shingle among the first few of each (prefix filter), early enough in both that the rest can
+still make up the overlap (position filter). The order comes from counts by hash bucket, a
+table of fixed size; any order loses nothing, a good one makes few candidates. The full sets
+decide.
+
+Where only groups are wanted, ``linked_texts`` compares every text with the first of each of
+its prefix shingles, and then only texts that are still in different groups: a dense group
+costs one row a member, not all its pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelstrata.functions import byte_spans
+from pixelstrata.operators.similarity import connected_components
 from pixelstrata.sources.storage import cut_lineage
 
-ROWS, BANDS = 4, 24
+BUCKET_BITS = 22  # shingle counts kept for the order: 2**22 numbers of two bytes, whatever the input
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -29,20 +38,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(tasks) if df.rdd.getNumPartitions() < 2 * tasks else df
 
 
-def text_sets(texts: DataFrame, key: str, text: str, width: int = 3, bands: int = BANDS, seed: int = 1) -> DataFrame:
-    """(id, sha, shingles, bands): distinct word shingles of each whole text and its minhash bands.
+def _lists(sizes, flat) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.view(np.int64)))
+
+
+def text_sets(texts: DataFrame, key: str, text: str, width: int = 3) -> DataFrame:
+    """(id, sha, shingles): distinct word shingles of each whole text.
 
     Words lie between blanks and the control characters from tab to carriage return. A text of
-    fewer words is one shingle; a null or empty one has none and no bands.
+    fewer words is one shingle; a null or empty one has none.
     """
-    import numpy as np
-
     kind = dict(texts.dtypes)[key]
-    rng = np.random.default_rng(seed)
-    odd, turn = rng.integers(0, 1 << 63, bands * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, bands * ROWS, dtype=np.uint64)
-
-    def lists(sizes, flat):
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.view(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,20 +56,11 @@ def text_sets(texts: DataFrame, key: str, text: str, width: int = 3, bands: int
                 hashes, _, _, counts = byte_spans.words(part, lower=False)
                 made, sizes = byte_spans.shingles(hashes, counts, width)
                 sets = [np.unique(made[b - n:b]) for b, n in zip(np.cumsum(sizes), sizes)]
-                n = np.array([len(x) for x in sets], np.int64)
-                full = np.flatnonzero(n)
-                flat = np.concatenate([sets[r] for r in full]) if len(full) else np.zeros(0, np.uint64)
-                signature = np.zeros((len(full), bands), np.uint64)
-                for k in range(bands if len(full) else 0):
-                    low = np.full(len(full), k, np.uint64)
-                    for j in range(k * ROWS, (k + 1) * ROWS):
-                        low = byte_spans.mix(low + np.minimum.reduceat((flat ^ turn[j]) * odd[j], np.cumsum(n[full]) - n[full]))
-                    signature[:, k] = low
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 sha = [hashlib.sha256(part.raw[a:b].tobytes()).hexdigest() for a, b in zip(part.starts, part.ends)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.first, len(sets)), pa.array(sha), lists(n, flat), lists((n > 0) * bands, signature.reshape(-1))], names=["id", "sha", "shingles", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(sets)), pa.array(sha, pa.string()), _lists([len(x) for x in sets], flat)], names=["id", "sha", "shingles"])
 
-    return spread(texts.select(key, text)).mapInArrow(run, f"id {kind}, sha string, shingles array<bigint>, bands array<bigint>")
+    return spread(texts.select(key, text)).mapInArrow(run, f"id {kind}, sha string, shingles array<bigint>")
 
 
 def copies(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -78,12 +75,91 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def bucket_counts(sets: DataFrame, bits: int = BUCKET_BITS) -> np.ndarray:
+    """How many shingles fall into each hash bucket: at most 2**bits rows come to the driver."""
+    g = sets.select(F.explode("shingles").alias("g")).groupBy(F.col("g").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    found = g.select("k", F.least("n", F.lit(65535)).cast("int").alias("n")).toArrow()
+    out = np.zeros(1 << bits, np.uint16)
+    out[np.asarray(found["k"])] = np.asarray(found["n"])
+    return out
+
+
+def rare_first(sets: DataFrame, counts: np.ndarray, take: Callable[[int], int], least: int) -> DataFrame:
+    """(id, n, token, pos): the first ``take(n)`` of a set's n shingles in the common order, rare ones first.
+
+    Shingles whose bucket holds fewer than ``least`` are left out: nothing can meet them.
+    """
+    kind, mask = dict(sets.dtypes)["id"], np.int64(len(counts) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, past = np.asarray(batch.column(1).flatten()), np.cumsum(np.asarray(batch.column(1).value_lengths()))
+            rows, sizes, tokens, places = [], [], [], []
+            for r, b in enumerate(past):
+                s = values[(past[r - 1] if r else 0):b]
+                weight = counts[s & mask]
+                first = np.lexsort((s, weight))[:take(len(s))]
+                at = np.flatnonzero(weight[first] >= least)
+                rows.append(np.full(len(at), r))
+                sizes.append(np.full(len(at), len(s)))
+                tokens.append(s[first[at]])
+                places.append(at)
+            join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(join(rows), pa.int64())), *(pa.array(join(x).astype(np.int64)) for x in (sizes, tokens, places))], names=["id", "n", "token", "pos"])
+
+    return sets.select("id", "shingles").where(F.size("shingles") > 0).mapInArrow(run, f"id {kind}, n bigint, token bigint, pos bigint")
+
+
+def prefixes(reps: DataFrame, threshold: float) -> DataFrame:
+    """The part of each set that a set of at least this similarity must meet."""
+    return rare_first(reps, bucket_counts(reps), lambda n: n - math.ceil(threshold * n - 1e-9) + 1, 2)
+
+
+def _may_reach(threshold: float) -> Column:
+    """Sizes fit, and the shared shingle at (pos, pos2) leaves enough behind it in both sets, if it is their first common one."""
+    fits = F.least("n", "n2") >= F.lit(threshold) * F.greatest("n", "n2") - 1e-9
+    needed = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("n2")) - 1e-9)
+    return fits & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= needed)
+
+
+def _other(rows: DataFrame) -> DataFrame:
+    return rows.withColumnsRenamed({"id": "id2", "n": "n2", "pos": "pos2"})
+
+
 def candidate_pairs(reps: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): distinct texts that share a band, if their sizes allow the threshold."""
-    rows = reps.select("id", F.size("shingles").alias("n"), F.explode("bands").alias("band"))
-    left, right = rows.select(F.col("id").alias("a"), F.col("n").alias("na"), "band"), rows.select(F.col("id").alias("b"), F.col("n").alias("nb"), "band")
-    fits = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")
-    return left.join(right, "band").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    """(a, b): distinct texts that may be similar enough; no pair that is goes missing."""
+    rows = cut_lineage(prefixes(reps, threshold))
+    met = rows.join(_other(rows), "token").where((F.col("id") < F.col("id2")) & _may_reach(threshold))
+    return met.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+
+
+def _scored(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    side = lambda s: reps.select(F.col("id").alias(s), F.col("shingles").alias(f"s{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("corr")).where(F.col("corr") >= threshold)
+
+
+def linked_texts(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): edges that connect just the texts which near pairs and copies connect, few to a dense group.
+
+    Every text meets the smallest id of each of its prefix shingles. A pair that is similar
+    enough shares a prefix shingle, so it is either in one group after that, or it is among
+    the pairs of different groups that are compared next.
+    """
+    sets = cut_lineage(sets)
+    reps, star = copies(sets)
+    reps = cut_lineage(reps)
+    rows = cut_lineage(prefixes(reps, threshold))
+    first = rows.groupBy("token").agg(F.min(F.struct("id", "n", "pos")).alias("m"))
+    fits = F.least("n", "m.n") >= F.lit(threshold) * F.greatest("n", "m.n") - 1e-9
+    stars = rows.join(first, "token").where((F.col("id") != F.col("m.id")) & fits).select(F.col("m.id").alias("a"), F.col("id").alias("b")).distinct()
+    found = cut_lineage(_scored(stars, reps, threshold).select("a", "b"))
+    group = connected_components(rows.select("id").distinct(), found)
+    placed = cut_lineage(rows.join(group, "id"))
+    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    placed = placed.join(mixed, "token", "left_semi")
+    across = placed.join(_other(placed).withColumnRenamed("component", "component2"), "token").where((F.col("component") < F.col("component2")) & _may_reach(threshold))
+    pairs = across.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    return found.unionByName(_scored(pairs, reps, threshold).select("a", "b")).unionByName(star)
 
 
 def similar_texts(sets: DataFrame, threshold: float) -> DataFrame:
@@ -96,19 +172,21 @@ def similar_texts(sets: DataFrame, threshold: float) -> DataFrame:
 def near_texts(reps: DataFrame, threshold: float) -> DataFrame:
     """(a, b, corr) of distinct texts at or above the threshold."""
     reps = cut_lineage(reps)
-    pairs = candidate_pairs(reps, threshold)
-    side = lambda s: reps.select(F.col("id").alias(s), F.col("shingles").alias(f"s{s}"))
-    scored = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("corr"))
-    return scored.where(F.col("corr") >= threshold)
+    return _scored(candidate_pairs(reps, threshold), reps, threshold)
 
 
 def contained_texts(candidates: DataFrame, references: DataFrame, share: float) -> DataFrame:
     """(candidate, reference, correlation, jaccard, sha256_match): references of whose shingles a candidate has at least ``share``.
 
-    An equi-join on shingles: its rows are the shared shingles, counted before they travel further.
+    A candidate that has enough of a reference has one of any few of its shingles; those that
+    are rarest among the candidates are looked up, so what many texts share makes no candidate.
     """
-    c = candidates.select(F.col("id").alias("candidate"), F.col("sha").alias("sha_c"), F.size("shingles").alias("nc"), F.explode("shingles").alias("g"))
-    r = references.select(F.col("id").alias("reference"), F.col("sha").alias("sha_r"), F.size("shingles").alias("nr"), F.explode("shingles").alias("g"))
-    both = c.join(r, "g").groupBy("candidate", "reference").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.first(x).alias(x) for x in ("nc", "nr", "sha_c", "sha_r")])
-    rows = both.select("candidate", "reference", (F.col("n") / F.col("nr")).alias("correlation"), (F.col("n") / (F.col("nc") + F.col("nr") - F.col("n"))).alias("jaccard"), (F.col("sha_c") == F.col("sha_r")).alias("sha256_match"))
+    candidates, references = cut_lineage(candidates), cut_lineage(references)
+    wanted = rare_first(references, bucket_counts(candidates), lambda n: n - math.ceil(share * n - 1e-9) + 1, 1)
+    wanted = wanted.select(F.col("id").alias("reference"), "token")
+    met = candidates.select(F.col("id").alias("candidate"), F.explode("shingles").alias("token")).join(wanted, "token").select("candidate", "reference").distinct()
+    c = candidates.select(F.col("id").alias("candidate"), F.col("sha").alias("sha_c"), F.col("shingles").alias("c"))
+    r = references.select(F.col("id").alias("reference"), F.col("sha").alias("sha_r"), F.col("shingles").alias("r"))
+    both = F.size(F.array_intersect("c", "r")).cast("double")
+    rows = met.join(c, "candidate").join(r, "reference").select("candidate", "reference", (both / F.size("r")).alias("correlation"), jaccard(F.col("c"), F.col("r")).alias("jaccard"), (F.col("sha_c") == F.col("sha_r")).alias("sha256_match"))
     return rows.where(F.col("correlation") >= share)

@@ -178,7 +178,7 @@ def components_sql(src: str) -> str:
 @query("similarity_clusters", f"""WITH RECURSIVE {components_sql('fx_edges')}
     SELECT id, component, count(*) OVER (PARTITION BY component) AS cluster_size FROM lab""")
 def _(t: Tables):
-    return M.cluster_summary(M.connected_components(nodes(t), edges(t)))
+    return M.cluster_summary(M.connected_components(nodes(t), X.linked_texts(t.text_sets(), NEAR)))
 
 
 @query("cluster_stability", f"""WITH RECURSIVE st AS (SELECT a, b FROM fx_edges WHERE corr >= 0.9), {components_sql('fx_edges')},
@@ -187,8 +187,8 @@ def _(t: Tables):
     SELECT 'lenient' AS profile, count(*) AS clusters, max(n) AS largest, sum((n = 1)::INT)::BIGINT AS singletons, (SELECT count(*) FROM s1) = (SELECT count(*) FROM s2) AS stable FROM s1
     UNION ALL SELECT 'strict', count(*), max(n), sum((n = 1)::INT)::BIGINT, (SELECT count(*) FROM s1) = (SELECT count(*) FROM s2) FROM s2""")
 def _(t: Tables):
-    e = cut_lineage(edges(t))  # the strict profile only filters the lenient edges
-    return C.cluster_profiles({"lenient": M.connected_components(nodes(t), e), "strict": M.connected_components(nodes(t), e.where(F.col("corr") >= STRICT))})
+    sets = cut_lineage(t.text_sets())
+    return C.cluster_profiles({k: M.connected_components(nodes(t), X.linked_texts(sets, v)) for k, v in (("lenient", NEAR), ("strict", STRICT))})
 
 
 @query("medoid", f"""WITH RECURSIVE {components_sql('fx_edges')},

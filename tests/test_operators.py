@@ -409,6 +409,50 @@ def test_similar_texts_match_all_pairs(spark):
     assert {(x.a, x.b) for x in got if x.kind == "exact_copy"} == {(sets[t][0], i) for i, t in copies} | {(sets[""][0], 999)}
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_no_pair_is_lost_and_groups_agree(spark, monkeypatch, threshold):
+    from pixelstrata.operators import text_similarity as X
+
+    rng, rows = np.random.default_rng(7), []
+    for g in range(15):
+        base = rng.integers(0, 60, 40)
+        for k in range(8):
+            w = base.copy()
+            at = rng.choice(40, k, replace=False)
+            w[at] = rng.integers(0, 60, k)
+            rows.append((len(rows), "all share this line and more " * (g % 2) + " ".join(f"w{x}" for x in w[: 40 - k % 3])))
+    rows += [(500, None), (501, ""), (502, "one"), (503, "one"), (504, rows[3][1])]
+    df = spark.createDataFrame(rows, "id long, t string")
+    sets = X.text_sets(df, "id", "t")
+    full = {r.id: set(r.shingles) for r in sets.collect()}
+    reps = {r.id for r in X.copies(sets)[0].collect()}
+    want = {(a, b) for a in reps for b in reps if a < b and full[a] and full[b] and len(full[a] & full[b]) / len(full[a] | full[b]) >= threshold}
+    assert {(r.a, r.b) for r in X.near_texts(X.copies(sets)[0], threshold).collect()} == want
+    nodes = df.select("id")
+    by = lambda e: {r.id: r.component for r in M.connected_components(nodes, e).collect()}
+    assert by(X.linked_texts(sets, threshold)) == by(X.similar_texts(sets, threshold).select("a", "b"))
+
+
+def test_hot_group_of_near_copies_costs_a_row_a_member(spark):
+    from pixelstrata.operators import text_similarity as X
+
+    base = [f"w{k}" for k in range(60)]
+    rows = spark.range(20_000).select(F.col("id"), F.concat(F.lit(" ".join(base) + " x"), F.col("id").cast("string")).alias("t"))
+    rows = rows.unionByName(spark.createDataFrame([(30_000, " ".join(base[:30]) + " other end"), (30_001, "apart"), (30_002, "apart")], "id long, t string"))
+    e = X.linked_texts(X.text_sets(rows, "id", "t"), 0.8)
+    assert e.count() <= 21_000
+    sizes = sorted(r["count"] for r in M.connected_components(rows.select("id"), e).groupBy("component").count().collect())
+    assert sizes == [1, 2, 20_000]
+
+
+def test_shared_line_makes_no_candidates(spark):
+    from pixelstrata.operators import text_similarity as X
+
+    line = "every text of this table has this very line in it "
+    docs = spark.createDataFrame([(k, line + " ".join(f"d{k}x{j}" for j in range(30))) for k in range(200)], "id long, t string")
+    assert X.candidate_pairs(X.text_sets(docs, "id", "t"), 0.8).count() == 0
+
+
 def test_contained_texts(spark):
     from pixelstrata.operators import text_similarity as X
 
