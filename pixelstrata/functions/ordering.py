@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pixelstrata.sources.storage import cut_lineage
+
 
 def _cols(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
@@ -38,6 +40,26 @@ def ordinal_within(df: DataFrame, keys, order: Sequence[str], bucket: Column, na
     )
 
 
+def range_ordinals(df: DataFrame, keys, order: Sequence, name: str = "frame") -> DataFrame:
+    """1-based row number of each row within ``keys`` in the order given, whatever the values are.
+
+    Spark samples the rows and deals them into sorted ranges of (keys, order), so a hot key and a
+    run of equal leading values fill as many tasks as they need. Inside a range the place follows
+    from the row's position; ranges of a key are added up. Equal rows come in any order.
+    """
+    ks = _cols(keys)
+    by = [*ks, *order]
+    placed = cut_lineage(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))  # numbers rise inside a range
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(*ks, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*ks or [F.lit(1)]).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))  # a row for each range
+    sizes = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(ks)], "_part", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    same = part == F.col("_part")
+    for i, k in enumerate(ks):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return placed.join(sizes, same).select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("bigint").alias(name))
+
+
 def with_halo(df: DataFrame, index: str, chunk: int, before: int = 0, after: int = 0) -> DataFrame:
     """Split a long ordered series into chunks that carry their neighbours.
 

@@ -6,21 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pixelstrata.functions.ordering import average_rank, first_n, ordinal_within
+from pixelstrata.functions.ordering import average_rank, first_n, ordinal_within, range_ordinals
 
 
-def natural_key(name: Column) -> tuple[Column, Column]:
-    """(leading number or NULL, name): sorts 2 before 10 and nameless numbers last."""
-    num = F.try_element_at(F.regexp_extract_all(name, F.lit(r"^(\d{1,18})"), 1), F.lit(1)).cast("bigint")
-    return num, name
+def natural_key(name: Column) -> list[Column]:
+    """Sorts 2 before 10, a number of any length by its value, and names without a leading number last."""
+    digits = F.regexp_extract(name, r"^(\d+)", 1)
+    value = F.ltrim(digits, F.lit("0"))
+    return [(digits == "").alias("_none"), F.length(value).alias("_size"), value.alias("_value"), name]
 
 
 def natural_order(df: DataFrame, group: str, name: str) -> DataFrame:
-    """Position of each name within its group in natural order (numbers first, then text)."""
-    num, _ = natural_key(F.col(name))
-    d = df.withColumn("_num", num).withColumn("_rank", F.coalesce(num, F.lit(10 ** 18)))
-    bucket = F.struct(F.floor(F.col("_rank") / 1024), F.when(F.col("_num").isNull(), F.substring(name, 1, 3)).otherwise(F.lit("")))
-    return ordinal_within(d, group, ["_rank", name], bucket, "position").drop("_rank").withColumnRenamed("_num", "number")
+    """Position of each name within its group in natural order; ``number`` is null where it passes 64 bits."""
+    none, size, value, _ = natural_key(F.col(name))
+    d = df.withColumn("number", F.regexp_extract(name, r"^(\d+)", 1).try_cast("bigint")).select("*", none, size, value)
+    return range_ordinals(d, group, ["_none", "_size", "_value", name], "position").drop("_none", "_size", "_value")
 
 
 def rank_within(df: DataFrame, group: list[str], value: str) -> DataFrame:

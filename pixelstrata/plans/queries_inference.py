@@ -27,9 +27,9 @@ def avg_rank(v: str, part: str = "") -> str:
 
 @query("natural_order", """
     WITH n AS (SELECT regexp_extract(path, '^[^/]*') AS folder, page_id, regexp_extract(path, '[^/]+/?$') AS name FROM fx_paths),
-      k AS (SELECT *, TRY_CAST(NULLIF(regexp_extract(name, '^\\d{1,18}'), '') AS BIGINT) AS number FROM n)
+      k AS (SELECT *, TRY_CAST(NULLIF(regexp_extract(name, '^\\d+'), '') AS BIGINT) AS number, regexp_extract(name, '^\\d+') AS d FROM n)
     SELECT folder, name, number, count(*) AS files, min(pos) AS first_position FROM (
-      SELECT *, row_number() OVER (PARTITION BY folder ORDER BY coalesce(number, 1000000000000000000), name) AS pos FROM k) GROUP BY folder, name, number""")
+      SELECT *, row_number() OVER (PARTITION BY folder ORDER BY d = '', length(ltrim(d, '0')), ltrim(d, '0'), name) AS pos FROM k) GROUP BY folder, name, number""")
 def _(t: Tables):
     d = t.paths().select(F.regexp_extract("path", "^[^/]*", 0).alias("folder"), F.regexp_extract("path", "[^/]+/?$", 0).alias("name"))
     return R.natural_order(d, "folder", "name").groupBy("folder", "name", "number").agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pixelstrata.functions.ordering import ordinal_within
+from pixelstrata.functions.ordering import ordinal_within, range_ordinals
 from pixelstrata.functions.resampling import paired
 from pixelstrata.functions.scalars import big, rnd
 from pixelstrata.operators import curation as C
@@ -193,7 +193,7 @@ def _(t: Tables):
     WITH i AS (SELECT doc_id AS pair_key, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS position FROM documents), c AS (SELECT folder, row_number() OVER (ORDER BY mean_signal, folder) - 1 AS slot FROM fx_cond)
     SELECT pair_key, position, folder AS condition_folder FROM i JOIN c ON position % (SELECT count(*) FROM c) = slot""")
 def _(t: Tables):
-    i = ordinal_within(t.read("documents").select(F.col("doc_id").alias("pair_key"), "n_chars", F.lit(0).alias("g")), "g", ["n_chars", "pair_key"], F.floor(F.col("n_chars") / 16), "p")
+    i = range_ordinals(t.read("documents").select(F.col("doc_id").alias("pair_key"), "n_chars"), [], ["n_chars", "pair_key"], "p")
     i = i.select("pair_key", (F.col("p") - 1).alias("position"))
     from pyspark.sql import Window as W
     c = t.conditions().select(F.col("folder").alias("condition_folder"), (F.row_number().over(W.partitionBy(F.lit(1)).orderBy("mean_signal", "folder")) - 1).cast("bigint").alias("slot"))

@@ -101,3 +101,21 @@ def test_bootstrap_is_reproducible_and_centred(spark):
 def test_first_n(spark):
     pdf, df = hot(spark, 300)
     assert first_n(df, "k", ["v", "i"], 2).groupBy("k").count().agg(F.max("count")).collect()[0][0] == 2
+
+
+def test_natural_order_of_any_digits_in_many_tasks(spark):
+    from pixelstrata.functions.ordering import range_ordinals
+    from pixelstrata.operators.ranking import natural_order
+
+    names = ["10.tif", "2.tif", "002.tif", "x9", "a", "12345678901234567890.tif", "12345678901234567891.tif", "9" * 30, "0", "", None]
+    d = spark.createDataFrame([(g, n) for g in (1, 2) for n in names], "g int, name string")
+    for g in (1, 2):
+        got = [r.name for r in natural_order(d.where(F.col("g") == g).repartition(5), "g", "name").orderBy("position").collect()]
+        assert [n for n in got if n is not None] == ["0", "002.tif", "2.tif", "10.tif", "12345678901234567890.tif", "12345678901234567891.tif", "9" * 30, "", "a", "x9"]
+    many = spark.range(60_000).select(F.lit("one").alias("g"), F.concat(F.lit("img_"), F.col("id").cast("string")).alias("name"), F.lit(7).alias("n"))
+    o = range_ordinals(many, "g", ["n", "name"], "p")
+    assert o.agg(F.countDistinct("p"), F.min("p"), F.max("p")).first()[:] == (60_000, 1, 60_000)
+    want = sorted(f"img_{k}" for k in range(60_000))
+    assert [r.name for r in o.where("p % 10007 = 1").orderBy("p").collect()] == want[::10007]
+    tied = range_ordinals(spark.createDataFrame([(None, 1), (None, 1), (3, 1)], "g int, v int"), "g", ["v"], "p")
+    assert sorted(((r.g or 0), r.p) for r in tied.collect()) == [(0, 1), (0, 2), (3, 1)]
