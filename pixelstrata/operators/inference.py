@@ -122,19 +122,28 @@ def conditional_curve(df: DataFrame, keys: list[str], signal: str, residual: Col
     label = sum(((F.col(signal) >= F.element_at("_e", i)).cast("bigint") for i in range(1, bins)), F.lit(0).cast("bigint"))
     a = d.join(edges, keys).groupBy(*keys, label.alias("bin")).agg(
         F.count(F.lit(1)).alias("_n"), F.avg("_r").alias("residual_mean"), F.var_pop("_r").alias("residual_var"))
-    full = d.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))))
-    f = full.join(a, [*keys, "bin"], "left")
+    f = normalized_curve(a, d.select(*keys).distinct(), keys, "residual_var", bins)
+    return f.select(*keys, "bin", F.coalesce("_n", F.lit(0).cast("bigint")).alias("count"), "residual_mean", "residual_var", F.col("normalized").alias("normalized_var"), "valid_fraction")
+
+
+def normalized_curve(rows: DataFrame, groups: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
+    """The columns of ``rows`` for all bins of all groups, with ``normalized`` and ``valid_fraction``.
+
+    Bins without a value get one on the line between their neighbours, or the nearest value at
+    the ends; the curve is divided by its mean absolute value. A group without any value has a
+    null curve and a valid fraction of 0.
+    """
+    full = groups.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))))
+    f = full.join(rows, [*keys, "bin"], "left")
     w = W.partitionBy(*keys).orderBy("bin")
     prev, nxt = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    known = F.when(F.col("residual_var").isNotNull(), F.struct("bin", F.col("residual_var").alias("v")))
+    known = F.when(F.col(value).isNotNull(), F.struct("bin", F.col(value).alias("v")))
     f = f.withColumn("_p", F.last(known, True).over(prev)).withColumn("_q", F.first(known, True).over(nxt))
     line = F.col("_p.v") + (F.col("_q.v") - F.col("_p.v")) * F.try_divide(F.col("bin") - F.col("_p.bin"), F.col("_q.bin") - F.col("_p.bin"))
-    f = f.withColumn("_filled", F.coalesce("residual_var", line, F.col("_p.v"), F.col("_q.v")))
+    f = f.withColumn("_filled", F.coalesce(value, line, F.col("_p.v"), F.col("_q.v")))
     g = W.partitionBy(*keys)
-    return f.select(
-        *keys, "bin", F.coalesce("_n", F.lit(0).cast("bigint")).alias("count"), "residual_mean", "residual_var",
-        (F.col("_filled") / F.greatest(F.avg(F.abs("_filled")).over(g), F.lit(1e-12))).alias("normalized_var"),
-        (F.count("residual_var").over(g) / F.lit(float(bins))).alias("valid_fraction"))
+    return f.withColumn("normalized", F.col("_filled") / F.greatest(F.avg(F.abs("_filled")).over(g), F.lit(1e-12))).withColumn(
+        "valid_fraction", F.count(value).over(g) / F.lit(float(bins))).drop("_p", "_q", "_filled")
 
 
 # -- fits ----------------------------------------------------------------------

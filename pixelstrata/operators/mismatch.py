@@ -1,12 +1,34 @@
-"""Distance between real and synthetic residual descriptions."""
+"""Distance between real and synthetic residual descriptions: strength, tail, spectrum and signal dependence.
+
+A description belongs to a group (a condition or a variant, and one of two halves of its
+frames) and has three parts: moments of the residuals, the radial profile of their mean
+power spectrum, and the curve of their variance over quantile bins of the signal.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pixelstrata.functions.ordering import exact_quantiles
+from pixelstrata.functions.scalars import dbl
+from pixelstrata.operators.inference import normalized_curve
 from pixelstrata.operators.temporal import bias_corrected_shape
 
+FIELDS = ("strength", "tail", "spatial", "signal_nonstationarity")
+
+
+@dataclass
+class Description:
+    """moments (keys, s, k), profile (keys, radius, share), curve (keys, bin, normalized, valid_fraction)."""
+
+    moments: DataFrame
+    profile: DataFrame
+    curve: DataFrame
+
 
 def residual_moments(df: DataFrame, keys: list[str]) -> DataFrame:
     """Sample std and bias-corrected excess kurtosis of residual rows (keys, r)."""
@@ -21,20 +43,50 @@ def frame_centred(df: DataFrame, frame: list[str], value: str = "r") -> DataFram
     return df.join(m, frame).withColumn(value, F.col(value) - F.col("_frame")).drop("_frame")
 
 
-def mismatch_metrics(real: DataFrame, synthetic: DataFrame) -> DataFrame:
-    """|log std ratio| and kurtosis difference per (folder, variant, half); one row per condition, variant and half.
+def radial_share(power: DataFrame, keys: list[str], max_radius: int) -> DataFrame:
+    """(keys, radius, share): mean power by whole radius from 1 to ``max_radius``, over its sum."""
+    dy, dx = F.col("v") - F.floor(F.col("h") / 2), F.col("u") - F.floor(F.col("w") / 2)
+    r = F.floor(F.sqrt(dbl(dy * dy + dx * dx))).cast("bigint")
+    g = power.groupBy(*keys, r.alias("radius")).agg(F.avg("power").alias("_v")).where(F.col("radius").between(1, max_radius))
+    return g.select(*keys, "radius", (F.col("_v") / F.greatest(F.sum("_v").over(W.partitionBy(*keys)), F.lit(1e-12))).alias("share"))
+
+
+def binned_by_signal(rows: DataFrame, keys: list[str], image: list[str], signal: str, value: str, bins: int) -> DataFrame:
+    """(keys, bin, normalized, valid_fraction): mean of ``value`` in quantile bins of each image's signal, averaged over images.
+
+    Empty bins count neither in an image nor in the average; a bin that is empty in all
+    images is filled from its neighbours and lowers the valid fraction.
+    """
+    by = [*keys, *image]
+    edges = exact_quantiles(rows, by, signal, {f"_e{i}": i / bins for i in range(1, bins)})
+    label = sum(((F.col(signal) >= F.col(f"_e{i}")).cast("bigint") for i in range(1, bins)), F.lit(0).cast("bigint"))
+    own = rows.join(edges, by).groupBy(*by, label.alias("bin")).agg(F.avg(value).alias("_v"))
+    a = own.groupBy(*keys, "bin").agg(F.avg("_v").alias("_v"))
+    return normalized_curve(a, rows.select(*keys).distinct(), keys, "_v", bins).select(*keys, "bin", "normalized", "valid_fraction")
+
+
+def mismatch_metrics(real: Description, synthetic: Description) -> DataFrame:
+    """One row per folder, variant and half, with the four distances and what they are made of.
 
-    ``real``: (folder, frame, half, r) temporal residuals, centred here per frame.
+    strength: |log ratio of standard deviations|; tail: difference of kurtosis; spatial: mean
+    absolute difference of radial profiles; signal_nonstationarity: of the conditional curves
+    on bins that both have. Keys are (folder, half) and (variant, half).
     """
-    a = residual_moments(frame_centred(real, ["folder", "frame", "half"]), ["folder", "half"])
-    b = residual_moments(synthetic, ["variant", "half"]).withColumnsRenamed({"s": "_s", "k": "_k"})
+    b = synthetic.moments.withColumnsRenamed({"s": "_s", "k": "_k"})
     floor = F.lit(1e-12)
-    return a.join(b, "half").select(
+    base = real.moments.join(b, "half").select(
         "folder", "variant", "half", F.abs(F.log(F.greatest("s", floor) / F.greatest("_s", floor))).alias("strength"),
         F.abs(F.col("k") - F.col("_k")).alias("tail"), F.col("s").alias("real_std"), F.col("_s").alias("synthetic_std"), F.col("k").alias("real_kurtosis"), F.col("_k").alias("synthetic_kurtosis"))
+    cell = ["folder", "variant", "half"]
+    l1 = lambda a, b: F.avg(F.abs(F.col(a) - F.col(b)))
+    spatial = real.profile.join(synthetic.profile.withColumnRenamed("share", "_share"), ["half", "radius"]).groupBy(*cell).agg(l1("share", "_share").alias("spatial"))
+    other = synthetic.curve.withColumnsRenamed({"normalized": "_normalized", "valid_fraction": "synthetic_valid_fraction"})
+    curve = real.curve.withColumnRenamed("valid_fraction", "real_valid_fraction").join(other, ["half", "bin"]).groupBy(*cell).agg(
+        l1("normalized", "_normalized").alias("signal_nonstationarity"), F.max("real_valid_fraction").alias("real_valid_fraction"), F.max("synthetic_valid_fraction").alias("synthetic_valid_fraction"))
+    return base.join(spatial, cell, "left").join(curve, cell, "left")
 
 
-def mismatch_aggregate(metrics: DataFrame, keys: list[str], fields: tuple[str, ...] = ("strength", "tail")) -> DataFrame:
+def mismatch_aggregate(metrics: DataFrame, keys: list[str], fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """Mean over halves and the two halves side by side."""
     half = lambda m, h: F.avg(F.when(F.col("half") == h, F.col(m)))
     return metrics.groupBy(*keys).agg(*[e for m in fields for e in (F.avg(m).alias(m), half(m, "A").alias(f"{m}_a"), half(m, "B").alias(f"{m}_b"))])

@@ -10,9 +10,11 @@ from pixelstrata.operators import inference as I
 from pixelstrata.operators import ranking as R
 from pixelstrata.operators.decisions import verdict
 from pixelstrata.operators.temporal import temporal_maps
+from pixelstrata.plans.queries_spatial import DFT, RAD
 from pixelstrata.plans.queries_temporal import SUBSET_CTE, _corr, sel
 from pixelstrata.plans.registry import query
 from pixelstrata.plans.views import Tables
+from pixelstrata.sources.storage import cut_lineage
 
 FEATURES = ["mean_signal", "temporal_std_mean", "fano", "stable_ratio"]
 
@@ -578,33 +580,70 @@ def _(t: Tables):
 # -- mismatch between two noise descriptions -------------------------------------------
 # real: residual statistics per folder and frame half; synthetic: metric statistics per variant and half
 
-MM_CTE = """
-    mh AS (SELECT folder, frame % 2 AS half, y, x, avg(dn) AS m FROM fx_frames GROUP BY ALL),
-    rf AS (SELECT f.folder, f.frame, CASE WHEN frame % 2 = 1 THEN 'A' ELSE 'B' END AS half, (dn - m) / 65535 AS r FROM fx_frames f JOIN mh ON f.folder = mh.folder AND f.frame % 2 = mh.half AND f.y = mh.y AND f.x = mh.x),
-    rr AS (SELECT folder, half, r - avg(r) OVER (PARTITION BY folder, frame) AS r FROM rf),
-    r1 AS (SELECT folder, half, avg(r) AS m, stddev_pop(r) AS sp, stddev_samp(r) AS s FROM rr GROUP BY ALL),
-    rs AS (SELECT folder, half, any_value(s) AS s, (count(*) - 1) / ((count(*) - 2) * (count(*) - 3)::DOUBLE) * ((count(*) + 1) * (avg(pow((r - m) / sp, 4)) - 3) + 6) AS k FROM rr JOIN r1 USING (folder, half) GROUP BY ALL),
-    sv AS (SELECT variant, CASE WHEN reference = 'odd' THEN 'A' ELSE 'B' END AS half, residual_std / 1e6 AS r FROM fx_metrics),
-    s1 AS (SELECT variant, half, avg(r) AS m, stddev_pop(r) AS sp, stddev_samp(r) AS s FROM sv GROUP BY ALL),
-    ss AS (SELECT variant, half, any_value(s) AS s, (count(*) - 1) / ((count(*) - 2) * (count(*) - 3)::DOUBLE) * ((count(*) + 1) * (avg(pow((r - m) / sp, 4)) - 3) + 6) AS k FROM sv JOIN s1 USING (variant, half) GROUP BY ALL),
-    mm AS (SELECT folder, variant, half, abs(ln(greatest(rs.s, 1e-12) / greatest(ss.s, 1e-12))) AS strength, abs(rs.k - ss.k) AS tail, rs.s AS real_std, ss.s AS synthetic_std, rs.k AS real_kurtosis, ss.k AS synthetic_kurtosis FROM rs JOIN ss USING (half))"""
+def described_sql(name: str, keys: str, src: str) -> str:
+    """Moments, profile and curve CTEs {name}m, {name}p, {name}c of residual rows (keys, frame, y, x, r), curve inputs in {name}b (keys, image, x, v)."""
+    part = f"PARTITION BY {keys}"
+    return f"""
+    {name}1 AS (SELECT {keys}, avg(r) AS mean_r, stddev_pop(r) AS sp, stddev_samp(r) AS s FROM {src} GROUP BY ALL),
+    {name}m AS (SELECT {keys}, any_value(s) AS s, (count(*) - 1) / ((count(*) - 2) * (count(*) - 3)::DOUBLE) * ((count(*) + 1) * (avg(pow((r - mean_r) / sp, 4)) - 3) + 6) AS k FROM {src} JOIN {name}1 USING ({keys}) GROUP BY ALL),
+    {DFT.format(name=name + 'f', k=keys, r='r', src=src)},
+    {name}r AS (SELECT {keys}, {RAD} AS radius, avg(p) AS value FROM {name}f WHERE {RAD} BETWEEN 1 AND 4 GROUP BY ALL),
+    {name}p AS (SELECT {keys}, radius, value / greatest(sum(value) OVER ({part}), 1e-12) AS share FROM {name}r),
+    {name}e AS (SELECT {keys}, image, [quantile_cont(x::DOUBLE, 0.25), quantile_cont(x::DOUBLE, 0.5), quantile_cont(x::DOUBLE, 0.75)] AS q FROM {name}b GROUP BY ALL),
+    {name}i AS (SELECT {keys}, image, (x >= q[1])::INT + (x >= q[2])::INT + (x >= q[3])::INT AS bin, avg(v) AS v FROM {name}b JOIN {name}e USING ({keys}, image) GROUP BY ALL),
+    {name}a AS (SELECT {keys}, bin, avg(v) AS v FROM {name}i GROUP BY ALL),
+    {name}c AS (SELECT {keys}, bin, v / greatest(avg(abs(v)) OVER ({part}), 1e-12) AS c, count(*) OVER ({part}) / 4.0 AS valid FROM {name}a)"""
+
+
+MM_CTE = f"""
+    mh AS (SELECT folder, frame % 2 AS odd, y, x, avg(dn) AS m FROM fx_frames GROUP BY ALL),
+    rf AS (SELECT f.folder, f.frame, f.y, f.x, m, CASE WHEN frame % 2 = 1 THEN 'A' ELSE 'B' END AS half, (dn - m) / 65535 AS r FROM fx_frames f JOIN mh ON f.folder = mh.folder AND f.frame % 2 = odd AND f.y = mh.y AND f.x = mh.x),
+    re AS (SELECT folder, half, frame, y, x, m, r - avg(r) OVER (PARTITION BY folder, frame) AS r FROM rf),
+    qab AS (SELECT folder, half, 0 AS image, any_value(m) AS x, var_samp(r) AS v FROM (SELECT folder, half, y AS py, x AS px, m, r FROM re) GROUP BY folder, half, py, px),
+    {described_sql('qa', 'folder, half', 're')},
+    sy AS (SELECT strategy AS variant, CASE WHEN frame // 2 % 2 = 1 THEN 'A' ELSE 'B' END AS half, pair_key AS frame, y, x, clean, (value - clean) / 65535 - avg((value - clean) / 65535) OVER (PARTITION BY strategy, pair_key) AS r FROM fx_pred),
+    qbb AS (SELECT variant, half, frame AS image, clean AS x, r * r AS v FROM (SELECT variant, half, frame, clean, r FROM sy)),
+    {described_sql('qb', 'variant, half', 'sy')},
+    sp4 AS (SELECT folder, variant, half, avg(abs(a.share - b.share)) AS spatial FROM qap a JOIN qbp b USING (half, radius) GROUP BY ALL),
+    sn AS (SELECT folder, variant, half, avg(abs(a.c - b.c)) AS signal_nonstationarity, max(a.valid) AS real_valid_fraction, max(b.valid) AS synthetic_valid_fraction FROM qac a JOIN qbc b USING (half, bin) GROUP BY ALL),
+    mm AS (SELECT folder, variant, half, abs(ln(greatest(a.s, 1e-12) / greatest(b.s, 1e-12))) AS strength, abs(a.k - b.k) AS tail, spatial, signal_nonstationarity, a.s AS real_std, b.s AS synthetic_std, a.k AS real_kurtosis, b.k AS synthetic_kurtosis,
+        real_valid_fraction, synthetic_valid_fraction FROM qam a JOIN qbm b USING (half) JOIN sp4 USING (folder, variant, half) JOIN sn USING (folder, variant, half))"""
+MISMATCH = ["strength", "tail", "spatial", "signal_nonstationarity", "real_std", "synthetic_std", "real_kurtosis", "synthetic_kurtosis", "real_valid_fraction", "synthetic_valid_fraction"]
 
 
 def mismatch(t: Tables):
-    from pixelstrata.operators.mismatch import mismatch_metrics
-    px = t.pixels_anywhere().withColumn("half", F.when(F.col("frame") % 2 == 1, "A").otherwise("B"))
-    m = px.groupBy("folder", "half", "y", "x").agg(F.avg("dn").alias("_m"))
-    real = px.join(m, ["folder", "half", "y", "x"]).select("folder", "frame", "half", ((F.col("dn") - F.col("_m")) / 65535).alias("r"))
-    synth = t.metrics().select("variant", F.when(F.col("reference") == "odd", "A").otherwise("B").alias("half"), (F.col("residual_std") / 1e6).alias("r"))
-    return mismatch_metrics(real, synth)
-
-
-@query("mismatch_metrics", f"WITH {MM_CTE} SELECT folder, variant, half, R6(strength) AS strength, R6(tail) AS tail, R6(real_std) AS real_std, R6(synthetic_std) AS synthetic_std, R6(real_kurtosis) AS real_kurtosis, R6(synthetic_kurtosis) AS synthetic_kurtosis FROM mm")
-def _(t: Tables):
-    return sel(mismatch(t), ["folder", "variant", "half"], 6)
-
-
-AGG = ", ".join(f"R6(avg({m})) AS {m}, R6(avg({m}) FILTER (half = 'A')) AS {m}_a, R6(avg({m}) FILTER (half = 'B')) AS {m}_b" for m in ("strength", "tail"))
+    """Real: temporal residuals of odd (A) and even (B) frames; synthetic: outputs against clean images, every other pair."""
+    from pixelstrata.operators import mismatch as X
+    from pixelstrata.operators import spectral as S
+    from pixelstrata.operators.frames import explode_tiles, tile_pixels
+    from pixelstrata.operators.tiles import PLACE, frame_shape, tile_moments, tile_residual
+
+    tiles = t.tiles()
+    shape = frame_shape(tiles)
+    halves = tiles.withColumn("half", F.when(F.col("frame") % 2 == 1, "A").otherwise("B")).withColumn("dn", F.transform("dn", lambda v: v / F.lit(65535.0)))
+    own = ["folder", "half"]
+    resid = cut_lineage(tile_residual(halves, keys=tuple(own), shape=shape))
+    maps = tile_moments(resid, own, "r").select(*own, "top", "left", F.transform("m2", lambda v: v / (F.col("n") - 1)).alias("v"))
+    signal = tile_moments(halves, own).join(maps, [*own, "top", "left"])
+    pixels = explode_tiles(signal.select(*own, *PLACE, F.zip_with("mean", "v", lambda m, v: F.struct(m.alias("m"), v.alias("v"))).alias("p")), value="p").select(*own, "p.m", "p.v")
+    real = X.Description(
+        X.residual_moments(resid.select(*own, F.explode("r").alias("r")), own), X.radial_share(S.power_spectrum(S.power_blocks(resid, own, shape=shape), own), own, 4), X.binned_by_signal(pixels, own, [], "m", "v", 4))
+    key = ["variant", "half"]
+    pairs = t.predictions().select(F.col("strategy").alias("variant"), F.when(F.floor(F.col("frame") / 2) % 2 == 1, "A").otherwise("B").alias("half"), "folder", "frame", "pair_key", "y", "x", "clean", ((F.col("value") - F.col("clean")) / F.lit(65535.0)).alias("r"))
+    pairs = cut_lineage(X.frame_centred(pairs, [*key, "pair_key"]))
+    images = tile_pixels(pairs, [*key, "folder", "frame"], 512, "r").select(*key, (F.col("folder") * (1 << 24) + F.col("frame")).alias("frame"), *[F.col(c).cast("int").alias(c) for c in PLACE], "r")
+    synthetic = X.Description(
+        X.residual_moments(pairs, key), X.radial_share(S.power_spectrum(S.power_blocks(images, key, shape=frame_shape(images)), key), key, 4),
+        X.binned_by_signal(pairs.withColumn("rr", F.col("r") * F.col("r")), key, ["pair_key"], "clean", "rr", 4))
+    return X.mismatch_metrics(real, synthetic)
+
+
+@query("mismatch_metrics", f"WITH {MM_CTE} SELECT folder, variant, half, {', '.join(f'R6({m}) AS {m}' for m in MISMATCH)} FROM mm")
+def _(t: Tables):
+    return sel(mismatch(t).select("folder", "variant", "half", *MISMATCH), ["folder", "variant", "half"], 6)
+
+
+AGG = ", ".join(f"R6(avg({m})) AS {m}, R6(avg({m}) FILTER (half = 'A')) AS {m}_a, R6(avg({m}) FILTER (half = 'B')) AS {m}_b" for m in MISMATCH[:4])
 
 
 @query("mismatch_aggregate", f"WITH {MM_CTE} SELECT folder, variant, {AGG} FROM mm GROUP BY folder, variant")

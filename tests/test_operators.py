@@ -507,3 +507,34 @@ def test_grid_is_counted_without_being_made(spark):
     df = spark.createDataFrame([(k, k, k, str(k)) for k in range(n)] + [(0, 0, 0, "0"), (0, 0, None, "0")], "a int, b int, c int, d string")
     assert tuple(joins.grid_completeness(df, ["a", "b", "c", "d"]).first()) == (n**4, n + 1, n**4 - n, 1)
     assert tuple(joins.grid_completeness(df.limit(0), ["a", "b"]).first()) == (0, 0, 0, 0)
+
+
+def test_curves_with_empty_bins_and_distances_on_them(spark):
+    from pixelstrata.operators import mismatch as X
+
+    rows = spark.createDataFrame([("g", 0, 2.0), ("g", 3, 8.0)], "k string, bin long, v double")
+    groups = spark.createDataFrame([("g",), ("none",)], "k string")
+    got = {(r.k, r.bin): (r.normalized, r.valid_fraction) for r in I.normalized_curve(rows, groups, ["k"], "v", 5).collect()}
+    filled = np.array([2.0, 4.0, 6.0, 8.0, 8.0])
+    for b, v in enumerate(filled / filled.mean()):
+        assert got[("g", b)] == (pytest.approx(v), pytest.approx(0.4))
+    assert got[("none", 0)] == (None, 0.0)
+
+    def described(key, name, s, k, shares, curve):
+        return X.Description(
+            spark.createDataFrame([(name, "A", s, k)], f"{key} string, half string, s double, k double"),
+            spark.createDataFrame([(name, "A", i + 1, v) for i, v in enumerate(shares)], f"{key} string, half string, radius long, share double"),
+            spark.createDataFrame([(name, "A", i, v, 0.75) for i, v in enumerate(curve)], f"{key} string, half string, bin long, normalized double, valid_fraction double"))
+
+    m = X.mismatch_metrics(described("folder", "f", 2.0, 1.0, [0.5, 0.5], [1.0, 1.0]), described("variant", "v", 1.0, 0.25, [0.25, 0.75], [0.5, 1.5])).collect()
+    assert len(m) == 1 and (m[0].strength, m[0].tail, m[0].spatial, m[0].signal_nonstationarity) == pytest.approx((math.log(2), 0.75, 0.25, 0.5))
+    assert (m[0].real_valid_fraction, m[0].synthetic_valid_fraction) == (0.75, 0.75)
+
+
+def test_signal_bins_of_images_are_averaged_where_they_have_pixels(spark):
+    from pixelstrata.operators import mismatch as X
+
+    rows = [("v", 1, float(x), float(10 * x)) for x in range(8)] + [("v", 2, 5.0, 7.0)] * 4  # the second image has one level only
+    got = {r.bin: r for r in X.binned_by_signal(spark.createDataFrame(rows, "k string, image long, x double, v double"), ["k"], ["image"], "x", "v", 4).collect()}
+    raw = np.array([5.0, 25.0, 45.0, (65.0 + 7.0) / 2])
+    assert [got[b].normalized for b in range(4)] == pytest.approx(list(raw / raw.mean())) and got[0].valid_fraction == 1.0
