@@ -86,20 +86,25 @@ def state_repeatability(values: DataFrame) -> DataFrame:
     return s.join(F.broadcast(rho), "_k").drop("_k")  # one row
 
 
-def primary_checks(cells: DataFrame, primary: str, fixed: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+def primary_checks(cells: DataFrame, primary: str, fixed: list[str], sharp: str | None = None, max_drop: float = 0.0) -> tuple[DataFrame, dict[str, Column]]:
     """Evidence row and named checks for a primary strategy, each taken inside every reference and required of all.
 
-    Input: (reference, variant, folder, g).
+    Input: (reference, variant, folder, g, gradient). The mean gradient ratio of the primary may
+    be at most ``max_drop`` below that of ``sharp`` (the last of ``fixed`` if not given) in every
+    reference, so gain that comes from smoothing does not pass; a missing ratio does not either.
     """
-    s = cells.groupBy("reference", "variant").agg(F.avg("g").alias("m"), F.min("g").alias("w"), F.sum((F.col("g") > 0).cast("bigint")).alias("p"))
+    sharp = sharp or fixed[-1]
+    s = cells.groupBy("reference", "variant").agg(F.avg("g").alias("m"), F.min("g").alias("w"), F.sum((F.col("g") > 0).cast("bigint")).alias("p"), F.avg("gradient").alias("d"))
     mine, other = F.col("variant") == primary, F.col("variant").isin(fixed)
     per = s.groupBy("reference").agg(F.max(F.when(mine, F.col("m"))).alias("m"), F.max(F.when(other, F.col("m"))).alias("best_fixed"),
-                                     F.max(F.when(mine, F.col("w"))).alias("w"), F.max(F.when(mine, F.col("p"))).alias("p"))
-    a = per.agg(F.min(F.col("m") - F.col("best_fixed")).alias("margin"), F.min("w").alias("w"), F.min("p").alias("p")).withColumn("_k", F.lit(1))
+                                     F.max(F.when(mine, F.col("w"))).alias("w"), F.max(F.when(mine, F.col("p"))).alias("p"),
+                                     F.max(F.when(mine, F.col("d"))).alias("d"), F.max(F.when(F.col("variant") == sharp, F.col("d"))).alias("ds"))
+    held = F.coalesce(F.col("d") >= F.col("ds") - F.lit(max_drop), F.lit(False))
+    a = per.agg(F.min(F.col("m") - F.col("best_fixed")).alias("margin"), F.min("w").alias("w"), F.min("p").alias("p"), F.min(held.cast("int")).alias("held")).withColumn("_k", F.lit(1))
     ref = lambda r: F.max(F.when(F.col("reference") == r, F.col("g")))
     b = cells.where(mine).groupBy("folder").agg(ref("odd").alias("a"), ref("even").alias("b")).agg(
         F.avg((F.sign("a") == F.sign("b")).cast("double")).alias("agree")).withColumn("_k", F.lit(1))
     one = a.join(F.broadcast(b), "_k")
     return one, {
         "advantage": F.col("margin") > 0.05, "positive_folders": F.col("p") >= 8,
-        "worst_folder": F.col("w") >= -0.5, "sign_agreement": F.col("agree") >= 0.9}
+        "worst_folder": F.col("w") >= -0.5, "gradient": F.col("held") == 1, "sign_agreement": F.col("agree") >= 0.9}

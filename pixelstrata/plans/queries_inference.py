@@ -494,16 +494,22 @@ def _(t: Tables):
     return sel(I.reference_stability(fg(t), ["variant", "folder"], "g"), ["variant", "folder"], 6)
 
 
+MAX_DROP = 1.0  # of the gradient ratio, in percent
+
+
 @query("go_no_go", f"""WITH {FG}, {AGREE},
+    gd AS (SELECT reference, variant, avg(d) AS d FROM (SELECT reference, variant, folder, avg(gradient_ratio) AS d FROM fx_metrics GROUP BY ALL) GROUP BY ALL),
     s AS (SELECT reference, variant, avg(g) AS m, min(g) AS w, sum((g > 0)::INT) AS p FROM fg GROUP BY ALL),
     c AS (SELECT (SELECT min(d) FROM (SELECT max(m) FILTER (variant = 'H-L') - max(m) FILTER (variant IN ('P-L', 'P-H')) AS d FROM s GROUP BY reference)) > 0.05 AS advantage, (SELECT min(p) FROM s WHERE variant = 'H-L') >= 8 AS positive_folders,
-      (SELECT min(w) FROM s WHERE variant = 'H-L') >= -0.5 AS worst_folder, (SELECT avg((sign(a) = sign(b))::INT) FROM ag WHERE variant = 'H-L') >= 0.9 AS sign_agreement)
-    SELECT CASE WHEN advantage AND positive_folders AND worst_folder AND sign_agreement THEN 'GO' WHEN advantage AND sign_agreement THEN 'PARTIAL' ELSE 'NO_GO' END AS status,
-      array_to_string(list_filter([CASE WHEN NOT advantage THEN 'advantage' END, CASE WHEN NOT positive_folders THEN 'positive_folders' END, CASE WHEN NOT sign_agreement THEN 'sign_agreement' END,
-        CASE WHEN NOT worst_folder THEN 'worst_folder' END], lambda v: v IS NOT NULL), ';') AS failed, CAST(4 AS BIGINT) AS checks FROM c""")
+      (SELECT min(w) FROM s WHERE variant = 'H-L') >= -0.5 AS worst_folder, (SELECT bool_and(a.d >= b.d - {MAX_DROP}) FROM gd a JOIN gd b USING (reference) WHERE a.variant = 'H-L' AND b.variant = 'P-H') AS gradient,
+      (SELECT avg((sign(a) = sign(b))::INT) FROM ag WHERE variant = 'H-L') >= 0.9 AS sign_agreement)
+    SELECT CASE WHEN advantage AND positive_folders AND worst_folder AND gradient AND sign_agreement THEN 'GO' WHEN advantage AND sign_agreement THEN 'PARTIAL' ELSE 'NO_GO' END AS status,
+      array_to_string(list_filter([CASE WHEN NOT advantage THEN 'advantage' END, CASE WHEN NOT gradient THEN 'gradient' END, CASE WHEN NOT positive_folders THEN 'positive_folders' END, CASE WHEN NOT sign_agreement THEN 'sign_agreement' END,
+        CASE WHEN NOT worst_folder THEN 'worst_folder' END], lambda v: v IS NOT NULL), ';') AS failed, CAST(5 AS BIGINT) AS checks FROM c""")
 def _(t: Tables):
     from pixelstrata.operators.decisions import primary_checks
-    one, checks = primary_checks(fg(t), "H-L", ["P-L", "P-H"])
+    cells = t.metrics().groupBy("reference", "variant", "folder").agg(F.avg("psnr_gain").alias("g"), F.avg("gradient_ratio").alias("gradient"))
+    one, checks = primary_checks(cells, "H-L", ["P-L", "P-H"], max_drop=MAX_DROP)
     return verdict(one, checks, ["advantage", "sign_agreement"])
 
 

@@ -477,9 +477,16 @@ def test_twenty_five_thousand_conditions(spark):
 def test_decisions_compare_inside_each_reference(spark):
     from pixelstrata.operators.decisions import primary_checks, verdict
 
-    rows = [(ref, v, f, g) for ref, mine, fixed in (("odd", 1.0, 0.5), ("even", 3.0, 2.5)) for v, g in (("H-L", mine), ("P-L", fixed)) for f in range(10)]
-    one, checks = primary_checks(spark.createDataFrame(rows, "reference string, variant string, folder long, g double"), "H-L", ["P-L", "P-H"])
-    assert verdict(one, checks, ["advantage", "sign_agreement"]).collect()[0].status == "GO"
+    def decide(drop):
+        rows = [
+            (ref, v, f, g, d) for ref, mine, fixed, lost in (("odd", 1.0, 0.5, 0.0), ("even", 3.0, 2.5, drop))
+            for v, g, d in (("H-L", mine, 0.9 - lost), ("P-L", fixed, 0.5), ("P-H", 0.1, 0.91)) for f in range(10)]
+        one, checks = primary_checks(spark.createDataFrame(rows, "reference string, variant string, folder long, g double, gradient double"), "H-L", ["P-L", "P-H"], max_drop=0.02)
+        r = verdict(one, checks, ["advantage", "sign_agreement"]).collect()[0]
+        return r.status, r.failed
+
+    assert decide(0.0) == ("GO", "")
+    assert decide(0.05) == ("PARTIAL", "gradient")  # one reference is enough
 
 
 def test_lofo_select_kinds_of_rules(spark):
