@@ -310,29 +310,75 @@ def relative_difference(a: Column, b: Column) -> Column:
     return F.abs(a - b) / F.greatest(0.5 * (F.abs(a) + F.abs(b)), F.lit(1e-12))
 
 
-def decoupling_checks(summary: DataFrame, variants: list[str], std_limit: float, distinct_limit: float) -> DataFrame:
-    """Named checks between the four variants and an overall GO / STOP.
+def curve_distances(curves: DataFrame, on: list[str], pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """(pair, cosine, l1, rmse, valid_fraction) of named pairs of variants' curves, on the places where both have a value.
 
-    ``summary`` has one row per variant with std_mean, bias_mean, skew_mean.
+    ``curves`` are (variant, on, value) rows; a null or NaN value, or a missing row, is invalid.
+    ``valid_fraction`` relates the common places to all places of either curve; without a common
+    place all distances are null.
     """
-    agg = [F.max(F.when(F.col("variant") == v, F.col(c))).alias(f"{v}:{c}") for v in variants for c in ("std_mean", "bias_mean", "skew_mean")]
-    w = summary.agg(*agg)
-    c = lambda v, k: F.col(f"`{v}:{k}`")
+    side = F.array(*[F.struct(F.lit(name).alias("pair"), F.lit(v).alias("variant"), F.lit(first).alias("first")) for name, two in pairs.items() for v, first in ((two[0], True), (two[1], False))])
+    value = F.when(~F.isnan("value"), F.col("value"))
+    rows = curves.withColumn("_s", F.explode(F.filter(side, lambda s: s["variant"] == F.col("variant"))))
+    at = rows.groupBy("_s.pair", *on).agg(F.max(F.when(F.col("_s.first"), value)).alias("a"), F.max(F.when(~F.col("_s.first"), value)).alias("b"))
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    x, y = F.when(both, F.col("a")), F.when(both, F.col("b"))
+    g = at.groupBy("pair").agg(
+        F.sum(x * y).alias("_xy"), F.sqrt(F.sum(x * x)).alias("_x"), F.sqrt(F.sum(y * y)).alias("_y"), F.avg(F.abs(x - y)).alias("l1"),
+        F.sqrt(F.avg((x - y) * (x - y))).alias("rmse"), F.avg(both.cast("double")).alias("valid_fraction"))
+    return g.select("pair", (F.col("_xy") / F.greatest(F.col("_x") * F.col("_y"), F.lit(1e-12))).alias("cosine"), "l1", "rmse", "valid_fraction")
+
+
+def decoupling_checks(summary: DataFrame, psd: DataFrame, autocorr: DataFrame, variants: list[str], limits: dict[str, float]) -> DataFrame:
+    """Twelve named checks between the four variants (two structures x low and high strength) and an overall GO / STOP.
+
+    ``summary`` has one row per variant: std (mean over pairs), target_error (largest relative
+    error of a pair's std), mean_low and mean_high (of the pairs' residual means), clip (largest
+    share of pixels out of range), signal_correlation, skew, kurtosis, tail (means over pairs).
+    ``psd`` is (variant, radius, value), ``autocorr`` (variant, dy, dx, value), both normalised.
+    Within a structure strength may only scale: spectra and autocorrelations must agree. Between
+    structures at one strength something must differ. A check that cannot be decided fails.
+    """
+    fields = ["std", "target_error", "mean_low", "mean_high", "clip", "signal_correlation", "skew", "kurtosis", "tail"]
     pl, ph, hl, hh = variants
+    wide = summary.agg(*[F.max(F.when(F.col("variant") == v, F.col(c))).alias(f"{v}:{c}") for v in variants for c in fields])
+    same, other = {"first": (pl, ph), "second": (hl, hh)}, {"low": (pl, hl), "high": (ph, hh)}
+
+    def spread(d: DataFrame, prefix: str, names: dict, columns: list[str]) -> DataFrame:
+        return d.agg(*[F.max(F.when(F.col("pair") == n, F.col(c))).alias(f"{prefix}:{n}:{c}") for n in names for c in columns])
+
+    spectra = spread(curve_distances(psd, ["radius"], {**same, **other}), "psd", {**same, **other}, ["cosine", "l1"])
+    lags = spread(curve_distances(autocorr, ["dy", "dx"], same), "acf", same, ["rmse"])
+    one = F.lit(1).alias("_k")
+    w = wide.select("*", one).join(F.broadcast(spectra.select("*", one)), "_k").join(F.broadcast(lags.select("*", one)), "_k")  # one row each
+    c = lambda v, k: F.col(f"`{v}:{k}`")
+
+    def all_within(fields_: tuple[str, ...], limit: float) -> Column:
+        ok = F.lit(True)
+        for v in variants:
+            for k in fields_:
+                ok = ok & (F.abs(c(v, k)) <= limit)
+        return ok
+
     checks = {
-        "low_strength_matched": relative_difference(c(pl, "std_mean"), c(hl, "std_mean")) <= std_limit,
-        "high_strength_matched": relative_difference(c(ph, "std_mean"), c(hh, "std_mean")) <= std_limit,
-        "low_below_high": c(pl, "std_mean") < c(ph, "std_mean"),
-        "low_structure_distinct": (F.abs(c(pl, "skew_mean") - c(hl, "skew_mean")) >= distinct_limit)
-        | (F.abs(c(pl, "bias_mean") - c(hl, "bias_mean")) >= distinct_limit),
-        "high_structure_distinct": (F.abs(c(ph, "skew_mean") - c(hh, "skew_mean")) >= distinct_limit)
-        | (F.abs(c(ph, "bias_mean") - c(hh, "bias_mean")) >= distinct_limit),
+        "low_strength_matched": relative_difference(c(pl, "std"), c(hl, "std")) <= limits["std"],
+        "high_strength_matched": relative_difference(c(ph, "std"), c(hh, "std")) <= limits["std"],
+        "low_below_high": c(pl, "std") < c(ph, "std"),
+        "target_std_realized": all_within(("target_error",), limits["std"]),
+        "residual_mean_controlled": all_within(("mean_low", "mean_high"), limits["mean"]),
+        "clipping_controlled": all_within(("clip",), limits["clip"]),
     }
-    rows = F.array(*[F.struct(F.lit(k).alias("check"), v.alias("passed")) for k, v in checks.items()])
-    all_ok = F.lit(True)
-    for v in checks.values():
-        all_ok = all_ok & v
-    return w.select(F.when(all_ok, "GO").otherwise("STOP").alias("decision"), F.explode(rows).alias("_r")).select(
+    for n in same:
+        checks[f"{n}_scale_only_psd"] = F.col(f"`psd:{n}:cosine`") >= limits["psd_cosine"]
+        checks[f"{n}_scale_only_autocorr"] = F.col(f"`acf:{n}:rmse`") <= limits["autocorr_rmse"]
+    for n, (a, b) in other.items():
+        apart = lambda k, a=a, b=b: F.coalesce(F.abs(c(a, k) - c(b, k)) >= limits[k], F.lit(False))
+        differs = F.coalesce(F.col(f"`psd:{n}:l1`") >= limits["psd_l1"], F.lit(False))
+        for k in ("signal_correlation", "skew", "kurtosis", "tail"):
+            differs = differs | apart(k)
+        checks[f"{n}_structure_distinct"] = differs
+    rows = F.array(*[F.struct(F.lit(k).alias("check"), F.coalesce(v, F.lit(False)).alias("passed")) for k, v in checks.items()])
+    return w.select(rows.alias("_c")).select(F.when(F.forall("_c", lambda r: r["passed"]), "GO").otherwise("STOP").alias("decision"), F.explode("_c").alias("_r")).select(
         "_r.check", "_r.passed", "decision")
 
 

@@ -10,7 +10,7 @@ from pixelstrata.operators import inference as I
 from pixelstrata.operators import ranking as R
 from pixelstrata.operators.decisions import verdict
 from pixelstrata.operators.temporal import temporal_maps
-from pixelstrata.plans.queries_spatial import DFT, RAD
+from pixelstrata.plans.fourier_sql import DFT, RAD
 from pixelstrata.plans.queries_temporal import SUBSET_CTE, _corr, sel
 from pixelstrata.plans.registry import query
 from pixelstrata.plans.views import Tables

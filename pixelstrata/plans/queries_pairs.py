@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pixelstrata.functions.scalars import rnd
+from pixelstrata.functions.scalars import corr_agg, rnd
 from pixelstrata.operators import pairs as P
 from pixelstrata.operators import spectral as S
 from pixelstrata.operators.frames import tile_pixels
 from pixelstrata.operators.tiles import PLACE, frame_shape
 from pixelstrata.plans.queries_pixels import TARGET_STD_CTE, VALID_CTE, masked, with_target
 from pixelstrata.plans.queries_temporal import TOP, _corr, raw_out, sel
+from pixelstrata.plans.fourier_sql import DFT, RAD
 from pixelstrata.plans.registry import query
 from pixelstrata.plans.views import RANGE, Tables
 
@@ -246,19 +247,65 @@ def relative(a: str, b: str) -> str:
     return f"abs({a} - {b}) / greatest(0.5 * (abs({a}) + abs({b})), 1e-12)"
 
 
-@query("decoupling_checks", f"""
-    WITH s AS (SELECT variant, avg(residual_std) AS sm, avg(brightness_bias) AS bm, avg(psnr_gain) AS km FROM fx_metrics GROUP BY variant),
-      w AS (SELECT max(sm) FILTER (variant = 'P-L') AS pl, max(sm) FILTER (variant = 'P-H') AS ph, max(sm) FILTER (variant = 'H-L') AS hl, max(sm) FILTER (variant = 'H-H') AS hh,
-        abs(max(km) FILTER (variant = 'P-L') - max(km) FILTER (variant = 'H-L')) >= 0.5 OR abs(max(bm) FILTER (variant = 'P-L') - max(bm) FILTER (variant = 'H-L')) >= 0.5 AS ld,
-        abs(max(km) FILTER (variant = 'P-H') - max(km) FILTER (variant = 'H-H')) >= 0.5 OR abs(max(bm) FILTER (variant = 'P-H') - max(bm) FILTER (variant = 'H-H')) >= 0.5 AS hd FROM s),
-      c AS (SELECT [{{'check': 'low_strength_matched', 'passed': {relative('pl', 'hl')} <= 0.02}}, {{'check': 'high_strength_matched', 'passed': {relative('ph', 'hh')} <= 0.02}},
-        {{'check': 'low_below_high', 'passed': pl < ph}}, {{'check': 'low_structure_distinct', 'passed': ld}}, {{'check': 'high_structure_distinct', 'passed': hd}}] AS l FROM w)
-    SELECT u.check AS "check", u.passed AS passed, CASE WHEN list_bool_and(list_transform(l, lambda z: z.passed)) THEN 'GO' ELSE 'STOP' END AS decision
-    FROM (SELECT l, unnest(l) AS u FROM c)""")
+#: structure P is the residual of a pair, H its folded form; L has half the strength of H.
+STRENGTH, TARGET = {"L": 0.5, "H": 1.0}, {"L": 0.05, "H": 0.1}
+LIMITS = {"std": 0.02, "mean": 1e-6, "clip": 0.05, "psd_cosine": 0.999, "autocorr_rmse": 0.001, "psd_l1": 0.02, "signal_correlation": 0.2, "skew": 0.5, "kurtosis": 0.5, "tail": 0.01}
+
+
+def decoupling_sql() -> str:
+    diff = lambda k, a, b: f"coalesce(abs(max({k}) FILTER (variant = '{a}') - max({k}) FILTER (variant = '{b}')) >= {LIMITS[k]}, false)"
+    one = lambda k, v: f"max({k}) FILTER (variant = '{v}')"
+    cos = lambda a, b: f"(SELECT sum(x.c * y.c) / greatest(sqrt(sum(x.c * x.c)) * sqrt(sum(y.c * y.c)), 1e-12) FROM pc x JOIN pc y USING (radius) WHERE x.variant = '{a}' AND y.variant = '{b}')"
+    l1 = lambda a, b: f"(SELECT avg(abs(x.c - y.c)) FROM pc x JOIN pc y USING (radius) WHERE x.variant = '{a}' AND y.variant = '{b}')"
+    rm = lambda a, b: f"(SELECT sqrt(avg(pow(x.a - y.a, 2))) FROM nc x JOIN nc y USING (v, u) WHERE x.variant = '{a}' AND y.variant = '{b}')"
+    checks = {
+        "low_strength_matched": f"{relative(one('std', 'P-L'), one('std', 'H-L'))} <= {LIMITS['std']}", "high_strength_matched": f"{relative(one('std', 'P-H'), one('std', 'H-H'))} <= {LIMITS['std']}",
+        "low_below_high": f"{one('std', 'P-L')} < {one('std', 'P-H')}", "target_std_realized": f"max(target_error) <= {LIMITS['std']}",
+        "residual_mean_controlled": f"max(greatest(abs(mean_low), abs(mean_high))) <= {LIMITS['mean']}", "clipping_controlled": f"max(clip) <= {LIMITS['clip']}"}
+    for n, (a, b) in {"first": ("P-L", "P-H"), "second": ("H-L", "H-H")}.items():
+        checks[f"{n}_scale_only_psd"] = f"{cos(a, b)} >= {LIMITS['psd_cosine']}"
+        checks[f"{n}_scale_only_autocorr"] = f"{rm(a, b)} <= {LIMITS['autocorr_rmse']}"
+    for n, (a, b) in {"low": ("P-L", "H-L"), "high": ("P-H", "H-H")}.items():
+        checks[f"{n}_structure_distinct"] = " OR ".join([f"{l1(a, b)} >= {LIMITS['psd_l1']}"] + [diff(k, a, b) for k in ("signal_correlation", "skew", "kurtosis", "tail")])
+    listed = ", ".join(f"{{'check': '{k}', 'passed': {v}}}" for k, v in checks.items())
+    return f"""
+    WITH r0 AS (SELECT pair_key, y, x, clean / 65535 AS clean, (noisy - clean) / 65535 - avg((noisy - clean) / 65535) OVER (PARTITION BY pair_key) AS r FROM fx_pairs),
+      r1 AS (SELECT *, abs(r) - avg(abs(r)) OVER (PARTITION BY pair_key) AS f FROM r0),
+      rv AS (SELECT s.n || '-' || l.n AS variant, l.t AS target, pair_key AS frame, y, x, clean, CASE WHEN s.n = 'P' THEN r ELSE f END * l.k AS r
+        FROM r1, (VALUES ('P'), ('H')) s(n), (VALUES ('L', {STRENGTH['L']}, {TARGET['L']}), ('H', {STRENGTH['H']}, {TARGET['H']})) l(n, k, t)),
+      q AS (SELECT variant, frame, any_value(target) AS target, avg(r) AS m, stddev_samp(r) AS sd, stddev_pop(r) AS sp, {_corr('clean', 'r')} AS sc, avg((clean + r < 0 OR clean + r > 1)::INT) AS cl FROM rv GROUP BY ALL),
+      t AS (SELECT variant, frame, avg(pow((r - m) / sp, 3)) AS sk, avg(pow((r - m) / sp, 4)) - 3 AS ku, avg((abs(r - m) > 3 * sd)::INT) AS tp FROM rv JOIN q USING (variant, frame) GROUP BY ALL),
+      s AS (SELECT variant, avg(sd) AS std, max(abs(sd - target) / target) AS target_error, min(m) AS mean_low, max(m) AS mean_high, max(cl) AS clip, avg(sc) AS signal_correlation, avg(sk) AS skew, avg(ku) AS kurtosis, avg(tp) AS tail
+        FROM q JOIN t USING (variant, frame) GROUP BY variant),
+      {DFT.format(name='dv', k='variant', r='r', src='rv')},
+      pr AS (SELECT variant, {RAD} AS radius, avg(p) AS value FROM dv WHERE {RAD} BETWEEN 1 AND 4 GROUP BY ALL), pc AS (SELECT variant, radius, value / greatest(sum(value) OVER (PARTITION BY variant), 1e-12) AS c FROM pr),
+      na AS (SELECT variant, (dy.range + 4) % 8 AS v, (dx.range + 4) % 8 AS u, sum(p * cos(2 * pi() * ((v - 4) * dy.range + (u - 4) * dx.range) / 8)) AS a FROM dv, range(8) dy, range(8) dx GROUP BY ALL),
+      nc AS (SELECT variant, v, u, a / max(a) FILTER (v = 4 AND u = 4) OVER (PARTITION BY variant) AS a FROM na),
+      c AS (SELECT [{listed}] AS l FROM s)
+    SELECT e.check AS "check", e.passed AS passed, CASE WHEN list_bool_and(list_transform(l, lambda z: z.passed)) THEN 'GO' ELSE 'STOP' END AS decision FROM (SELECT l, unnest(l) AS e FROM c)"""
+
+
+@query("decoupling_checks", decoupling_sql())
 def _(t: Tables):
-    s = t.metrics().groupBy("variant").agg(
-        F.avg("residual_std").alias("std_mean"), F.avg("brightness_bias").alias("bias_mean"), F.avg("psnr_gain").alias("skew_mean"))
-    return P.decoupling_checks(s, ["P-L", "P-H", "H-L", "H-H"], 0.02, 0.5)
+    from pixelstrata.operators.mismatch import frame_centred, radial_share
+    from pixelstrata.sources.storage import cut_lineage
+
+    r = (F.col("noisy") - F.col("clean")) / F.lit(65535.0)
+    d = frame_centred(t.pairs().select("pair_key", "folder", "frame", "y", "x", (F.col("clean") / F.lit(65535.0)).alias("clean"), r.alias("r")), K)
+    d = frame_centred(d.withColumn("f", F.abs("r")), K, "f")
+    kinds = F.array(*[F.struct(F.lit(f"{s}-{n}").alias("variant"), F.lit(TARGET[n]).alias("target"), (F.col("r" if s == "P" else "f") * STRENGTH[n]).alias("r")) for s in "PH" for n in "LH"])
+    v = cut_lineage(d.select(*K, "folder", "frame", "y", "x", "clean", F.explode(kinds).alias("k")).select(*K, "folder", "frame", "y", "x", "clean", "k.*"))
+    by, out = ["variant", *K], F.col("clean") + F.col("r")
+    q = v.groupBy(*by, "target").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("sd"), corr_agg("clean", "r").alias("sc"), F.skewness("r").alias("sk"), F.kurtosis("r").alias("ku"), F.avg(((out < 0) | (out > 1)).cast("double")).alias("cl"))
+    tail = v.join(q.select(*by, "m", "sd"), by).groupBy(*by).agg(F.avg((F.abs(F.col("r") - F.col("m")) > 3 * F.col("sd")).cast("double")).alias("tp"))
+    s = q.join(tail, by).groupBy("variant").agg(
+        F.avg("sd").alias("std"), F.max(F.abs(F.col("sd") - F.col("target")) / F.col("target")).alias("target_error"), F.min("m").alias("mean_low"), F.max("m").alias("mean_high"), F.max("cl").alias("clip"),
+        F.avg("sc").alias("signal_correlation"), F.avg("sk").alias("skew"), F.avg("ku").alias("kurtosis"), F.avg("tp").alias("tail"))
+    images = tile_pixels(v, ["variant", "folder", "frame"], 512, "r").select("variant", (F.col("folder") * (1 << 24) + F.col("frame")).alias("frame"), *[F.col(c).cast("int").alias(c) for c in PLACE], "r")
+    blocks = cut_lineage(S.power_blocks(images, ["variant"], shape=frame_shape(images)))
+    psd = radial_share(S.power_spectrum(blocks, ["variant"]), ["variant"], 4).withColumnRenamed("share", "value")
+    acf = S.acf_from_power(blocks, ["variant"]).select("variant", F.col("v").alias("dy"), F.col("u").alias("dx"), F.col("acf").alias("value"))
+    return P.decoupling_checks(s, psd, acf, ["P-L", "P-H", "H-L", "H-H"], LIMITS)
 
 
 @query("pair_moment_gate", f"""WITH {TARGET_STD_CTE},

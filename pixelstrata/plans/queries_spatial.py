@@ -12,6 +12,7 @@ from pixelstrata.operators import tiles as L
 from pixelstrata.operators.frames import explode_tiles
 from pixelstrata.operators.temporal import frame_subsets, temporal_maps, temporal_residual
 from pixelstrata.operators.tiles import frame_shape, tile_residual
+from pixelstrata.plans.fourier_sql import DFT, RAD
 from pixelstrata.plans.queries_pairs import SOBEL, grad_sql
 from pixelstrata.plans.queries_temporal import HP_CTE, SUBSET_CTE, _corr, raw_out, sel
 from pixelstrata.plans.registry import query
@@ -251,13 +252,7 @@ def _(t: Tables):
 
 # -- spectra -----------------------------------------------------------------------
 # Oracle: direct 8 x 8 Fourier sums; v, u shifted so that zero frequency is at (4, 4).
-DFT = """
-    {name}f AS (SELECT {k}, frame, (v.range + 4) % 8 AS v, (u.range + 4) % 8 AS u,
-        pow(sum({r} * cos(2 * pi() * (v.range * y + u.range * x) / 8)), 2) + pow(sum({r} * sin(2 * pi() * (v.range * y + u.range * x) / 8)), 2) AS p
-      FROM {src}, range(8) v, range(8) u GROUP BY ALL),
-    {name} AS (SELECT {k}, v, u, avg(p) AS p FROM {name}f GROUP BY ALL)"""
 PS_CTE = DFT.format(name="ps", k="folder", r="r", src="fx_resid0")
-RAD = "CAST(floor(sqrt((v - 4) * (v - 4) + (u - 4) * (u - 4))) AS BIGINT)"
 FREQ = "sqrt((v - 4) * (v - 4) + (u - 4) * (u - 4)) / 8"
 EDGES = (0.126, 0.26, 0.4)
 

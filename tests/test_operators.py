@@ -545,3 +545,51 @@ def test_signal_bins_of_images_are_averaged_where_they_have_pixels(spark):
     got = {r.bin: r for r in X.binned_by_signal(spark.createDataFrame(rows, "k string, image long, x double, v double"), ["k"], ["image"], "x", "v", 4).collect()}
     raw = np.array([5.0, 25.0, 45.0, (65.0 + 7.0) / 2])
     assert [got[b].normalized for b in range(4)] == pytest.approx(list(raw / raw.mean())) and got[0].valid_fraction == 1.0
+
+
+DECOUPLED = {"std": 0.02, "mean": 0.01, "clip": 0.001, "psd_cosine": 0.99, "autocorr_rmse": 0.02, "psd_l1": 0.1, "signal_correlation": 0.1, "skew": 0.2, "kurtosis": 0.2, "tail": 0.01}
+
+
+def decoupled(spark, **change):
+    """Checks of four variants that pass, after a change of {(variant, field): value} or of a curve."""
+    base = {"std": 1.0, "target_error": 0.01, "mean_low": -0.001, "mean_high": 0.002, "clip": 0.0, "signal_correlation": 0.0, "skew": 0.0, "kurtosis": 0.0, "tail": 0.003}
+    rows = {v: {**base, "std": 1.0 if v[-1] == "L" else 2.0, "skew": 0.5 if v[0] == "H" else 0.0} for v in ("P-L", "P-H", "H-L", "H-H")}
+    psd = {v: [0.4, 0.3, 0.2, 0.1] for v in rows} | change.pop("psd", {})
+    acf = {v: [1.0, 0.2, 0.0] for v in rows} | change.pop("acf", {})
+    for (v, k), x in change.pop("at", {}).items():
+        rows[v][k] = x
+    names = list(base)
+    s = spark.createDataFrame([(v, *[r[k] for k in names]) for v, r in rows.items()], "variant string, " + ", ".join(f"{k} double" for k in names))
+    p = spark.createDataFrame([(v, i, x) for v, c in psd.items() for i, x in enumerate(c)], "variant string, radius long, value double")
+    a = spark.createDataFrame([(v, 0, i, x) for v, c in acf.items() for i, x in enumerate(c)], "variant string, dy long, dx long, value double")
+    got = P.decoupling_checks(s, p, a, ["P-L", "P-H", "H-L", "H-H"], DECOUPLED).collect()
+    assert len(got) == 12 and len({r.decision for r in got}) == 1
+    return got[0].decision, {r.check for r in got if not r.passed}
+
+
+@pytest.mark.parametrize("change,failed", [
+    ({}, set()),
+    ({"at": {("H-L", "std"): 1.1}}, {"low_strength_matched"}),
+    ({"at": {("P-H", "target_error"): 0.03}}, {"target_std_realized"}),
+    ({"at": {("P-H", "mean_low"): -0.02}}, {"residual_mean_controlled"}),
+    ({"at": {("H-H", "clip"): 0.01}}, {"clipping_controlled"}),
+    ({"at": {("H-H", "clip"): None}}, {"clipping_controlled"}),
+    ({"at": {("H-L", "skew"): 0.1}}, {"low_structure_distinct"}),
+    ({"at": {("H-L", "skew"): None}}, {"low_structure_distinct"}),
+    ({"psd": {"P-H": [0.1, 0.2, 0.3, 0.4]}}, {"first_scale_only_psd"}),
+    ({"psd": {"P-H": [float("nan"), 0.3, 0.2, None]}}, set()),  # the common bins agree
+    ({"psd": {"P-H": [None] * 4}}, {"first_scale_only_psd"}),
+    ({"acf": {"H-H": [1.0, 0.3, 0.0]}}, {"second_scale_only_autocorr"}),
+])
+def test_twelve_decoupling_checks(spark, change, failed):
+    decision, got = decoupled(spark, **{k: dict(v) for k, v in change.items()})
+    assert got == failed and decision == ("STOP" if failed else "GO")
+
+
+def test_curve_distances_on_common_bins(spark):
+    rows = [("a", 0, 1.0), ("a", 1, 2.0), ("a", 2, None), ("b", 0, 2.0), ("b", 1, float("nan")), ("b", 3, 1.0)]
+    d = spark.createDataFrame(rows, "variant string, i long, value double")
+    r = P.curve_distances(d, ["i"], {"ab": ("a", "b"), "aa": ("a", "a")}).collect()
+    got = {x.pair: x for x in r}
+    assert (got["ab"].cosine, got["ab"].l1, got["ab"].rmse, got["ab"].valid_fraction) == pytest.approx((1.0, 1.0, 1.0, 0.25))
+    assert (got["aa"].cosine, got["aa"].l1) == pytest.approx((1.0, 0.0))
