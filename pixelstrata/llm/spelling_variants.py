@@ -23,6 +23,7 @@ table, or one without words, gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +38,7 @@ SYMBOLS = 8
 BITMAP_BITS = 26
 LEAST_LENGTH, LEAST_COUNT, RATIO, DELETED = 7, 2, 10, 31
 GENERATED = 1 << 20  # neighbours made in one step
+TOGETHER = 20_000  # words whose neighbours one task makes
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -266,7 +268,8 @@ def near_words(words: DataFrame, symbols: int = SYMBOLS, bits: int = BITMAP_BITS
     """word, near, near_n: every pair of words of the vocabulary ``words(word, n)`` one code point apart, in both directions."""
     table = letter_symbols(words, symbols)
     keyed = stored(reduced(words, table), "spelling-keys")
-    made = candidates(words, table, symbols, key_bitmap(keyed, bits), bits)
+    dealt = words.repartition(max(1, math.ceil(words.count() / TOGETHER)), "word")  # a word makes a hundred rows and more
+    made = candidates(dealt, table, symbols, key_bitmap(keyed, bits), bits)
     met = made.join(keyed.select("key", F.col("word").alias("near"), F.col("n").alias("near_n")), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
