@@ -13,6 +13,7 @@ from pixelstrata.operators import temporal as T
 from pixelstrata.operators.decisions import checks_table
 from pixelstrata.operators.pixels import crop_center
 from pixelstrata.operators.spatial import block_mean, central_gradient
+from pixelstrata.operators.tiles import frame_shape, tile_residual
 from pixelstrata.plans.queries_pairs import grad_sql
 from pixelstrata.plans.queries_temporal import TOP, _corr, sel
 from pixelstrata.plans.registry import query
@@ -408,7 +409,8 @@ def _(t: Tables):
     half = lambda s: F.avg(F.when(F.col("second") == s, F.col("dn")))
     h = T.with_half(px).groupBy("folder", "y", "x").agg(half(False).alias("a"), half(True).alias("b"), F.stddev_pop("dn").alias("s"))
     st = h.groupBy("folder").agg((F.max(F.abs(F.col("b") - F.col("a"))) / F.avg("s")).alias("local_drift"), corr_agg("a", "b").alias("fixed_correlation"))
-    lc = T.lag_correlation(T.temporal_residual(px), [1]).select("folder", F.col("correlation_mean").alias("residual_correlation"))
+    tiles = t.tiles()
+    lc = T.lag_correlation(tile_residual(tiles, shape=frame_shape(tiles)), [1]).select("folder", F.col("correlation_mean").alias("residual_correlation"))
     r = lambda v: F.avg(F.when(F.col("reference") == v, F.col("psnr_gain")))
     rf = t.metrics().groupBy("folder").agg(r("odd").alias("a"), r("even").alias("b")).select(
         "folder", F.abs(F.col("a") - F.col("b")).alias("reference_delta"), (F.sign("a") == F.sign("b")).alias("sign_agreement"))

@@ -10,7 +10,7 @@ from pixelstrata.operators import spatial as A
 from pixelstrata.operators import spectral as S
 from pixelstrata.operators import tiles as L
 from pixelstrata.operators.frames import explode_tiles
-from pixelstrata.operators.temporal import frame_subsets, temporal_maps, temporal_residual
+from pixelstrata.operators.temporal import frame_subsets, temporal_residual
 from pixelstrata.operators.tiles import frame_shape, tile_residual
 from pixelstrata.plans.fourier_sql import DFT, RAD
 from pixelstrata.plans.queries_pairs import SOBEL, grad_sql

@@ -522,9 +522,9 @@ def _(t: Tables):
 def _(t: Tables):
     from pixelstrata.operators.decisions import repeated_frame_gate
     px = t.pixels()
-    res = T.temporal_residual(px)
+    res, tiles = T.temporal_residual(px), t.tiles()
     d = repeated_frame_gate(
-        px, T.lag_correlation(res, [1]), T.profile_adjacent_corr(res), T.target_candidates(px, SCHEMES),
+        px, T.lag_correlation(tile_residual(tiles, shape=frame_shape(tiles)), [1]), T.profile_adjacent_corr(res), T.target_candidates(px, SCHEMES),
         dict(global_drift=0.5, local_drift=1.0, residual=0.05, row_column=0.2, fixed_map=0.2), grid=4)
     return sel(d, ["folder"])
 
