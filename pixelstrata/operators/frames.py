@@ -37,3 +37,11 @@ def tile_pixels(pixels: DataFrame, keys: list[str], size: int, value: str = "dn"
         (F.max("x") - F.min("x") + 1).alias("w"),
     )
     return packed.select(*keys, "top", "left", "h", "w", F.col(f"_s.{value}").alias(value))
+
+
+def pack_thumbnails(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One row per image of a known small size: h, w and the row-major value array."""
+    g = df.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("y", "x", F.col(value).cast("double").alias("v")))).alias("_s"),
+        (F.max("y") + 1).cast("int").alias("h"), (F.max("x") + 1).cast("int").alias("w"))
+    return g.select(*keys, "h", "w", F.col("_s.v").alias("img"))

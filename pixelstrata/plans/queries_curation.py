@@ -218,11 +218,11 @@ THUMBS = f"""
 @query("scene_relationship", f"""WITH {THUMBS}
     SELECT folder_a, folder_b, R6(c) AS correlation, R6(g) AS gradient_correlation, CASE WHEN c >= 0.95 AND g >= 0.8 THEN 'SAME' WHEN c >= 0.45 OR g >= 0.35 THEN 'RELATED' ELSE 'UNKNOWN' END AS status FROM pp""")
 def _(t: Tables):
-    from pixelstrata.operators.spectral import pack
+    from pixelstrata.operators.frames import pack_thumbnails
     m = block_mean(t.pixels_anywhere(), ["folder"], "dn", 2)
     g = central_gradient(m, ["folder"], "dn")
-    th = pack(g, ["folder"], "dn").select("folder", M.unit_vector(F.col("img"), 16).alias("vec")).join(
-        pack(g, ["folder"], "grad").select("folder", M.unit_vector(F.col("img"), 16).alias("grad")), "folder")
+    th = pack_thumbnails(g, ["folder"], "dn").select("folder", M.unit_vector(F.col("img"), 16).alias("vec")).join(
+        pack_thumbnails(g, ["folder"], "grad").select("folder", M.unit_vector(F.col("img"), 16).alias("grad")), "folder")
     return sel(C.scene_relationship(th), ["folder_a", "folder_b"], 6)
 
 

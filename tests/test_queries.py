@@ -21,7 +21,7 @@ SAMPLE = [
     "sink_json_strict", "index_gaps", "folder_integrity", "exact_duplicates", "near_duplicates", "similarity_clusters", "hash_split", "split_leakage",
     "lofo_manifests", "lofo_leakage", "route_gates", "stream_trace_windows", "stream_integrity",
     "src_frames_raw", "neighbor_join", "box_filter", "gaussian_highpass", "gradient_central", "robustness_grid", "power_spectrum", "acf_from_psd", "psd_l1",
-    "lag_correlation_by_brightness", "lag_difference_moments", "round_robin_assign", "cross_compare", "cluster_stability", "mismatch_metrics", "decoupling_checks", "go_no_go",
+    "lag_correlation_by_brightness", "lag_difference_moments", "round_robin_assign", "cross_compare", "scene_relationship", "repeated_frame_gate", "cluster_stability", "mismatch_metrics", "decoupling_checks", "go_no_go",
 ]
 NAMES = list(entry.queries()) if os.environ.get("FULL") else SAMPLE
 
