@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pixelstrata.functions.ordering import average_rank, exact_quantiles
-from pixelstrata.functions.resampling import bootstrap_interval, hash_index, paired
+from pixelstrata.functions.resampling import bootstrap_interval, hash_index, keyed_permutations, numbered, paired, share_interval
 from pixelstrata.functions.scalars import corr_agg, corr_from_moments, dbl, finite, ratio, safe_div
 
 T_CRITICAL_DF2 = 4.3026527297  # two-sided 95 % Student t, two degrees of freedom
@@ -590,15 +590,25 @@ def repeated_measure_summary(folders: DataFrame) -> DataFrame:
     return g
 
 
-def split_half_reliability(df: DataFrame, group: str, folder: str, a: str, b: str, limit: float) -> DataFrame:
-    """Spearman of two halves per group, and how its sign survives leaving out each folder."""
+def split_half_reliability(df: DataFrame, group: str, folder: str, a: str, b: str, limit: float, rounds: int = 1000, seed: int = 1, valid: Column | None = None) -> DataFrame:
+    """Spearman of two halves per group, its interval over resampled folders, and how its sign survives leaving out each folder.
+
+    ``valid`` is a condition on the rows of ``df`` that all rows of a group must meet to pass.
+    An interval is NULL where no resample has a correlation.
+    """
     full = rank_corr(df, [group], a, b, "rho")
     f = df.select(folder).distinct()
     pairs = paired(f, folder, unordered=False).select(F.col(f"a.{folder}").alias("heldout"), F.col(f"b.{folder}").alias(folder))
     loo = rank_corr(df.join(pairs, folder), [group, "heldout"], a, b, "r")
     s = loo.groupBy(group).agg(
         F.sum((F.col("r") > 1e-9).cast("bigint")).alias("loo_positive"), F.count("r").alias("loo_total"), F.min("r").alias("loo_min"), F.max("r").alias("loo_max"))
-    return full.drop("n").join(s, group).withColumn("passed", (F.col("rho") >= limit) & (F.col("loo_positive") == F.col("loo_total")))
+    boot = rank_corr(resampled_units(df, folder, rounds, seed), ["_b", group], a, b, "r")
+    q = F.percentile("r", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
+    boot = boot.groupBy(group).agg(q.alias("_q"), F.avg((F.col("r") > 1e-9).cast("double")).alias("boot_positive")).select(
+        group, F.element_at("_q", 2).alias("boot_median"), F.element_at("_q", 1).alias("ci_low"), F.element_at("_q", 3).alias("ci_high"), "boot_positive")
+    ok = df.groupBy(group).agg(F.bool_and(F.coalesce(valid, F.lit(False)) if valid is not None else F.lit(True)).alias("valid"))
+    return full.drop("n").join(s, group).join(boot, group, "left").join(ok, group).withColumn(
+        "passed", (F.col("rho") >= limit) & (F.col("loo_positive") == F.col("loo_total")) & F.col("valid"))
 
 
 def collinearity_select(df: DataFrame, group: str, order: list[str], limit: float) -> DataFrame:
@@ -623,19 +633,51 @@ def collinearity_select(df: DataFrame, group: str, order: list[str], limit: floa
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def association_audit(df: DataFrame, group: str, folder: str, x: str, y: str, control: str) -> DataFrame:
-    """Mean group-wise rank correlation of x and y, leave-one-out range, partial value for a control."""
+def association_audit(df: DataFrame, group: str, folder: str, x: str, y: str, control: str, outcomes: DataFrame | None = None, by: tuple[str, ...] = (), rounds: int = 1000, seed: int = 1) -> DataFrame:
+    """Mean group-wise rank correlation of x and y: leave-one-out range, partial value for a control, interval over
+    resampled folders, negative control, and with ``outcomes(group, folder, *by, y)`` its sign in every cell of ``by``.
+    """
     d = df
     for c in (x, y, control):
         d = average_rank(d, [group], c, f"_r{c}")
     per = d.groupBy(group).agg(corr_agg(f"_r{x}", f"_r{y}").alias("rho"), partial_from_ranks(f"_r{x}", f"_r{y}", f"_r{control}").alias("partial"))
-    base = per.agg(F.avg("rho").alias("rho"), F.avg("partial").alias("partial_rho"), F.sum((F.col("rho") <= 1e-9).cast("bigint")).alias("nonpositive_groups"))
+    base = per.agg(F.avg("rho").alias("rho"), F.avg("partial").alias("partial_rho"), F.sum((F.col("rho") <= 1e-9).cast("bigint")).alias("nonpositive_groups"), F.count("rho").alias("groups"))
     f = df.select(folder).distinct()
     pairs = paired(f, folder, unordered=False).select(F.col(f"a.{folder}").alias("heldout"), F.col(f"b.{folder}").alias(folder))
     loo = rank_corr(df.join(pairs, folder), [group, "heldout"], x, y, "r").groupBy("heldout").agg(F.avg("r").alias("r"))
-    l = loo.agg(F.sum((F.col("r") <= 1e-9).cast("bigint")).alias("loo_nonpositive"), F.sum((F.abs("r") >= 0.3).cast("bigint")).alias("loo_medium"),
-                F.min("r").alias("loo_min"), F.max("r").alias("loo_max"))
-    return base.withColumn("_k", F.lit(1)).join(l.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    parts = [loo.agg(F.sum((F.col("r") <= 1e-9).cast("bigint")).alias("loo_nonpositive"), F.sum((F.abs("r") >= 0.3).cast("bigint")).alias("loo_medium"),
+                     F.min("r").alias("loo_min"), F.max("r").alias("loo_max")),
+             folder_bootstrap_rho(df, group, folder, x, y, rounds, seed).select("ci_low", "ci_high"),
+             rank_corr(shuffled_control(df, group, folder, seed), [group], "control", y, "r").agg(F.avg("r").alias("control_rho"))]
+    if outcomes is not None:
+        cells = association_cells(df, outcomes, group, folder, x, y, by)
+        parts.append(cells.agg(F.sum((F.col("rho") <= 1e-9).cast("bigint")).alias("cells_nonpositive"), F.count(F.lit(1)).alias("cells")))
+    out = base.withColumn("_k", F.lit(1))
+    for part in parts:  # one row each
+        out = out.join(part.withColumn("_k", F.lit(1)), "_k")
+    return out.drop("_k").withColumn("exceeds_control", F.abs("rho") > F.abs("control_rho"))
+
+
+def association_cells(df: DataFrame, outcomes: DataFrame, group: str, folder: str, x: str, y: str, by: tuple[str, ...]) -> DataFrame:
+    """Per cell of ``by`` (seed, reference): mean group-wise rank correlation of x with the cell's own outcomes."""
+    d = outcomes.groupBy(group, folder, *by).agg(F.avg(y).alias(y)).join(df.select(group, folder, x), [group, folder])
+    return rank_corr(d, [group, *by], x, y, "r").groupBy(*by).agg(
+        F.avg("r").alias("rho"), F.coalesce(F.bool_and(F.col("r") <= 1e-9), F.lit(False)).alias("all_nonpositive"))
+
+
+def shuffled_control(df: DataFrame, group: str, folder: str, seed: int) -> DataFrame:
+    """Adds ``control``: a shuffled number of the folder inside each group, by md5(seed:group:folder)."""
+    mixed = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(group).cast("string"), F.col(folder).cast("string")))
+    return df.withColumn("control", F.row_number().over(W.partitionBy(group).orderBy(mixed)).cast("double"))
+
+
+def association_decision(audit: DataFrame, p: str, folders: int) -> DataFrame:
+    """GO, PARTIAL or NO_GO per audited metric from ``association_audit`` and a p value column."""
+    # fixed values of the decision: p, medium leave-one-out values, partial correlation, cells
+    every = (F.col("cells_nonpositive") == F.col("cells")) & (F.col("nonpositive_groups") == F.col("groups"))
+    go = (F.col("rho") < 0) & (F.col(p) <= 0.05) & (F.col("loo_nonpositive") == folders) & (F.col("loo_medium") >= 8) & every & (F.col("partial_rho") <= -0.30) & F.col("exceeds_control")
+    part = (F.col("rho") < 0) & (F.col("loo_nonpositive") >= 9) & (F.col("loo_medium") >= 6) & (F.col("cells_nonpositive") >= 4)
+    return audit.withColumn("decision", F.when(go, "GO").when(part, "PARTIAL").otherwise("NO_GO"))
 
 
 def partial_from_ranks(x: str, y: str, c: str) -> Column:
@@ -672,7 +714,7 @@ def rank_vectors(df: DataFrame, group: str, unit: str, x: str, y: str) -> DataFr
 def exact_permutation(df: DataFrame, group: str, unit: str, x: str, y: str) -> DataFrame:
     """Two-sided p over all n! relabelings of the units for the mean group-wise rank correlation.
 
-    Above 20 units n! has no 64-bit number and the query fails; a sampled test is another operator.
+    Above 20 units n! has no 64-bit number and the query fails; ``sampled_permutation`` takes any number.
 
     The n! permutations are cut into number ranges spread over tasks; each task
     decodes its range with numpy.
@@ -719,15 +761,76 @@ def exact_permutation(df: DataFrame, group: str, unit: str, x: str, y: str) -> D
         "p_value", F.col("exceed") / F.col("permutations"))
 
 
+def sampled_permutation(df: DataFrame, group: str, unit: str, x: str, y: str, draws: int = 1 << 20, seed: int = 1, miss: float = 0.001,
+                        width: float | None = None, alpha: float | None = None, first: int = 1 << 14) -> DataFrame:
+    """Two-sided p of ``exact_permutation`` from different permutations under a keyed bijection, for any number of units.
+
+    Looks are taken after ``first``, 4 * first ... up to ``draws`` permutations, each look only over new numbers, and end
+    once the interval is narrower than ``width`` or leaves ``alpha`` out. The interval [p_low, p_high] holds the exact p with
+    probability 1 - ``miss`` over all looks together. With ``draws`` of n! or more all permutations are taken: p is exact.
+    """
+    spark = df.sparkSession
+    base = rank_vectors(df, group, unit, x, y).persist()  # two short vectors a group
+    sizes = base.select(F.size(F.element_at("xs", 1)).alias("n")).first() if not df.isEmpty() else None
+    if sizes is None or sizes["n"] < 2:
+        return spark.createDataFrame([], "observed_abs double, exceed long, permutations long, p_value double, p_low double, p_high double, exact boolean")
+    n = sizes["n"]
+    total = math.factorial(n)
+    last = min(draws, total)
+    looks = max(1, math.ceil(math.log(max(1, last / first), 4)) + 1)
+    seen = exceed = 0
+    low, high, observed = 0.0, 1.0, 0.0
+    stop = min(first, last)
+    while seen < last:
+        found = _exceeding(base, seen, stop, n, seed).first()
+        observed, exceed, seen = found["observed"], exceed + found["exceed"], stop
+        low, high = (exceed / total,) * 2 if seen == total else share_interval(exceed, seen, miss / looks)
+        if (width is not None and high - low <= width) or (alpha is not None and not low <= alpha <= high):
+            break
+        stop = min(4 * stop, last)
+    base.unpersist()
+    row = (observed, exceed, seen, exceed / seen, low, high, seen == total)
+    return spark.createDataFrame([row], "observed_abs double, exceed long, permutations long, p_value double, p_low double, p_high double, exact boolean")
+
+
+def _exceeding(base: DataFrame, start: int, stop: int, n: int, seed: int) -> DataFrame:
+    """observed, exceed of permutation numbers [start, stop), cut into ranges over tasks."""
+    import numpy as np
+    import pandas as pd
+
+    step = max(1024, 1 << 18 >> max(0, n.bit_length() - 3))
+    jobs = base.withColumn("start", F.explode(F.sequence(F.lit(start).cast("bigint"), F.lit(stop - 1).cast("bigint"), F.lit(step).cast("bigint"))))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for xs, ys, at in zip(pdf["xs"], pdf["ys"], pdf["start"]):
+                X, Y = np.stack([np.asarray(v) for v in xs]), np.stack([np.asarray(v) for v in ys])
+                X, Y = X - X.mean(1, keepdims=True), Y - Y.mean(1, keepdims=True)
+                den = np.sqrt((X * X).sum(1) * (Y * Y).sum(1))
+                keep = den > 0  # a constant side has no correlation
+                X, Y = X[keep] / den[keep, None], Y[keep]
+                observed = abs((X * Y).sum() / max(1, len(X)))
+                perm = keyed_permutations(int(at), min(step, stop - int(at)), n, seed)
+                stat = sum((y[perm] @ x for x, y in zip(X, Y)), np.zeros(len(perm))) / max(1, len(X))
+                out.append((observed, int((np.abs(stat) >= observed - 1e-12).sum())))
+            yield pd.DataFrame(out, columns=["observed", "exceed"])
+
+    per = jobs.repartition(64, "start").mapInPandas(run, "observed double, exceed long")
+    return per.agg(F.max("observed").alias("observed"), F.sum("exceed").alias("exceed"))
+
+
+def resampled_units(df: DataFrame, unit: str, rounds: int, seed: int) -> DataFrame:
+    """Rows of ``df`` with ``_b`` and ``_slot``: in round b, slot i takes the unit md5(seed:b:i) mod n in unit order."""
+    num = numbered(df.select(unit).distinct(), unit).withColumn("_i", (F.col("_i") - 1).cast("bigint"))
+    draws = num.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).select(
+        "_b", F.col("_i").alias("_slot"), hash_index([F.lit(seed), F.col("_b"), F.col("_i")], F.col("_n")).alias("_i"))
+    return draws.join(num.select("_i", unit), "_i").join(df, unit).drop("_i")
+
+
 def folder_bootstrap_rho(df: DataFrame, group: str, unit: str, x: str, y: str, rounds: int, seed: int) -> DataFrame:
     """Bootstrap of the mean rank correlation, resampling folders (not groups)."""
-    ids = df.select(unit).distinct()
-    w = W.partitionBy(F.lit(1))
-    num = ids.select(unit, (F.row_number().over(w.orderBy(unit)) - 1).cast("bigint").alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    draws = num.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).select(
-        "b", F.col("i").alias("slot"), hash_index([F.lit(seed), F.col("b"), F.col("i")], F.col("n")).alias("i"))
-    s = draws.join(num.select("i", unit), "i").join(df, unit)
-    r = rank_corr(s, ["b", group], x, y, "r").groupBy("b").agg(F.avg("r").alias("r"))
+    r = rank_corr(resampled_units(df, unit, rounds, seed), ["_b", group], x, y, "r").groupBy("_b").agg(F.avg("r").alias("r"))
     q = F.percentile("r", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     return r.agg(q.alias("_q"), F.count("r").alias("rounds")).select(
         *[F.element_at("_q", i + 1).alias(nm) for i, nm in enumerate(("ci_low", "median", "ci_high"))], "rounds")

@@ -667,16 +667,28 @@ def _(t: Tables):
 HALVES = "hv AS (SELECT variant, folder, avg(residual_std) FILTER (reference = 'odd') AS a, avg(residual_std) FILTER (reference = 'even') AS b FROM fx_metrics GROUP BY ALL)"
 
 
-@query("split_half_reliability", f"""WITH {HALVES},
+def resampled_sql(src: str) -> str:
+    """CTE sm: rows of ``src`` by round b and slot, folders resampled together by md5 indices."""
+    return f"""fo AS (SELECT folder, row_number() OVER (ORDER BY folder) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT folder FROM {src})),
+    dr AS (SELECT b.range AS b, i AS slot, CAST(('0x' || substr(md5('{SEED}:' || b.range || ':' || i), 1, 8))::UBIGINT % n AS BIGINT) AS pick FROM fo, range({ROUNDS}) b),
+    sm AS (SELECT dr.b AS round, slot, v.* FROM dr JOIN fo ON fo.i = dr.pick JOIN {src} v ON v.folder = fo.folder)"""
+
+
+@query("split_half_reliability", f"""WITH {HALVES}, {resampled_sql("hv")},
     f AS (SELECT variant, {_corr('ra', 'rb')} AS rho FROM (SELECT variant, {avg_rank('a', 'variant')} AS ra, {avg_rank('b', 'variant')} AS rb FROM hv) GROUP BY variant),
     x AS (SELECT h.folder AS heldout, v.* FROM (SELECT DISTINCT folder FROM hv) h JOIN hv v ON v.folder <> h.folder),
-    l AS (SELECT variant, heldout, {_corr('ra', 'rb')} AS r FROM (SELECT variant, heldout, {avg_rank('a', 'variant, heldout')} AS ra, {avg_rank('b', 'variant, heldout')} AS rb FROM x) GROUP BY ALL)
+    l AS (SELECT variant, heldout, {_corr('ra', 'rb')} AS r FROM (SELECT variant, heldout, {avg_rank('a', 'variant, heldout')} AS ra, {avg_rank('b', 'variant, heldout')} AS rb FROM x) GROUP BY ALL),
+    bt AS (SELECT variant, round, {_corr('ra', 'rb')} AS r FROM (SELECT variant, round, {avg_rank('a', 'variant, round')} AS ra, {avg_rank('b', 'variant, round')} AS rb FROM sm) GROUP BY ALL),
+    bi AS (SELECT variant, quantile_cont(r, 0.5) AS md, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi, avg((r > 1e-9)::INT) AS pos FROM bt GROUP BY variant),
+    ok AS (SELECT variant, bool_and(a IS NOT NULL AND b IS NOT NULL) AS valid FROM hv GROUP BY variant)
     SELECT variant, R6(any_value(rho)) AS rho, sum((r > 1e-9)::INT)::BIGINT AS loo_positive, count(r) AS loo_total, R6(min(r)) AS loo_min, R6(max(r)) AS loo_max,
-      any_value(rho) >= 0.5 AND sum((r > 1e-9)::INT) = count(r) AS passed FROM l JOIN f USING (variant) GROUP BY variant""")
+      R6(any_value(md)) AS boot_median, R6(any_value(lo)) AS ci_low, R6(any_value(hi)) AS ci_high, R6(any_value(pos)) AS boot_positive, any_value(valid) AS valid,
+      any_value(rho) >= 0.5 AND sum((r > 1e-9)::INT) = count(r) AND any_value(valid) AS passed FROM l JOIN f USING (variant) JOIN bi USING (variant) JOIN ok USING (variant) GROUP BY variant""")
 def _(t: Tables):
     h = lambda r: F.avg(F.when(F.col("reference") == r, F.col("residual_std")))
     hv = t.metrics().groupBy("variant", "folder").agg(h("odd").alias("a"), h("even").alias("b"))
-    return sel(I.split_half_reliability(hv, "variant", "folder", "a", "b", 0.5), ["variant"], 6)
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    return sel(I.split_half_reliability(hv, "variant", "folder", "a", "b", 0.5, ROUNDS, SEED, both), ["variant"], 6)
 
 
 VF = "vf AS (SELECT variant, folder, avg(psnr_gain) AS psnr_gain, avg(residual_std) AS residual_std, avg(gradient_ratio) AS gradient_ratio, avg(ssim) AS ssim FROM fx_metrics GROUP BY ALL)"
@@ -707,13 +719,34 @@ def _(t: Tables):
     return sel(I.partial_rank_corr(vf(t), ["variant"], "residual_std", "psnr_gain", "gradient_ratio"), ["variant"], 6)
 
 
-@query("association_audit", f"""WITH {VF}, {RK3},
+AUDIT_CTE = f"""{VF}, {RK3}, {resampled_sql("vf")},
     x AS (SELECT h.folder AS heldout, v.* FROM (SELECT DISTINCT folder FROM vf) h JOIN vf v ON v.folder <> h.folder),
-    l AS (SELECT heldout, avg(r) AS r FROM (SELECT heldout, variant, {_corr('a', 'b')} AS r FROM (SELECT heldout, variant, {avg_rank('residual_std', 'variant, heldout')} AS a, {avg_rank('psnr_gain', 'variant, heldout')} AS b FROM x) GROUP BY ALL) GROUP BY heldout)
-    SELECT (SELECT R6(avg(xy)) FROM pr3) AS rho, (SELECT R6(avg({PARTIAL})) FROM pr3) AS partial_rho, (SELECT sum((xy <= 1e-9)::INT)::BIGINT FROM pr3) AS nonpositive_groups,
-      sum((r <= 1e-9)::INT)::BIGINT AS loo_nonpositive, sum((abs(r) >= 0.3)::INT)::BIGINT AS loo_medium, R6(min(r)) AS loo_min, R6(max(r)) AS loo_max FROM l""")
+    l AS (SELECT heldout, avg(r) AS r FROM (SELECT heldout, variant, {_corr('a', 'b')} AS r FROM (SELECT heldout, variant, {avg_rank('residual_std', 'variant, heldout')} AS a, {avg_rank('psnr_gain', 'variant, heldout')} AS b FROM x) GROUP BY ALL) GROUP BY heldout),
+    bt AS (SELECT round, avg(r) AS r FROM (SELECT round, variant, {_corr('ra', 'rb')} AS r FROM (SELECT round, variant, {avg_rank('residual_std', 'variant, round')} AS ra, {avg_rank('psnr_gain', 'variant, round')} AS rb FROM sm) GROUP BY ALL) GROUP BY round),
+    ct AS (SELECT variant, folder, psnr_gain, row_number() OVER (PARTITION BY variant ORDER BY md5('{SEED}:' || variant || ':' || folder))::DOUBLE AS control FROM vf),
+    cr AS (SELECT avg(r) AS r FROM (SELECT variant, {_corr('c', 'y')} AS r FROM (SELECT variant, control AS c, {avg_rank('psnr_gain', 'variant')} AS y FROM ct) GROUP BY variant)),
+    oc AS (SELECT variant, folder, seed, reference, residual_std, g FROM (SELECT variant, folder, seed, reference, avg(psnr_gain) AS g FROM fx_metrics GROUP BY ALL) JOIN vf USING (variant, folder)),
+    cl AS (SELECT seed, reference, avg(r) AS rho, bool_and(r <= 1e-9) AS every FROM (SELECT variant, seed, reference, {_corr('a', 'b')} AS r FROM (SELECT variant, seed, reference, {avg_rank('residual_std', 'variant, seed, reference')} AS a, {avg_rank('g', 'variant, seed, reference')} AS b FROM oc) GROUP BY ALL) GROUP BY ALL),
+    ar AS (SELECT (SELECT avg(xy) FROM pr3) AS rho, (SELECT avg({PARTIAL}) FROM pr3) AS partial_rho, (SELECT sum((xy <= 1e-9)::INT)::BIGINT FROM pr3) AS nonpositive_groups, (SELECT count(xy) FROM pr3) AS groups,
+      sum((r <= 1e-9)::INT)::BIGINT AS loo_nonpositive, sum((abs(r) >= 0.3)::INT)::BIGINT AS loo_medium, min(r) AS loo_min, max(r) AS loo_max,
+      (SELECT quantile_cont(r, 0.025) FROM bt) AS ci_low, (SELECT quantile_cont(r, 0.975) FROM bt) AS ci_high, (SELECT r FROM cr) AS control_rho,
+      (SELECT sum((rho <= 1e-9)::INT)::BIGINT FROM cl) AS cells_nonpositive, (SELECT count(*) FROM cl) AS cells FROM l)"""
+AUDITED = """R6(rho) AS rho, R6(partial_rho) AS partial_rho, nonpositive_groups, groups, loo_nonpositive, loo_medium, R6(loo_min) AS loo_min, R6(loo_max) AS loo_max,
+      R6(ci_low) AS ci_low, R6(ci_high) AS ci_high, R6(control_rho) AS control_rho, cells_nonpositive, cells, abs(rho) > abs(control_rho) AS exceeds_control"""
+
+
+def audit(t: Tables):
+    return I.association_audit(vf(t), "variant", "folder", "residual_std", "psnr_gain", "gradient_ratio", t.metrics(), ("seed", "reference"), ROUNDS, SEED)
+
+
+@query("association_audit", f"WITH {AUDIT_CTE} SELECT {AUDITED} FROM ar")
+def _(t: Tables):
+    return sel(audit(t), [], 6)
+
+
+@query("association_cells", f"WITH {AUDIT_CTE} SELECT seed, reference, R6(rho) AS rho, coalesce(every, false) AS all_nonpositive FROM cl")
 def _(t: Tables):
-    return sel(I.association_audit(vf(t), "variant", "folder", "residual_std", "psnr_gain", "gradient_ratio"), [], 6)
+    return sel(I.association_cells(vf(t), t.metrics(), "variant", "folder", "residual_std", "psnr_gain", ("seed", "reference")), ["seed", "reference"], 6)
 
 
 N_PERM = 10
@@ -729,22 +762,44 @@ def perm_chain(n: int) -> str:
     return ", ".join(out)
 
 
-@query("exact_permutation", f"""WITH {VF},
-    rk AS (SELECT variant, row_number() OVER (PARTITION BY variant ORDER BY folder) AS i, {avg_rank('residual_std', 'variant')} - 5.5 AS x, {avg_rank('psnr_gain', 'variant')} - 5.5 AS y FROM vf),
+def perm_sql(src: str, x: str, y: str) -> str:
+    """CTE pv(observed_abs, exceed, permutations): all relabelings of ten folders of ``src``."""
+    hit = f"(abs({' + '.join(f'm{k}[c{k}]' for k in range(1, N_PERM + 1))}) >= o - 1e-12)::INT"
+    return f"""
+    rk AS (SELECT variant, row_number() OVER (PARTITION BY variant ORDER BY folder) AS i, {avg_rank(x, 'variant')} - 5.5 AS x, {avg_rank(y, 'variant')} - 5.5 AS y FROM {src}),
     dn AS (SELECT variant, sqrt(sum(x * x) * sum(y * y)) AS d FROM rk GROUP BY variant),
     w AS (SELECT a.i, b.i AS j, sum(a.x * b.y / d) / count(*) AS v FROM rk a JOIN rk b USING (variant) JOIN dn USING (variant) GROUP BY a.i, b.i),
     ob AS (SELECT abs(sum(v)) AS o FROM w WHERE i = j),
     mat AS (SELECT {", ".join(f"list(v ORDER BY j) FILTER (i = {k}) AS m{k}" for k in range(1, N_PERM + 1))} FROM w),
-    {perm_chain(N_PERM)}
-    SELECT R6(any_value(o)) AS observed_abs, sum((abs({" + ".join(f"m{k}[c{k}]" for k in range(1, N_PERM + 1))}) >= o - 1e-12)::INT)::BIGINT AS exceed, count(*) AS permutations,
-      R9(sum((abs({" + ".join(f"m{k}[c{k}]" for k in range(1, N_PERM + 1))}) >= o - 1e-12)::INT) / count(*)) AS p_value FROM p{N_PERM}, mat, ob""")
+    {perm_chain(N_PERM)},
+    pv AS (SELECT any_value(o) AS observed_abs, sum({hit})::BIGINT AS exceed, count(*) AS permutations FROM p{N_PERM}, mat, ob)"""
+
+
+@query("exact_permutation", f"WITH {VF}, {perm_sql('vf', 'residual_std', 'psnr_gain')} SELECT R6(observed_abs) AS observed_abs, exceed, permutations, R9(exceed / permutations) AS p_value FROM pv")
 def _(t: Tables):
     return sel(I.exact_permutation(vf(t), "variant", "folder", "residual_std", "psnr_gain"), [], 6, p_value=9)
 
 
-@query("folder_bootstrap_rho")
+@query("sampled_permutation", f"""WITH {AUDIT_CTE}, {perm_sql('ct', 'control', 'psnr_gain')}
+    SELECT R6(observed_abs) AS observed_abs, exceed, permutations, R9(exceed / permutations) AS p_value, R9(exceed / permutations) AS p_low, R9(exceed / permutations) AS p_high, true AS exact FROM pv""")
+def _(t: Tables):
+    """The negative control's p. Draws above 10! make it exact; fewer give an interval around the same value."""
+    d = I.shuffled_control(vf(t), "variant", "folder", SEED)
+    return sel(I.sampled_permutation(d, "variant", "folder", "control", "psnr_gain", draws=1 << 22, seed=SEED), [], 6, p_value=9, p_low=9, p_high=9)
+
+
+@query("association_decision", f"""WITH {AUDIT_CTE}, {perm_sql('vf', 'residual_std', 'psnr_gain')}
+    SELECT R6(rho) AS rho, R9(exceed / permutations) AS p_value, CASE WHEN rho < 0 AND exceed / permutations <= 0.05 AND loo_nonpositive = 10 AND loo_medium >= 8 AND cells_nonpositive = cells AND nonpositive_groups = groups AND partial_rho <= -0.3 AND abs(rho) > abs(control_rho) THEN 'GO'
+      WHEN rho < 0 AND loo_nonpositive >= 9 AND loo_medium >= 6 AND cells_nonpositive >= 4 THEN 'PARTIAL' ELSE 'NO_GO' END AS decision FROM ar, pv""")
+def _(t: Tables):
+    p = I.exact_permutation(vf(t), "variant", "folder", "residual_std", "psnr_gain").select("p_value", F.lit(1).alias("_k"))
+    d = I.association_decision(audit(t).withColumn("_k", F.lit(1)).join(p, "_k"), "p_value", 10)
+    return sel(d.select("rho", "p_value", "decision"), [], 6, p_value=9)
+
+
+@query("folder_bootstrap_rho", f"WITH {AUDIT_CTE} SELECT R6(quantile_cont(r, 0.025)) AS ci_low, R6(quantile_cont(r, 0.5)) AS median, R6(quantile_cont(r, 0.975)) AS ci_high, count(r) AS rounds FROM bt")
 def _(t: Tables):
-    return sel(I.folder_bootstrap_rho(vf(t), "variant", "folder", "residual_std", "psnr_gain", 100, SEED), [], 6)
+    return sel(I.folder_bootstrap_rho(vf(t), "variant", "folder", "residual_std", "psnr_gain", ROUNDS, SEED), [], 6)
 
 
 @query("bh_adjust", """

@@ -1,5 +1,6 @@
 """Invariants on hand-made frames and tables."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -290,6 +291,61 @@ def test_exact_permutation_by_enumeration(spark):
     assert (r.exceed, r.permutations) == (hits, 720)
 
 
+def test_keyed_permutations_are_a_bijection():
+    import itertools
+
+    from pixelstrata.functions.resampling import keyed_permutations
+    for n, seed in ((2, 3), (3, 1), (5, 7), (7, 2)):
+        got = np.concatenate([keyed_permutations(a, min(50, math.factorial(n) - a), n, seed) for a in range(0, math.factorial(n), 50)])
+        assert sorted(map(tuple, got)) == sorted(itertools.permutations(range(n)))
+    many = keyed_permutations(0, 60_000, 25, 4)
+    assert (np.sort(many, 1) == np.arange(25)).all() and len(np.unique(many, axis=0)) == 60_000
+    places = np.array([np.bincount(many[:, k], minlength=25) for k in range(25)])
+    assert abs(places / 2400 - 1).max() < 0.11  # each unit at each place about equally often (5 sigma)
+
+
+def test_share_interval_covers():
+    from pixelstrata.functions.resampling import share_interval
+    rng = np.random.default_rng(1)
+    for p in (0.0, 0.003, 0.05, 0.5, 1.0):
+        bounds = [share_interval(int(h), 2000, 0.05) for h in rng.binomial(2000, p, 300)]
+        assert np.mean([a <= p <= b for a, b in bounds]) >= 0.95
+    assert share_interval(0, 10, 0.05)[0] == 0 and share_interval(10, 10, 0.05)[1] == 1
+
+
+def test_sampled_permutation(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, i, float(a), float(a * 0.4 + b)) for g in "pq" for i, (a, b) in enumerate(rng.normal(size=(10, 2)))]
+    df = spark.createDataFrame(rows, "g string, u int, x double, y double")
+    exact = I.exact_permutation(df, "g", "u", "x", "y").collect()[0]
+    part = I.sampled_permutation(df, "g", "u", "x", "y", draws=200_000, seed=3).collect()[0]
+    assert part.permutations == 200_000 and not part.exact and part.p_low <= exact.p_value <= part.p_high and part.p_high - part.p_low < 0.02
+    assert part.observed_abs == pytest.approx(exact.observed_abs)
+    every = I.sampled_permutation(df, "g", "u", "x", "y", draws=1 << 22, seed=4).collect()[0]
+    assert (every.exceed, every.permutations, every.exact, every.p_low) == (exact.exceed, exact.permutations, True, exact.p_value)
+    line = spark.createDataFrame([("p", i, float(i), float(-i)) for i in range(25)], "g string, u int, x double, y double")
+    early = I.sampled_permutation(line, "g", "u", "x", "y", draws=1 << 20, alpha=0.05).collect()[0]
+    assert (early.exceed, early.permutations, early.p_low) == (0, 1 << 14, 0.0) and early.p_high < 0.05
+    assert I.sampled_permutation(df.limit(0), "g", "u", "x", "y").count() == 0
+
+
+def test_reliability_interval_and_association_parts(spark):
+    rows = [("v", i, float(i), float(i) + (5.0 if i == 3 else 0.0), -float(i), float(i % 3), s) for i in range(10) for s in (0, 1)]
+    df = spark.createDataFrame(rows, "v string, f int, a double, b double, y double, c double, s int")
+    one = df.where("s = 0")
+    r = I.split_half_reliability(one, "v", "f", "a", "b", 0.5, 200, 1).collect()[0]
+    a, b = np.arange(10.0), np.arange(10.0) + np.where(np.arange(10) == 3, 5, 0)
+    draws = [[int(hashlib.md5(f"1:{k}:{i}".encode()).hexdigest()[:8], 16) % 10 for i in range(10)] for k in range(200)]
+    rho = np.array([pd.Series(a[d]).rank().corr(pd.Series(b[d]).rank()) for d in draws])
+    assert [r.ci_low, r.boot_median, r.ci_high] == pytest.approx(np.quantile(rho, [0.025, 0.5, 0.975]).tolist())
+    assert r.boot_positive == pytest.approx((rho > 1e-9).mean()) and r.passed and r.valid
+    assert not I.split_half_reliability(one, "v", "f", "a", "b", 0.5, 20, 1, F.col("b") < 9).collect()[0].passed
+    q = I.association_audit(one, "v", "f", "a", "y", "c", df, ("s",), 100, 1)
+    g = I.association_decision(q.withColumn("p", F.lit(0.001)), "p", 10).collect()[0]
+    assert g.rho == pytest.approx(-1) and g.ci_low == pytest.approx(-1) and (g.cells, g.cells_nonpositive) == (2, 2) and g.exceeds_control and abs(g.control_rho) < 1
+    assert (g.loo_nonpositive, g.loo_medium) == (10, 10)
+
+
 def test_chain_of_thousand_is_one_component(spark):
     nodes = spark.range(0, 1010).select(F.col("id"))
     edges = spark.range(0, 999).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
