@@ -15,7 +15,11 @@ from pixelstrata.functions.ordering import add_bounded_quantiles, bounded_quanti
 from pixelstrata.functions.scalars import clip, corr_agg, dbl, ratio, safe_div
 from pixelstrata.operators.frames import explode_tiles
 from pixelstrata.operators.spatial import gaussian_highpass
-from pixelstrata.operators.tiles import PAIR_SUMS, corr_of_sums, crop_summaries, lagged_tiles, pair_sums, pair_sums_by_label, tile_moments
+from pixelstrata.operators.spectral import band_fractions, power_blocks, power_spectrum
+from pixelstrata.sources.storage import cut_lineage
+from pixelstrata.operators.tiles import (
+    PAIR_SUMS, PLACE, corr_of_sums, crop_summaries, frame_shape, lagged_tiles, map_pair_sums, neighbour_sums, pair_sums, pair_sums_by_label,
+    profile_energy, tile_moments, tile_residual)
 
 PIXEL = ["folder", "y", "x"]
 FRAME = ["folder", "frame"]
@@ -437,25 +441,39 @@ def frame_consistency(tiles: DataFrame) -> DataFrame:
         F.avg("c").alias("adjacent_correlation"))
 
 
-def subset_noise(pixels: DataFrame, names: list[str], block: int = 10) -> DataFrame:
-    """Noise, row and column energy of each frame subset."""
-    sub = frame_subsets(pixels, names, block)
+def subset_noise(tiles: DataFrame, names: list[str], edges: tuple[float, float, float], block: int = 10) -> DataFrame:
+    """Noise of each frame subset from tile arrays, one row a folder and subset.
+
+    temporal_std, mean_signal, row_energy, column_energy; acf1, the mean of the two axial and, twice, the diagonal lag-1
+    correlation of the residuals; dc to high fraction of their windowed spectrum; map_correlation of the subset's map of
+    temporal stds with that of subset ``all``, which must be among the names (else null). Undefined values are null.
+    """
     key = ["folder", "subset"]
-    m = sub.groupBy(*key, "y", "x").agg(F.avg("dn").alias("m"), F.stddev_samp("dn").alias("s"))
-    std = m.groupBy(*key).agg(F.avg("s").alias("temporal_std"), F.avg("m").alias("mean_signal"))
-    r = sub.join(m.drop("s"), [*key, "y", "x"]).withColumn("r", F.col("dn") - F.col("m"))
-    r = r.withColumn("r", F.col("r") - F.avg("r").over(W.partitionBy(*key, "frame")))
-    def energy(axis: str, name: str) -> DataFrame:
-        p = r.groupBy(*key, "frame", axis).agg(F.avg("r").alias("p"))
-        return p.groupBy(*key).agg(F.sqrt(F.avg(F.col("p") * F.col("p"))).alias(name))
-    return std.join(energy("y", "row_energy"), key).join(energy("x", "column_energy"), key)
-
-
-def frame_convergence(subsets: DataFrame, metrics: list[str]) -> DataFrame:
-    """Relative error of each subset's metrics against all frames."""
-    full = subsets.where(F.col("subset") == "all").select("folder", *[F.col(m).alias(f"_{m}") for m in metrics])
+    shape = frame_shape(tiles)
+    sub = frame_subsets(tiles, names, block)
+    moments = tile_moments(sub, key).select(*key, *PLACE, "mean", F.transform("m2", lambda v: F.when(F.col("n") > 1, F.sqrt(v / (F.col("n") - 1)))).alias("s"))
+    moments = cut_lineage(moments)
+    total = lambda c: F.sum(F.aggregate(c, F.lit(0.0), lambda t, v: t + v))
+    pixels = F.sum(F.size("s"))
+    out = moments.groupBy(*key).agg((total("s") / pixels).alias("temporal_std"), (total("mean") / pixels).alias("mean_signal"))
+    resid = cut_lineage(tile_residual(sub, keys=tuple(key), shape=shape))
+    near = neighbour_sums(resid, key, "r", [(0, 1), (1, 0), (1, 1)], shape)
+    corr = safe_div(F.col("ab"), F.sqrt(F.col("aa") * F.col("bb")))
+    acf = near.groupBy(*key).agg((F.sum(F.when(F.col("dy") * F.col("dx") == 1, 2.0).otherwise(1.0) * corr) / F.when(F.count(corr) == 3, 4.0)).alias("acf1"))
+    bands = band_fractions(power_spectrum(power_blocks(resid, key, hann=True, shape=shape), key), key, edges)
+    full = moments.where(F.col("subset") == "all").select("folder", *PLACE, F.col("s").alias("_s"))
+    maps = map_pair_sums(moments.join(full, ["folder", *PLACE]), key, "s", "_s").groupBy(*key).agg(corr_of_sums().alias("map_correlation"))
+    for part in (profile_energy(resid, key, "r", shape), acf, bands, maps):
+        out = out.join(part, key, "left")
+    return out
+
+
+def frame_convergence(subsets: DataFrame, relative: list[str], absolute: list[str] = (), keep: list[str] = ()) -> DataFrame:
+    """Error of each subset's metrics against all frames: relative (signed) or absolute; ``keep`` columns as they are."""
+    full = subsets.where(F.col("subset") == "all").select("folder", *[F.col(m).alias(f"_{m}") for m in [*relative, *absolute]])
     return subsets.join(full, "folder").select(
-        "folder", "subset", *[safe_div(F.col(m) - F.col(f"_{m}"), F.col(f"_{m}")).alias(f"{m}_error") for m in metrics])
+        "folder", "subset", *[safe_div(F.col(m) - F.col(f"_{m}"), F.col(f"_{m}")).alias(f"{m}_error") for m in relative],
+        *[F.abs(F.col(m) - F.col(f"_{m}")).alias(f"{m}_error") for m in absolute], *keep)
 
 
 def frame_count_recommendation(grid: DataFrame, metrics: list[str], tolerance: float, required: float) -> DataFrame:

@@ -436,6 +436,71 @@ def lag_products(tiles: DataFrame, keys: list[str], value: str, reach: int, shap
         F.sum("_p.n").cast("bigint").alias("n"), F.sum("_p.total").alias("total"))
 
 
+def neighbour_sums(tiles: DataFrame, keys: list[str], value: str, offsets: list[tuple[int, int]], shape: Shape) -> DataFrame:
+    """(keys, dy, dx, ab, aa, bb): sums over all pairs of pixels (dy, dx) apart inside a frame.
+
+    A tile that is a whole frame needs no margin and stays in its task.
+    """
+    reach = max(max(abs(dy), abs(dx)) for dy, dx in offsets)
+    names = ["dy", "dx", "ab", "aa", "bb"]
+
+    def sums(wide: np.ndarray) -> dict[str, np.ndarray]:
+        h, w = wide.shape[0] - 2 * reach, wide.shape[1] - 2 * reach
+        here, out = wide[reach : reach + h, reach : reach + w], []
+        for dy, dx in offsets:
+            there = wide[reach + dy : reach + dy + h, reach + dx : reach + dx + w]
+            both = ~np.isnan(there) & ~np.isnan(here)
+            a, b = here[both], there[both]
+            out.append((dy, dx, a @ b, a @ a, b @ b))
+        return {c: np.array([o[i] for o in out], np.float64) for i, c in enumerate(names)}
+
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            wide = (np.pad(np.asarray(v, np.float64).reshape(h, w), reach, constant_values=np.nan) for v, h, w in zip(rows[value], rows["h"], rows["w"]))
+            made = [sums(f) for f in wide]
+            yield rows[keys].assign(**{n: [m[n] for m in made] for n in names})
+
+    if shape.whole:
+        made = tiles.select(*keys, "h", "w", value).mapInPandas(alone, typed(tiles, keys) + ", " + ", ".join(f"{n} array<double>" for n in names))
+    else:
+        made = stencil(tiles, [*keys, "frame"], value, reach, shape, sums, names, "nan")
+    e = made.select(*keys, F.explode(F.arrays_zip(*names)).alias("_p"))
+    return e.groupBy(*keys, F.col("_p.dy").cast("int").alias("dy"), F.col("_p.dx").cast("int").alias("dx")).agg(
+        *[F.sum(f"_p.{c}").alias(c) for c in names[2:]])
+
+
+def profile_energy(tiles: DataFrame, keys: list[str], value: str, shape: Shape) -> DataFrame:
+    """(keys, row_energy, column_energy): root mean square of the row and column means of all frames.
+
+    A tile gives one sum for each of its rows and columns; only these are shuffled.
+    """
+    names = [*keys, "frame", "top", "left"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            tile = [np.asarray(v, np.float64).reshape(h, w) for v, h, w in zip(rows[value], rows["h"], rows["w"])]
+            yield rows[names].assign(rows=[t.sum(1) for t in tile], columns=[t.sum(0) for t in tile])
+
+    sums = tiles.select(*names, "h", "w", value).mapInPandas(run, typed(tiles, names) + ", rows array<double>, columns array<double>")
+    line = lambda c, start: F.transform(c, lambda v, i: F.struct((F.col(start) + i).alias("at"), v.alias("v")))
+    e = sums.select(*keys, "frame", F.explode(F.array(
+        F.struct(F.lit(True).alias("row"), line("rows", "top").alias("p")), F.struct(F.lit(False).alias("row"), line("columns", "left").alias("p")))).alias("_s"))
+    e = e.select(*keys, "frame", "_s.row", F.explode("_s.p").alias("_p")).groupBy(*keys, "frame", "row", "_p.at").agg(F.sum("_p.v").alias("v"))
+    mean = F.col("v") / F.when(F.col("row"), F.lit(shape.width)).otherwise(F.lit(shape.height))
+    energy = lambda c: F.sqrt(F.avg(F.when(c, mean * mean)))
+    return e.groupBy(*keys).agg(energy(F.col("row")).alias("row_energy"), energy(~F.col("row")).alias("column_energy"))
+
+
+def map_pair_sums(maps: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """(keys, pair sums) of two array columns of each row; ``corr_of_sums`` over them is a correlation of whole maps."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            sums = [pair_sums(np.asarray(x, np.float64), np.asarray(y, np.float64))[0] for x, y in zip(rows[a], rows[b])]
+            yield pd.concat([rows[keys].reset_index(drop=True), pd.DataFrame(sums, columns=["n", "sa", "sb", "saa", "sbb", "sab"])], axis=1)
+
+    return maps.select(*keys, a, b).mapInPandas(run, typed(maps, keys) + ", n bigint, sa double, sb double, saa double, sbb double, sab double")
+
+
 # -- lags in time -------------------------------------------------------------------------
 
 def lagged_tiles(tiles: DataFrame, keys: list[str], value: str, lags: list[int], fn: Callable[..., list[dict[str, float]]], schema: str, label: str | None = None, chunk: int = 64) -> DataFrame:

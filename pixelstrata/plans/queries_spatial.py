@@ -12,7 +12,7 @@ from pixelstrata.operators import tiles as L
 from pixelstrata.operators.frames import explode_tiles
 from pixelstrata.operators.temporal import frame_subsets, temporal_residual
 from pixelstrata.operators.tiles import frame_shape, tile_residual
-from pixelstrata.plans.fourier_sql import DFT, RAD
+from pixelstrata.plans.fourier_sql import BANDS_SQL, DFT, EDGES, FREQ, HANN, RAD
 from pixelstrata.plans.queries_pairs import SOBEL, grad_sql
 from pixelstrata.plans.queries_temporal import HP_CTE, SUBSET_CTE, _corr, raw_out, sel
 from pixelstrata.plans.registry import query
@@ -253,8 +253,6 @@ def _(t: Tables):
 # -- spectra -----------------------------------------------------------------------
 # Oracle: direct 8 x 8 Fourier sums; v, u shifted so that zero frequency is at (4, 4).
 PS_CTE = DFT.format(name="ps", k="folder", r="r", src="fx_resid0")
-FREQ = "sqrt((v - 4) * (v - 4) + (u - 4) * (u - 4)) / 8"
-EDGES = (0.126, 0.26, 0.4)
 
 
 def spectrum(t: Tables):
@@ -266,7 +264,6 @@ def _(t: Tables):
     return spectrum(t).select("folder", "v", "u", rnd(F.col("power") / 1e6, 3).alias("power_m"))
 
 
-HANN = "(0.5 - 0.5 * cos(2 * pi() * y / 7)) * (0.5 - 0.5 * cos(2 * pi() * x / 7))"
 
 
 @query("windowed_nps", f"""WITH hw AS (SELECT folder, frame, y, x, r * {HANN} AS r FROM fx_resid0), {DFT.format(name='ps', k='folder', r='r', src='hw')},
@@ -284,10 +281,6 @@ def _(t: Tables):
     return r.select("folder", "radius", rnd(F.col("value") / 1e6, 3).alias("value_m"), rnd("share", 8).alias("share"))
 
 
-BANDS_SQL = (f"R8(sum(CASE WHEN f = 0 THEN p ELSE 0 END) / sum(p)) AS dc_fraction, R8(sum(CASE WHEN f > 0 AND f < {EDGES[0]} THEN p ELSE 0 END) / sum(p)) AS very_low_fraction, "
-             f"R8(sum(CASE WHEN f >= {EDGES[0]} AND f < {EDGES[1]} THEN p ELSE 0 END) / sum(p)) AS low_fraction, "
-             f"R8(sum(CASE WHEN f >= {EDGES[1]} AND f < {EDGES[2]} THEN p ELSE 0 END) / sum(p)) AS mid_fraction, R8(sum(CASE WHEN f >= {EDGES[2]} THEN p ELSE 0 END) / sum(p)) AS high_fraction")
-
 
 @query("band_fractions", f"WITH {DFT.format(name='ps', k='folder', r='r', src='fx_resid')}, b AS (SELECT folder, p, {FREQ} AS f FROM ps) SELECT folder, {BANDS_SQL} FROM b GROUP BY folder")
 def _(t: Tables):

@@ -11,6 +11,7 @@ from pixelstrata.operators.pairs import (
 )
 from pixelstrata.operators.spatial import central_gradient
 from pixelstrata.operators.tiles import frame_shape, tile_residual
+from pixelstrata.plans.fourier_sql import BANDS_SQL, DFT, EDGES, FREQ, HANN
 from pixelstrata.plans.registry import query
 from pixelstrata.plans.views import RANGE, Tables
 
@@ -451,6 +452,13 @@ CONV = ["temporal_std", "mean_signal", "row_energy", "column_energy"]
 CONV_SUBSETS = ["all", "odd", "even", "first_half", "second_half"]
 
 
+BANDS = ["low_fraction", "mid_fraction", "high_fraction"]
+
+
+def lag_one(other: str) -> str:
+    return f"sum(r * {other}) / sqrt(sum(r * r) FILTER ({other} IS NOT NULL) * sum({other} * {other}))"
+
+
 @query("frame_convergence", f"""WITH {SUBSET_CTE},
     s AS (SELECT * FROM fx_frames JOIN tag USING (folder, frame) WHERE subset IN ('all', 'odd', 'even', 'first_half', 'second_half')),
     m AS (SELECT folder, subset, y, x, avg(dn) AS m, stddev_samp(dn) AS sd FROM s GROUP BY ALL),
@@ -458,12 +466,20 @@ CONV_SUBSETS = ["all", "odd", "even", "first_half", "second_half"]
           FROM s JOIN m USING (folder, subset, y, x)),
     re AS (SELECT folder, subset, sqrt(avg(p * p)) AS row_energy FROM (SELECT folder, subset, frame, y, avg(r) AS p FROM r GROUP BY ALL) GROUP BY ALL),
     ce AS (SELECT folder, subset, sqrt(avg(p * p)) AS column_energy FROM (SELECT folder, subset, frame, x, avg(r) AS p FROM r GROUP BY ALL) GROUP BY ALL),
+    nb AS (SELECT *, lead(r1) OVER (PARTITION BY folder, subset, frame, x ORDER BY y) AS d, lead(r) OVER (PARTITION BY folder, subset, frame, x ORDER BY y) AS v
+          FROM (SELECT *, lead(r) OVER (PARTITION BY folder, subset, frame, y ORDER BY x) AS r1 FROM r)),
+    ac AS (SELECT folder, subset, ({lag_one('r1')} + {lag_one('v')} + 2 * {lag_one('d')}) / 4 AS acf1 FROM nb GROUP BY ALL),
+    hw AS (SELECT folder, subset, frame, y, x, r * {HANN} AS r FROM r), {DFT.format(name='ps', k='folder, subset', r='r', src='hw')},
+    bf AS (SELECT folder, subset, {BANDS_SQL} FROM (SELECT folder, subset, p, {FREQ} AS f FROM ps) GROUP BY ALL),
+    mc AS (SELECT m.folder, m.subset, {_corr('m.sd', 'f.sd')} AS map_correlation FROM m JOIN m f ON m.folder = f.folder AND m.y = f.y AND m.x = f.x AND f.subset = 'all' GROUP BY ALL),
     a AS (SELECT * FROM (SELECT folder, subset, avg(sd) AS temporal_std, avg(m) AS mean_signal FROM m GROUP BY ALL)
-          JOIN re USING (folder, subset) JOIN ce USING (folder, subset))
-    SELECT a.folder, a.subset, {", ".join(f"R6((a.{m} - f.{m}) / f.{m}) AS {m}_error" for m in CONV)}
-    FROM a JOIN a f ON a.folder = f.folder AND f.subset = 'all'""")
+          JOIN re USING (folder, subset) JOIN ce USING (folder, subset) JOIN ac USING (folder, subset) JOIN bf USING (folder, subset) JOIN mc USING (folder, subset))
+    SELECT a.folder, a.subset, {", ".join(f"R6((a.{m} - f.{m}) / f.{m}) AS {m}_error" for m in CONV)},
+      {", ".join(f"R6(abs(a.{m} - f.{m})) AS {m}_error" for m in ["acf1", *BANDS])}, R6(a.map_correlation) AS map_correlation
+    FROM a JOIN a f ON a.folder = f.folder AND f.subset = 'all'""".replace("R8(", "("))
 def _(t: Tables):
-    return sel(T.frame_convergence(T.subset_noise(t.pixels(), CONV_SUBSETS), CONV), ["folder", "subset"], 6)
+    d = T.subset_noise(t.tiles(), CONV_SUBSETS, EDGES)
+    return sel(T.frame_convergence(d, CONV, ["acf1", *BANDS], ["map_correlation"]), ["folder", "subset"], 6)
 
 
 @query("frame_count_recommendation", f"""WITH {GRID_CTE},

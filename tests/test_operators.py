@@ -346,6 +346,34 @@ def test_reliability_interval_and_association_parts(spark):
     assert (g.loo_nonpositive, g.loo_medium) == (10, 10)
 
 
+@pytest.mark.parametrize("size", [6, 12])
+def test_subset_noise_of_tiles(spark, size):
+    """Frames of one tile and of four against numpy."""
+    rng = np.random.default_rng(8)
+    stack = rng.normal(500, 20, size=(8, 12, 12)) + 30 * np.cumsum(rng.normal(size=(8, 12, 12)), 2) / 3
+    rows = [(1, k + 1, y, x, size, size, stack[k, y : y + size, x : x + size].ravel().tolist()) for k in range(8) for y in range(0, 12, size) for x in range(0, 12, size)]
+    tiles = spark.createDataFrame(rows, "folder long, frame long, top int, left int, h int, w int, dn array<double>")
+    got = {r.subset: r for r in T.subset_noise(tiles, ["all", "odd"], (0.126, 0.26, 0.4)).collect()}
+    window = np.hanning(12)[:, None] * np.hanning(12)
+    f = np.round(np.hypot(np.fft.fftfreq(12)[:, None], np.fft.fftfreq(12)), 9)
+
+    def lag(r, dy, dx):
+        a, b = r[:, : 12 - dy, : 12 - dx], r[:, dy:, dx:]
+        return (a * b).sum() / math.sqrt((a * a).sum() * (b * b).sum())
+
+    for name, part in (("all", stack), ("odd", stack[::2])):
+        r = part - part.mean(0)
+        r = r - r.mean((1, 2), keepdims=True)
+        p = (np.abs(np.fft.fft2(r * window)) ** 2).mean(0)
+        sd = part.std(0, ddof=1)
+        want = {"temporal_std": sd.mean(), "mean_signal": part.mean(), "row_energy": math.sqrt((r.mean(2) ** 2).mean()), "column_energy": math.sqrt((r.mean(1) ** 2).mean()),
+                "acf1": (lag(r, 0, 1) + lag(r, 1, 0) + 2 * lag(r, 1, 1)) / 4, "map_correlation": np.corrcoef(sd.ravel(), stack.std(0, ddof=1).ravel())[0, 1],
+                "low_fraction": p[(f >= 0.126) & (f < 0.26)].sum() / p.sum(), "high_fraction": p[f >= 0.4].sum() / p.sum()}
+        assert {k: got[name][k] for k in want} == pytest.approx(want)
+    c = {r.subset: r for r in T.frame_convergence(T.subset_noise(tiles, ["all", "odd"], (0.126, 0.26, 0.4)), ["temporal_std"], ["acf1"], ["map_correlation"]).collect()}
+    assert c["all"].temporal_std_error == 0 and c["odd"].acf1_error == pytest.approx(abs(got["odd"].acf1 - got["all"].acf1))
+
+
 def test_chain_of_thousand_is_one_component(spark):
     nodes = spark.range(0, 1010).select(F.col("id"))
     edges = spark.range(0, 999).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
