@@ -3,12 +3,14 @@
 Inner products become distances by one more coordinate (rows scaled to the largest norm, so
 the nearest row has the largest product). Gaussian projections to ``PROJECTED`` dimensions
 are 2-stable: the squared projected distance of a pair is its squared distance times a
-chi-square variable. Rows are cut into blocks; a task builds a kd-tree over the projections
-of one block and, for each query of one query block, verifies the leaves in the order of
-their projected distance. It stops when the chi-square test says that a row nearer than the
-k-th found so far would have been met with probability ``confidence``; leaves that can hold
-an equal product are opened too. Equal vectors are searched as one and expanded to their
-rows with the smallest ids afterwards. Equal scores go to the smaller id, in every cut.
+chi-square variable. Rows are cut into the cells of a kd-tree over a sample of projections
+(at most 64 rows for each of at most 4,096 cells), larger cells into blocks by hash. A task
+builds a kd-tree over one block and, for each query sent to it, verifies single rows in the
+order of their projected distance. It stops when the chi-square test says that a row nearer
+than the k-th found so far, there or in the query's first block, would have been met with
+probability ``confidence``; rows that can have an equal product are verified too. Equal
+vectors are searched as one and expanded to their rows with the smallest ids afterwards.
+Equal scores go to the smaller id, in every cut.
 
 Defined results: vectors that are null, zero, of another length than the most frequent one or
 hold null or non-finite components take no part, nor do null ids. With fewer candidates than
@@ -30,7 +32,11 @@ from pixelstrata.llm.tables import stored
 PROJECTED = 16
 LEAF = 128
 BLOCK = 16_384
-QUERY_BLOCK = 2_048
+QUERY_BLOCK = 16_384
+TOGETHER = 64  # queries searched at once in a task
+AT_ONCE = 1_024  # rows of one query verified at once
+MOST_CELLS = 12  # halvings of the kd-tree over the sample
+SAMPLED = 64  # rows of the sample for each cell
 SPARE = 8  # kept beyond k until scores are computed in a fixed order of addition
 ROUNDING = 1e-12  # squared projected distance that rounding can make of none
 SALTS = 32  # parts of a group of equal vectors
@@ -78,75 +84,184 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     return found.groupBy("embedding").agg(members.alias("m")).select("embedding", F.col("m.vec_id").alias("ids"), F.col("m.n").alias("counts"))
 
 
-def search_block(first, second, rows, query_ids, queries, top: float, k: int, confidence: float, projected: int = PROJECTED, seed: int = 5):
-    """For each query the numbers and products of its best rows of one block; ``top``: largest norm of all rows.
+def plane(d: int, projected: int = PROJECTED, seed: int = 5) -> np.ndarray:
+    return np.random.default_rng(seed).normal(size=(d + 1, projected))
 
-    ``first`` and ``second`` are the two smallest ids of each row, equal if it has one.
-    """
-    d = rows.shape[1]
-    plane = np.random.default_rng(seed).normal(size=(d + 1, projected))
+
+def project(rows: np.ndarray, top: float, onto: np.ndarray) -> np.ndarray:
+    """Projections of rows scaled to the largest norm ``top`` and lifted to the unit sphere."""
     lift = np.sqrt(np.maximum(0, 1 - (rows**2).sum(1) / top**2))
-    points = (rows / top) @ plane[:d] + lift[:, None] * plane[d]
-    direction = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-    aims = direction @ plane[:d]
+    return (rows / top) @ onto[:-1] + lift[:, None] * onto[-1]
+
+
+def box_gap(aims: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared projected distance of each query to each box."""
+    out = np.stack([np.maximum(0, np.maximum(low[j] - aims, aims - high[j])) for j in range(len(low))], 1)
+    return (out**2).sum(2)
+
+
+def search_block(first, second, rows, query_ids, queries, top: float, k: int, confidence: float, floor=None, projected: int = PROJECTED, seed: int = 5):
+    """For each query the numbers and products of its best rows of one block, and how many pairs were verified.
+
+    ``top``: largest norm of all rows; ``first`` and ``second``: the two smallest ids of each row, equal if it has one;
+    ``floor``: a product that k rows elsewhere are known to reach. Leaves are opened in order of their projected distance and
+    give up their rows in the order of the rows' own projected distances, some at a time.
+    """
+    onto = plane(rows.shape[1], projected, seed)
+    points = project(rows, top, onto)
     leaves = kd_leaves(points)
     low = np.stack([points[r].min(0) for r in leaves])
     high = np.stack([points[r].max(0) for r in leaves])
-    gap = np.stack([np.maximum(0, np.maximum(low[j] - aims, aims - high[j])) for j in range(len(leaves))], 1)
-    gap = (gap**2).sum(2)  # projected distance to each leaf's box
-    order = np.argsort(gap, axis=1, kind="stable")
-    n, keep = len(queries), min(k + SPARE, len(rows))
-    wanted, slack = min(k, keep), 4 * (d + 2) * np.finfo(float).eps * top
     place = np.unique(np.concatenate([first, second]), return_inverse=True)[1]
     place = np.stack([place[: len(rows)], place[len(rows) :]])
+    bound = chi_square_quantile(confidence, projected)
+    floor = np.full(len(queries), -np.inf) if floor is None else floor
+    keep = min(k + SPARE, len(rows))
+    who, best, verified = np.full((len(queries), keep), -1, np.int64), np.full((len(queries), keep), -np.inf), 0
+    for at in range(0, len(queries), TOGETHER):
+        part = slice(at, at + TOGETHER)
+        who[part], best[part], n = _search(first, second, place, rows, points, leaves, low, high, query_ids[part], queries[part], floor[part], onto, top, k, bound)
+        verified += n
+    return who, best, verified
+
+
+def _search(first, second, place, rows, points, leaves, low, high, query_ids, queries, floor, onto, top, k, bound):
+    d = rows.shape[1]
+    norm = np.linalg.norm(queries, axis=1)
+    direction = queries / norm[:, None]
+    slack = 4 * (d + 2) * np.finfo(float).eps * top
+    floor = floor / norm - slack
+    aims = direction @ onto[:-1]
+    gap = box_gap(aims, low, high)
+    order = np.argsort(gap, axis=1, kind="stable")
+    n, keep = len(queries), min(k + SPARE, len(rows))
+    wanted = min(k, keep)
     best = np.full((n, keep), -np.inf)
     who = np.full((n, keep), -1, np.int64)
-    bound = chi_square_quantile(confidence, projected)
-    active, at, step = np.arange(n), 0, 1
+    waiting = np.full((n, len(rows)), np.inf)  # projected distances of opened rows that are not verified yet
+
+    def reach(mine: np.ndarray) -> np.ndarray:
+        """Projected distance within which a row nearer than the k-th would lie."""
+        worst = np.partition(best[mine], keep - k, axis=1)[:, keep - k] if k <= keep else np.full(len(mine), -np.inf)
+        worst = np.maximum(worst, floor[mine])
+        return np.where(np.isfinite(worst), bound * np.maximum(0, 2 - 2 * worst / top) + ROUNDING, np.inf)
+
+    active, at, step, verified = np.arange(n), 0, 1, 0
     while len(active) and at < len(leaves):
         turn = order[active, at : at + step]
         for j in np.unique(turn):
             mine = active[(turn == j).any(1)]
-            products = direction[mine] @ rows[leaves[j]].T
-            own = (query_ids[mine][:, None] == first[leaves[j]][None]) & (query_ids[mine][:, None] == second[leaves[j]][None])
-            products[own] = -np.inf  # a query is no candidate of its own
+            waiting[np.ix_(mine, leaves[j])] = ((aims[mine][:, None] - points[leaves[j]][None]) ** 2).sum(2)
+        at += step
+        step *= 2
+        edge = gap[active, order[active, at]] if at < len(leaves) else np.full(len(active), np.inf)
+        some, mine, until = min(2 * k, len(rows)), active, edge
+        while len(mine):
+            pick = np.argpartition(waiting[mine], some - 1, axis=1)[:, :some]
+            near = np.take_along_axis(waiting[mine], pick, 1)
+            due = np.isfinite(near) & (near <= np.minimum(until, reach(mine))[:, None])
+            left = due.any(1)
+            mine, until, pick, due = mine[left], until[left], pick[left], due[left]
+            if not len(mine):
+                break
+            waiting[mine[:, None], pick] = np.where(due, np.inf, np.take_along_axis(waiting[mine], pick, 1))
+            verified += int(due.sum())
+            own = (query_ids[mine][:, None] == first[pick]) & (query_ids[mine][:, None] == second[pick])
+            products = np.where(due & ~own, np.einsum("aij,aj->ai", rows[pick], direction[mine]), -np.inf)  # a query is no candidate of its own
             value = np.concatenate([best[mine], products], 1)
-            name = np.concatenate([who[mine], np.broadcast_to(leaves[j], products.shape)], 1)
-            pick = np.argpartition(-value, keep - 1, axis=1)[:, :keep]
+            name = np.concatenate([who[mine], pick], 1)
+            chosen = np.argpartition(-value, keep - 1, axis=1)[:, :keep]
             least = np.partition(value, value.shape[1] - wanted, axis=1)[:, value.shape[1] - wanted]
             close = (value >= least[:, None] - slack) & np.isfinite(value)
             for c in np.flatnonzero(close.sum(1) > keep):  # more equals than room: by score and id
                 among = np.flatnonzero(close[c])
                 x = name[c, among]
                 tie = np.where(first[x] == query_ids[mine[c]], place[1, x], place[0, x])
-                pick[c] = among[np.lexsort((tie, -(rows[x] * queries[mine[c]]).sum(1)))[:keep]]
-            best[mine], who[mine] = np.take_along_axis(value, pick, 1), np.take_along_axis(name, pick, 1)
-        at += step
-        step *= 2
-        if at < len(leaves) and k <= keep:
-            worst = np.partition(best[active], keep - k, axis=1)[:, keep - k]
-            distance = np.where(np.isfinite(worst), np.maximum(0, 2 - 2 * worst / top), np.inf)
-            active = active[gap[active, order[active, at]] <= bound * distance + ROUNDING]
-    return who, best
+                chosen[c] = among[np.lexsort((tie, -(rows[x] * queries[mine[c]]).sum(1)))[:keep]]
+            best[mine], who[mine] = np.take_along_axis(value, chosen, 1), np.take_along_axis(name, chosen, 1)
+            some = min(2 * some, AT_ONCE, len(rows))
+        active = active[edge <= reach(active)]
+    return who, best, verified
+
+
+def cut_cells(sample: np.ndarray, cells: int) -> list[tuple[int, float]]:
+    """A kd-tree of ``cells`` (a power of two) leaves as (dimension, median) of its nodes, breadth first."""
+    nodes, level = [], [sample]
+    while len(level) < cells:
+        following = []
+        for part in level:
+            widest = int(np.argmax(part.max(0) - part.min(0))) if len(part) else 0
+            middle = float(np.median(part[:, widest])) if len(part) else 0.0
+            nodes.append((widest, middle))
+            following += [part[part[:, widest] < middle], part[part[:, widest] >= middle]]
+        level = following
+    return nodes
+
+
+def cell_of(points: np.ndarray, nodes: list[tuple[int, float]]) -> np.ndarray:
+    at = np.zeros(len(points), np.int64)
+    dims, cuts = np.array([n[0] for n in nodes], np.int64), np.array([n[1] for n in nodes])
+    for _ in range((len(nodes) + 1).bit_length() - 1):
+        at = 2 * at + 1 + (points[np.arange(len(points)), dims[at]] >= cuts[at])
+    return at - len(nodes)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, confidence: float = 0.98, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the rows of ``vectors(vec_id, embedding)`` with the largest inner products.
 
-    ``queries(vec_id, embedding)`` may be of any size; both sides meet block by block.
+    ``queries(vec_id, embedding)`` may be of any size. Rows lie in the cells of a kd-tree over a bounded sample of
+    projections. A query first searches one block of its own cell; the k-th product found there is a bound with which
+    it goes only to those cells that the stopping test leaves open.
     """
     kind = dict(vectors.dtypes)["vec_id"]
     rows = stored(distinct_vectors(usable(vectors.select("vec_id", "embedding").where("vec_id is not null")), k), "search-rows")
-    asked = stored(usable(queries.select("vec_id", "embedding").where("vec_id is not null")), "search-queries")
+    asked = usable(queries.select("vec_id", "embedding").where("vec_id is not null"))
     facts = rows.select(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)).alias("m"), F.max(F.size("embedding")).alias("d")).first()
     width = facts["d"] or 0
-    asked = asked.where(F.size("embedding") == width)
+    asked = stored(asked.where(F.size("embedding") == width), "search-queries")
     top = math.sqrt(facts["m"] or 1.0)
-    row_blocks, query_blocks = max(1, math.ceil(facts["n"] / block)), max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    left = rows.withColumn("r", F.pmod(F.xxhash64("embedding"), F.lit(row_blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = asked.withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks))).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
-    left = left.select("ids", "counts", "embedding", F.col("r").cast("int").alias("r"), F.col("q").cast("int").alias("q"))
-    right = right.select("vec_id", "embedding", F.col("r").cast("int").alias("r"), F.col("q").cast("int").alias("q"))
+    onto = plane(width)
+    blocks = max(1, math.ceil(facts["n"] / block))
+    cells = 1 << min(MOST_CELLS, math.ceil(math.log2(blocks)))
+    sample = np.zeros((0, PROJECTED))
+    if cells > 1:
+        share = SAMPLED * cells / facts["n"]  # of all different rows: about SAMPLED * 2 ** MOST_CELLS rows at most
+        few = rows.select("embedding").where(F.pmod(F.xxhash64("embedding", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).toPandas()
+        sample = project(np.stack(few["embedding"].to_numpy()), top, onto) if len(few) else sample
+    nodes = cut_cells(sample, cells)
+
+    def to_cells(batches):
+        for b in batches:
+            if len(b):
+                p = project(np.stack(b["embedding"].to_numpy()), top, onto)
+                yield b.assign(cell=cell_of(p, nodes), low=list(p), high=list(p))
+
+    left = stored(rows.mapInPandas(to_cells, f"embedding array<double>, ids array<{kind}>, counts array<int>, cell bigint, low array<double>, high array<double>"), "search-cells")
+    edges = [f(F.col(c)[i]).alias(f"{c}{i}") for c, f in (("low", F.min), ("high", F.max)) for i in range(PROJECTED)]
+    boxes = left.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *edges).orderBy("cell").toPandas()  # a row a cell
+    names, sizes = boxes["cell"].to_numpy(), np.ceil(boxes["n"].to_numpy() / block).astype(int)
+    low, high = (boxes[[f"{c}{i}" for i in range(PROJECTED)]].to_numpy() for c in ("low", "high"))
+    bound = chi_square_quantile(confidence, PROJECTED)
+    many = F.broadcast(left.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")))  # at most 2 ** MOST_CELLS rows
+    left = left.join(many, "cell").select("ids", "counts", "embedding", "cell", F.pmod(F.xxhash64("embedding"), F.col("parts")).cast("int").alias("part"))
+
+    def route(home: bool):
+        def run(batches):
+            for b in batches:
+                if len(b) and len(names):
+                    v = np.stack(b["embedding"].to_numpy())
+                    norm = np.linalg.norm(v, axis=1)
+                    gap = box_gap((v / norm[:, None]) @ onto[:-1], low, high)
+                    if home:
+                        yield b.assign(floor=-np.inf, cell=names[gap.argmin(1)], part=0)
+                        continue
+                    distance = np.maximum(0, 2 - 2 * (b["floor"].to_numpy() / norm) / top)
+                    limit = np.where(np.isfinite(distance), bound * distance + ROUNDING, np.inf)
+                    q, c = np.nonzero(gap <= limit[:, None])
+                    part = np.concatenate([np.arange(0), *(np.arange(n) for n in sizes[c])])
+                    q, c = np.repeat(q, sizes[c]), np.repeat(c, sizes[c])
+                    yield b.iloc[q].assign(cell=names[c], part=part)
+        return run
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
@@ -154,7 +269,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, confidence: flo
             v, w = np.stack(a["embedding"].to_numpy()), np.stack(b["embedding"].to_numpy())
             members, counts, query_ids = a["ids"].to_numpy(), a["counts"].to_numpy(), b["vec_id"].to_numpy()
             first, second = np.array([m[0] for m in members]), np.array([m[min(1, len(m) - 1)] for m in members])
-            who, best = search_block(first, second, v, query_ids, w, top, k, confidence)
+            who, best, _ = search_block(first, second, v, query_ids, w, top, k, confidence, b["floor"].to_numpy())
             q, c = np.nonzero((who >= 0) & np.isfinite(best))
             x = who[q, c]
             hits = pd.DataFrame({"q": q, "query_id": query_ids[q], "vec_id": [np.repeat(members[i], counts[i]) for i in x], "score": (v[x] * w[q]).sum(1)})
@@ -163,6 +278,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, confidence: flo
             out = hits.groupby("q").head(k)[["query_id", "vec_id", "score"]]
         return pd.DataFrame(out)
 
-    found = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInPandas(run, f"query_id {kind}, vec_id {kind}, score double")
+    def search(sent: DataFrame) -> DataFrame:
+        """Queries of a block are dealt to searches of up to QUERY_BLOCK; a block is copied only if it has more."""
+        asks = sent.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("asks"))
+        searches = F.greatest(F.lit(1), F.ceil(F.col("asks") / QUERY_BLOCK)).cast("int")
+        a = left.join(asks, ["cell", "part"]).withColumn("deal", F.explode(F.sequence(F.lit(0), searches - 1))).drop("asks")
+        b = sent.join(asks, ["cell", "part"]).withColumn("deal", F.pmod(F.xxhash64("vec_id", F.lit(1)), searches).cast("int")).drop("asks")
+        by = ["cell", "part", "deal"]
+        return a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(run, f"query_id {kind}, vec_id {kind}, score double")
+
+    schema = f"vec_id {kind}, embedding array<double>, floor double, cell bigint, part int"
+    asked = asked.select("vec_id", "embedding")
+    if sizes.sum() > 1:
+        home = search(stored(asked.mapInPandas(route(True), schema), "search-home"))
+        kth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        floors = home.withColumn("at", kth).where(F.col("at") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+        asked = asked.join(floors, "vec_id", "left")
+    else:
+        asked = asked.withColumn("floor", F.lit(None).cast("double"))
+    asked = asked.select("vec_id", "embedding", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    found = search(stored(asked.mapInPandas(route(False), schema), "search-routes"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

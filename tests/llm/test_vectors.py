@@ -119,6 +119,51 @@ def test_search_ties_of_different_rows(spark):
     assert [r.vec_id for r in out.orderBy("rank").collect()] == list(range(20))
 
 
+def searched(v, k, confidence, step=20):
+    """Recall and share of pairs verified for every ``step``-th row of one block."""
+    v = v.astype(float)
+    ids, asked = np.arange(len(v)), np.arange(0, len(v), step)
+    top = float(np.linalg.norm(v, axis=1).max())
+    who, best, verified = S.search_block(ids, ids, v, asked, v[asked], top, k, confidence)
+    want = true_nearest(ids, v, asked.tolist(), k)
+    got = [[who[q][c] for c in np.argsort(-best[q])[:k]] for q in range(len(asked))]
+    return np.mean([len(set(g) & {i for _, i in want[int(q)]}) / k for g, q in zip(got, asked)]), verified / (len(v) * len(asked))
+
+
+def test_verified_pairs_on_the_given_rows(spark):
+    v = np.stack(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").toPandas()["embedding"].to_numpy())
+    recall, share = searched(v, 20, 0.9)
+    assert recall >= 0.94 and share <= 0.65
+    recall, share = searched(v, 20, 0.98)
+    assert recall >= 0.98 and share < 0.9
+
+
+def test_verified_pairs_on_tight_clusters():
+    rng = np.random.default_rng(8)
+    v = np.repeat(rng.normal(size=(200, 64)), 40, axis=0)
+    v = v / np.linalg.norm(v, axis=1, keepdims=True) + 0.005 * rng.normal(size=v.shape)
+    recall, share = searched(v / np.linalg.norm(v, axis=1, keepdims=True), 20, 0.98)
+    assert recall >= 0.98 and share <= 0.1
+
+
+def test_floor_spares_rows():
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(4000, 16))
+    top, ids = float(np.linalg.norm(v, axis=1).max()), np.arange(4000)
+    plain = S.search_block(ids, ids, v, ids[:50], v[:50], top, 10, 0.98)
+    kth = np.sort(v @ v[:50].T - 1e9 * (ids[:, None] == ids[:50]), axis=0)[-10]
+    told = S.search_block(ids, ids, v, ids[:50], v[:50], top, 10, 0.98, kth)
+    assert told[2] <= plain[2] and (np.sort(told[1][:, :10], 1)[:, -1] >= np.sort(plain[1], 1)[:, -1] - 1e-9).all()
+
+
+def test_cells_hold_every_point():
+    p = np.random.default_rng(1).normal(size=(5000, 16))
+    nodes = S.cut_cells(p[:1000], 16)
+    sizes = np.bincount(S.cell_of(p, nodes), minlength=16)
+    assert len(nodes) == 15 and sizes.sum() == 5000 and sizes.min() > 150
+    assert (S.cell_of(p, S.cut_cells(p[:0], 1)) == 0).all()
+
+
 def test_chi_square():
     assert S.chi_square_quantile(0.95, 2) == pytest.approx(5.991, abs=1e-3) and S.chi_square_quantile(0.95, 10) == pytest.approx(18.307, abs=1e-3)
     leaves = S.kd_leaves(np.random.default_rng(0).normal(size=(1000, 4)), 50)
