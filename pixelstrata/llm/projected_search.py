@@ -33,8 +33,8 @@ PROJECTED = 16
 LEAF = 128
 BLOCK = 16_384
 QUERY_BLOCK = 16_384
-TOGETHER = 64  # queries searched at once in a task
-AT_ONCE = 1_024  # rows of one query verified at once
+TOGETHER = 32  # queries searched at once in a task
+AT_ONCE = 4_096  # rows of one query verified at once
 MOST_CELLS = 12  # halvings of the kd-tree over the sample
 SAMPLED = 64  # rows of the sample for each cell
 SPARE = 8  # kept beyond k until scores are computed in a fixed order of addition
@@ -179,7 +179,7 @@ def _search(first, second, place, rows, points, leaves, low, high, query_ids, qu
                 tie = np.where(first[x] == query_ids[mine[c]], place[1, x], place[0, x])
                 chosen[c] = among[np.lexsort((tie, -(rows[x] * queries[mine[c]]).sum(1)))[:keep]]
             best[mine], who[mine] = np.take_along_axis(value, chosen, 1), np.take_along_axis(name, chosen, 1)
-            some = min(2 * some, AT_ONCE, len(rows))
+            some = min(4 * some, AT_ONCE, len(rows))
         active = active[edge <= reach(active)]
     return who, best, verified
 
