@@ -150,7 +150,7 @@ class SeenRanges(StatefulProcessor):
     whole numbers in order, so complete ranges run together into one interval and the state has
     one interval more than there are open gaps, however long the acquisition. A number that comes
     again is known at any distance in time. A timer closes a range once no new frame has come for
-    the allowed delay.
+    the allowed delay; of a lane's open ranges the one that ends first sets it.
     """
 
     def init(self, handle):
@@ -195,7 +195,7 @@ class SeenRanges(StatefulProcessor):
         for s, ms in last.items():
             known = int(self.open.getValue((s,))[0]) if self.open.containsKey((s,)) else 0
             self.open.updateValue((s,), (max(ms, known),))
-        self.handle.registerTimer(max(last.values()) + 1)
+        self.handle.registerTimer(min(last.values()) + 1)
         yield self._rows(key, sorted(last), repeats, True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -204,6 +204,8 @@ class SeenRanges(StatefulProcessor):
         done = sorted(s for s, ms in pending.items() if ms < now)
         for s in done:
             self.open.removeKey((s,))
+        if rest := [ms for ms in pending.values() if ms >= now]:
+            self.handle.registerTimer(min(rest) + 1)
         if done:
             yield self._rows(key, done, {}, False)
 

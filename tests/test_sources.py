@@ -177,6 +177,13 @@ def test_stream_integrity_knows_late_duplicates_over_a_restart(spark, tmp_path):
     assert got == {("a", 0): (4, 1, 5, 1, 2, True), ("a", 1): (1, 5000, 5000, 0, 0, False), ("a", -1): (1, -3, -3, 0, 0, False)}
 
 
+def test_stream_integrity_closes_each_range_of_a_lane_on_its_own(spark, tmp_path):
+    path, far = str(tmp_path / "in"), traces.RANGE * traces.LANES
+    arrive(spark, path, [("2024-01-01 00:00:00", "a", 1), ("2024-01-01 01:30:00", "a", far), ("2024-01-01 09:00:00", "a", 2 * far)])
+    log = traces.drain(traces.integrity(watched(spark, path)), "lanes")
+    assert {r.bucket: r.open for r in traces.latest_ranges(log).collect()} == {0: False, traces.LANES: False, 2 * traces.LANES: True}
+
+
 def test_intervals_of_seen_numbers():
     rng = np.random.default_rng(0)
     for _ in range(50):
