@@ -677,3 +677,26 @@ def test_curve_distances_on_common_bins(spark):
     got = {x.pair: x for x in r}
     assert (got["ab"].cosine, got["ab"].l1, got["ab"].rmse, got["ab"].valid_fraction) == pytest.approx((1.0, 1.0, 1.0, 0.25))
     assert (got["aa"].cosine, got["aa"].l1) == pytest.approx((1.0, 0.0))
+
+
+def test_shingle_counts_grow_with_the_input_and_fit_a_byte(spark):
+    from pixelstrata.operators import text_similarity as X
+
+    rows = [(1, "a b c d e"), (2, "a b c"), (3, None)] + [(10 + k, "x y z") for k in range(200)]
+    counts = X.bucket_counts(X.text_sets(spark.createDataFrame(rows, "id long, t string"), "id", "t"))
+    assert counts.dtype == np.uint8 and len(counts) == 1 << 16  # not the full table for a small input
+    assert sorted(counts[counts > 0].tolist()) == [1, 1, 2, 127 + int(8 * np.log2(200 / 127))]
+
+
+def test_strict_clusters_need_only_members_of_lenient_ones(spark):
+    from pixelstrata.operators import similarity as M, text_similarity as X
+
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["end"]), " ".join(words[:-1] + ["end"]), "quite another text of its own"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    sets = X.text_sets(frame, "id", "t")
+    lenient = M.connected_components(frame.select("id"), X.linked_texts(sets, 0.8))
+    few = X.within_clusters(sets, lenient)
+    assert sorted(r.id for r in few.collect()) == [0, 1, 2]
+    by = lambda s: {r.id: r.component for r in M.connected_components(frame.select("id"), X.linked_texts(s, 0.9)).collect()}
+    assert by(few) == by(sets) == {0: 0, 1: 0, 2: 0, 3: 3}
