@@ -700,3 +700,11 @@ def test_strict_clusters_need_only_members_of_lenient_ones(spark):
     assert sorted(r.id for r in few.collect()) == [0, 1, 2]
     by = lambda s: {r.id: r.component for r in M.connected_components(frame.select("id"), X.linked_texts(s, 0.9)).collect()}
     assert by(few) == by(sets) == {0: 0, 1: 0, 2: 0, 3: 3}
+
+
+def test_hash_of_a_text_is_that_of_its_profile_image_and_few_are_held(spark, monkeypatch):
+    monkeypatch.setattr(M, "HASHED", 2)
+    rows = [(1, "some text"), (2, None), (3, ""), (4, "é¤ 漢字"), (5, "other words, and more"), (6, "x" * 5000)]
+    texts = spark.createDataFrame(rows, "id long, t string").coalesce(1)
+    want = {r.id: r.phash for r in M.perceptual_hash(M.character_profile(texts, "id", "t", 1024), ["id"], "vec", 32).collect()}
+    assert {r.id: r.phash for r in M.text_hash(texts, "id", "t", 32).collect()} == want and len(want) == 6
