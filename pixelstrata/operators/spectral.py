@@ -14,12 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pixelstrata.functions.scalars import corr_agg, dbl, ratio, safe_div
-from pixelstrata.operators.tiles import FAN_IN, PLACE, Shape, frame_shape, typed
+from pixelstrata.operators.tiles import FAN_IN, PLACE, Shape, flat, frame_shape, typed
 
 GROUP_VALUES = 1 << 20
 IMAGES = 8  # images whose powers are added in one call, at least
@@ -76,6 +77,23 @@ def power_blocks(tiles: DataFrame, keys: list[str], value: str = "r", hann: bool
         head = {k: [rows[k].iloc[0]] for k in [*keys, "_b", "c0", "c"]}
         return pd.DataFrame({**head, "n": [int(rows["n"].sum())], "total": [total]})
 
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        norm = (window[0] ** 2).sum() * (window[1] ** 2).sum() if hann else 1.0
+        step = max(1, GROUP_VALUES // (pad * height * half))
+        for batch in batches:
+            for s in range(0, batch.num_rows, step):
+                part = batch.slice(s, step)
+                images = flat(part.column(value)).reshape(-1, height, width)
+                f = np.fft.rfft(images * window[0][:, None] * window[1] if hann else images, n=pad * width, axis=2)
+                f = np.fft.fft(f, n=pad * height, axis=1)
+                total = ((f.real**2 + f.imag**2) / norm).reshape(len(f), -1)
+                offsets = np.arange(len(f) + 1, dtype=np.int32) * np.int32(total.shape[1])
+                columns = [pa.array(np.full(len(f), x, np.int32)) for x in (0, half)] + [pa.array(np.ones(len(f), np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(total.ravel()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keys), *columns], names=[*keys, "c0", "c", "n", "total"])
+
+    size = [F.lit(pad * height).alias("h"), F.lit(pad * width).alias("w")]
+    if shape.whole and shape.last == 0 and columns == half:  # one image of one tile to a key: nothing to bring together
+        return tiles.select(*keys, value).mapInArrow(single, f"{kept}, c0 int, c int, n bigint, total array<double>").select(*keys, "c0", "c", "n", *size, "total")
     rows = tiles.select(*keys, F.col(index).cast("bigint").alias("_i"), *PLACE, value)
     lines = rows.groupBy(*keys, F.floor(F.col("_i") / in_band).alias("_g"), "top").applyInPandas(along_x, f"{kept}, _i bigint, top int, h int, c0 int, v array<double>")
     schema = f"{kept}, _b bigint, c0 int, c int, n bigint, total array<double>"
@@ -84,7 +102,7 @@ def power_blocks(tiles: DataFrame, keys: list[str], value: str = "r", hann: bool
     while groups > 1:
         groups = -(-groups // FAN_IN)
         blocks = blocks.withColumn("_b", F.floor(F.col("_b") / FAN_IN)).groupBy(*keys, "_b", "c0").applyInPandas(add, schema)
-    return blocks.select(*keys, "c0", "c", "n", F.lit(pad * height).alias("h"), F.lit(pad * width).alias("w"), "total")
+    return blocks.select(*keys, "c0", "c", "n", *size, "total")
 
 
 def _shifted(at: Column, size: Column) -> Column:

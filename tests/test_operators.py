@@ -708,3 +708,17 @@ def test_hash_of_a_text_is_that_of_its_profile_image_and_few_are_held(spark, mon
     texts = spark.createDataFrame(rows, "id long, t string").coalesce(1)
     want = {r.id: r.phash for r in M.perceptual_hash(M.character_profile(texts, "id", "t", 1024), ["id"], "vec", 32).collect()}
     assert {r.id: r.phash for r in M.text_hash(texts, "id", "t", 32).collect()} == want and len(want) == 6
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_frames_of_one_image_a_key_need_no_shuffle_for_their_power(spark, stack):
+    h, w = stack.shape[1:]
+    tiles = tiles_of(spark, stack, 100).withColumnRenamed("frame", "image").select("*", F.lit(0).alias("frame"), F.col("dn").cast("array<double>").alias("r"))
+    for given in ({}, {"hann": True}, {"pad": 2}):
+        whole, parts = (S.power_blocks(tiles, ["image"], shape=L.Shape(h, w, h, 0, k), **given) for k in (True, False))
+        assert "Exchange" not in plan_of(whole) and whole.dtypes == parts.dtypes
+        of = lambda d: {r.image: (r.c0, r.c, r.n, r.h, r.w, pytest.approx(r.total)) for r in d.collect()}
+        assert of(whole) == {r.image: (r.c0, r.c, r.n, r.h, r.w, r.total) for r in parts.collect()}
