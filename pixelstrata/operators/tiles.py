@@ -318,6 +318,29 @@ def stencil(tiles: DataFrame, keys: list[str], value: str, margin: int, shape: S
     by = [*keys, "top", "left"]
     kinds = dict(tiles.dtypes)
     height, width = shape.height, shape.width
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", top int, left int, h int, w int, " + ", ".join(f"`{n}` array<double>" for n in names)
+
+    def widened(known: np.ndarray, y0: int, x0: int, top: int, left: int, h: int, w: int) -> np.ndarray:
+        """A tile and its margin from the part of the frame that begins at (y0, x0)."""
+        ys, xs = (_index(a - margin, a + n + margin, full, border) for a, n, full in ((top, h, height), (left, w, width)))
+        wide = known[np.ix_(ys - y0, xs - x0)]
+        if border == "nan":
+            oy, ox = (np.arange(a - margin, a + n + margin) for a, n in ((top, h), (left, w)))
+            wide = np.where(((oy < 0) | (oy >= height))[:, None] | ((ox < 0) | (ox >= width))[None, :], np.nan, wide)
+        return wide
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [fn(widened(f, 0, 0, 0, 0, height, width)) for f in flat(batch.column(value)).reshape(-1, height, width)]
+            out = []
+            for n in names:
+                parts = [np.asarray(m[n], np.float64).ravel() for m in made]
+                offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64(), from_pandas=True)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *(batch.column(c).cast(pa.int32()) for c in PLACE), *out], names=[*keys, *PLACE, *names])
+
+    if shape.whole:  # a frame of one tile has no neighbours and stays in its task
+        return tiles.select(*keys, *PLACE, value).mapInArrow(alone, schema)
     step = tiles.where("top = 0 and left = 0").select("h", "w").first()
     dy, dx = (int(step["h"]), int(step["w"])) if step else (1, 1)
 
@@ -369,16 +392,10 @@ def stencil(tiles: DataFrame, keys: list[str], value: str, margin: int, shape: S
         known = np.full((y1 - y0, x1 - x0), np.nan)
         for y, x, n, m, v in zip(rows["_y"], rows["_x"], rows["_h"], rows["_w"], rows["_v"]):
             known[y - y0 : y - y0 + n, x - x0 : x - x0 + m] = np.asarray(v).reshape(n, m)
-        ys, xs = (_index(a - margin, a + n + margin, full, border) for a, n, full in ((top, h, height), (left, w, width)))
-        wide = known[np.ix_(ys - y0, xs - x0)]
-        if border == "nan":
-            oy, ox = (np.arange(a - margin, a + n + margin) for a, n in ((top, h), (left, w)))
-            wide = np.where(((oy < 0) | (oy >= height))[:, None] | ((ox < 0) | (ox >= width))[None, :], np.nan, wide)
-        made = fn(wide)
+        made = fn(widened(known, y0, x0, top, left, h, w))
         head = {**{c: [rows[c].iloc[0]] for c in keys}, "top": [top], "left": [left], "h": [h], "w": [w]}
         return pd.DataFrame({**head, **{n: [np.ascontiguousarray(made[n]).ravel()] for n in names}})
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", top int, left int, h int, w int, " + ", ".join(f"`{n}` array<double>" for n in names)
     return sent.groupBy(*by).applyInPandas(assemble, schema)
 
 

@@ -722,3 +722,27 @@ def test_whole_frames_of_one_image_a_key_need_no_shuffle_for_their_power(spark,
         assert "Exchange" not in plan_of(whole) and whole.dtypes == parts.dtypes
         of = lambda d: {r.image: (r.c0, r.c, r.n, r.h, r.w, pytest.approx(r.total)) for r in d.collect()}
         assert of(whole) == {r.image: (r.c0, r.c, r.n, r.h, r.w, r.total) for r in parts.collect()}
+
+
+@pytest.mark.parametrize("border,fn,names", [("nan", L.box(1), ["local_mean", "local_std"]), ("edge", L.box(1), ["local_mean"]), ("reflect", L.blur([(-1, 0.25), (0, 0.5), (1, 0.25)]), ["low", "hp"])])
+def test_stencils_on_whole_frames_stay_in_their_task(spark, stack, border, fn, names):
+    h, w = stack.shape[1:]
+    tiles, keys = tiles_of(spark, stack, 100), ["folder", "frame"]
+    whole, parts = (L.stencil(tiles, keys, "dn", 1, L.Shape(h, w, h, len(stack), k), fn, names, border) for k in (True, False))
+    assert "Exchange" not in plan_of(whole) and whole.dtypes == parts.dtypes
+    of = lambda d: {tuple(r)[:6]: [list(x) for x in tuple(r)[6:]] for r in d.collect()}
+    assert of(whole) == of(parts)
+
+
+def test_quantiles_of_few_keys_move_no_row_before_it_is_counted(spark):
+    from pixelstrata.functions.ordering import exact_quantiles
+
+    d = spark.range(1000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7 % 101).alias("v"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few, many = (exact_quantiles(d, "k", "v", {"a": 0.5, "b": 0.9}, few=f) for f in (True, False))
+        assert "SortMergeJoin" not in plan_of(few) and "SortMergeJoin" in plan_of(many)
+        assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
