@@ -58,12 +58,13 @@ def acquisition_log(lines: DataFrame, keep: list[str]) -> DataFrame:
 
     The file name is everything before the first section, blanks included.
     """
-    d = lines.select(*keep, log_sections(F.col("line")).alias("_s"))
+    once = lambda c: F.explode(F.array(c))  # noqa: E731 -- filters on the parts would otherwise parse the line again for each part
+    d = lines.select(*keep, once(log_sections(F.col("line"))).alias("_s"))
     d = d.where((F.size("_s") == len(LOG_SECTIONS) + 1) & F.lower(F.get("_s", F.lit(0))).rlike(r"\.tiff?$"))
     d = d.where(F.array(*[F.regexp_extract(F.get("_s", F.lit(k + 1)), r"^\S+", 0) for k in range(len(LOG_SECTIONS))]) == F.array(*map(F.lit, LOG_SECTIONS)))
     settings = F.map_concat(*[section_settings(F.get("_s", F.lit(k + 1))) for k in range(len(LOG_SECTIONS) - 1)])
     last = F.nullif(F.regexp_extract(F.get("_s", F.lit(len(LOG_SECTIONS))), NUMBER, 0), F.lit("")).cast("double")
-    d = d.select(*keep, F.trim(F.get("_s", F.lit(0))).alias("filename"), settings.alias("_m"), last.alias("gain"))
+    d = d.select(*keep, F.trim(F.get("_s", F.lit(0))).alias("filename"), once(settings).alias("_m"), last.alias("gain"))
     d = d.select(*keep, "filename", *[F.try_element_at("_m", F.lit(f)).alias(f) for f in LOG_FIELDS[:-1]], "gain")
     return d.dropna(subset=LOG_FIELDS)
 

@@ -746,3 +746,12 @@ def test_quantiles_of_few_keys_move_no_row_before_it_is_counted(spark):
         assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_log_lines_are_parsed_once(spark):
+    from pixelstrata.sources.listings import acquisition_log
+
+    lines = spark.range(3).select("id", F.concat(F.col("id").cast("string"), F.lit("-Camera1.tif Exposure delay:0ms, width:5ms Sync.A delay:0ns, width:4us Sync.B delay:0ns, width:4us gain 3")).alias("line"))
+    d = acquisition_log(lines, ["id"])
+    assert [r.gain for r in d.collect()] == [3.0] * 3
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
