@@ -7,8 +7,11 @@ power spectrum, and the curve of their variance over quantile bins of the signal
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +20,7 @@ from pixelstrata.functions.ordering import exact_quantiles
 from pixelstrata.functions.scalars import dbl
 from pixelstrata.operators.inference import normalized_curve
 from pixelstrata.operators.temporal import bias_corrected_shape
+from pixelstrata.operators.tiles import Shape, flat, map_arrays, typed
 
 FIELDS = ("strength", "tail", "spatial", "signal_nonstationarity")
 
@@ -65,6 +69,52 @@ def binned_by_signal(rows: DataFrame, keys: list[str], image: list[str], signal:
     return normalized_curve(a, rows.select(*keys).distinct(), keys, "_v", bins).select(*keys, "bin", "normalized", "valid_fraction")
 
 
+def frame_centred_tiles(tiles: DataFrame, keep: list[str], frame: list[str], shape: Shape) -> DataFrame:
+    """:func:`frame_centred` on tiles (keep, r); a tile that is a whole frame stays in its task, others get one number."""
+    if shape.whole:
+        def level(r: np.ndarray) -> np.ndarray:
+            r = r.reshape(-1, shape.height * shape.width)
+            return (r - r.mean(1, keepdims=True)).ravel()
+
+        return map_arrays(tiles, keep, ["_r"], "r", level)
+    total = F.aggregate("_r", F.lit(0.0), lambda a, x: a + x)
+    m = tiles.groupBy(*frame).agg((F.sum(total) / F.sum(F.size("_r"))).alias("_frame"))
+    return tiles.join(m, frame).select(*keep, F.transform("_r", lambda v: v - F.col("_frame")).alias("r"))
+
+
+def binned_by_map(tiles: DataFrame, labels: DataFrame, keys: list[str], image: list[str], bins: int, shape: Shape) -> DataFrame:
+    """:func:`binned_by_signal` of r * r where the images of a folder have one signal, so ``labels`` (folder, top, left, bin array) hold their bins.
+
+    A tile gives one sum for each bin; an image of one tile is averaged where it is.
+    """
+    names = ["n", "total"]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r, sizes = flat(batch.column("r")), np.asarray(batch.column("r").value_lengths())
+            at = np.repeat(np.arange(len(sizes)) * bins, sizes) + flat(batch.column("bin")).astype(np.int64)
+            offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * np.int32(bins))
+            made = [np.bincount(at, weights, bins * len(sizes)).astype(np.float64) for weights in (None, r * r)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in made)], names=[*by, *names])
+
+    by = [*keys, *image]
+    joined = tiles.join(labels, ["folder", "top", "left"]).select(*by, "r", "bin")
+    own = joined.mapInArrow(sums, typed(tiles, by) + ", " + ", ".join(f"{c} array<double>" for c in names))
+    own = own.select(*by, F.posexplode(F.arrays_zip(*names)).alias("bin", "_p")).select(*by, F.col("bin").cast("bigint").alias("bin"), "_p.n", "_p.total")
+    if not shape.whole:
+        own = own.groupBy(*by, "bin").agg(*[F.sum(c).alias(c) for c in names])
+    a = own.where("n > 0").groupBy(*keys, "bin").agg(F.avg(F.col("total") / F.col("n")).alias("_v"))
+    return normalized_curve(a, tiles.select(*keys).distinct(), keys, "_v", bins).select(*keys, "bin", "normalized", "valid_fraction")
+
+
+def signal_bins(pixels: DataFrame, signal: str, bins: int) -> DataFrame:
+    """(folder, top, left, signal array, bin array) from the pixels (folder, place, at, signal) of one map a folder."""
+    edges = exact_quantiles(pixels, ["folder"], signal, {f"_e{i}": i / bins for i in range(1, bins)})
+    label = sum(((F.col(signal) >= F.col(f"_e{i}")).cast("bigint") for i in range(1, bins)), F.lit(0).cast("bigint"))
+    g = pixels.join(edges, "folder").groupBy("folder", "top", "left").agg(F.array_sort(F.collect_list(F.struct("at", signal, label.alias("bin")))).alias("_s"))
+    return g.select("folder", "top", "left", F.col(f"_s.{signal}").alias(signal), F.col("_s.bin").alias("bin"))
+
+
 def mismatch_metrics(real: Description, synthetic: Description) -> DataFrame:
     """One row per folder, variant and half, with the four distances and what they are made of.
 
