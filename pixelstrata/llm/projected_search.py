@@ -5,8 +5,9 @@ the nearest row has the largest product). Gaussian projections to ``PROJECTED``
 are 2-stable: the squared projected distance of a pair is its squared distance times a
 chi-square variable. Rows are cut into the cells of a kd-tree over a sample of projections
 (at most 64 rows for each of at most 4,096 cells), larger cells into blocks by hash. A task
-builds a kd-tree over one block and, for each query sent to it, verifies single rows in the
-order of their projected distance. It stops when the chi-square test says that a row nearer
+builds a kd-tree over one block and, for each query sent to it, verifies rows in the order of
+their own projected distances, a part at a time; rows that many queries of a batch want are
+multiplied at once, others singly. It stops when the chi-square test says that a row nearer
 than the k-th found so far, there or in the query's first block, would have been met with
 probability ``confidence``; rows that can have an equal product are verified too. Equal
 vectors are searched as one and expanded to their rows with the smallest ids afterwards.
@@ -33,8 +34,10 @@ PROJECTED = 16
 LEAF = 128
 BLOCK = 16_384
 QUERY_BLOCK = 16_384
-TOGETHER = 32  # queries searched at once in a task
-AT_ONCE = 4_096  # rows of one query verified at once
+TOGETHER = 40  # queries searched at once in a task
+SINGLE = 0.03  # below this share of wanted pairs rows are verified one by one, else the wanted rows of all queries by one product
+STRIDE = 8  # every so many rows tell where a part ends
+PARTS = (8, 32, 128, 512, 0)  # rows of a query verified before its reach is measured again, in multiples of k; the last takes the rest
 MOST_CELLS = 12  # halvings of the kd-tree over the sample
 SAMPLED = 64  # rows of the sample for each cell
 SPARE = 8  # kept beyond k until scores are computed in a fixed order of addition
@@ -100,6 +103,11 @@ def box_gap(aims: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return (out**2).sum(2)
 
 
+def squared_gaps(aims: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Squared projected distance of each query to each row."""
+    return np.maximum(0, (aims**2).sum(1)[:, None] + (points**2).sum(1) - 2 * (aims @ points.T))
+
+
 def search_block(first, second, rows, query_ids, queries, top: float, k: int, confidence: float, floor=None, projected: int = PROJECTED, seed: int = 5):
     """For each query the numbers and products of its best rows of one block, and how many pairs were verified.
 
@@ -110,6 +118,10 @@ def search_block(first, second, rows, query_ids, queries, top: float, k: int, co
     onto = plane(rows.shape[1], projected, seed)
     points = project(rows, top, onto)
     leaves = kd_leaves(points)
+    turned = np.concatenate(leaves)  # rows by leaf, so that a leaf is a slice
+    first, second, rows, points = first[turned], second[turned], rows[turned], points[turned]
+    ends = np.cumsum([len(r) for r in leaves])
+    leaves = [slice(b - len(r), b) for b, r in zip(ends, leaves)]
     low = np.stack([points[r].min(0) for r in leaves])
     high = np.stack([points[r].max(0) for r in leaves])
     place = np.unique(np.concatenate([first, second]), return_inverse=True)[1]
@@ -122,7 +134,7 @@ def search_block(first, second, rows, query_ids, queries, top: float, k: int, co
         part = slice(at, at + TOGETHER)
         who[part], best[part], n = _search(first, second, place, rows, points, leaves, low, high, query_ids[part], queries[part], floor[part], onto, top, k, bound)
         verified += n
-    return who, best, verified
+    return np.where(who >= 0, turned[who], -1), best, verified
 
 
 def _search(first, second, place, rows, points, leaves, low, high, query_ids, queries, floor, onto, top, k, bound):
@@ -146,40 +158,70 @@ def _search(first, second, place, rows, points, leaves, low, high, query_ids, qu
         worst = np.maximum(worst, floor[mine])
         return np.where(np.isfinite(worst), bound * np.maximum(0, 2 - 2 * worst / top) + ROUNDING, np.inf)
 
+    def verify(mine: np.ndarray, ahead: np.ndarray, due: np.ndarray, products: np.ndarray | None = None) -> int:
+        """Takes the rows ``ahead`` that are due to each query among its best."""
+        if products is None:
+            products = np.full(due.shape, -np.inf)
+            q, c = np.nonzero(due)
+            products[q, c] = np.einsum("aj,aj->a", rows[ahead[c]], direction[mine[q]])
+        hopeful = np.flatnonzero((due & (products >= best[mine].min(1)[:, None] - slack)).any(0))
+        if not len(hopeful):
+            return int(due.sum())
+        x = ahead[hopeful]
+        own = (query_ids[mine][:, None] == first[x]) & (query_ids[mine][:, None] == second[x])  # a query is no candidate of its own
+        value = np.concatenate([best[mine], np.where(due[:, hopeful] & ~own, products[:, hopeful], -np.inf)], 1)
+        name = np.concatenate([who[mine], np.broadcast_to(x, (len(mine), len(x)))], 1)
+        chosen = np.argpartition(-value, keep - 1, axis=1)[:, :keep]
+        least = np.partition(value, value.shape[1] - wanted, axis=1)[:, value.shape[1] - wanted]
+        close = (value >= least[:, None] - slack) & np.isfinite(value)
+        for c in np.flatnonzero(close.sum(1) > keep):  # more equals than room: by score and id
+            among = np.flatnonzero(close[c])
+            x = name[c, among]
+            tie = np.where(first[x] == query_ids[mine[c]], place[1, x], place[0, x])
+            chosen[c] = among[np.lexsort((tie, -(rows[x] * queries[mine[c]]).sum(1)))[:keep]]
+        best[mine], who[mine] = np.take_along_axis(value, chosen, 1), np.take_along_axis(name, chosen, 1)
+        return int(due.sum())
+
+    def within(mine: np.ndarray, until: np.ndarray) -> np.ndarray:
+        return np.minimum(np.minimum(until, reach(mine)), np.finfo(float).max)
+
     active, at, step, verified = np.arange(n), 0, 1, 0
     while len(active) and at < len(leaves):
+        step = step if at + 2 * step < len(leaves) else len(leaves) - at
         turn = order[active, at : at + step]
         for j in np.unique(turn):
             mine = active[(turn == j).any(1)]
-            waiting[np.ix_(mine, leaves[j])] = ((aims[mine][:, None] - points[leaves[j]][None]) ** 2).sum(2)
+            waiting[mine, leaves[j]] = squared_gaps(aims[mine], points[leaves[j]])
         at += step
-        step *= 2
+        step *= 4
         edge = gap[active, order[active, at]] if at < len(leaves) else np.full(len(active), np.inf)
-        some, mine, until = min(2 * k, len(rows)), active, edge
-        while len(mine):
-            pick = np.argpartition(waiting[mine], some - 1, axis=1)[:, :some]
-            near = np.take_along_axis(waiting[mine], pick, 1)
-            due = np.isfinite(near) & (near <= np.minimum(until, reach(mine))[:, None])
-            left = due.any(1)
-            mine, until, pick, due = mine[left], until[left], pick[left], due[left]
-            if not len(mine):
-                break
-            waiting[mine[:, None], pick] = np.where(due, np.inf, np.take_along_axis(waiting[mine], pick, 1))
-            verified += int(due.sum())
-            own = (query_ids[mine][:, None] == first[pick]) & (query_ids[mine][:, None] == second[pick])
-            products = np.where(due & ~own, np.einsum("aij,aj->ai", rows[pick], direction[mine]), -np.inf)  # a query is no candidate of its own
-            value = np.concatenate([best[mine], products], 1)
-            name = np.concatenate([who[mine], pick], 1)
-            chosen = np.argpartition(-value, keep - 1, axis=1)[:, :keep]
-            least = np.partition(value, value.shape[1] - wanted, axis=1)[:, value.shape[1] - wanted]
-            close = (value >= least[:, None] - slack) & np.isfinite(value)
-            for c in np.flatnonzero(close.sum(1) > keep):  # more equals than room: by score and id
-                among = np.flatnonzero(close[c])
-                x = name[c, among]
-                tie = np.where(first[x] == query_ids[mine[c]], place[1, x], place[0, x])
-                chosen[c] = among[np.lexsort((tie, -(rows[x] * queries[mine[c]]).sum(1)))[:keep]]
-            best[mine], who[mine] = np.take_along_axis(value, chosen, 1), np.take_along_axis(name, chosen, 1)
-            some = min(4 * some, AT_ONCE, len(rows))
+        ahead = np.flatnonzero(np.isfinite(waiting[active]).any(0))
+        near = waiting[np.ix_(active, ahead)]
+        limit = within(active, edge)
+        if 2 * k < len(ahead):
+            limit = np.minimum(limit, np.partition(near, 2 * k - 1, axis=1)[:, 2 * k - 1])
+        due = near <= limit[:, None]  # the nearest 2 k rows first
+        some = np.flatnonzero(due.any(0))
+        verified += verify(active, ahead[some], due[:, some])
+        past = near <= within(active, edge)[:, None]
+        waiting[np.ix_(active, ahead)] = np.where(past | due, np.inf, near)  # verified now or never: the reach only shrinks
+        past &= ~due
+        some = np.flatnonzero(past.any(0))
+        if len(some):
+            ahead, near = ahead[some], np.where(past, near, np.inf)[:, some]
+            dense = past[:, some].mean() >= SINGLE
+            products = direction[active] @ rows[ahead].T if dense else None
+            few = near[:, ::STRIDE]
+            for part in PARTS:  # the others by rising distance, while the reach shrinks
+                last = part * k // STRIDE if part else few.shape[1]
+                limit = within(active, edge)
+                if last < few.shape[1]:
+                    limit = np.minimum(limit, np.partition(few, last, axis=1)[:, last])
+                due = near <= limit[:, None]
+                verified += verify(active, ahead, due, products)
+                if last >= few.shape[1]:
+                    break
+                near[due] = np.inf
         active = active[edge <= reach(active)]
     return who, best, verified
 
